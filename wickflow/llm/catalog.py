@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickflow.llm import simhash
+from wickflow.llm import ann, chat_template, license_scan, line_dedup, mixing, packing, ppm, quality_rules, sharding, simhash
 from wickflow.llm.common import read
 
 
@@ -14,9 +15,80 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(read(spark, sf_dir, "documents"), 8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.col("lines").cast("long").alias("n_lines"),
+        F.col("kept_lines").cast("long").alias("n_kept"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.crc32(F.col("text").cast("binary")).alias("kept_crc32"),
+    )
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "line", F.round("dice", 6).alias("dice"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = read(spark, sf_dir, "conversations").selectExpr("conv_id", "cast(turn as long) turn", "role", "text")
+    extra = spark.range(2).selectExpr("-7L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", f"'{said}' text")
+    return chat_template.digests(chat_template.format_turns(turns.unionByName(extra)))
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash}
+    return {
+        f.__name__: f
+        for f in (
+            op1_simhash,
+            op2_sharding,
+            op3_line_dedup,
+            op4_license_scan,
+            op5_mixing,
+            op6_quality_rules,
+            op7_ppm,
+            op8_ann,
+            op9_packing,
+            op10_chat_template,
+        )
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op4_license_scan": f"SELECT doc_id, license, line, round(dice, 6) AS dice FROM ({license_scan.oracle_sql()})",
+        "op5_mixing": mixing.oracle_sql(),
+    }
