@@ -1,17 +1,738 @@
-"""Registry of the candle queries and their DuckDB twins."""
+"""Registry of the candle queries and their DuckDB twins.
+
+A query and its SQL stand together; doubles are rounded to the same number of digits on both sides, because
+sums of floats depend on their order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wickflow.functions import scalars
+from wickflow.operators import clean, monitor, portfolio, profile, quality, risk, score, slices, tokens, windows
+from wickflow.oracles import BARS, CODES, FORECAST, PATHS, PORTFOLIO, RANKED, RISK, _dates
+from wickflow.plans import adapter
+from wickflow.plans.adapter import TRAIN_END, VAL_END
+from wickflow.sources import bars as sources
+from wickflow.streaming.refresh import candles
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, digits: int = 6):
+    """Registers a query by its name, with SQL for the same rows."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            found = f(spark, sf_dir)
+            return found.select(
+                *((F.round(F.col(c), digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes)
+            )
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        _QUERIES[f.__name__] = run
+        if sql is not None:
+            _SQL[f.__name__] = _rounded(sql, digits)
+        return run
+
+    return register
+
+
+def _rounded(sql: str, digits: int) -> str:
+    """Columns marked ~name in the last SELECT are doubles to round."""
+    import re
+
+    return re.sub(r"~\((.*?)\)~", lambda m: f"round(({m[1]})::DOUBLE, {digits}) + 0.0", sql, flags=re.S)
+
+
+def _eval(spark, sf_dir, pred="pred_drift"):
+    p = adapter.parameters(sf_dir)
+    return quality.eval_rows(score.baselines(adapter.bars(spark, sf_dir), p["lookback"], 5), 5, pred)
+
+
+def _chosen(spark, sf_dir, pred="pred_drift"):
+    return quality.wide_dates(quality.every_nth_date(_eval(spark, sf_dir, pred)), adapter.parameters(sf_dir)["min_symbols"])
+
+
+def _dense(spark, sf_dir):
+    return profile.densify(adapter.bars(spark, sf_dir))
+
+
+def _paths(spark, sf_dir):
+    return score.resampled_paths(adapter.bars(spark, sf_dir), adapter.parameters(sf_dir)["lookback"], 5, 20)
+
+
+def _ranked(spark, sf_dir):
+    return risk.rankings(risk.risk_metrics(_paths(spark, sf_dir)), adapter.bars(spark, sf_dir), adapter.dimension(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return quality.direction(_eval(spark, sf_dir), "symbol")
+
+
+@_query(f"WITH {FORECAST} SELECT symbol, count(*) AS n, ~(avg(CASE WHEN (actual_return > 0) = (pred_return > 0) THEN 1.0 ELSE 0.0 END) * 100)~ AS da, ~(sum(abs(actual_return) * CASE WHEN (actual_return > 0) = (pred_return > 0) THEN 1.0 ELSE 0.0 END) / sum(abs(actual_return)) * 100)~ AS mw_da FROM ev GROUP BY symbol")
+def drift_accuracy_by_symbol(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@_query(f'WITH {BARS} SELECT symbol, ts, ~(open)~ AS open, ~(high)~ AS high, ~(low)~ AS low, ~("close")~ AS "close", ~(volume)~ AS volume, ~(amount)~ AS amount FROM bars')
+def bars(spark, sf_dir):
+    return adapter.bars(spark, sf_dir)
+
+
+@_query(f"WITH {BARS} SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, ~(count(*) / 250.0)~ AS years FROM bars GROUP BY symbol")
+def symbol_profile(spark, sf_dir):
+    return profile.profile(adapter.bars(spark, sf_dir))
+
+
+@_query(f"WITH {BARS} SELECT DISTINCT ts FROM bars")
+def trading_dates(spark, sf_dir):
+    return profile.trading_dates(adapter.bars(spark, sf_dir))
+
+
+@_query(f'WITH {BARS} SELECT symbol, ts, "close" IS NULL AS missing FROM dense')
+def missing_map(spark, sf_dir):
+    return profile.missing_map(adapter.bars(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {BARS} SELECT symbol, count(*) FILTER (high + 0.01 < low) AS high_below_low, count(*) FILTER (high + 0.01 < open) AS high_below_open,
+    count(*) FILTER (high + 0.01 < "close") AS high_below_close, count(*) FILTER (low - 0.01 > open) AS low_above_open,
+    count(*) FILTER (low - 0.01 > "close") AS low_above_close, count(*) FILTER (open < 0 OR high < 0 OR low < 0 OR "close" < 0) AS negative_price,
+    count(*) FILTER (volume < 0) AS negative_volume, count(*) FILTER (amount < 0) AS negative_amount FROM bars GROUP BY symbol"""
+)
+def quality_report(spark, sf_dir):
+    return clean.quality_report(adapter.bars(spark, sf_dir))
+
+
+@_query(f"WITH {BARS} SELECT symbol, count(*) FILTER (isodow(ts) > 5) AS weekend_rows, bool_and(day(ts) BETWEEN 1 AND 31 AND month(ts) BETWEEN 1 AND 12) AS sound_dates FROM bars GROUP BY symbol")
+def calendar_report(spark, sf_dir):
+    return clean.calendar_report(adapter.bars(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {BARS}, m AS (SELECT symbol, ts, lag("close") OVER (PARTITION BY symbol ORDER BY ts) AS prev_close, "close" FROM bars)
+    SELECT symbol, ts, ~(prev_close)~ AS prev_close, ~("close")~ AS "close", ~(("close" - prev_close) / prev_close)~ AS ret FROM m
+    WHERE abs(("close" - prev_close) / prev_close) > 0.15"""
+)
+def anomalies(spark, sf_dir):
+    return clean.anomalies(adapter.bars(spark, sf_dir), 0.15)
+
+
+@_query(f'WITH {BARS} SELECT symbol, ts::TIMESTAMP AS ts, ~(volume * (open + high + low + "close") / 4)~ AS amount, ~(volume)~ AS volume FROM bars', 2)
+def repaired_amounts(spark, sf_dir):
+    """Bars without the amount column, repaired."""
+    return clean.normalize_schema(adapter.bars(spark, sf_dir).drop("amount")).select("symbol", "ts", "amount", "volume")
+
+
+@_query(
+    f"""WITH {BARS} SELECT symbol, count(*) AS n, ~(min("close"))~ AS low_close, ~(max(volume))~ AS top_volume FROM bars
+    WHERE day(ts) <> 13 GROUP BY symbol"""
+)
+def coerced_text_bars(spark, sf_dir):
+    """Bars as text with a close on each 13th that is no number, coerced; those rows drop out."""
+    bad = F.when(F.dayofmonth("ts") == 13, "n/a").otherwise(F.col("close").cast("string"))
+    text = adapter.bars(spark, sf_dir).withColumn("close", bad)
+    rows = clean.normalize_schema(text.withColumn("volume", F.col("volume").cast("string")))
+    return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.min("close").alias("low_close"), F.max("volume").alias("top_volume"))
+
+
+@_query(
+    f"""WITH {BARS}, f AS (
+      SELECT symbol, ts, coalesce(last_value("close" IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING),
+             first_value("close" IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS "close",
+             coalesce(last_value(volume IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING),
+             first_value(volume IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS volume FROM dense)
+    SELECT symbol, ts, ~("close")~ AS "close", ~(volume)~ AS volume FROM f"""
+)
+def filled_series(spark, sf_dir):
+    return clean.fill(_dense(spark, sf_dir), "series").select("symbol", "ts", "close", "volume")
+
+
+@_query(f'WITH {BARS} SELECT symbol, ts, ~("close")~ AS "close" FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) WHERE k <= 8')
+def last_bars(spark, sf_dir):
+    return slices.last_bars(adapter.bars(spark, sf_dir), 8).select("symbol", "ts", "close")
+
+
+@_query(f"WITH {BARS} SELECT CASE WHEN ts < DATE '1999-01-01' THEN 'train' WHEN ts < DATE '2000-07-01' THEN 'val' ELSE 'test' END AS split, symbol, count(*) AS n FROM bars GROUP BY ALL")
+def date_split_counts(spark, sf_dir):
+    return adapter.bars(spark, sf_dir).groupBy(slices.split_by_date(F.col("ts"), TRAIN_END, VAL_END).alias("split"), "symbol").agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""WITH {BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM num)
+    SELECT symbol, ts, CASE WHEN n < 133 OR k > 7 THEN 'context' ELSE 'actual' END AS part, ~("close")~ AS "close" FROM k
+    WHERE (n < 133 AND k <= 126) OR (n >= 133 AND k > 2 AND k <= 133)"""
+)
+def holdout_context(spark, sf_dir):
+    return slices.context_slice(adapter.bars(spark, sf_dir), 126, 5).select("symbol", "ts", "part", "close")
+
+
+@_query(
+    f"""WITH {BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, count(*) OVER (PARTITION BY symbol) AS m FROM bars WHERE ts >= DATE '1999-01-01')
+    SELECT symbol, ts, CASE WHEN k <= 60 THEN 'context' ELSE 'actual' END AS part FROM k WHERE m >= 60 AND k <= 65"""
+)
+def dated_context(spark, sf_dir):
+    return slices.context_slice(adapter.bars(spark, sf_dir), 60, 5, "1999-01-01").select("symbol", "ts", "part")
+
+
+@_query(
+    f"""WITH {BARS}, l AS (SELECT symbol, max(ts) AS last, min(ts) AS prev, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) WHERE k <= 2 GROUP BY symbol)
+    SELECT symbol, step::INT AS step, last::TIMESTAMP + to_days((step * CASE WHEN n < 2 THEN 1 ELSE last - prev END)::INT) AS ts FROM l, (SELECT unnest(range(1, 6)) AS step)"""
+)
+def future_stamps(spark, sf_dir):
+    return slices.future_index(adapter.bars(spark, sf_dir), 5).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@_query(
+    f"""WITH {BARS}, v AS (SELECT symbol, ts, r, CASE WHEN count(r) OVER a = 20 THEN stddev_samp(r) OVER a * sqrt(250.0) END AS vol_20,
+      CASE WHEN count(r) OVER b = 50 THEN stddev_samp(r) OVER b * sqrt(250.0) END AS vol_50 FROM ret
+      WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+    SELECT symbol, ts, ~(r)~ AS r, ~(abs(r))~ AS abs_r, ~(vol_20)~ AS vol_20, ~(vol_50)~ AS vol_50 FROM v"""
+)
+def returns_and_volatility(spark, sf_dir):
+    rows = profile.rolling_volatility(profile.log_returns(adapter.bars(spark, sf_dir)))
+    return rows.select("symbol", "ts", "r", F.abs("r").alias("abs_r"), "vol_20", "vol_50")
+
+
+@_query(
+    f"""WITH {BARS}, f AS (SELECT symbol, ts, "close" IS NOT DISTINCT FROM lag("close") OVER w AS flat FROM (SELECT symbol, ts, round("close", -2) AS "close" FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    i AS (SELECT *, sum(CASE WHEN flat THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM f),
+    u AS (SELECT symbol, island, sum(flat::INT) AS run FROM i GROUP BY ALL)
+    SELECT symbol, max(run)::BIGINT AS longest, max(run) > 3 AS flagged FROM u GROUP BY symbol"""
+)
+def flat_runs(spark, sf_dir):
+    """On closes in hundreds, so that there are runs."""
+    return profile.flat_runs(adapter.bars(spark, sf_dir).withColumn("close", F.round("close", -2)), 3)
+
+
+@_query(
+    f"""WITH {BARS}, x AS (SELECT symbol, volume AS x, ln(volume + 1e-5) AS y FROM bars WHERE volume IS NOT NULL),
+    m AS (SELECT symbol, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM x GROUP BY symbol)
+    SELECT symbol, any_value(n) AS n, ~(avg(power((x - mx) / sx, 3)))~ AS skew_raw, ~(avg(power((x - mx) / sx, 4)) - 3)~ AS kurt_raw,
+           ~(avg(power((y - my) / sy, 3)))~ AS skew_log, ~(avg(power((y - my) / sy, 4)) - 3)~ AS kurt_log
+    FROM x JOIN m USING (symbol) WHERE n >= 10 GROUP BY symbol""",
+    4,
+)
+def volume_shape(spark, sf_dir):
+    return profile.shape(adapter.bars(spark, sf_dir), "volume")
+
+
+@_query(
+    f"""WITH {BARS}, s AS (SELECT symbol, stddev_pop("close") AS close_std, stddev_pop(volume) AS volume_std FROM bars GROUP BY symbol),
+    l AS (UNPIVOT s ON close_std, volume_std INTO NAME feature VALUE v)
+    SELECT feature, count(v) AS n, ~(avg(v))~ AS mean, ~(stddev_samp(v))~ AS std, ~(min(v))~ AS low, ~(quantile_cont(v, 0.25))~ AS q25,
+           ~(quantile_cont(v, 0.5))~ AS q50, ~(quantile_cont(v, 0.75))~ AS q75, ~(max(v))~ AS high FROM l GROUP BY feature""",
+    4,
+)
+def deviation_summary(spark, sf_dir):
+    stats = adapter.bars(spark, sf_dir).groupBy("symbol").agg(F.stddev_pop("close").alias("close_std"), F.stddev_pop("volume").alias("volume_std"))
+    return profile.summary(stats, ["close_std", "volume_std"])
+
+
+@_query(
+    f"""WITH {BARS}, x AS (SELECT CASE WHEN ts < DATE '1998-08-29' THEN 'before' ELSE 'after' END AS era, (isodow(ts) - 1)::INT AS weekday, r AS x FROM ret WHERE r IS NOT NULL),
+    q AS (SELECT era, weekday, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75 FROM x GROUP BY ALL)
+    SELECT era, weekday, ~(q25)~ AS q25, ~(q50)~ AS q50, ~(q75)~ AS q75, ~(min(x))~ AS whisker_low, ~(max(x))~ AS whisker_high, count(*) AS n_inside
+    FROM x JOIN q USING (era, weekday) WHERE x BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) GROUP BY era, weekday, q25, q50, q75"""
+)
+def return_boxes(spark, sf_dir):
+    keys = [slices.era(F.col("ts"), "1998-08-29").alias("era"), F.weekday("ts").alias("weekday")]
+    return profile.box(profile.log_returns(adapter.bars(spark, sf_dir)), "r", keys)
+
+
+@_query(
+    f"""WITH {BARS}, s AS (SELECT min(r) AS lo, max(r) AS hi, count(r) AS total FROM ret),
+    b AS (SELECT least(99, floor((r - lo) / ((hi - lo) / 100)))::INT AS bin, lo, hi, total FROM ret, s WHERE r IS NOT NULL)
+    SELECT bin, count(*) AS n, ~(count(*) / (any_value(total) * ((any_value(hi) - any_value(lo)) / 100)))~ AS density FROM b GROUP BY bin"""
+)
+def return_histogram(spark, sf_dir):
+    return profile.histogram(profile.log_returns(adapter.bars(spark, sf_dir)), "r")
+
+
+@_query(
+    f"""WITH {BARS}, x AS (SELECT symbol, log10(amount + 1e-5) AS x FROM bars), s AS (SELECT symbol, min(x) AS lo, max(x) AS hi, count(*) AS total FROM x GROUP BY symbol),
+    b AS (SELECT symbol, least(29, floor((x - lo) / ((hi - lo) / 30)))::INT AS bin, lo, hi, total FROM x JOIN s USING (symbol))
+    SELECT symbol, bin, count(*) AS n, ~(count(*) / (any_value(total) * ((any_value(hi) - any_value(lo)) / 30)))~ AS density FROM b GROUP BY symbol, bin"""
+)
+def amount_density(spark, sf_dir):
+    rows = adapter.bars(spark, sf_dir).withColumn("x", F.log10(F.col("amount") + 1e-5))
+    return profile.histogram(rows, "x", 30, ("symbol",))
+
+
+@_query(
+    f"""WITH {BARS}, p AS (SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, a.r AS x, b.r AS y FROM ret a JOIN ret b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL),
+    c AS (SELECT symbol_a, symbol_b, sum(x * y) - sum(x) * sum(y) / count(*) AS cov, sum(x * x) - sum(x) * sum(x) / count(*) AS va, sum(y * y) - sum(y) * sum(y) / count(*) AS vb FROM p GROUP BY ALL)
+    SELECT symbol_a, symbol_b, ~(coalesce(CASE WHEN va > 1e-12 AND vb > 1e-12 THEN cov / (sqrt(va) * sqrt(vb)) END, 0.0))~ AS corr FROM c"""
+)
+def return_correlations(spark, sf_dir):
+    return profile.correlation_pairs(profile.log_returns(adapter.bars(spark, sf_dir)))
+
+
+@_query(
+    f"""WITH {BARS}, c AS (SELECT symbol, ts, "close" / first("close") OVER w AS rebased, "close" - coalesce(lag("close") OVER w, "close") AS change,
+      ("close" - coalesce(lag("close") OVER w, "close")) / coalesce(lag("close") OVER w, "close") * 100 AS change_pct FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+    SELECT symbol, ts, ~(rebased)~ AS rebased, ~(change)~ AS change, ~(change_pct)~ AS change_pct FROM c"""
+)
+def rebased_and_change(spark, sf_dir):
+    return profile.change(profile.rebased(adapter.bars(spark, sf_dir))).select("symbol", "ts", "rebased", "change", "change_pct")
+
+
+@_query()
+def return_qq_fit(spark, sf_dir):
+    """Needs the inverse normal, which SQL lacks; tested against NormalDist."""
+    return profile.qq_fit(profile.qq(profile.log_returns(adapter.bars(spark, sf_dir))))
+
+
+_NULLS = '(open IS NULL)::INT + (high IS NULL)::INT + (low IS NULL)::INT + ("close" IS NULL)::INT + (volume IS NULL)::INT + (amount IS NULL)::INT'
+
+
+@_query(
+    f"""WITH {BARS}, x AS (SELECT symbol, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n,
+      sum({_NULLS}) OVER (w ROWS BETWEEN CURRENT ROW AND 130 FOLLOWING) / (131.0 * 6) AS share FROM dense WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    c AS (SELECT symbol, count(*) AS total, count(*) FILTER (share <= 0.10) AS valid FROM x WHERE rn + 131 <= n GROUP BY symbol)
+    SELECT symbol, total, valid, total - valid AS discarded, ~(100.0 * (total - valid) / total)~ AS discarded_pct FROM c"""
+)
+def window_counts(spark, sf_dir):
+    return windows.window_counts(_dense(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {BARS}, s AS (SELECT symbol, CASE WHEN count("close") OVER w = 126 THEN stddev_pop("close") OVER w END AS "close",
+      CASE WHEN count(volume) OVER w = 126 THEN stddev_pop(volume) OVER w END AS volume FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 125 PRECEDING AND CURRENT ROW))
+    SELECT symbol, 'close' AS feature, ~(min("close"))~ AS min_std FROM s GROUP BY symbol UNION ALL SELECT symbol, 'volume', ~(min(volume))~ FROM s GROUP BY symbol""",
+    4,
+)
+def smallest_window_std(spark, sf_dir):
+    return windows.min_window_std(adapter.bars(spark, sf_dir)).where(F.col("feature").isin("close", "volume"))
+
+
+@_query()
+def zero_std_symbols(spark, sf_dir):
+    """A count over smallest_window_std, which has the SQL."""
+    return windows.zero_std_symbols(windows.min_window_std(adapter.bars(spark, sf_dir)))
+
+
+@_query(
+    f"""WITH {BARS}, s AS (SELECT symbol, rn AS start, n, avg("close") OVER w AS m, stddev_pop("close") OVER w AS d FROM num WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+    z AS (SELECT abs(("close" - m) / (CASE WHEN d < 1e-6 THEN 1 ELSE d END + 1e-5)) > 3 AS beyond FROM s JOIN num b ON b.symbol = s.symbol AND b.rn BETWEEN s.start AND s.start + 29 WHERE s.start + 30 <= s.n)
+    SELECT 'close' AS feature, ~(avg(CASE WHEN beyond THEN 1.0 ELSE 0.0 END))~ AS rate FROM z"""
+)
+def clip_rate(spark, sf_dir):
+    return windows.clip_rate(adapter.bars(spark, sf_dir), 30, 3.0).where("feature = 'close'")
+
+
+_SPLIT = f"""WITH {BARS}, c AS (SELECT symbol, coalesce(min(rn) FILTER (ts >= DATE '1999-01-01'), count(*)) AS a, coalesce(min(rn) FILTER (ts >= DATE '2000-07-01'), count(*)) AS b FROM num GROUP BY symbol),
+    w AS (SELECT symbol, rn AS start, n, ts AS ts_first, lead(ts, 131) OVER o AS ts_last FROM num WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+    k AS (SELECT w.symbol, start, ts_first, ts_last, CASE WHEN ts_last < DATE '1999-01-01' THEN 'train' WHEN start + 126 >= a + 5 AND ts_last < DATE '2000-07-01' THEN 'val' WHEN start + 126 >= b + 5 THEN 'test' END AS split
+          FROM w JOIN c USING (symbol) WHERE start + 132 <= n)"""
+
+
+@_query(f"{_SPLIT} SELECT symbol, split, count(*) AS n, min(ts_first) AS first_ts, max(ts_last) AS last_ts FROM k WHERE split IS NOT NULL GROUP BY ALL")
+def window_splits(spark, sf_dir):
+    rows = adapter.bars(spark, sf_dir)
+    found = windows.assign_split(rows, windows.make_windows(rows, 126, 5), TRAIN_END, VAL_END, 126)
+    return found.groupBy("symbol", "split").agg(F.count("*").alias("n"), F.min("ts_first").alias("first_ts"), F.max("ts_last").alias("last_ts"))
+
+
+@_query(f"{_SPLIT}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol, split ORDER BY md5('42:' || symbol || ':' || start), symbol, start) AS r FROM k WHERE split IS NOT NULL) SELECT symbol, split, start FROM d WHERE r <= 100")
+def sampled_windows(spark, sf_dir):
+    rows = adapter.bars(spark, sf_dir)
+    found = windows.assign_split(rows, windows.make_windows(rows, 126, 5), TRAIN_END, VAL_END, 126)
+    return windows.sample_starts(found, 100, 42, ("symbol", "split")).select("symbol", "split", "start")
+
+
+@_query(
+    f"""WITH {BARS}, x AS (SELECT symbol, ts, "close", volume, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM dense WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    u AS (SELECT s.symbol, s.rn AS start, b.rn - s.rn AS pos, b."close", b.volume FROM x s JOIN x b ON b.symbol = s.symbol AND b.rn BETWEEN s.rn AND s.rn + 15 WHERE s.rn + 16 <= s.n),
+    f AS (SELECT symbol, start, pos, coalesce(last_value("close" IGNORE NULLS) OVER o, 0) AS c, coalesce(last_value(volume IGNORE NULLS) OVER o, 0) AS v FROM u WINDOW o AS (PARTITION BY symbol, start ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    m AS (SELECT symbol, start, avg(c) FILTER (pos < 10) AS mc, stddev_pop(c) FILTER (pos < 10) AS sc, avg(v) FILTER (pos < 10) AS mv, stddev_pop(v) FILTER (pos < 10) AS sv FROM f GROUP BY ALL),
+    z AS (SELECT symbol, pos, greatest(least((c - mc) / (CASE WHEN sc < 1e-6 THEN 1 ELSE sc END + 1e-5), 5), -5) AS zc, greatest(least((v - mv) / (CASE WHEN sv < 1e-6 THEN 1 ELSE sv END + 1e-5), 5), -5) AS zv FROM f JOIN m USING (symbol, start))
+    SELECT symbol, pos::INT AS pos, count(*) AS n, ~(avg(zc))~ AS mean_z_close, ~(avg(zv))~ AS mean_z_volume, ~(max(abs(zc)))~ AS top_z_close FROM z GROUP BY symbol, pos""",
+    5,
+)
+def normalized_windows(spark, sf_dir):
+    rows = _dense(spark, sf_dir)
+    found = windows.normalize_windows(rows, windows.make_windows(rows, 10, 5), 10, 5)
+    return found.groupBy("symbol", "pos").agg(
+        F.count("*").alias("n"), F.avg("z_close").alias("mean_z_close"), F.avg("z_volume").alias("mean_z_volume"), F.max(F.abs("z_close")).alias("top_z_close")
+    )
+
+
+@_query(
+    f"""WITH {BARS}, s AS (SELECT symbol, rn, n, "close" AS x, avg("close") OVER a AS m1, stddev_pop("close") OVER a AS s1, avg("close") OVER b AS m2, stddev_pop("close") OVER b AS s2, avg("close") OVER c AS m3 FROM num
+      WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 125 FOLLOWING), b AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 130 FOLLOWING), c AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 126 FOLLOWING AND 130 FOLLOWING)),
+    d AS (SELECT symbol, abs((x - m1) / (CASE WHEN s1 < 1e-6 THEN 1 ELSE s1 END + 1e-5) - (x - m2) / (CASE WHEN s2 < 1e-6 THEN 1 ELSE s2 END + 1e-5)) AS diff FROM s WHERE rn + 131 <= n)
+    SELECT symbol, ~(avg(diff))~ AS mean_diff, ~(max(diff))~ AS max_diff FROM d GROUP BY symbol"""
+)
+def leak_report(spark, sf_dir):
+    return windows.leak_report(adapter.bars(spark, sf_dir)).select("symbol", "mean_diff", "max_diff")
+
+
+@_query("SELECT event_type AS symbol, minute(ts)::INT AS minute, hour(ts)::INT AS hour, (isodow(ts) - 1)::INT AS weekday, day(ts)::INT AS day, month(ts)::INT AS month, count(*) AS n FROM events GROUP BY ALL")
+def time_features(spark, sf_dir):
+    rows = adapter.read(spark, sf_dir, "events")
+    stamps = scalars.time_features(F.col("ts"))
+    return rows.groupBy(F.col("event_type").alias("symbol"), *(c.alias(n) for n, c in stamps.items())).agg(F.count("*").alias("n"))
+
+
+@_query(
+    """WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS "close", count(*)::DOUBLE AS volume, sum(value) AS amount FROM events GROUP BY 1, 2)
+    SELECT symbol, ts, ~(open)~ AS open, ~(high)~ AS high, ~(low)~ AS low, ~("close")~ AS "close", ~(volume)~ AS volume, ~(amount)~ AS amount FROM b"""
+)
+def hourly_candles(spark, sf_dir):
+    return candles(adapter.read(spark, sf_dir, "events"), "event_type", "value").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@_query(
+    f"""WITH {BARS}, l AS (SELECT symbol, ts, "close", lag("close") OVER (PARTITION BY symbol ORDER BY ts) AS ref FROM bars),
+    p AS (SELECT *, round(ref * 1.07 / 100) * 100 AS ceiling, round(ref * 0.93 / 100) * 100 AS floor FROM l WHERE ref IS NOT NULL)
+    SELECT symbol, ts, ~(ceiling)~ AS ceiling, ~(floor)~ AS floor, CASE WHEN "close" >= ceiling - 50 THEN 'ceiling' WHEN "close" <= floor + 50 THEN 'floor' ELSE 'between' END AS side FROM p"""
+)
+def price_limits(spark, sf_dir):
+    rows = adapter.bars(spark, sf_dir).withColumn("ref", F.lag("close").over(clean.BY_SYMBOL)).where("ref is not null")
+    top, bottom, side = scalars.price_limits(F.col("ref"), F.col("close"))
+    return rows.select("symbol", "ts", top.alias("ceiling"), bottom.alias("floor"), side.alias("side"))
+
+
+@_query(f"WITH {BARS} SELECT DISTINCT ts, CASE isodow(ts + 3) WHEN 6 THEN ts + 5 WHEN 7 THEN ts + 4 ELSE ts + 3 END AS due, strftime(ts, '%Y%m%d') AS tag FROM bars")
+def settlement_dates(spark, sf_dir):
+    days = profile.trading_dates(adapter.bars(spark, sf_dir))
+    return days.select("ts", scalars.settlement_date(F.col("ts")).alias("due"), scalars.date_tag(F.col("ts")).alias("tag"))
+
+
+@_query(f"WITH {CODES} SELECT vec_id, label, s1, s2, s1 + (s2 << 10) AS composite, (s1 + (s2 << 10)) & 1023 AS low, ((s1 + (s2 << 10)) >> 10) & 1023 AS high FROM codes")
+def sign_codes(spark, sf_dir):
+    rows = adapter.codes(spark, sf_dir).withColumn("composite", tokens.join_token(F.col("s1"), F.col("s2")))
+    low, high = tokens.split_token(F.col("composite"))
+    return rows.select("vec_id", "label", "s1", "s2", "composite", low.alias("low"), high.alias("high"))
+
+
+@_query(
+    f"""WITH {CODES}, u AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)
+    SELECT vec_id, ~(list_sum(list_transform(embedding, lambda x: x::DOUBLE / n)))~ AS unit_sum, ~((list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END))) / 8.0)~ AS sign_sum FROM u"""
+)
+def unit_and_sign_vectors(spark, sf_dir):
+    rows = adapter.read(spark, sf_dir, "embeddings")
+
+    def total(v):
+        return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+
+    return rows.select("vec_id", total(tokens.l2_normalize(F.col("embedding"))).alias("unit_sum"), total(tokens.sign_quantize(F.col("embedding"))).alias("sign_sum"))
+
+
+@_query(f"WITH {CODES}, c AS (SELECT s1 AS token, count(*) AS n FROM codes GROUP BY s1) SELECT token, n, ~(n / (SELECT max(n) FROM c)::DOUBLE)~ AS share FROM c")
+def token_frequency(spark, sf_dir):
+    return tokens.token_frequency(adapter.codes(spark, sf_dir), "s1")
+
+
+@_query(f"WITH {CODES} SELECT b.token::BIGINT AS token, count(c.s1) AS n FROM (SELECT unnest(range(1024)) AS token) b LEFT JOIN codes c ON c.s1 = b.token GROUP BY b.token")
+def token_histogram(spark, sf_dir):
+    return tokens.token_histogram(adapter.codes(spark, sf_dir), "s1")
+
+
+@_query(f"WITH {CODES} SELECT 's1' AS code, count(DISTINCT s1) AS used, ~(count(DISTINCT s1) * 100.0 / 1024)~ AS used_pct FROM codes UNION ALL SELECT 's2', count(DISTINCT s2), ~(count(DISTINCT s2) * 100.0 / 1024)~ FROM codes")
+def codebook_utilisation(spark, sf_dir):
+    return tokens.utilisation(adapter.codes(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {CODES}, h AS (SELECT token, (SELECT count(*) FROM codes c WHERE c.s1 = token AND label < 5) + 1e-10 AS a, (SELECT count(*) FROM codes c WHERE c.s1 = token AND label >= 5) + 1e-10 AS b FROM (SELECT unnest(range(1024)) AS token)),
+    s AS (SELECT sum(a) AS sa, sum(b) AS sb FROM h) SELECT ~(sum(a / sa * ln((a / sa) / (b / sb))))~ AS kl FROM h, s"""
+)
+def token_drift(spark, sf_dir):
+    rows = adapter.codes(spark, sf_dir)
+    return tokens.kl_drift(tokens.token_histogram(rows.where("label < 5"), "s1"), tokens.token_histogram(rows.where("label >= 5"), "s1"))
+
+
+@_query(f"WITH {CODES} SELECT vec_id, token, ~(p)~ AS p FROM nuc")
+def nucleus_filter(spark, sf_dir):
+    return tokens.filter_logits(adapter.logits(spark, sf_dir), "vec_id", temperature=0.7, top_p=0.9).select("vec_id", "token", "p")
+
+
+@_query(f"WITH {CODES}, k AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY logit DESC) AS r FROM sm) SELECT vec_id, token, ~(p / sum(p) OVER (PARTITION BY vec_id))~ AS p FROM k WHERE r <= 5")
+def top_k_filter(spark, sf_dir):
+    return tokens.filter_logits(adapter.logits(spark, sf_dir), "vec_id", temperature=0.7, top_k=5).select("vec_id", "token", "p")
+
+
+@_query(
+    f"""WITH {CODES}, u AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) AS upto, ('0x' || substr(md5('42:' || vec_id), 1, 8))::UBIGINT / 4294967296.0 AS u FROM nuc)
+    SELECT vec_id, coalesce(min_by(token, row(-p, token)) FILTER (upto > u), max_by(token, row(-p, token))) AS token FROM u GROUP BY vec_id"""
+)
+def drawn_tokens(spark, sf_dir):
+    return tokens.draw(tokens.filter_logits(adapter.logits(spark, sf_dir), "vec_id", temperature=0.7, top_p=0.9), "vec_id")
+
+
+@_query(f"WITH {CODES} SELECT vec_id, ~(-sum(p * ln(p + 1e-8)))~ AS entropy, min_by(token, row(-logit, token)) AS best FROM sm GROUP BY vec_id")
+def entropy_and_arg_max(spark, sf_dir):
+    rows = adapter.logits(spark, sf_dir)
+    best = tokens.arg_max(rows, "vec_id").withColumnRenamed("token", "best")
+    return tokens.entropy(tokens.softmax(rows, "vec_id", temperature=0.7), "vec_id").join(best, "vec_id")
+
+
+_RECON = f"""WITH {FORECAST}, p AS (SELECT 'last' AS model, symbol AS feature, c5 AS x, pred_last AS y FROM led WHERE c5 IS NOT NULL AND pred_last IS NOT NULL
+    UNION ALL SELECT 'mean', symbol, c5, pred_mean FROM led WHERE c5 IS NOT NULL AND pred_mean IS NOT NULL
+    UNION ALL SELECT 'drift', symbol, c5, pred_drift FROM led WHERE c5 IS NOT NULL AND pred_drift IS NOT NULL)"""
+
+
+@_query(f"{_RECON} SELECT model, feature, ~(avg(abs(x - y) / greatest(abs(x), 1e-5) * 100))~ AS mape, ~(quantile_cont(abs(x - y) / greatest(abs(x), 1e-5) * 100, 0.5))~ AS mdape, ~(avg(abs(x - y)))~ AS mae FROM p GROUP BY model, feature")
+def reconstruction_errors(spark, sf_dir):
+    p = adapter.parameters(sf_dir)
+    rows = score.baselines(adapter.bars(spark, sf_dir), p["lookback"], 5).withColumn("x", F.lead("close", 5).over(clean.BY_SYMBOL))
+    long = rows.select("symbol", "x", F.expr("stack(3, 'last', pred_last, 'mean', pred_mean, 'drift', pred_drift) as (model, y)"))
+    return tokens.recon_error(long.where("x is not null and y is not null").withColumnRenamed("symbol", "feature"))
+
+
+@_query(f"WITH {FORECAST} SELECT symbol, t_date, t5_date, ~(actual_close_t)~ AS actual_close_t, ~(actual_close_t5)~ AS actual_close_t5, ~(pred_close_t5)~ AS pred_close_t5, ~(actual_return)~ AS actual_return, ~(pred_return)~ AS pred_return FROM ev")
+def evaluation_rows(spark, sf_dir):
+    return _eval(spark, sf_dir)
+
+
+_HIT = "CASE WHEN (actual_return > 0) = (pred_return > 0) THEN 1.0 ELSE 0.0 END"
+_PER_DATE = f"WITH {FORECAST}{_dates('ev', 'ev')}{RANKED}"
+
+
+@_query(
+    f"""{_PER_DATE} SELECT s.t_date, ~(avg({_HIT}) * 100)~ AS da, ~(any_value(ic.rank_ic))~ AS rank_ic, ~(avg(CASE WHEN actual_return > 0 THEN 1.0 ELSE 0.0 END) FILTER (is_long) * 100)~ AS hit_rate,
+    array_to_string(list(symbol ORDER BY pred_return DESC, symbol) FILTER (is_long), ',') AS long_symbols FROM ev_s s LEFT JOIN ic ON ic.t_date = s.t_date GROUP BY s.t_date"""
+)
+def per_date_metrics(spark, sf_dir):
+    p = adapter.parameters(sf_dir)
+    rows = quality.every_nth_date(_eval(spark, sf_dir))
+    return quality.per_date(rows, p["top_k"], p["min_symbols"]).withColumn("long_symbols", F.array_join("long_symbols", ","))
+
+
+def _both_per_date(spark, sf_dir):
+    p = adapter.parameters(sf_dir)
+    return (
+        quality.per_date(quality.every_nth_date(_eval(spark, sf_dir, m)), p["top_k"], p["min_symbols"]) for m in ("pred_drift", "pred_mean")
+    )
+
+
+_TWO = f"""{_PER_DATE}{_dates('evm', 'evm')},
+    a AS (SELECT t_date, avg({_HIT}) * 100 AS da, list(symbol) FILTER (is_long) AS l FROM ev_s GROUP BY t_date), b AS (SELECT t_date, avg({_HIT}) * 100 AS da, list(symbol) FILTER (is_long) AS l FROM evm_s GROUP BY t_date)"""
+
+
+@_query(f"{_TWO} SELECT count(*) AS n, ~(avg(b.da - a.da))~ AS mean_diff, ~(avg(b.da - a.da) / (stddev_samp(b.da - a.da) / sqrt(count(*))))~ AS t FROM a JOIN b USING (t_date)")
+def paired_t_test(spark, sf_dir):
+    base, candidate = _both_per_date(spark, sf_dir)
+    return quality.paired_t(base, candidate, "da")
+
+
+@_query(f"{_TWO} SELECT ~(avg(len(list_intersect(a.l, b.l)) / len(a.l)::DOUBLE))~ AS overlap, count(*) AS dates FROM a JOIN b USING (t_date)")
+def long_list_overlap(spark, sf_dir):
+    return quality.mean_overlap(*_both_per_date(spark, sf_dir))
+
+
+@_query(
+    f"""{_TWO}, x AS (SELECT year(t_date) AS year, avg(da) AS da FROM a GROUP BY 1), y AS (SELECT year(t_date) AS year, avg(da) AS da FROM b GROUP BY 1)
+    SELECT year::INT AS year, ~(round_even(coalesce(x.da, 50.0), 1))~ AS base_da, ~(round_even(coalesce(y.da, 50.0), 1))~ AS candidate_da FROM x FULL JOIN y USING (year)"""
+)
+def yearly_comparison(spark, sf_dir):
+    return quality.compare_years(*_both_per_date(spark, sf_dir))
+
+
+@_query(f"{_PER_DATE} SELECT CASE WHEN da >= 55 THEN 'good' WHEN da >= 52 THEN 'ok' ELSE 'bad' END AS grade, count(*) AS n FROM (SELECT avg({_HIT}) * 100 AS da FROM ev_s GROUP BY t_date) GROUP BY 1")
+def daily_grades(spark, sf_dir):
+    days = quality.direction(_chosen(spark, sf_dir), "t_date")
+    return days.groupBy(quality.grade(F.col("da")).alias("grade")).agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""WITH {FORECAST}, m AS (SELECT 'drift' AS model, * FROM (SELECT symbol, t_date, actual_return, pred_return FROM ev) UNION ALL SELECT 'mean', symbol, t_date, actual_return, pred_return FROM evm)
+    SELECT model, CASE WHEN t_date < DATE '1999-01-01' THEN 'train' WHEN t_date < DATE '2000-07-01' THEN 'val' ELSE 'test' END AS split, count(*) AS n, ~(avg({_HIT}) * 100)~ AS da, ~(sum(abs(actual_return) * {_HIT}) / sum(abs(actual_return)) * 100)~ AS mw_da FROM m GROUP BY 1, 2"""
+)
+def direction_by_model(spark, sf_dir):
+    rows = None
+    for name in ("drift", "mean"):
+        part = _eval(spark, sf_dir, f"pred_{name}").withColumn("model", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    return quality.direction(rows.withColumn("split", slices.split_by_date(F.col("t_date"), TRAIN_END, VAL_END)), "model", "split")
+
+
+@_query(
+    f"""WITH {PORTFOLIO} SELECT t_date, ~(long_ret)~ AS long_ret, ~(short_ret)~ AS short_ret, ~(bench_ret)~ AS bench_ret, ~(long_mag_ret)~ AS long_mag_ret, ~(short_mag_ret)~ AS short_mag_ret,
+    ~(long_turnover)~ AS long_turnover, ~(short_turnover)~ AS short_turnover, ~(long_mag_turnover)~ AS long_mag_turnover, ~(short_mag_turnover)~ AS short_mag_turnover,
+    ~(long)~ AS long, ~(ls)~ AS ls, ~(bench)~ AS bench, ~(long_mag)~ AS long_mag, ~(ls_mag)~ AS ls_mag FROM net"""
+)
+def portfolio_returns(spark, sf_dir):
+    p = adapter.parameters(sf_dir)
+    found = portfolio.portfolio_returns(_eval(spark, sf_dir), p["top_k"], p["min_symbols"])
+    kept = [f"{n}_ret" for n in ("long", "short", "bench", "long_mag", "short_mag")] + [f"{n}_turnover" for n in ("long", "short", "long_mag", "short_mag")]
+    return found.select("t_date", *kept, *portfolio.CURVES)
+
+
+def _curves(spark, sf_dir):
+    p = adapter.parameters(sf_dir)
+    return portfolio.curves(portfolio.portfolio_returns(_eval(spark, sf_dir), p["top_k"], p["min_symbols"]))
+
+
+@_query(f"WITH {PORTFOLIO} SELECT curve, t_date, ~(net)~ AS net, ~(cum)~ AS cum, ~(exp(cum))~ AS equity, ~(drawdown)~ AS drawdown FROM crv")
+def portfolio_curves(spark, sf_dir):
+    return _curves(spark, sf_dir)
+
+
+@_query(f"WITH {PORTFOLIO} SELECT curve, periods, ~(ann_return)~ AS ann_return, ~(sharpe)~ AS sharpe, ~(mdd)~ AS mdd, ~(calmar)~ AS calmar, ~(win_rate)~ AS win_rate FROM st")
+def portfolio_statistics(spark, sf_dir):
+    return portfolio.portfolio_stats(_curves(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {PORTFOLIO}, k AS (UNPIVOT st ON ann_return, sharpe, mdd, calmar, win_rate INTO NAME stat VALUE value)
+    SELECT stat || '_' || curve AS metric, ~(value)~ AS value FROM k WHERE stat IN ('ann_return', 'sharpe', 'mdd') OR curve IN ('long', 'ls')
+    UNION ALL SELECT 'da', ~(avg({_HIT}) * 100)~ FROM ev UNION ALL SELECT 'mw_da', ~(sum(abs(actual_return) * {_HIT}) / sum(abs(actual_return)) * 100)~ FROM ev
+    UNION ALL SELECT 'rank_ic', ~(avg(rank_ic))~ FROM ic
+    UNION ALL SELECT 'hit_rate', ~(avg(h))~ FROM (SELECT avg(CASE WHEN actual_return > 0 THEN 1.0 ELSE 0.0 END) FILTER (is_long) * 100 AS h FROM ev_s GROUP BY t_date)"""
+)
+def backtest_summary(spark, sf_dir):
+    p = adapter.parameters(sf_dir)
+    return portfolio.summary(_eval(spark, sf_dir), p["top_k"], p["min_symbols"])
+
+
+@_query(f'WITH {PATHS} SELECT symbol, sample_id::INT AS sample_id, step::INT AS step, ~("close")~ AS "close" FROM paths')
+def resampled_paths(spark, sf_dir):
+    return _paths(spark, sf_dir).select("symbol", "sample_id", "step", "close")
+
+
+@_query(
+    f"""WITH {PATHS} SELECT symbol, sample_id::INT AS sample_id, step::INT AS step, ~("close")~ AS "close" FROM paths UNION ALL SELECT symbol, -1, step::INT, ~(avg("close"))~ FROM paths GROUP BY symbol, step
+    UNION ALL SELECT symbol, sample_id::INT, 0, ~(last_close)~ FROM paths WHERE step = 1 UNION ALL SELECT DISTINCT symbol, -1, 0, ~(last_close)~ FROM paths"""
+)
+def path_fan(spark, sf_dir):
+    return score.fan(_paths(spark, sf_dir))
+
+
+@_query(f"WITH {RISK} SELECT symbol, asof_ts, ~(last_close)~ AS last_close, ~(pred_close)~ AS pred_close, ~(volatility)~ AS volatility, ~(p5)~ AS p5, ~(p95)~ AS p95, ~(width)~ AS width, ~(expected_return)~ AS expected_return, trend FROM rsk")
+def risk_metrics(spark, sf_dir):
+    return risk.risk_metrics(_paths(spark, sf_dir))
+
+
+@_query(f"WITH {RISK} SELECT symbol, name, sector, exchange, trend, risk_score, confidence, place::INT AS place, ~(volatility_pct)~ AS volatility_pct, ~(change_pct)~ AS change_pct, ~(expected_return)~ AS expected_return FROM rkg")
+def rankings(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("symbol", "name", "sector", "exchange", "trend", "risk_score", "confidence", "place", "volatility_pct", "change_pct", "expected_return")
+
+
+@_query(f"WITH {RISK} SELECT symbol, place::INT AS place FROM rkg WHERE sector <> 'sector 0' AND confidence >= 1 AND risk_score <= 100 AND trend = 'UP'")
+def screened(spark, sf_dir):
+    found = risk.screen(_ranked(spark, sf_dir), trend="UP", min_confidence=1, max_risk=100)
+    return found.where("sector <> 'sector 0'").select("symbol", "place")
+
+
+@_query(f"WITH {RISK} SELECT symbol, risk_score FROM rkg WHERE risk_score >= 70 AND symbol IN (SELECT symbol FROM dim WHERE exchange = 'HOSE')")
+def watchlist_alerts(spark, sf_dir):
+    watch = adapter.dimension(spark, sf_dir).where("exchange = 'HOSE'").select("symbol")
+    return risk.risk_alerts(risk.watched(_ranked(spark, sf_dir), watch)).select("symbol", "risk_score")
+
+
+@_query(f"WITH {BARS} SELECT sector, count(*) AS n FROM dim GROUP BY ROLLUP (sector)")
+def sector_counts(spark, sf_dir):
+    return risk.sector_counts(adapter.dimension(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {RISK}, t AS (SELECT unnest(['UP', 'DOWN', 'SIDEWAY']) AS trend), c AS (SELECT trend, count(*) AS n, avg(expected_return) AS m FROM rkg GROUP BY trend)
+    SELECT trend, coalesce(n, 0) AS n, ~(coalesce(n, 0) * 100.0 / (SELECT sum(n) FROM c))~ AS share_pct, ~(coalesce(m, 0) * 100)~ AS mean_return_pct FROM t LEFT JOIN c USING (trend)"""
+)
+def trend_overview(spark, sf_dir):
+    return risk.trend_overview(_ranked(spark, sf_dir))
+
+
+@_query(f"WITH {RISK} SELECT CASE WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM rkg GROUP BY 1")
+def risk_bands(spark, sf_dir):
+    return risk.risk_bands(_ranked(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {RISK}, s AS (SELECT *, least(100, greatest(0, round(width / pred_close * 100 * 4 + abs(expected_return) * 100 * 4)))::INT AS score, greatest(least(0.33 + 2.5 * expected_return, 0.85), 0.05) AS up, greatest(least(0.33 - 2 * expected_return, 0.85), 0.05) AS down FROM rsk)
+    SELECT symbol, score, CASE WHEN score < 20 THEN 'very low' WHEN score < 40 THEN 'low' WHEN score < 60 THEN 'medium' WHEN score < 80 THEN 'high' ELSE 'very high' END AS label, ~(up)~ AS up, ~(down)~ AS down, ~(1 - up - down)~ AS side, ~(2 * pred_close - p5)~ AS display_upper FROM s"""
+)
+def detail_view(spark, sf_dir):
+    rows = risk.risk_metrics(_paths(spark, sf_dir))
+    points = risk.detail_score(F.col("width") / F.col("pred_close") * 100, F.col("expected_return") * 100)
+    up, down, side = risk.direction_odds(F.col("expected_return"))
+    upper = risk.display_upper(F.col("pred_close"), F.col("p5"))
+    return rows.select("symbol", points.alias("score"), risk.detail_label(points).alias("label"), up.alias("up"), down.alias("down"), side.alias("side"), upper.alias("display_upper"))
+
+
+@_query(
+    f"""WITH {BARS}, p AS (SELECT *, coalesce(lag("close") OVER w, "close") AS prev, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+    SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, ~(arg_max("close", ts))~ AS last_close, ~(arg_max(prev, ts))~ AS prev_close, ~(sum("close") FILTER (k <= 8))~ AS tail_sum FROM p GROUP BY symbol"""
+)
+def history_cards(spark, sf_dir):
+    cards = risk.history_card(adapter.bars(spark, sf_dir))
+    total = F.aggregate("closes", F.lit(0.0), lambda a, x: a + x)
+    return cards.select("symbol", "first_ts", "last_ts", "n_rows", "last_close", "prev_close", total.alias("tail_sum"))
+
+
+def _runs(spark, sf_dir):
+    """A run for each quarter: the mean absolute return as its loss, for each exchange as a model."""
+    rows = profile.log_returns(adapter.bars(spark, sf_dir)).join(adapter.dimension(spark, sf_dir).select("symbol", "exchange"), "symbol")
+    run = F.year("ts") * 4 + F.quarter("ts")
+    return rows.groupBy(F.col("exchange").alias("model"), run.alias("run")).agg(
+        F.round(F.avg(F.abs("r")), 9).alias("loss"), (F.countDistinct("symbol") * 2.0).alias("s2_util"), F.round(F.stddev_pop("r"), 9).alias("kl")
+    )
+
+
+_RUNS = f"""WITH {BARS}, runs AS (SELECT exchange AS model, (year(ts) * 4 + quarter(ts))::INT AS run, round(avg(abs(r)), 9) AS loss, count(DISTINCT symbol) * 2.0 AS s2_util, round(stddev_pop(r), 9) AS kl FROM ret JOIN dim USING (symbol) GROUP BY 1, 2),
+    p AS (SELECT *, min(loss) OVER (w ROWS UNBOUNDED PRECEDING) AS best, min(loss) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM runs WINDOW w AS (PARTITION BY model ORDER BY run)),
+    i AS (SELECT *, prior IS NULL OR loss < prior AS improved, sum((prior IS NULL OR loss < prior)::INT) OVER (PARTITION BY model ORDER BY run ROWS UNBOUNDED PRECEDING) AS island FROM p),
+    h AS (SELECT *, row_number() OVER (PARTITION BY model, island ORDER BY run) - 1 AS stale FROM i)"""
+
+
+@_query(
+    f"""{_RUNS} SELECT model, run, ~(loss)~ AS loss, ~(best)~ AS best, stale::INT AS stale,
+    concat_ws(', ', CASE WHEN loss > best * 1.05 THEN 'loss above best' END, CASE WHEN s2_util < 25 THEN 'low utilisation' END, CASE WHEN kl > 0.5 THEN 'drift' END, CASE WHEN stale >= 3 THEN 'no improvement' END) AS reasons FROM h"""
+)
+def run_health(spark, sf_dir):
+    return monitor.health(_runs(spark, sf_dir)).select("model", "run", "loss", "best", "stale", F.array_join("reasons", ", ").alias("reasons"))
+
+
+@_query(f"{_RUNS}, s AS (SELECT *, min(run) FILTER (stale >= 3) OVER (PARTITION BY model) AS stop FROM h) SELECT model, arg_min(run, row(loss, run)) AS run, ~(min(loss))~ AS value FROM s WHERE stop IS NULL OR run <= stop GROUP BY model")
+def best_runs(spark, sf_dir):
+    return monitor.best_run(_runs(spark, sf_dir), patience=3)
+
+
+@_query(f"{_RUNS} SELECT model, ~(sum(loss * s2_util) / sum(s2_util))~ AS loss FROM runs GROUP BY model")
+def weighted_losses(spark, sf_dir):
+    return quality.weighted_loss(_runs(spark, sf_dir).withColumnRenamed("s2_util", "n"), "model")
+
+
+@_query(
+    f"""WITH {PATHS}, a AS (SELECT symbol, asof_ts, sign(avg("close") - last_close) AS m, sum(CASE WHEN "close" > last_close THEN 1 ELSE -1 END) AS v, avg(CASE WHEN "close" > last_close THEN 1.0 ELSE 0.0 END) AS up, any_value(last_close) AS last_close FROM paths WHERE step = 5 GROUP BY symbol, asof_ts, last_close),
+    t AS (SELECT a.*, CASE WHEN b."close" > a.last_close THEN 1 ELSE -1 END AS true FROM a JOIN (SELECT symbol, first("close" ORDER BY ts) AS "close" FROM bars GROUP BY symbol) b USING (symbol))
+    SELECT count(*) AS n, ~(avg(CASE WHEN (m > 0) = (true > 0) THEN 1.0 ELSE 0.0 END) * 100)~ AS mean_path, ~(avg(CASE WHEN (v > 0) = (true > 0) THEN 1.0 ELSE 0.0 END) * 100)~ AS majority,
+           ~(avg(CASE WHEN true > 0 THEN up ELSE 1 - up END) * 100)~ AS single_path FROM t"""
+)
+def vote_accuracy(spark, sf_dir):
+    """Held against each symbol's first close, as an outcome that is there."""
+    paths = _paths(spark, sf_dir)
+    first = adapter.bars(spark, sf_dir).groupBy("symbol").agg(F.min_by("close", "ts").alias("actual_close"))
+    actual = paths.select("symbol", "asof_ts").distinct().join(first, "symbol")
+    return quality.vote_accuracy(paths, actual)
+
+
+@_query()
+def scored_last_values(spark, sf_dir):
+    """The pluggable forecaster over all symbols; tested in Python."""
+    rows = slices.last_bars(adapter.bars(spark, sf_dir), adapter.parameters(sf_dir)["lookback"])
+    asof = rows.groupBy("symbol").agg(F.max("ts").alias("asof_ts"))
+    found = score.score(rows.join(asof, "symbol"), score.last_value, 5, 2, least=20)
+    return found.select("symbol", "sample_id", "step", "close", "status")
+
+
+@_query()
+def source_hashes(spark, sf_dir):
+    """Files are not tables, so there is no SQL; tested against hashlib."""
+    return sources.hash_artifacts(spark, sf_dir)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
