@@ -9,7 +9,9 @@ sequences of a batch hold exactly its tokens: as many full ones as fit, and powe
 from __future__ import annotations
 
 import bisect
+from array import array
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +29,75 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_characters() -> str:
+    """The character that byte-level vocabularies write for each byte: itself if it prints, else one from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in printed else next(others)) for b in range(256))
+
+
 class WordTokenizer:
-    """Token ids of texts from a tokenizers file whose tokens never span ASCII white space: words are encoded once and kept."""
+    """Token ids of texts from a tokenizers file whose tokens never span ASCII white space: words are encoded once and kept.
 
-    KEPT = 400_000
+    Most words are letters and then marks. Where the file splits between the two and lower-cases, which is tried on a few
+    words first, the letters go straight to its model, and each part is kept as well; other words take the whole way.
+    """
+
+    KEPT = 300_000
+    MARKS = ".,!?;:|*&%$#()-\""
+    PROBES = ("Bonjour,", "straße.", "Éte!!", "niño;", "the", "tionally###")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [text.split() for text in texts]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > self.KEPT:
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.model.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.letters = byte_characters()
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.direct = all(self._split(w) == self._whole(w) for w in self.PROBES)
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _split(self, word: str) -> bytes | None:
+        letters = word.rstrip(self.MARKS)
+        if not letters.isalpha() or max(letters) >= "\u0250":  # of the letters below, lower case and NFC are plain
+            return None
+        found = []
+        for part, core in ((letters.lower(), True), (word[len(letters) :], False)):
+            if part and part not in self.parts:
+                if core:
+                    shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                    ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+                else:
+                    ids = self._whole(part)
+                if len(self.parts) >= self.KEPT:
+                    self.parts.clear()
+                self.parts[part] = ids
+            found.append(self.parts[part] if part else b"")
+        return b"".join(found)
+
+    def _learn(self, word: bytes) -> bytes:
+        text = word.decode()
+        ids = self._split(text) if self.direct else None
+        if ids is None:
+            ids = self._whole(text)
+        if len(self.words) >= self.KEPT:
+            self.words.clear()
+        self.words[word] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
+        known, learn = self.words.get, self._learn
+        return b"".join([known(w) or learn(w) for w in text.split()])
+
+
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, which keeps its words over tasks."""
+    return WordTokenizer(path)
 
 
 def cost(length: int) -> float:
@@ -104,7 +151,7 @@ def pack_documents(
     """
 
     def run(batches: Iterable[pa.RecordBatch]):
-        tokenizer, serial = WordTokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
+        tokenizer, serial = word_tokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
         kinds = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in (f.split()[0] for f in SCHEMA.split(", "))])
         ids, tokens = [], []
 
@@ -124,16 +171,12 @@ def pack_documents(
             ids.clear()
             tokens.clear()
 
-        held = 0
+        held, end = 0, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, found in zip(
-                    part.column(0).to_pylist(), tokenizer.encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
-                ):
-                    ids.append(doc_id)
-                    tokens.append(np.append(found, np.uint32(end_id)).astype("<u4"))
-                    held += len(tokens[-1])
+            for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                ids.append(doc_id.as_py())
+                tokens.append(np.frombuffer(tokenizer.encode(text.as_py() or b"") + end, dtype="<u4"))
+                held += len(tokens[-1])
                 if len(ids) >= BATCH_DOCS or held >= BATCH_TOKENS:
                     yield from flush()
                     held = 0
