@@ -77,7 +77,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     bundle = F.pmod(F.xxhash64("text_key"), F.lit(BUNDLES))
     groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"))
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    large = checkpoint(groups.where(F.col("bytes") > total / BUNDLES))  # fewer than BUNDLES groups are above the mean
+    large = groups.where(F.col("bytes") > total / BUNDLES)  # fewer than BUNDLES groups are so large
     items = (
         rows.join(F.broadcast(large.select("text_key")), "text_key", "left_anti")
         .groupBy(bundle.alias("bundle"))
@@ -93,7 +93,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         put = differencing([-size for size, _ in found], shards)
         yield pa.RecordBatch.from_arrays([pa.array([x for _, x in found], pa.string()), pa.array(put, pa.int32())], ["item", "shard"])
 
-    placed = checkpoint(items.repartition(1).mapInArrow(assign, "item string, shard int"))  # at most 2 * BUNDLES rows
+    placed = items.repartition(1).mapInArrow(assign, "item string, shard int")  # at most 2 * BUNDLES rows
     in_large = large.select("text_key", F.col("text_key").alias("large"))
     rows = (
         rows.join(F.broadcast(in_large), "text_key", "left")
