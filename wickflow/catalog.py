@@ -23,15 +23,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None, digits: int = 6):
-    """Registers a query by its name, with SQL for the same rows."""
+def _query(sql: str | None = None, digits: int | None = 6):
+    """Registers a query by its name, with SQL for the same rows. Without digits, doubles are exact on both sides."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             found = f(spark, sf_dir)
             return found.select(
                 *((F.round(F.col(c), digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes)
-            )
+            ) if digits is not None else found
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         _QUERIES[f.__name__] = run
@@ -42,11 +42,14 @@ def _query(sql: str | None = None, digits: int = 6):
     return register
 
 
-def _rounded(sql: str, digits: int) -> str:
+def _rounded(sql: str, digits: int | None) -> str:
     """Columns marked ~name in the last SELECT are doubles to round."""
     import re
 
-    return re.sub(r"~\((.*?)\)~", lambda m: f"round(({m[1]})::DOUBLE, {digits}) + 0.0", sql, flags=re.S)
+    def one(m):
+        return f"({m[1]})::DOUBLE" if digits is None else f"round(({m[1]})::DOUBLE, {digits}) + 0.0"
+
+    return re.sub(r"~\((.*?)\)~", one, sql, flags=re.S)
 
 
 def _eval(spark, sf_dir, pred="pred_drift"):
@@ -79,7 +82,7 @@ def drift_accuracy_by_symbol(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-@_query(f'WITH {BARS} SELECT symbol, ts, ~(open)~ AS open, ~(high)~ AS high, ~(low)~ AS low, ~("close")~ AS "close", ~(volume)~ AS volume, ~(amount)~ AS amount FROM bars')
+@_query(f'WITH {BARS} SELECT symbol, ts, ~(open)~ AS open, ~(high)~ AS high, ~(low)~ AS low, ~("close")~ AS "close", ~(volume)~ AS volume, ~(amount)~ AS amount FROM bars', None)
 def bars(spark, sf_dir):
     return adapter.bars(spark, sf_dir)
 
@@ -117,13 +120,14 @@ def calendar_report(spark, sf_dir):
 @_query(
     f"""WITH {BARS}, m AS (SELECT symbol, ts, lag("close") OVER (PARTITION BY symbol ORDER BY ts) AS prev_close, "close" FROM bars)
     SELECT symbol, ts, ~(prev_close)~ AS prev_close, ~("close")~ AS "close", ~(("close" - prev_close) / prev_close)~ AS ret FROM m
-    WHERE abs(("close" - prev_close) / prev_close) > 0.15"""
+    WHERE abs(("close" - prev_close) / prev_close) > 0.15""",
+    None,
 )
 def anomalies(spark, sf_dir):
     return clean.anomalies(adapter.bars(spark, sf_dir), 0.15)
 
 
-@_query(f'WITH {BARS} SELECT symbol, ts::TIMESTAMP AS ts, ~(volume * (open + high + low + "close") / 4)~ AS amount, ~(volume)~ AS volume FROM bars', 2)
+@_query(f'WITH {BARS} SELECT symbol, ts::TIMESTAMP AS ts, ~(volume * (open + high + low + "close") / 4)~ AS amount, ~(volume)~ AS volume FROM bars', None)
 def repaired_amounts(spark, sf_dir):
     """Bars without the amount column, repaired."""
     return clean.normalize_schema(adapter.bars(spark, sf_dir).drop("amount")).select("symbol", "ts", "amount", "volume")
@@ -147,13 +151,14 @@ def coerced_text_bars(spark, sf_dir):
              first_value("close" IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS "close",
              coalesce(last_value(volume IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING),
              first_value(volume IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS volume FROM dense)
-    SELECT symbol, ts, ~("close")~ AS "close", ~(volume)~ AS volume FROM f"""
+    SELECT symbol, ts, ~("close")~ AS "close", ~(volume)~ AS volume FROM f""",
+    None,
 )
 def filled_series(spark, sf_dir):
     return clean.fill(_dense(spark, sf_dir), "series").select("symbol", "ts", "close", "volume")
 
 
-@_query(f'WITH {BARS} SELECT symbol, ts, ~("close")~ AS "close" FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) WHERE k <= 8')
+@_query(f'WITH {BARS} SELECT symbol, ts, ~("close")~ AS "close" FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) WHERE k <= 8', None)
 def last_bars(spark, sf_dir):
     return slices.last_bars(adapter.bars(spark, sf_dir), 8).select("symbol", "ts", "close")
 
@@ -276,7 +281,8 @@ def return_correlations(spark, sf_dir):
 @_query(
     f"""WITH {BARS}, c AS (SELECT symbol, ts, "close" / first("close") OVER w AS rebased, "close" - coalesce(lag("close") OVER w, "close") AS change,
       ("close" - coalesce(lag("close") OVER w, "close")) / coalesce(lag("close") OVER w, "close") * 100 AS change_pct FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
-    SELECT symbol, ts, ~(rebased)~ AS rebased, ~(change)~ AS change, ~(change_pct)~ AS change_pct FROM c"""
+    SELECT symbol, ts, ~(rebased)~ AS rebased, ~(change)~ AS change, ~(change_pct)~ AS change_pct FROM c""",
+    None,
 )
 def rebased_and_change(spark, sf_dir):
     return profile.change(profile.rebased(adapter.bars(spark, sf_dir))).select("symbol", "ts", "rebased", "change", "change_pct")
@@ -391,10 +397,11 @@ def hourly_candles(spark, sf_dir):
 @_query(
     f"""WITH {BARS}, l AS (SELECT symbol, ts, "close", lag("close") OVER (PARTITION BY symbol ORDER BY ts) AS ref FROM bars),
     p AS (SELECT *, round(ref * 1.07 / 100) * 100 AS ceiling, round(ref * 0.93 / 100) * 100 AS floor FROM l WHERE ref IS NOT NULL)
-    SELECT symbol, ts, ~(ceiling)~ AS ceiling, ~(floor)~ AS floor, CASE WHEN "close" >= ceiling - 50 THEN 'ceiling' WHEN "close" <= floor + 50 THEN 'floor' ELSE 'between' END AS side FROM p"""
+    SELECT symbol, ts, ~(ceiling)~ AS ceiling, ~(floor)~ AS floor, CASE WHEN "close" >= ceiling - 50 THEN 'ceiling' WHEN "close" <= floor + 50 THEN 'floor' ELSE 'between' END AS side FROM p""",
+    None,
 )
 def price_limits(spark, sf_dir):
-    rows = adapter.bars(spark, sf_dir).withColumn("ref", F.lag("close").over(clean.BY_SYMBOL)).where("ref is not null")
+    rows = adapter.bars(spark, sf_dir).withColumn("ref", F.lag("close").over(clean.by_symbol())).where("ref is not null")
     top, bottom, side = scalars.price_limits(F.col("ref"), F.col("close"))
     return rows.select("symbol", "ts", top.alias("ceiling"), bottom.alias("floor"), side.alias("side"))
 
@@ -482,12 +489,12 @@ _RECON = f"""WITH {FORECAST}, p AS (SELECT 'last' AS model, symbol AS feature, c
 @_query(f"{_RECON} SELECT model, feature, ~(avg(abs(x - y) / greatest(abs(x), 1e-5) * 100))~ AS mape, ~(quantile_cont(abs(x - y) / greatest(abs(x), 1e-5) * 100, 0.5))~ AS mdape, ~(avg(abs(x - y)))~ AS mae FROM p GROUP BY model, feature")
 def reconstruction_errors(spark, sf_dir):
     p = adapter.parameters(sf_dir)
-    rows = score.baselines(adapter.bars(spark, sf_dir), p["lookback"], 5).withColumn("x", F.lead("close", 5).over(clean.BY_SYMBOL))
+    rows = score.baselines(adapter.bars(spark, sf_dir), p["lookback"], 5).withColumn("x", F.lead("close", 5).over(clean.by_symbol()))
     long = rows.select("symbol", "x", F.expr("stack(3, 'last', pred_last, 'mean', pred_mean, 'drift', pred_drift) as (model, y)"))
     return tokens.recon_error(long.where("x is not null and y is not null").withColumnRenamed("symbol", "feature"))
 
 
-@_query(f"WITH {FORECAST} SELECT symbol, t_date, t5_date, ~(actual_close_t)~ AS actual_close_t, ~(actual_close_t5)~ AS actual_close_t5, ~(pred_close_t5)~ AS pred_close_t5, ~(actual_return)~ AS actual_return, ~(pred_return)~ AS pred_return FROM ev")
+@_query(f"WITH {FORECAST} SELECT symbol, t_date, t5_date, ~(actual_close_t)~ AS actual_close_t, ~(actual_close_t5)~ AS actual_close_t5, ~(pred_close_t5)~ AS pred_close_t5, ~(actual_return)~ AS actual_return, ~(pred_return)~ AS pred_return FROM ev", None)
 def evaluation_rows(spark, sf_dir):
     return _eval(spark, sf_dir)
 
@@ -571,9 +578,9 @@ def _curves(spark, sf_dir):
     return portfolio.curves(portfolio.portfolio_returns(_eval(spark, sf_dir), p["top_k"], p["min_symbols"]))
 
 
-@_query(f"WITH {PORTFOLIO} SELECT curve, t_date, ~(net)~ AS net, ~(cum)~ AS cum, ~(exp(cum))~ AS equity, ~(drawdown)~ AS drawdown FROM crv")
+@_query(f"WITH {PORTFOLIO} SELECT curve, t_date, ~(net)~ AS net, ~(cum)~ AS cum, ~(drawdown)~ AS drawdown FROM crv")
 def portfolio_curves(spark, sf_dir):
-    return _curves(spark, sf_dir)
+    return _curves(spark, sf_dir).drop("equity")  # exp(cum), whose digits grow with its size
 
 
 @_query(f"WITH {PORTFOLIO} SELECT curve, periods, ~(ann_return)~ AS ann_return, ~(sharpe)~ AS sharpe, ~(mdd)~ AS mdd, ~(calmar)~ AS calmar, ~(win_rate)~ AS win_rate FROM st")
@@ -703,9 +710,9 @@ def weighted_losses(spark, sf_dir):
 
 @_query(
     f"""WITH {PATHS}, a AS (SELECT symbol, asof_ts, sign(avg("close") - last_close) AS m, sum(CASE WHEN "close" > last_close THEN 1 ELSE -1 END) AS v, avg(CASE WHEN "close" > last_close THEN 1.0 ELSE 0.0 END) AS up, any_value(last_close) AS last_close FROM paths WHERE step = 5 GROUP BY symbol, asof_ts, last_close),
-    t AS (SELECT a.*, CASE WHEN b."close" > a.last_close THEN 1 ELSE -1 END AS true FROM a JOIN (SELECT symbol, first("close" ORDER BY ts) AS "close" FROM bars GROUP BY symbol) b USING (symbol))
-    SELECT count(*) AS n, ~(avg(CASE WHEN (m > 0) = (true > 0) THEN 1.0 ELSE 0.0 END) * 100)~ AS mean_path, ~(avg(CASE WHEN (v > 0) = (true > 0) THEN 1.0 ELSE 0.0 END) * 100)~ AS majority,
-           ~(avg(CASE WHEN true > 0 THEN up ELSE 1 - up END) * 100)~ AS single_path FROM t"""
+    t AS (SELECT a.*, CASE WHEN b."close" > a.last_close THEN 1 ELSE -1 END AS truth FROM a JOIN (SELECT symbol, first("close" ORDER BY ts) AS "close" FROM bars GROUP BY symbol) b USING (symbol))
+    SELECT count(*) AS n, ~(avg(CASE WHEN (m > 0) = (truth > 0) THEN 1.0 ELSE 0.0 END) * 100)~ AS mean_path, ~(avg(CASE WHEN (v > 0) = (truth > 0) THEN 1.0 ELSE 0.0 END) * 100)~ AS majority,
+           ~(avg(CASE WHEN truth > 0 THEN up ELSE 1 - up END) * 100)~ AS single_path FROM t"""
 )
 def vote_accuracy(spark, sf_dir):
     """Held against each symbol's first close, as an outcome that is there."""

@@ -61,7 +61,12 @@ def date_tag(day: Column) -> Column:
     return F.date_format(day, "yyyyMMdd")
 
 
-@F.pandas_udf("double")
-def normal_quantile(p: pd.Series) -> pd.Series:
-    normal = NormalDist()
-    return p.map(lambda x: normal.inv_cdf(x) if 0 < x < 1 else float("nan"))
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution; NaN outside (0, 1)."""
+
+    @F.pandas_udf("double")
+    def quantile(p: pd.Series) -> pd.Series:
+        normal = NormalDist()
+        return p.map(lambda x: normal.inv_cdf(x) if 0 < x < 1 else float("nan"))
+
+    return quantile(p)

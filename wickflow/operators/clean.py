@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from wickflow.schema import BAR_COLUMNS, FEATURES, PRICES
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("ts")
 TIME_NAMES = ("ts", "timestamps", "timestamp", "date")
 
 
+def by_symbol():
+    """The window of all running figures: a symbol's bars in time order."""
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
 def require_prices(df: DataFrame) -> DataFrame:
     missing = [c for c in PRICES if c not in df.columns]
     if missing:
@@ -69,7 +73,7 @@ def column_order(headers: DataFrame) -> DataFrame:
 
 def number_rows(bars: DataFrame) -> DataFrame:
     """rn: the row of a symbol in time order from 0."""
-    return bars.withColumn("rn", F.row_number().over(BY_SYMBOL) - 1)
+    return bars.withColumn("rn", F.row_number().over(by_symbol()) - 1)
 
 
 def fill(df: DataFrame, how: str = "series", keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
@@ -114,7 +118,7 @@ def calendar_report(bars: DataFrame) -> DataFrame:
 
 def anomalies(bars: DataFrame, limit: float = 0.15) -> DataFrame:
     """Bars whose close moved by more than the limit against the one before."""
-    prev = F.lag("close").over(BY_SYMBOL)
+    prev = F.lag("close").over(by_symbol())
     moved = bars.select("symbol", "ts", prev.alias("prev_close"), "close").withColumn(
         "ret", F.try_divide(F.col("close") - F.col("prev_close"), F.col("prev_close"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.scalars import pearson
-from wickflow.operators.clean import BY_SYMBOL
+from wickflow.operators.clean import by_symbol
 
 
 def profile(bars: DataFrame, year: int = 250) -> DataFrame:
@@ -35,14 +35,14 @@ def densify(bars: DataFrame) -> DataFrame:
 
 def log_returns(bars: DataFrame) -> DataFrame:
     """r = ln(close / previous close); the first bar of a symbol has none."""
-    prev = F.lag("close").over(BY_SYMBOL)
+    prev = F.lag("close").over(by_symbol())
     return bars.withColumn("r", F.when((prev > 0) & (F.col("close") > 0), F.log(F.col("close") / prev)))
 
 
 def rolling_volatility(returns: DataFrame, spans: tuple[int, ...] = (20, 50), year: int = 250) -> DataFrame:
     """Sample deviation of the last n returns over a year, NULL until there are n."""
     for n in spans:
-        w = BY_SYMBOL.rowsBetween(-(n - 1), 0)
+        w = by_symbol().rowsBetween(-(n - 1), 0)
         value = F.when(F.count("r").over(w) == n, F.stddev_samp("r").over(w) * F.sqrt(F.lit(float(year))))
         returns = returns.withColumn(f"vol_{n}", value)
     return returns
@@ -50,9 +50,9 @@ def rolling_volatility(returns: DataFrame, spans: tuple[int, ...] = (20, 50), ye
 
 def flat_runs(bars: DataFrame, min_run: int = 5) -> DataFrame:
     """Longest run of unchanged closes of each symbol, and whether it is longer than min_run."""
-    flat = F.col("close").eqNullSafe(F.lag("close").over(BY_SYMBOL))
+    flat = F.col("close").eqNullSafe(F.lag("close").over(by_symbol()))
     rows = bars.select("symbol", "ts", flat.alias("flat"))
-    rows = rows.withColumn("island", F.sum(F.when(F.col("flat"), 0).otherwise(1)).over(BY_SYMBOL))
+    rows = rows.withColumn("island", F.sum(F.when(F.col("flat"), 0).otherwise(1)).over(by_symbol()))
     runs = rows.groupBy("symbol", "island").agg(F.sum(F.col("flat").cast("int")).alias("run"))
     return runs.groupBy("symbol").agg(F.max("run").cast("long").alias("longest")).withColumn("flagged", F.col("longest") > min_run)
 
@@ -122,12 +122,12 @@ def correlation_pairs(returns: DataFrame) -> DataFrame:
 
 def rebased(bars: DataFrame) -> DataFrame:
     """Closes as multiples of the first in the table."""
-    return bars.withColumn("rebased", F.try_divide(F.col("close"), F.first("close").over(BY_SYMBOL)))
+    return bars.withColumn("rebased", F.try_divide(F.col("close"), F.first("close").over(by_symbol())))
 
 
 def change(bars: DataFrame) -> DataFrame:
     """Change against the previous close and in %; a first bar counts itself as previous."""
-    prev = F.coalesce(F.lag("close").over(BY_SYMBOL), F.col("close"))
+    prev = F.coalesce(F.lag("close").over(by_symbol()), F.col("close"))
     return bars.withColumn("change", F.col("close") - prev).withColumn("change_pct", F.try_divide(F.col("close") - prev, prev) * 100)
 
 

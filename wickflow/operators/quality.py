@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.scalars import clip, pearson
-from wickflow.operators.clean import BY_SYMBOL
+from wickflow.operators.clean import by_symbol
 from wickflow.schema import HORIZON, RETURN_BOUND
 
 
@@ -17,9 +17,9 @@ def eval_rows(forecasts: DataFrame, horizon: int = HORIZON, pred: str = "pred_dr
     rows = forecasts.select(
         "symbol",
         F.col("ts").alias("t_date"),
-        F.lead("ts", horizon).over(BY_SYMBOL).alias("t5_date"),
+        F.lead("ts", horizon).over(by_symbol()).alias("t5_date"),
         F.col("close").alias("actual_close_t"),
-        F.lead("close", horizon).over(BY_SYMBOL).alias("actual_close_t5"),
+        F.lead("close", horizon).over(by_symbol()).alias("actual_close_t5"),
         F.col(pred).alias("pred_close_t5"),
     ).where("pred_close_t5 is not null and actual_close_t5 is not null")
     now = F.col("actual_close_t")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.scalars import clip
-from wickflow.operators.clean import BY_SYMBOL
-from wickflow.operators.slices import LATEST, last_bars
+from wickflow.operators.clean import by_symbol
+from wickflow.operators.slices import last_bars, latest_first
 
 
 def trend(ret: Column) -> Column:
@@ -81,7 +81,7 @@ def dimension(rows: DataFrame, dim: DataFrame, sector: str = "Other", exchange:
 
 def sparkline(bars: DataFrame, forecast: DataFrame, n: int = 3) -> DataFrame:
     """(symbol, candles): the last n bars and then the forecast steps, each with a flag and its close scaled to 0..1."""
-    past = bars.withColumn("k", F.row_number().over(LATEST)).where(F.col("k") <= n)
+    past = bars.withColumn("k", F.row_number().over(latest_first())).where(F.col("k") <= n)
     past = past.select("symbol", (-F.col("k")).alias("at"), "close", F.lit(False).alias("fcst"))
     both = past.unionByName(forecast.select("symbol", F.col("step").alias("at"), "close", F.lit(True).alias("fcst")))
     w = Window.partitionBy("symbol")
@@ -154,7 +154,7 @@ def risk_bands(ranked: DataFrame) -> DataFrame:
 def history_card(bars: DataFrame, n: int = 8) -> DataFrame:
     """By symbol: last and previous close, the range of dates and rows, and the last n closes in order."""
     whole = bars.groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_rows"))
-    prev = F.coalesce(F.lag("close").over(BY_SYMBOL), F.col("close"))
+    prev = F.coalesce(F.lag("close").over(by_symbol()), F.col("close"))
     tail = last_bars(bars.withColumn("prev", prev), n)
     cards = tail.groupBy("symbol").agg(
         F.max_by("close", "ts").alias("last_close"),

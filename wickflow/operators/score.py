@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.scalars import keyed_uniform
-from wickflow.operators.clean import BY_SYMBOL, number_rows
+from wickflow.operators.clean import by_symbol, number_rows
 from wickflow.schema import PRICES
 
 #: (context of one series, horizon, samples, seed) to rows sample_id, step, open, high, low, close.
@@ -53,7 +53,7 @@ def eligible(bars: DataFrame, asked: DataFrame, lookback: int) -> DataFrame:
 
 def baselines(bars: DataFrame, lookback: int, horizon: int) -> DataFrame:
     """Bars with three forecasts of the close `horizon` rows on: the last close, its mean over the lookback, and its drift."""
-    back = BY_SYMBOL.rowsBetween(-(lookback - 1), 0)
+    back = by_symbol().rowsBetween(-(lookback - 1), 0)
     full = F.count("close").over(back) == lookback
     drift = F.col("close") + horizon * (F.col("close") - F.first("close").over(back)) / (lookback - 1)
     return bars.withColumns(
@@ -72,13 +72,13 @@ def resampled_paths(bars: DataFrame, lookback: int, horizon: int, samples: int,
     """
     back = Window.partitionBy("symbol").orderBy(F.desc("ts"))
     rows = bars.withColumn("back", F.row_number().over(back)).where(F.col("back") <= lookback)
-    prev = F.lag("close").over(BY_SYMBOL)
+    prev = F.lag("close").over(by_symbol())
     rows = rows.withColumn("ratio", F.try_divide(F.col("close"), prev))
     last = rows.groupBy("symbol").agg(
         F.max("ts").alias("asof_ts"), F.max_by("close", "ts").alias("last_close"), F.count("ratio").alias("n")
     )
     pool = rows.where("ratio is not null").select(
-        "symbol", (F.row_number().over(BY_SYMBOL) - 1).alias("index"), "ratio"
+        "symbol", (F.row_number().over(by_symbol()) - 1).alias("index"), "ratio"
     )
     draws = last.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_id"))
     draws = draws.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickflow.operators.clean import BY_SYMBOL
+from wickflow.operators.clean import by_symbol
 
-LATEST = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+
+def latest_first():
+    return Window.partitionBy("symbol").orderBy(F.desc("ts"))
 
 
 def last_bars(bars: DataFrame, n: int) -> DataFrame:
-    return bars.withColumn("back", F.row_number().over(LATEST)).where(F.col("back") <= n).drop("back")
+    return bars.withColumn("back", F.row_number().over(latest_first())).where(F.col("back") <= n).drop("back")
 
 
 def split_by_date(ts: Column, train_end: str, val_end: str) -> Column:
@@ -28,13 +30,13 @@ def context_slice(bars: DataFrame, lookback: int, horizon: int, start: str | Non
     `holdout`, and the first of those; a symbol with fewer than lookback + holdout bars gives its last ones as context.
     """
     if start:
-        rows = bars.where(F.col("ts") >= F.lit(start).cast("timestamp")).withColumn("k", F.row_number().over(BY_SYMBOL))
+        rows = bars.where(F.col("ts") >= F.lit(start).cast("timestamp")).withColumn("k", F.row_number().over(by_symbol()))
         part = F.when(F.col("k") <= lookback, "context").when(F.col("k") <= lookback + horizon, "actual")
         rows = rows.withColumn("n", F.max("k").over(Window.partitionBy("symbol"))).where(F.col("n") >= lookback)
     else:
         if horizon > holdout:
             raise ValueError("the horizon is longer than the holdout")
-        rows = bars.withColumn("k", F.row_number().over(LATEST)).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
+        rows = bars.withColumn("k", F.row_number().over(latest_first())).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
         k = F.col("k")
         part = (
             F.when((F.col("n") < lookback + holdout) & (k <= lookback), "context")

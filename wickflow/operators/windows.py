@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.scalars import clip as clipped
-from wickflow.operators.clean import BY_SYMBOL, fill, number_rows
+from wickflow.operators.clean import by_symbol, fill, number_rows
 from wickflow.schema import CLIP, FEATURES, GAP, HORIZON, LOOKBACK, MAX_NULL, STD_EPSILON, STD_GUARD
 
 
 def _ahead(first: int, last: int):
-    return BY_SYMBOL.rowsBetween(first, last)
+    return by_symbol().rowsBetween(first, last)
 
 
 def make_windows(bars: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON, features: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -35,9 +35,9 @@ def make_windows(bars: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZ
         F.col("rn").alias("start"),
         "n",
         F.col("ts").alias("ts_first"),
-        F.lead("ts", lookback - 1).over(BY_SYMBOL).alias("asof_ts"),
-        F.lead("ts", lookback).over(BY_SYMBOL).alias("ts_target"),
-        F.lead("ts", width - 1).over(BY_SYMBOL).alias("ts_last"),
+        F.lead("ts", lookback - 1).over(by_symbol()).alias("asof_ts"),
+        F.lead("ts", lookback).over(by_symbol()).alias("ts_target"),
+        F.lead("ts", width - 1).over(by_symbol()).alias("ts_last"),
         (F.sum("cells").over(_ahead(0, width - 1)) / (width * len(features))).alias("null_share"),
         *(F.avg(c).over(_ahead(0, lookback - 1)).alias(f"{c}_mean") for c in features),
         *(F.stddev_pop(c).over(_ahead(0, lookback - 1)).alias(f"{c}_std") for c in features),
@@ -81,7 +81,7 @@ def window_counts(bars: DataFrame, lookback: int = LOOKBACK, horizon: int = HORI
 
 def min_window_std(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """(symbol, feature, min_std): the smallest deviation of any full window without NULL."""
-    w = BY_SYMBOL.rowsBetween(-(lookback - 1), 0)
+    w = by_symbol().rowsBetween(-(lookback - 1), 0)
     rows = bars.select("symbol", *(F.when(F.count(c).over(w) == lookback, F.stddev_pop(c).over(w)).alias(c) for c in FEATURES))
     return rows.groupBy("symbol").agg(*(F.min(c).alias(c) for c in FEATURES)).unpivot("symbol", list(FEATURES), "feature", "min_std")
 
@@ -134,7 +134,7 @@ def export_windows(normalized: DataFrame, stamps: dict[str, Column]) -> DataFram
 
 def clip_rate(bars: DataFrame, width: int = LOOKBACK, clip: float = CLIP) -> DataFrame:
     """(feature, rate): share of cells in all full windows whose z-score within the window is beyond the clip."""
-    w = BY_SYMBOL.rowsBetween(0, width - 1)
+    w = by_symbol().rowsBetween(0, width - 1)
     rows = number_rows(bars).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
     stats = rows.select(
         "symbol",

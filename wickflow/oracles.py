@@ -45,7 +45,7 @@ evm AS (
 
 def _dates(source: str, name: str) -> str:
     return f""",
-{name}_d AS (SELECT t_date FROM (SELECT t_date, row_number() OVER (ORDER BY t_date) - 1 AS at FROM (SELECT DISTINCT t_date FROM {source})) WHERE at % 5 = 0),
+{name}_d AS (SELECT t_date FROM (SELECT t_date, row_number() OVER (ORDER BY t_date) - 1 AS nth FROM (SELECT DISTINCT t_date FROM {source})) WHERE nth % 5 = 0),
 {name}_w AS (SELECT * FROM (SELECT e.*, count(*) OVER (PARTITION BY t_date) AS n FROM {source} e WHERE t_date IN (SELECT t_date FROM {name}_d)) WHERE n >= 10),
 {name}_s AS (
   SELECT *, row_number() OVER (PARTITION BY t_date ORDER BY pred_return DESC, symbol) <= 3 AS is_long,
