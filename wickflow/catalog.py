@@ -488,6 +488,10 @@ _RECON = f"""WITH {FORECAST}, p AS (SELECT 'last' AS model, symbol AS feature, c
 
 @_query(f"{_RECON} SELECT model, feature, ~(avg(abs(x - y) / greatest(abs(x), 1e-5) * 100))~ AS mape, ~(quantile_cont(abs(x - y) / greatest(abs(x), 1e-5) * 100, 0.5))~ AS mdape, ~(avg(abs(x - y)))~ AS mae FROM p GROUP BY model, feature")
 def reconstruction_errors(spark, sf_dir):
+    return _recon(spark, sf_dir)
+
+
+def _recon(spark, sf_dir):
     p = adapter.parameters(sf_dir)
     rows = score.baselines(adapter.bars(spark, sf_dir), p["lookback"], 5).withColumn("x", F.lead("close", 5).over(clean.by_symbol()))
     long = rows.select("symbol", "x", F.expr("stack(3, 'last', pred_last, 'mean', pred_mean, 'drift', pred_drift) as (model, y)"))
@@ -737,6 +741,155 @@ def source_hashes(spark, sf_dir):
     return sources.hash_artifacts(spark, sf_dir)
 
 
+@_query(f'WITH {PATHS} SELECT symbol, asof_ts, step::INT AS step, ~(avg("close"))~ AS "close" FROM paths GROUP BY symbol, asof_ts, step')
+def mean_paths(spark, sf_dir):
+    return score.mean_path(_paths(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {PATHS}, m AS (SELECT symbol, step, last_close, avg("close") AS c FROM paths GROUP BY ALL), g AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY symbol ORDER BY step), last_close) AS prev FROM m)
+    SELECT symbol, step::INT AS step, ~(c - prev)~ AS change, ~((c - prev) / prev * 100)~ AS change_pct FROM g"""
+)
+def forecast_step_changes(spark, sf_dir):
+    mean = _paths(spark, sf_dir).groupBy("symbol", "step", "last_close").agg(F.avg("close").alias("close"))
+    return score.step_changes(mean).select("symbol", "step", "change", "change_pct")
+
+
+@_query(
+    f"""WITH {PATHS}, u AS (SELECT symbol, -back AS pos, "close", false AS fcst FROM tail WHERE back <= 3 UNION ALL SELECT symbol, step, avg("close"), true FROM paths GROUP BY symbol, step),
+    s AS (SELECT *, min("close") OVER w AS lo, max("close") OVER w AS hi FROM u WINDOW w AS (PARTITION BY symbol))
+    SELECT symbol, pos::INT AS pos, ~("close")~ AS "close", ~(("close" - lo) / coalesce(nullif(hi - lo, 0), 1))~ AS scaled, fcst FROM s"""
+)
+def sparklines(spark, sf_dir):
+    mean = score.mean_path(_paths(spark, sf_dir))
+    rows = risk.sparkline(adapter.bars(spark, sf_dir), mean).select("symbol", F.explode("candles").alias("c"))
+    return rows.select("symbol", F.col("c.at").alias("pos"), F.col("c.close").alias("close"), F.col("c.scaled").alias("scaled"), F.col("c.fcst").alias("fcst"))
+
+
+@_query(f"WITH {RISK} SELECT symbol, trend, 5::BIGINT AS steps, 100::BIGINT AS points, ~(expected_return)~ AS expected_return FROM rsk")
+def prediction_records(spark, sf_dir):
+    """JSON records, read back."""
+    paths = _paths(spark, sf_dir)
+    rows = risk.prediction_records(risk.risk_metrics(paths), paths)
+    schema = "trend string, risk_metrics struct<expected_return: double>, mean_path array<struct<step: int>>, paths array<struct<step: int>>"
+    back = rows.select("symbol", F.from_json("record", schema).alias("r"))
+    return back.select(
+        "symbol", "r.trend", F.size("r.mean_path").cast("long").alias("steps"), F.size("r.paths").cast("long").alias("points"), F.col("r.risk_metrics.expected_return").alias("expected_return")
+    )
+
+
+@_query(
+    f"""WITH {BARS} SELECT symbol, count(*) FILTER (n < 133 AND k <= 126 OR n >= 133 AND k > 7 AND k <= 133)::BIGINT AS history_rows, (CASE WHEN any_value(n) < 133 THEN 0 ELSE 5 END)::BIGINT AS future_rows,
+    any_value(n) >= 133 AS fits FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM num) GROUP BY symbol"""
+)
+def batch_shapes(spark, sf_dir):
+    rows = slices.context_slice(adapter.bars(spark, sf_dir), 126, 5)
+    return slices.check_batch(rows.where("part = 'context'"), rows.where("part = 'actual'"), 126, 5).select("symbol", "history_rows", "future_rows", "fits")
+
+
+@_query(f"WITH {BARS} SELECT symbol, count(*) AS n_bars, CASE WHEN count(*) < 1500 THEN 'short' ELSE 'ok' END AS status FROM bars GROUP BY symbol")
+def eligible_symbols(spark, sf_dir):
+    return score.eligible(adapter.bars(spark, sf_dir), adapter.dimension(spark, sf_dir).select("symbol"), 1500)
+
+
+@_query(f"WITH {BARS} SELECT symbol, count(*) AS n FROM bars WHERE symbol = 'Brand#1' GROUP BY symbol")
+def symbol_lookup(spark, sf_dir):
+    rows = adapter.bars(spark, sf_dir).withColumn("symbol", F.upper("symbol"))
+    found = slices.find_symbol(rows, " brand#1 ").groupBy("symbol").agg(F.count("*").alias("n"))
+    return found.select(F.initcap("symbol").alias("symbol"), "n")
+
+
+@_query(f"WITH {RISK} SELECT symbol, place::INT AS place FROM rkg ORDER BY place LIMIT 10 OFFSET 5")
+def ranking_page(spark, sf_dir):
+    return slices.page(_ranked(spark, sf_dir).select("symbol", "place"), ["place"], 5, 10)
+
+
+@_query(
+    f"""WITH {FORECAST}, f AS (SELECT symbol, ts AS asof_ts, rn, "close" FROM num), p AS (SELECT f.symbol, f.asof_ts, k.step, f."close" FROM f, (SELECT unnest(range(1, 4)) AS step) k),
+    j AS (SELECT p.symbol, p.asof_ts, p.step, p."close", r."close" AS real_close FROM p JOIN f USING (symbol, asof_ts) JOIN num r ON r.symbol = p.symbol AND r.rn = f.rn + p.step),
+    m AS (SELECT symbol, asof_ts, avg(power("close" - real_close, 2)) AS mse FROM j GROUP BY ALL) SELECT ~(avg(mse))~ AS mse, count(*) AS series FROM m""",
+    0,
+)
+def last_value_path_error(spark, sf_dir):
+    """Mean squared error of the last close over three steps, from every bar on."""
+    rows = adapter.bars(spark, sf_dir)
+    forecast = rows.select("symbol", F.col("ts").alias("asof_ts"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("step"), "close")
+    return quality.path_mse(score.realised(forecast, rows, 3))
+
+
+@_query(
+    f"""{_RECON}, e AS (SELECT model, feature, avg(abs(x - y) / greatest(abs(x), 1e-5) * 100) AS mape FROM p GROUP BY model, feature), w AS (PIVOT e ON model IN ('drift', 'last', 'mean') USING first(mape) GROUP BY feature)
+    SELECT feature, mean < last AS beats_second, last < drift AS second_beats_first, mean < 30 AS within_limit FROM w"""
+)
+def reconstruction_criteria(spark, sf_dir):
+    return tokens.recon_criteria(_recon(spark, sf_dir), ("drift", "last", "mean"))
+
+
+@_query(
+    f"""WITH {FORECAST}, m AS (SELECT avg({_HIT}) * 100 AS da, sum(abs(actual_return) * {_HIT}) / sum(abs(actual_return)) * 100 AS mw FROM ev), n AS (SELECT avg({_HIT}) * 100 AS da, sum(abs(actual_return) * {_HIT}) / sum(abs(actual_return)) * 100 AS mw FROM evm)
+    SELECT 'da' AS metric, 'all' AS split, ~(m.da)~ AS base, ~(n.da)~ AS candidate, n.da > m.da AS better, n.da >= 52 AS passes FROM m, n UNION ALL SELECT 'mw_da', 'all', ~(m.mw)~, ~(n.mw)~, n.mw > m.mw, NULL FROM m, n"""
+)
+def frozen_metric_comparison(spark, sf_dir):
+    base, candidate = (
+        quality.direction(_eval(spark, sf_dir, m)).unpivot([], ["da", "mw_da"], "metric", "value").withColumn("split", F.lit("all")) for m in ("pred_drift", "pred_mean")
+    )
+    return quality.compare_metrics(base, candidate)
+
+
+@_query(
+    f"""WITH {BARS}, a AS (SELECT symbol, max(ts) AS stamp FROM bars WHERE ts < DATE '2001-11-01' GROUP BY symbol), b AS (SELECT symbol, max(ts) AS stamp FROM bars GROUP BY symbol)
+    SELECT symbol, CASE WHEN a.stamp IS NULL THEN 'new' WHEN b.stamp IS NULL THEN 'gone' ELSE 'changed' END AS change FROM a FULL JOIN b USING (symbol) WHERE a.stamp IS DISTINCT FROM b.stamp"""
+)
+def stale_symbols(spark, sf_dir):
+    """Symbols that have bars after a cut: their predictions have to be made again."""
+    rows = adapter.bars(spark, sf_dir)
+    seen, now = (x.groupBy("symbol").agg(F.max("ts").alias("stamp")) for x in (rows.where("ts < '2001-11-01'"), rows))
+    return monitor.stale_symbols(seen, now)
+
+
+@_query(
+    f"""WITH {BARS}, e AS (SELECT symbol, rn AS start, null_share FROM (SELECT symbol, ts, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n, sum({_NULLS}) OVER (w ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) / (16.0 * 6) AS null_share FROM dense WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE rn + 16 <= n)
+    SELECT symbol, count(*) AS n, min(start) AS first_start FROM e WHERE null_share <= 0.10 GROUP BY symbol"""
+)
+def dense_windows(spark, sf_dir):
+    rows = _dense(spark, sf_dir)
+    kept = windows.drop_sparse(windows.make_windows(rows, 10, 5))
+    return kept.groupBy("symbol").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_start"))
+
+
+@_query(
+    f"""WITH {BARS} SELECT symbol, rn AS start, 16::BIGINT AS n_rows, 6::BIGINT AS n_features, (day(ts) * 1.0)::DOUBLE AS first_day FROM num WHERE rn + 16 <= n"""
+)
+def exported_windows(spark, sf_dir):
+    """Windows as arrays, with their shapes."""
+    rows = adapter.bars(spark, sf_dir)
+    out = windows.export_windows(windows.normalize_windows(rows, windows.make_windows(rows, 10, 5), 10, 5), {"day": F.dayofmonth("ts")})
+    return out.select(
+        "symbol", F.col("start").cast("long").alias("start"), F.size("x").cast("long").alias("n_rows"), F.size(F.col("x")[0]).cast("long").alias("n_features"), F.col("stamp")[0][0].cast("double").alias("first_day")
+    )
+
+
+@_query(
+    f"""WITH {FORECAST}, d AS (SELECT t_date, row_number() OVER (ORDER BY t_date) - 1 AS nth FROM (SELECT DISTINCT t_date FROM ev)) SELECT symbol, t_date FROM ev WHERE t_date IN (SELECT t_date FROM d WHERE nth >= 3 AND (nth - 3) % 50 = 0 AND (nth - 3) / 50 < 10)"""
+)
+def sparse_evaluation_dates(spark, sf_dir):
+    return quality.every_nth_date(_eval(spark, sf_dir), 50, offset=3, most=10).select("symbol", "t_date")
+
+
+@_query("SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1")
+def daily_stamp_features(spark, sf_dir):
+    """The training variant of the time features: minute 0 and hour 9, whatever the stamp."""
+    rows = adapter.read(spark, sf_dir, "events")
+    stamps = scalars.time_features(F.col("ts"), daily=True)
+    return rows.where((stamps["minute"] == 0) & (stamps["hour"] == 9)).groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {CODES} SELECT DISTINCT s1 AS token, ~(CASE WHEN s1 & 1 = 1 THEN 1 ELSE -1 END / sqrt(10.0))~ AS first_bit, ~(CASE WHEN s1 & 512 = 512 THEN 1 ELSE -1 END / sqrt(10.0))~ AS last_bit FROM codes")
+def codes_to_bits(spark, sf_dir):
+    bits = tokens.index_to_bits(F.col("s1"), 10)
+    return adapter.codes(spark, sf_dir).select(F.col("s1").alias("token"), F.element_at(bits, 1).alias("first_bit"), F.element_at(bits, 10).alias("last_bit")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
