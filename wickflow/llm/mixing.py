@@ -112,8 +112,8 @@ def mixture(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars",
     takes = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
     pieces = found.select("row", F.explode(takes).alias("words"))
     text = F.col(f"row.`{text_col}`")
-    start = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), (F.col("words") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+"))
-    cut = F.when(F.col("words") == 0, text).otherwise(F.call_function("regexp_extract", text, start, F.lit(0)))
+    spaced = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    cut = F.when(F.col("words") == 0, text).otherwise(F.array_join(F.slice(spaced, 1, F.col("words").cast("int")), ""))
     changed = {text_col: cut} | ({count_col: F.length(cut).cast("long")} if count_col in docs.columns else {})
     return pieces.select(
         *(
