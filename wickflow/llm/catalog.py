@@ -87,8 +87,26 @@ def queries() -> dict:
     }
 
 
+#: The default template's fixed characters around a turn, and its escapes, in SQL.
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(text, '(\\|\[/?(?:INST|SYS|ROLE)\]|</?s>)', '#\1', 'g')) AS n,
+         length(regexp_replace(role, '(\\|\[/?(?:INST|SYS|ROLE)\]|</?s>)', '#\1', 'g')) AS m
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 WHEN 'system' THEN 13 ELSE 18 + m END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict:
     return {
+        "op10_chat_template": CHAT_SQL,
         "op4_license_scan": f"SELECT doc_id, license, line, round(dice, 6) AS dice FROM ({license_scan.oracle_sql()})",
         "op5_mixing": mixing.oracle_sql(),
     }
