@@ -26,9 +26,11 @@ TABLES = 2
 COVERAGE = 0.8
 CELL = 1.0
 #: Wanted rows in a bucket, and the most entries and queries (about) that one comparison takes.
-OCCUPANCY = 512
+OCCUPANCY = 1024
 CHUNK = 1024
 QUERY_BLOCK = 64
+#: Queries whose best entries a task holds before it hands them on.
+HELD_QUERIES = 50_000
 #: Rows of the sample that the expected distance is fitted on, and queries among them.
 SAMPLE, SAMPLE_QUERIES = 4096, 256
 MOST_FUNCTIONS = 24
@@ -197,25 +199,35 @@ def _blocks(rows: DataFrame, size: int, ids: str, vector: str, key: str) -> Data
 
 
 def _compare(entries: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): for each block of queries and of entries of a bucket, the k best of each query."""
+    """(query_id, vec_id, score): blocks of queries beside blocks of entries of a bucket; from each task, the k best of each query."""
 
     def rank(batches):
+        held: dict[int, dict[int, float]] = {}
+
+        def flush():
+            rows = [(q, x, score) for q, best in held.items() for x, score in best.items()]
+            held.clear()
+            for at in range(0, len(rows), 50_000):
+                columns = zip(*rows[at : at + 50_000])
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            queries, ids, scores = [], [], []
             for asked, q, groups, v in zip(*(c for c in batch.columns)):
                 asked, groups = asked.as_py(), groups.as_py()
                 near = _cosines(q.values.to_numpy().reshape(len(asked), -1), v.values.to_numpy().reshape(len(groups), -1))
                 kth = np.partition(near, -min(k + 1, len(groups)), axis=1)[:, -min(k + 1, len(groups))]
                 for i, query in enumerate(asked):
-                    best = sorted((-near[i, c], x) for c in np.flatnonzero(near[i] >= kth[i]) for x in groups[c] if x != query)
-                    for score, x in best[:k]:
-                        queries.append(query)
-                        ids.append(x)
-                        scores.append(-score)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(queries, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())],
-                ["query_id", "vec_id", "score"],
-            )
+                    best = held.setdefault(query, {})
+                    for c in np.flatnonzero(near[i] >= kth[i]):
+                        for x in groups[c]:
+                            if x != query:
+                                best[x] = max(best.get(x, -2.0), float(near[i, c]))
+                    if len(best) > k:
+                        held[query] = dict(sorted(best.items(), key=lambda b: (-b[1], b[0]))[:k])
+            if len(held) > HELD_QUERIES:
+                yield from flush()
+        yield from flush()
 
     left = _blocks(wanted, QUERY_BLOCK, "query_id", "q", "query_id")
     right = _blocks(entries, CHUNK, "ids", "v", "ids").withColumnRenamed("idss", "groups")
