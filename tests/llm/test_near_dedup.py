@@ -1,0 +1,66 @@
+"""Near-dedup against brute force, and the pipeline's stages on planted near copies."""
+
+import random
+
+from wickflow.llm import near_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+NAMES = [f"{a}{b}" for a in "river stone light under walk quick field morn answer garden".split() for b in "s ly ing er ed ness".split()]
+
+
+def shingles(text):
+    ws = (text or "").lower().split()
+    return {" ".join(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))} if ws else set()
+
+
+def brute_kept(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if (not a and not b) or (a | b and len(a & b) >= 0.8 * len(a | b) - 1e-9):
+                u, v = sorted((find(i), find(j)))
+                root[v] = u
+    return {i for i, _ in rows if find(i) == i}
+
+
+def with_words(rng, text, n):
+    ws = text.split()
+    for at in rng.sample(range(len(ws)), n):
+        ws[at] = f"new{rng.random()}"
+    return " ".join(ws)
+
+
+def test_near_dedup_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SAMPLED", 70)  # every second text
+    rng = random.Random(3)
+    phrase = " ".join(rng.choice(NAMES) for _ in range(12))
+    rows = [(i, phrase + " " + " ".join(rng.choice(NAMES) for _ in range(rng.randint(3, 90)))) for i in range(60)]
+    for i in range(60, 150):
+        rows.append((i, with_words(rng, rows[rng.randrange(i)][1], rng.choice([0, 1, 1, 2, 3]))))
+    rows += [(150, ""), (151, None), (152, "one two"), (153, "One  two"), (154, "one two three")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], SCHEMA)
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = brute_kept(rows)
+    assert {r["doc_id"] for r in kept.collect()} == want
+    assert 60 < len(want) < 140
+
+
+def test_pipeline_stage_finds_near_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(NAMES) for _ in range(80)) for _ in range(40)]
+    rows = [(i, t, "en", "src0", 0) for i, t in enumerate(texts)]
+    rows += [(100 + i, with_words(rng, t, 1), "en", "src1", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert lines.count() == 80  # their only line differs by more than one edit
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, lines, "").collect()} == set(range(40))

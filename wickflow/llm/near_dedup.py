@@ -1,0 +1,151 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: an exact join by prefixes, without false links or missed pairs.
+
+Texts are sets of hashed shingles, and equal sets are one class. Two sets of similarity t share at least t times the larger
+one's shingles, so in any fixed order of all shingles they share one of the first n - ceil(t n) + 1 of each. Classes that
+share such a shingle are candidates, and their texts are compared shingle by shingle. The order puts shingles
+that a sample has rarely first, which keeps candidates few; it is free to choose and changes no result.
+
+Each candidate group is first linked as a star to its smallest member. What this joins needs no further comparison,
+so large groups of near copies cost as many comparisons as members; all other pairs are compared after that.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from wickflow.llm.common import checkpoint, named
+from wickflow.llm.components import connected_components
+from wickflow.llm.simhash import SEED, SIGN, _row_hash
+
+WIDTH = 5
+SIMILARITY = 0.8
+#: About so many texts are read for the order of shingles: rare ones first, by counters at the upper BITS bits of a hash.
+SAMPLED = 32_768
+BITS = 24
+
+
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `width` words in lower case; of all words where there are fewer."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.empty(0, dtype=np.uint64)
+    n = max(len(tokens) - width + 1, 1)
+    shingles = (b" ".join(tokens[i : i + width]) for i in range(n))
+    return np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=n))
+
+
+def prefix(found: np.ndarray, counters: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set that a similar one has to share, by counter and then by hash."""
+    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+    return found[np.argsort(counters[found >> np.uint64(64 - BITS)], kind="stable")[:size]]
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _counters(texts: DataFrame, width: int) -> np.ndarray:
+    """How often a sample has shingles of each bucket: 2^BITS small numbers, whatever the input."""
+
+    def scan(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.column(0).slice(at, 1024).cast(pa.binary()).to_pylist()
+                found = np.concatenate([shingle_set(t or b"", width) for t in part]) >> np.uint64(64 - BITS)
+                buckets, counts = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(counts)], ["bucket", "n"])
+
+    share = max(1, texts.count() // SAMPLED)
+    sample = texts.where(F.pmod("row_hash", F.lit(share)) == 0).select("text")
+    counted = sample.mapInArrow(scan, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counters = np.zeros(1 << BITS, dtype=np.uint16)
+    counters[counted.column(0).to_numpy()] = np.minimum(counted.column(1).to_numpy(), 65_535)
+    return counters
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY
+) -> DataFrame:
+    """One row of each component of similar texts, in the columns of docs: that with the smallest id (null last).
+
+    Texts are linked if the Jaccard similarity of their shingle sets is `similarity` or more. Texts without words are
+    equal, null counting as empty. Of rows that repeat the kept id and text, one stays.
+    """
+    doc_id, text = named(docs, id_col, text_col)
+    texts = docs.select(doc_id.cast("long").alias("doc_id"), _row_hash(doc_id, text), text.cast("string").alias("text"))
+    counters = docs.sparkSession.sparkContext.broadcast(_counters(texts, width))
+
+    def scan(batches):
+        for batch in batches:
+            sets = [shingle_set(t or b"", width) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            keys = [np.array([xxh64_intdigest(s.tobytes(), k) for s in sets], np.uint64).view(np.int64) for k in (1, 2)]
+            first = [prefix(s, counters.value, similarity).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    *map(pa.array, keys),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(first, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "row_hash", "c1", "c2", "n", "first"],
+            )
+
+    sets = texts.mapInArrow(scan, "doc_id long, row_hash long, c1 long, c2 long, n long, first array<long>")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "n", "first")).alias("low")
+    classes = checkpoint(sets.groupBy("c1", "c2").agg(low).select("low.*").withColumn("node", F.monotonically_increasing_id()))
+
+    keyed = classes.select(F.explode("first").alias("h"), "node", "n")
+    same = Window.partitionBy("h")
+    both = keyed.withColumn("low", F.min(F.struct("node", "n")).over(same)).withColumn("high", F.max("node").over(same))
+    shared = checkpoint(both.where("low.node != high").select("h", "node", "n", "low"))
+    spots = classes.select("node", "row_hash", F.coalesce("doc_id", F.lit(SIGN)).alias("key"))
+    suspects = spots.join(shared.select("node").distinct(), "node", "left_semi")
+    keys = texts.select(F.coalesce("doc_id", F.lit(SIGN)).alias("key"), "row_hash", "text")
+    suspects = checkpoint(suspects.join(keys, ["key", "row_hash"]).groupBy("node").agg(F.first("text").alias("text")))
+
+    def verify(batches):
+        for batch in batches:
+            good = [
+                similar(shingle_set(a or b"", width), shingle_set(b or b"", width), similarity)
+                for a, b in zip(*(batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3)))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["u", "v"])
+
+    def linked(pairs):
+        left, right = (suspects.select(F.col("node").alias(s), F.col("text").alias(t)) for s, t in (("u", "a"), ("v", "b")))
+        found = pairs.distinct().join(left, "u").join(right, "v").select("u", "v", "a", "b")
+        return checkpoint(found.mapInArrow(verify, "u long, v long"))
+
+    def sizes_fit(a, b):
+        return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
+
+    stars = linked(
+        shared.where((F.col("node") != F.col("low.node")) & sizes_fit(F.col("n"), F.col("low.n"))).select(
+            F.col("node").alias("u"), F.col("low.node").alias("v")
+        )
+    )
+    joined = checkpoint(connected_components(stars).select("node", "component"))
+    there = shared.join(joined, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("root"))
+    other = there.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
+    apart = there.join(other, "h").where((F.col("node") > F.col("v")) & (F.col("root") != F.col("other")) & sizes_fit(F.col("n"), F.col("m")))
+    links = stars.union(linked(apart.select(F.col("node").alias("u"), "v")))
+
+    reached = connected_components(links).select("node", "component")
+    lowest = F.min(F.struct("none", "doc_id", "row_hash")).alias("low")
+    survivors = (
+        classes.join(reached, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("root"))
+        .agg(lowest)
+        .select(F.coalesce("low.doc_id", F.lit(SIGN)).alias("key"), F.col("low.row_hash").alias("row_hash"))
+    )
+    rows = docs.select(F.coalesce(doc_id.cast("long"), F.lit(SIGN)).alias("key"), _row_hash(doc_id, text), F.struct("*").alias("row"))
+    kept = rows.join(survivors, ["key", "row_hash"], "left_semi")
+    return kept.groupBy("key", "row_hash").agg(F.first("row").alias("row")).select("row.*")
