@@ -23,7 +23,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), short_too=True)
     return found.select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
         F.col("lines").cast("long").alias("n_lines"),

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickflow.llm.common import checkpoint
+from wickflow.llm.common import SPACES, checkpoint
 
-#: Shorter lines stay as they are: they repeat by chance, and an edit there makes another line.
+#: Shorter lines have no near ones, as an edit there makes another line; with short_too, equal ones of them go.
 MIN_CHARS = 20
 #: Documents of which lines went and that have fewer words left are dropped by drop_remnants.
 MIN_WORDS_LEFT = 10
@@ -121,8 +121,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, row_hash, kept): for each document, the numbers of its lines of min_chars or more that no earlier line is near to."""
+def _has_word(line):
+    return F.trim(F.translate(line, SPACES, " " * len(SPACES))) != ""
+
+
+def kept_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short_too: bool = False
+) -> DataFrame:
+    """(key, row_hash, kept): for each document, the numbers of its lines of min_chars or more that no earlier line is near to.
+
+    With short_too, also those of its shorter lines, blank ones excepted, that no earlier line equals.
+    """
     texts = _keyed(docs, id_col, text_col).select("key", "row_hash", "text").where("text is not null")
     line, size = F.col("line"), F.length("line")
 
@@ -138,12 +147,14 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_i
 
     lines = (
         texts.select("key", "row_hash", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-        .where(size >= min_chars)
+        .where((size >= min_chars) | _has_word(line) if short_too else size >= min_chars)
         .select(
             F.xxhash64(line).alias("h1"),
             F.xxhash64(F.lit(7), line).alias("h2"),
             F.struct("key", "row_hash", "at").alias("spot"),
-            F.array_distinct(F.array(*anchors(size), *anchors(size + 1))).alias("anchors"),
+            F.when(size >= min_chars, F.array_distinct(F.array(*anchors(size), *anchors(size + 1))))
+            .otherwise(F.array().cast("array<long>"))
+            .alias("anchors"),
         )
     )
     first = checkpoint(
@@ -230,15 +241,18 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_i
     return kept.select("spot.*").groupBy("key", "row_hash").agg(F.collect_set("at").alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short_too: bool = False
+) -> DataFrame:
     """(row, text, lines, kept_lines): each row as a struct, its text without the lines that an equal or near line precedes.
 
     Lines part at \\n and come in the order of id (null last), text hash and position. A line of min_chars or more
     characters goes if any earlier line equals it or is within one edit of it, whether that one stays or not.
+    Shorter lines stay, or with short_too go if an earlier line equals them; blank lines of fewer characters stay.
     Of rows with equal id and text, one keeps its lines. Null texts stay null, an empty table empty.
     Texts without a line to remove are unchanged.
     """
-    kept = kept_lines(docs, min_chars, id_col, text_col).select(
+    kept = kept_lines(docs, min_chars, id_col, text_col, short_too).select(
         F.col("key").alias("k"), F.col("row_hash").alias("h"), "kept"
     )
     rows = _keyed(docs, id_col, text_col)
@@ -248,7 +262,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     stay = F.when(again, none).otherwise(F.coalesce("kept", none))
     lines = F.split("text", "\n", -1)
     found = joined.withColumn("lines", lines).withColumn("stay", stay)
-    short = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(F.get("lines", i)) < min_chars)
+
+    def always(line):
+        return (F.length(line) < min_chars) & ~_has_word(line) if short_too else F.length(line) < min_chars
+
+    short = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: always(F.get("lines", i)))
     at = F.sort_array(F.concat(short, F.col("stay")))
     found = found.withColumn("staying", F.transform(at, lambda i: F.get("lines", i)))
     return found.select(
