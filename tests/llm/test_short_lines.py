@@ -28,3 +28,15 @@ def test_the_query_takes_short_lines(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.op3_line_dedup(spark, str(tmp_path)).collect()
     assert sum(r["n_kept"] for r in got) == len({line for _, t in rows for line in t.split("\n")})
+
+
+def test_pipeline_loses_no_distinct_line(spark):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    names = [f"{a}{b}" for a in "river stone light under walk quick field".split() for b in "s ly ing er ed ness".split()]
+    lines = [" ".join(rng.choice(names) for _ in range(5)) for _ in range(40)] + ["Read more", "Log in"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(3))) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], SCHEMA)
+    kept = [line for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect() for line in r["text"].split("\n")]
+    assert sorted(kept) == sorted({line for _, t in rows for line in t.split("\n")})

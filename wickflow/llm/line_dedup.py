@@ -22,8 +22,6 @@ from wickflow.llm.common import SPACES, checkpoint
 
 #: Shorter lines have no near ones, as an edit there makes another line; with short_too, equal ones of them go.
 MIN_CHARS = 20
-#: Documents of which lines went and that have fewer words left are dropped by drop_remnants.
-MIN_WORDS_LEFT = 10
 NO_ID = (1 << 63) - 1
 BUCKETS = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
