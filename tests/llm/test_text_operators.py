@@ -81,32 +81,6 @@ def test_simhash_against_brute_force(spark, texts):
     prints = {i: brute_fingerprint(t) for i, t in texts.items()}
     comps = brute_components(prints)
     assert got == {i: (prints[i], comps[i]) for i in texts}
-    kept = simhash.keep_one(made(spark, texts))
-    assert kept.columns == made(spark, texts).columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comps.values()))
-
-
-def test_gray_index_finds_all_links():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    flips = np.array([base[rng.integers(40)] ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64))) for _ in range(400)], dtype=np.uint64)
-    prints = np.unique(np.concatenate([base, flips, rng.integers(0, 1 << 63, 300, dtype=np.uint64)]))
-    rank = prints.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(s)
-    prints = prints[np.argsort(rank)]
-    blocks = [prints[i : i + 16] for i in range(0, len(prints), 16)]
-    nodes = [simhash.shared(np.full(1, ~np.uint64(0)), b) for b in blocks]
-    index = simhash.GrayIndex(np.arange(len(blocks)), np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes]))
-    pruned, links = 0, set()
-    for i, (mask, bits) in enumerate(nodes):
-        partners = index.partners(mask, bits, 2)
-        pruned += len(blocks) - len(partners)
-        for j in partners:
-            for x, y in zip(*np.nonzero(simhash.near_pairs(blocks[i], blocks[j], 2, 4))):
-                links.add((int(blocks[i][x]), int(blocks[j][y])))
-    want = {(int(a), int(b)) for a in prints for b in prints if (int(a) ^ int(b)).bit_count() <= 2}
-    assert links == want and pruned > 0
 
 
 def test_components_of_chains_hubs_and_loops(spark):

@@ -1,47 +1,70 @@
-"""SimHash near-duplicates, linked through a hierarchical index in Gray-code order.
-
-Fingerprints are sorted by Gray rank, so that neighbours share most of their bits, and cut into blocks
-of bounded size. The bits that all of a block share are factored out as its (mask, bits) node; runs of
-nodes share a parent that holds what they have in common, and so on to the root, while a child keeps only
-the bits that its parent lacks. A search walks down from the root and adds up the differences met on the
-way; once they exceed the bound, the whole group below is dropped. Blocks that survive against each other
-are joined, and the same factoring inside both blocks prunes before single fingerprints are compared.
+"""SimHash near-duplicates, linked through a hierarchical index in Gray-code order (gray_index).
+
+near_duplicates links fingerprints within a few bits, exactly. keep_one reaches texts of a given Jaccard similarity: at
+0.8 two fingerprints differ by about ten bits of 64, so it searches the same index with a wide bound. A group
+of prints is then dropped as soon as it differs on more of the bits seen so far than such texts
+would, and the search is repeated in rotated orders, in which other bits come first. What it finds has to agree on 64
+more bits, and each link is verified on the shingles of both texts, so no link is false; recall is measured.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from wickflow.llm import gray_index
 from wickflow.llm.common import checkpoint, named
 from wickflow.llm.components import connected_components
+from wickflow.llm.gray_index import SIGN
 
 SEED = 42
-#: Nodes of the index that are sent to every task: at most so many and one for each partition.
-MAX_NODES = 32768
-MIN_BLOCK = 256
-FAN_OUT = 8
-SIGN = -(1 << 63)
+#: Near-duplicate texts: words in a shingle, and least Jaccard similarity of the sets of shingles.
+WIDTH, SIMILARITY = 5, 0.8
+#: Orders that are searched, and the least chance of a similar text to pass a node of one of them.
+TURNS, COVERAGE = 3, 0.85
+#: Standard deviations above the expected difference that still count as near.
+SLACK = 2.8
+#: A fingerprint of more than this share of all rows is joined by broadcast: there are at most so many of them.
+HOT = 1024
+BUCKETS = 1 << 20
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned number."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 8192):
+        part = hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
 
 
-def fingerprint_bytes(text: bytes, width: int = 3) -> int:
-    """The unsigned 64-bit SimHash of a UTF-8 text; zero without words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each run of `width` words in lower case, repeats included; of all words where there are fewer."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     n = len(tokens) - width + 1
     shingles = map(b" ".join, zip(*(tokens[i:] for i in range(width)))) if n > 0 else [b" ".join(tokens)]
-    n = max(n, 1)
-    hashes = np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 8192):
-        part = hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n).view(">u8")[0])
+    return np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=max(n, 1))
+
+
+def fingerprint_bytes(text: bytes, width: int = 3) -> int:
+    """The unsigned 64-bit SimHash of a UTF-8 text; zero without words."""
+    return majority(shingle_hashes(text, width))
+
+
+def _row_hash(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.isNull(), text).alias("row_hash")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    doc_id, text = named(docs, id_col, text_col)
+    return docs.select(doc_id.cast("long").alias("doc_id"), _row_hash(doc_id, text), text.cast("string").alias("text"))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -60,206 +83,190 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["doc_id", "row_hash", "fp"]
             )
 
-    doc_id, text = named(docs, id_col, text_col)
-    return docs.select(
-        doc_id.cast("long").alias("doc_id"), _row_hash(doc_id, text), text.cast("string").alias("text")
-    ).mapInArrow(scan, "doc_id long, row_hash long, fp long")
-
+    return _texts(docs, id_col, text_col).mapInArrow(scan, "doc_id long, row_hash long, fp long")
 
-def _row_hash(doc_id, text):
-    return F.xxhash64(doc_id.isNull(), text).alias("row_hash")
 
-
-def gray_rank(fp):
-    """Position of a fingerprint in Gray-code order, as a signed long that sorts like the unsigned rank."""
-    for step in (1, 2, 4, 8, 16, 32):
-        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, step))
-    return fp.bitwiseXOR(F.lit(SIGN))
-
-
-def shared(masks: np.ndarray, bits: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """The bit positions on which all members agree, and their values."""
-    mask = np.bitwise_and.reduce(masks) & ~np.bitwise_or.reduce(bits ^ bits[0])
-    return mask, bits[0] & mask
-
-
-def group_nodes(masks: np.ndarray, bits: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes over runs of so many members."""
-    at = np.arange(0, len(bits), size)
-    first = np.repeat(bits[at], np.diff(np.append(at, len(bits))))
-    mask = np.bitwise_and.reduceat(masks, at) & ~np.bitwise_or.reduceat(bits ^ first, at)
-    return mask, bits[at] & mask
-
-
-class GrayIndex:
-    """The nodes of all blocks below a few levels of shared patterns; each level keeps only its residual mask."""
-
-    def __init__(self, blocks: np.ndarray, masks: np.ndarray, bits: np.ndarray):
-        self.blocks = blocks
-        levels = [(masks, bits)]
-        while len(levels[-1][0]) > FAN_OUT:
-            levels.append(group_nodes(*levels[-1], FAN_OUT))
-        levels.reverse()
-        own = [levels[0][0]]
-        for (upper, _), (mask, _) in zip(levels, levels[1:]):
-            own.append(mask & ~np.repeat(upper, FAN_OUT)[: len(mask)])
-        self.levels = [(o, b) for o, (_, b) in zip(own, levels)]
-
-    def partners(self, mask: np.uint64, bits: np.uint64, bound: int) -> np.ndarray:
-        """Blocks that may hold a fingerprint within the bound of one that has these bits under this mask."""
-        at = np.arange(len(self.levels[0][0]))
-        far = np.zeros(len(at), dtype=np.int64)
-        for depth, (own, pattern) in enumerate(self.levels):
-            if depth:
-                at = (at[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-                far = np.repeat(far, FAN_OUT)
-                inside = at < len(own)
-                at, far = at[inside], far[inside]
-            far = far + np.bitwise_count((pattern[at] ^ bits) & own[at] & mask)
-            near = far <= bound
-            at, far = at[near], far[near]
-        return self.blocks[at]
-
-
-def near_pairs(a: np.ndarray, b: np.ndarray, bound: int, size: int = 32) -> np.ndarray:
-    """Matrix of the pairs of two Gray-sorted blocks within the bound; groups with too different patterns are skipped."""
-    full = np.full(1, ~np.uint64(0))
-    ma, pa_ = group_nodes(np.broadcast_to(full, len(a)), a, size)
-    mb, pb = group_nodes(np.broadcast_to(full, len(b)), b, size)
-    near = np.zeros((len(a), len(b)), dtype=bool)
-    apart = np.bitwise_count((pa_[:, None] ^ pb) & ma[:, None] & mb)
-    for i in np.flatnonzero((apart <= bound).any(axis=1)):
-        cols = np.repeat(apart[i] <= bound, size)[: len(b)]
-        rows = slice(i * size, (i + 1) * size)
-        near[rows, cols] = np.bitwise_count(a[rows, None] ^ b[cols]) <= bound
-    return near
-
-
-def star_links(a: np.ndarray, b: np.ndarray, bound: int) -> list[tuple[int, int]]:
-    """The components of the links between two blocks as (member, smallest member) pairs: no more pairs than members."""
-    near = near_pairs(a, b, bound)
-    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-    if not len(rows) or (a is b and near.sum() == len(a)):
-        return []
-    near, high = near[np.ix_(rows, cols)], np.iinfo(np.int64).max
-    x, y = a[rows].view(np.int64), b[cols].view(np.int64)
-    left, right = x.copy(), y.copy()
-    while True:
-        new_left = np.minimum(left, np.where(near, right, high).min(axis=1))
-        new_right = np.minimum(right, np.where(near, new_left[:, None], high).min(axis=0))
-        if (new_left == left).all() and (new_right == right).all():
-            break
-        left, right = new_left, new_right
-    members, roots = np.concatenate([x, y]), np.concatenate([left, right])
-    keep = members != roots
-    return list(zip(members[keep].tolist(), roots[keep].tolist()))
-
-
-def fingerprint_links(prints: DataFrame, bound: int = 2) -> DataFrame:
+def fingerprint_links(prints: DataFrame, bound: int = 2, **index) -> DataFrame:
     """prints: distinct fingerprints, column fp. Returns links u, v whose components are those of all pairs within the bound."""
-    prints = prints.select("fp", gray_rank(F.col("fp")).alias("rank"))
-    size = max(MIN_BLOCK, -(-prints.count() // MAX_NODES))
-
-    def cut(batches):
-        part, serial, rest = TaskContext.get().partitionId(), 0, np.empty(0, dtype=np.int64)
+    allowed = gray_index.exactly(bound)
 
-        def row(members):
-            nonlocal serial
-            mask, bits = shared(np.full(1, ~np.uint64(0)), members.view(np.uint64))
-            serial += 1
-            return ((part << 32) + serial, int(mask.view(np.int64)), int(bits.view(np.int64)), members.tolist())
+    def find(a, b, same):
+        return gray_index.star_links(a[0], b[0], bound, allowed, same)
 
-        def batch_of(rows):
-            kinds = pa.schema([("block", pa.int64()), ("mask", pa.int64()), ("bits", pa.int64()), ("fps", pa.list_(pa.int64()))])
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.types)], schema=kinds)
+    return gray_index.links(prints, find, allowed, **index)
 
-        for batch in batches:
-            rest = np.concatenate([rest, batch.column(0).to_numpy(zero_copy_only=False)])
-            full = len(rest) // size
-            if full:
-                yield batch_of([row(rest[i * size : (i + 1) * size]) for i in range(full)])
-                rest = rest[full * size :]
-        if len(rest):
-            yield batch_of([row(rest)])
-
-    blocks = checkpoint(
-        prints.repartitionByRange("rank")
-        .sortWithinPartitions("rank")
-        .select("fp")
-        .mapInArrow(cut, "block long, mask long, bits long, fps array<long>")
-    )
-    nodes = blocks.select("block", "mask", "bits").orderBy("block").toPandas()  # at most MAX_NODES and the partitions
-    index = None
-    if len(nodes):
-        index = GrayIndex(*(nodes[c].to_numpy().view(t) for c, t in (("block", np.int64), ("mask", np.uint64), ("bits", np.uint64))))
-    index = prints.sparkSession.sparkContext.broadcast(index)
-
-    def route(batches):
-        for batch in batches:
-            left, right = [], []
-            for block, mask, bits in zip(*(c.to_pylist() for c in batch.columns)):
-                found = index.value.partners(np.int64(mask).view(np.uint64), np.int64(bits).view(np.uint64), bound)
-                found = found[found >= block].tolist()
-                left += [block] * len(found)
-                right += found
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    def compare(batches):
-        for batch in batches:
-            links = []
-            for a, b in zip(batch.column(0), batch.column(1)):
-                a, b = (x.values.to_numpy().view(np.uint64) for x in (a, b))
-                links += star_links(a, a if len(a) == len(b) and (a == b).all() else b, bound)
-            u, v = zip(*links) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    pairs = blocks.select("block", "mask", "bits").mapInArrow(route, "a long, b long")
-    return (
-        pairs.join(blocks.select(F.col("block").alias("a"), F.col("fps").alias("fa")), "a")
-        .join(blocks.select(F.col("block").alias("b"), F.col("fps").alias("fb")), "b")
-        .select("fa", "fb")
-        .mapInArrow(compare, "u long, v long")
-    )
 
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bound: int = 2
+) -> DataFrame:
+    """(doc_id, fp, component_id): fingerprint of each row, and the smallest id of all that reach it over links of at most `bound` bits.
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, bound: int) -> DataFrame:
+    Null or blank texts have fingerprint 0 and link like any other. A null id never names a component
+    unless all of it is null. Equal rows are returned as often as they come; an empty table gives none.
+    Texts are hashed whole, however long. Other columns are ignored, whatever their names.
+    """
     prints = checkpoint(signatures(docs, id_col, text_col, width))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     reached = connected_components(fingerprint_links(distinct, bound))
     linked = distinct.join(reached, distinct["fp"] == reached["node"], "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("root")
+        "fp", "first_id", "n", F.coalesce("component", "fp").alias("root")
     )
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(linked.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+    found = checkpoint(linked.join(smallest, "root").select("fp", "component_id", "n"))
+    often = F.col("n") > prints.count() / HOT  # fewer than HOT fingerprints
+    hot = F.broadcast(found.where(often).drop("n"))
+    rows = prints.select("doc_id", "fp")
+    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(found.where(~often).drop("n"), "fp")
+    return cold.unionByName(rows.join(hot, "fp")).select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bound: int = 2
-) -> DataFrame:
-    """(doc_id, fp, component_id): fingerprint of each row, and the smallest id of all that reach it over links of at most `bound` bits.
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(text, width))
 
-    Null or blank texts have fingerprint 0 and link like any other. A null id never names a component
-    unless all of it is null. Equal rows are returned as often as they come; an empty table gives none.
-    Other columns are ignored, whatever their names.
+
+def second_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits of each hash, for a second fingerprint."""
+    x = hashes ^ np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def bit_rate(similarity: float) -> float:
+    """Chance of a bit to differ: the angle between two sets of this Jaccard similarity and equal size, as a share of pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def near_bound(bits: int, similarity: float) -> int:
+    rate = bit_rate(similarity)
+    return round(bits * rate + SLACK * math.sqrt(bits * rate * (1 - rate)))
+
+
+def _classes(texts: DataFrame, width: int) -> DataFrame:
+    """One row for each distinct set of shingles: node, the smallest row that has it, and its two fingerprints."""
+
+    def scan(batches):
+        for batch in batches:
+            columns = [[] for _ in range(4)]
+            for text in batch.column(2).cast(pa.binary()):
+                found = shingle_set(text.as_py() or b"", width)
+                raw = found.tobytes()
+                values = xxh64_intdigest(raw, 1), xxh64_intdigest(raw, 2), majority(found), majority(second_hashes(found))
+                for column, value in zip(columns, values):
+                    column.append(value)
+            longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs], ["doc_id", "row_hash", "c1", "c2", "fp", "other"])
+
+    sets = texts.mapInArrow(scan, "doc_id long, row_hash long, c1 long, c2 long, fp long, other long")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "fp", "other")).alias("low")
+    return checkpoint(sets.groupBy("c1", "c2").agg(low).select("low.*").withColumn("node", F.monotonically_increasing_id()))
+
+
+def _wide_links(prints: DataFrame, similarity: float, stars: bool, turns: int) -> DataFrame:
+    """(u, v) of prints (node, fp, other, root) that are near on both fingerprints, in any of the orders.
+
+    With stars, each node that has a near one, with the smallest of them or itself: no more rows than nodes in each pair of
+    blocks. Else all pairs of different roots.
     """
-    return _grouped(docs, id_col, text_col, width, bound).select("doc_id", "fp", "component_id")
+    one, both = near_bound(64, similarity), near_bound(128, similarity)
+    allowed = gray_index.likely(bit_rate(similarity), COVERAGE)
+
+    def find(a, b, same):
+        left, right = a[1].copy(), b[1].copy()
+        seen = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        pairs = [np.empty((2, 0), np.int64)]
+        for x, y in gray_index.near_indices(a[0], b[0], one, allowed, same):
+            far = np.bitwise_count(a[0][x] ^ b[0][y]) + np.bitwise_count((a[2][x] ^ b[2][y]).view(np.uint64))
+            near = (far <= both) & (stars | (a[3][x] != b[3][y]))
+            x, y = x[near], y[near]
+            if stars:
+                np.minimum.at(left, x, b[1][y])
+                np.minimum.at(right, y, a[1][x])
+                seen[0][x] = seen[1][y] = True
+            elif len(x):
+                u, v = a[1][x], b[1][y]
+                pairs.append(np.array([np.minimum(u, v), np.maximum(u, v)]))
+        if stars:
+            pairs += [np.array([n[s], low[s]]) for n, s, low in ((a[1], seen[0], left), (b[1], seen[1], right))]
+        return np.concatenate(pairs, axis=1)
+
+    orders = [gray_index.links(prints, find, allowed, 64 * t // turns, ("node", "other", "root")) for t in range(turns)]
+    found = orders[0]
+    for more in orders[1:]:
+        found = found.union(more)
+    return found.groupBy("u").agg(F.min("v").alias("v")) if stars else found.distinct()
+
+
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    similarity: float = SIMILARITY,
+    turns: int = TURNS,
+) -> DataFrame:
+    """One row of each component of similar texts, in the columns of docs: that with the smallest id (null last).
 
+    Texts are linked if their fingerprints are near and the Jaccard similarity of their shingle sets is `similarity` or
+    more. Equal sets are one class however often they come; texts without words are equal, null counting as empty. Of
+    rows that repeat the kept id and text, one stays. An empty table stays empty; texts are read whole.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bound: int = 2) -> DataFrame:
-    """One row of each component, in the columns of docs: that with the smallest id (null last), one of those that repeat it."""
-    found = _grouped(docs, id_col, text_col, width, bound)
-    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("low")
-    survivors = found.groupBy("root").agg(lowest).select(
-        F.coalesce("low.doc_id", F.lit(SIGN)).alias("key"), F.col("low.row_hash").alias("row_hash")
+    First each class is held against the smallest that is near, which joins large groups at the cost of one link a
+    member; then all near pairs that this left in different groups are.
+    """
+    texts = _texts(docs, id_col, text_col)
+    classes = _classes(texts, width)
+    prints = classes.select("node", "fp", "other", F.col("node").alias("root"))
+    first = checkpoint(_wide_links(prints, similarity, True, turns))
+
+    def bucket(key):
+        return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+    keyed = texts.select(F.coalesce("doc_id", F.lit(SIGN)).alias("key"), "row_hash", "text")
+    spots = classes.select("node", F.coalesce("doc_id", F.lit(SIGN)).alias("key"), "row_hash")
+    spots = checkpoint(spots.join(first.select(F.col("u").alias("node")), "node", "left_semi"))
+    there = spots.select(bucket("key").alias("bucket")).distinct()  # at most BUCKETS rows
+    suspects = keyed.join(F.broadcast(there), bucket(keyed["key"]) == there["bucket"], "left_semi").join(spots, ["key", "row_hash"])
+    suspects = checkpoint(suspects.groupBy("node").agg(F.first("text").alias("text")))
+
+    def verify(batches):
+        for batch in batches:
+            good = [
+                similar(shingle_set(a or b"", width), shingle_set(b or b"", width), similarity)
+                for a, b in zip(*(batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3)))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["u", "v"])
+
+    def verified(pairs):
+        left, right = (suspects.select(F.col("node").alias(s), F.col("text").alias(t)) for s, t in (("u", "a"), ("v", "b")))
+        found = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+        return checkpoint(found.mapInArrow(verify, "u long, v long"))
+
+    stars = verified(first.where("u != v"))
+    roots = connected_components(stars).select("node", "component")
+    near = prints.drop("root").join(first.select(F.col("u").alias("node")), "node")
+    near = checkpoint(near.join(roots, "node", "left").select("node", "fp", "other", F.coalesce("component", "node").alias("root")))
+    linked = stars.union(verified(_wide_links(near, similarity, False, turns)))
+
+    reached = connected_components(linked).select("node", "component")
+    survivors = (
+        classes.join(reached, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("root"))
+        .agg(F.min(F.struct("none", "doc_id", "row_hash")).alias("low"))
+        .select(F.coalesce("low.doc_id", F.lit(SIGN)).alias("key"), F.col("low.row_hash").alias("row_hash"))
     )
     doc_id, text = named(docs, id_col, text_col)
-    rows = docs.select(
-        F.coalesce(doc_id.cast("long"), F.lit(SIGN)).alias("key"), _row_hash(doc_id, text), F.struct("*").alias("row")
-    )
+    rows = docs.select(F.coalesce(doc_id.cast("long"), F.lit(SIGN)).alias("key"), _row_hash(doc_id, text), F.struct("*").alias("row"))
     kept = rows.join(survivors, ["key", "row_hash"], "left_semi")
     return kept.groupBy("key", "row_hash").agg(F.first("row").alias("row")).select("row.*")
 
 
-def fingerprint_text(fp):
+def fingerprint_text(fp: Column) -> Column:
     """The fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
