@@ -5,9 +5,11 @@ counts of what followed them in the training texts. A byte is coded in its longe
 there, the escape costs distinct / (total + distinct), and the next shorter context takes over, without the
 symbols that the longer one has seen. Below the empty context all bytes left are equally likely.
 
-Counts come from all training texts by one distributed aggregation. The trie that tasks receive is bounded by
-max_nodes: the rarest contexts of the highest order go first, and escapes carry their symbols to
-shorter contexts, so no text and no symbol loses its probability.
+Counts of every order come from all training texts by distributed aggregation, and none is dropped. Tasks receive the
+contexts of the largest totals, at most max_nodes symbols in all, whole and with their exact counts. A suffix of a
+context is at least as frequent, so with a context come all shorter ones that its escapes need. Bytes whose
+longest context is not among them are looked up by joins with the other contexts, from the longest down,
+until a known symbol or one of the contexts that tasks have. The result doesn't depend on max_nodes.
 """
 
 from __future__ import annotations
@@ -25,12 +27,17 @@ from wickflow.llm.common import checkpoint, named
 #: Bytes that UTF-8 never holds: before the first byte and after the last.
 START, END = 0xFE, 0xFF
 ORDER = 5
+#: Symbols in the contexts that tasks receive, beside those of the orders below ALWAYS, of which there are 66,049 at most.
 MAX_NODES = 2_000_000
+ALWAYS = 2
+#: Totals below this are told apart when the contexts for tasks are chosen, larger ones in 16ths of powers of two.
+EXACT_TOTALS = 4096
 #: Words whose counts every task gets; the others are joined.
 FREQUENT = 1 << 18
 SMOOTHING = 0.1
-#: A task hands on its counts once it holds so many distinct words.
+#: A task hands on its counts once it holds so many distinct words or grams.
 HELD_WORDS = 500_000
+HELD_GRAMS = 4_000_000
 CHUNK = 1 << 21
 
 
@@ -62,86 +69,108 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def last_bytes(k: int) -> np.uint64:
+    """Mask of the last k bytes of a code."""
+    return np.uint64((1 << 8 * k) - 1)
+
+
 class Trie:
-    """Contexts and counts for each order, with what exclusion needs; built from counts of the longest grams."""
+    """Contexts and counts for each order, with what exclusion needs.
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, max_nodes: int = MAX_NODES):
-        self.order, self.levels = order, []
-        byte = np.uint64(8)
-        grams = [_sums(codes, counts.astype(np.float64))]
-        for k in range(order, 0, -1):
-            grams.append(_sums(grams[-1][0] & np.uint64((1 << 8 * k) - 1), grams[-1][1]))
-        grams.reverse()
-        room = max_nodes - sum(len(g[0]) for g in grams[:-1])
-        if len(grams[-1][0]) > max(room, 0):
-            grams[-1] = self._pruned(*grams[-1], max(room, 0))
-        for k, (gram, count) in enumerate(grams):
-            context, at, distinct = np.unique(gram >> byte, return_inverse=True, return_counts=True)
+    levels: sorted gram codes and counts of each order from 0, of whole contexts; with a context come its suffixes. If the
+    trie is not `whole`, grams of contexts that it lacks are left to the caller.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], whole: bool = True):
+        self.order, self.whole, self.levels = len(levels) - 1, whole, []
+        for k, (gram, count) in enumerate(levels):
+            count = count.astype(np.float64)
+            context, at, distinct = np.unique(gram >> np.uint64(8), return_inverse=True, return_counts=True)
             total = np.bincount(at, count, len(context))
             level = {"gram": gram, "count": count, "context": context, "total": total, "distinct": distinct.astype(np.float64)}
             level["direct"] = np.log10(count / (total + distinct)[at])  # of a gram whose context is the first one known
             if k:
                 below = self.levels[k - 1]
-                up, _ = _find(below["gram"], gram & np.uint64((1 << 8 * k) - 1))
-                parent, _ = _find(below["context"], context & np.uint64((1 << 8 * (k - 1)) - 1))
+                up, _ = _find(below["gram"], gram & last_bytes(k))
+                parent, _ = _find(below["context"], context & last_bytes(k - 1))
                 seen = np.bincount(at, below["count"][up], len(context))
                 fresh = below["distinct"][parent] - level["distinct"]
                 level["fresh"] = fresh  # symbols that only the shorter context has seen
                 level["base"] = below["total"][parent] - seen + fresh
             self.levels.append(level)
 
-    @staticmethod
-    def _pruned(gram, count, room):
-        """Whole contexts, the most frequent first, ties by code, as far as the room goes."""
-        context, at, distinct = np.unique(gram >> np.uint64(8), return_inverse=True, return_counts=True)
-        total = np.bincount(at, count, len(context))
-        order = np.lexsort((context, -total))
-        keep = np.zeros(len(context), bool)
-        keep[order] = np.cumsum(distinct[order]) <= room
-        return gram[keep[at]], count[keep[at]]
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """Log10 probability of the last byte of each gram after the others. Sorted codes are found fastest."""
+    @classmethod
+    def of_grams(cls, codes: np.ndarray, counts: np.ndarray, order: int) -> "Trie":
+        """The whole trie from the counts of the longest grams."""
+        grams = [_sums(codes, counts.astype(np.float64))]
+        for k in range(order, 0, -1):
+            grams.append(_sums(grams[-1][0] & last_bytes(k), grams[-1][1]))
+        return cls(grams[::-1])
+
+    def lacking(self, codes: np.ndarray) -> np.ndarray:
+        """Which of these grams the caller has to look up."""
+        return np.zeros(len(codes), bool) if self.whole else ~_find(self.levels[-1]["context"], codes >> np.uint64(8))[1]
+
+    def known_order(self, codes: np.ndarray) -> np.ndarray:
+        """The longest context of each gram that is here."""
+        found = np.zeros(len(codes), dtype=np.int64)
+        for k in range(1, self.order + 1):
+            found[_find(self.levels[k]["context"], codes >> np.uint64(8) & last_bytes(k))[1]] = k
+        return found
+
+    def log10(self, codes: np.ndarray, top: int | None = None, base_above=None, fresh_above=None) -> np.ndarray:
+        """Log10 probability of the last byte of each gram after the others. Sorted codes are found fastest.
+
+        From order `top` down; base_above and fresh_above are those of the longer context that each was escaped from, or NaN.
+        """
         out = np.zeros(len(codes))
-        open_, came = np.arange(len(codes)), np.full(len(codes), -1)  # came: the longer context that was escaped from
-        for k in range(self.order, -1, -1):
+        open_ = np.arange(len(codes))
+        top = self.order if top is None else top
+        base_above = np.full(len(codes), np.nan) if base_above is None else base_above
+        fresh_above = np.full(len(codes), np.nan) if fresh_above is None else fresh_above
+        for k in range(top, -1, -1):
             level = self.levels[k]
-            code = codes[open_] & np.uint64((1 << 8 * (k + 1)) - 1)
-            at, hit = _find(level["gram"], code)
-            direct = hit & (came < 0)
+            at, hit = _find(level["gram"], codes[open_] & last_bytes(k + 1))
+            first = np.isnan(base_above)
+            direct, later = hit & first, hit & ~first
             out[open_[direct]] = level["direct"][at[direct]]
-            later = hit & ~direct
             if later.any():
-                out[open_[later]] += np.log10(level["count"][at[later]] / self.levels[k + 1]["base"][came[later]])
-            open_, came, code = open_[~hit], came[~hit], code[~hit]
+                out[open_[later]] += np.log10(level["count"][at[later]] / base_above[later])
+            open_, base_above, fresh_above = open_[~hit], base_above[~hit], fresh_above[~hit]
             if not len(open_):
                 return out
-            context, known = _find(level["context"], code >> np.uint64(8))
+            context, known = _find(level["context"], codes[open_] >> np.uint64(8) & last_bytes(k))
             if known.any():
-                base, fresh = (level["total"] + level["distinct"])[context], level["distinct"][context]
-                if k < self.order:
-                    above = self.levels[k + 1]
-                    after, up = came >= 0, np.maximum(came, 0)
-                    base = np.where(after, above["base"][up] if len(above["context"]) else base, base)
-                    fresh = np.where(after, above["fresh"][up] if len(above["context"]) else fresh, fresh)
+                first = np.isnan(base_above)
+                base = np.where(first, (level["total"] + level["distinct"])[context], base_above)
+                fresh = np.where(first, level["distinct"][context], fresh_above)
                 pays = known & (fresh > 0)
                 out[open_[pays]] += np.log10(fresh[pays] / base[pays])
-                came = np.where(known, context, came)
+                if k:
+                    base_above = np.where(known, level["base"][context], base_above)
+                    fresh_above = np.where(known, level["fresh"][context], fresh_above)
         lowest = self.levels[0]["distinct"][0] if len(self.levels[0]["distinct"]) else 0.0
         out[open_] -= math.log10(256 - lowest)
         return out
 
-    def score(self, text: bytes) -> float:
-        """Log10 probability of a whole text with its end, in chunks of bounded size."""
-        total = 0.0
+    def score(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log10 probability of a whole text with its end, in chunks of bounded size, without the grams to look up, which follow with their counts."""
+        total, lack, times = 0.0, [], []
         for start in range(0, len(text) + 1, CHUNK):
             part = text[max(0, start - self.order) : start + CHUNK]
             codes = gram_codes(part, self.order)
             skip = min(start, self.order)
             last = start + CHUNK > len(text)
             grams, counts = np.unique(codes[skip:] if last else codes[skip:-1], return_counts=True)
+            away = self.lacking(grams)
+            if away.any():
+                lack.append(grams[away])
+                times.append(counts[away])
+                grams, counts = grams[~away], counts[~away]
             total += float(self.log10(grams) @ counts)
-        return total
+        if not lack:
+            return total, np.empty(0, np.uint64), np.empty(0, np.int64)
+        return total, np.concatenate(lack), np.concatenate(times)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -149,21 +178,22 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def gather(docs: DataFrame, order: int) -> DataFrame:
-    """(kind, item, n): counts of words (kind 0), of grams (1, big-endian codes) and of texts (2), over all rows; column text."""
+    """(kind, item, code, n): counts of words (kind 0, item), of grams (1, code) and of texts (2), over all rows; column text."""
 
     def scan(batches):
         words: Counter[bytes] = Counter()
         grams: list[tuple[np.ndarray, np.ndarray]] = []
         pending: list[np.ndarray] = []
         held = texts = 0
+        names = ["kind", "item", "code", "n"]
 
-        def rows(kind, items, counts):
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())],
-                    ["kind", "item", "n"],
-                )
+        def rows(kind, items, codes, counts):
+            for at in range(0, len(counts), 50_000):
+                to = at + 50_000
+                size = len(counts[at:to])
+                item = pa.array(items[at:to], pa.binary()) if items else pa.nulls(size, pa.binary())
+                code = pa.nulls(size, pa.int64()) if codes is None else pa.array(codes[at:to].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.int32()), item, code, pa.array(counts[at:to], pa.int64())], names)
 
         def fold(most=8):
             nonlocal held
@@ -174,6 +204,11 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
                 held = 0
             if len(grams) > most:
                 grams[:] = [_sums(np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams]))]
+            if len(grams[0][0] if grams else ()) > HELD_GRAMS:
+                found = list(grams)
+                grams.clear()
+                for codes, counts in found:
+                    yield from rows(1, None, codes, counts)
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
@@ -186,24 +221,107 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
                     pending.append(codes if start + CHUNK > len(text) else codes[:-1])
                     held += len(pending[-1])
                     if held > CHUNK:
-                        fold()
+                        yield from fold()
                 if len(words) > HELD_WORDS:
-                    yield from rows(0, list(words), list(words.values()))
+                    yield from rows(0, list(words), None, list(words.values()))
                     words.clear()
-        fold(1)
-        yield from rows(0, list(words), list(words.values()))
+        yield from fold(1)
+        yield from rows(0, list(words), None, list(words.values()))
         for codes, counts in grams:
-            yield from rows(1, _eights(codes), counts.tolist())
+            yield from rows(1, None, codes, counts)
         if texts:
-            yield from rows(2, [b""], [texts])
+            yield from rows(2, None, None, [texts])
+
+    counted = docs.select("text").mapInArrow(scan, "kind int, item binary, code long, n long")
+    return counted.groupBy("kind", "item", "code").agg(F.sum("n").alias("n"))
+
+
+def contexts(grams: DataFrame, order: int) -> DataFrame:
+    """(order, context, total, symbols): of each context of each order how often each byte follows; grams: code, n of the highest.
+
+    symbols is an array of (s, n), 257 at most.
+    """
+    lower = F.explode(F.array(*(F.struct(F.lit(k).alias("order"), F.col("code").bitwiseAND(F.lit((1 << 8 * k + 8) - 1)).alias("code")) for k in range(order))))
+    sums = grams.select(lower.alias("g"), "n").select("g.order", "g.code", "n").groupBy("order", "code").agg(F.sum("n").alias("n"))
+    every = grams.select(F.lit(order).alias("order"), "code", "n").unionByName(sums)
+    pair = F.struct(F.col("code").bitwiseAND(F.lit(255)).alias("s"), "n")
+    return every.groupBy("order", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(pair).alias("symbols"))
+
+
+def _step(total):
+    """Totals in steps: each of its own below EXACT_TOTALS, then 16ths of powers of two."""
+    return F.when(total < EXACT_TOTALS, total).otherwise(F.lit(EXACT_TOTALS) + F.floor(F.log2(total) * 16)).cast("long")
+
+
+def frequent_contexts(table: DataFrame, max_nodes: int):
+    """The condition on contexts that tasks receive: the largest totals that have at most max_nodes symbols, all below order ALWAYS.
+
+    The histogram of totals has a few thousand rows at most.
+    """
+    steps = table.where(F.col("order") >= ALWAYS).groupBy(_step(F.col("total")).alias("step")).agg(F.sum(F.size("symbols")).alias("n"))
+    room, cut = max_nodes, None
+    for row in sorted(steps.collect(), reverse=True):
+        room -= row["n"]
+        if room < 0:
+            break
+        cut = row["step"]
+    above = F.lit(False) if cut is None else _step(F.col("total")) >= cut
+    return (F.col("order") < ALWAYS) | above
+
 
-    counted = docs.select("text").mapInArrow(scan, "kind int, item binary, n long")
-    return counted.groupBy("kind", "item").agg(F.sum("n").alias("n"))
+def looked_up(codes: DataFrame, rare: DataFrame, table: DataFrame, model, order: int) -> DataFrame:
+    """(code, p): log10 probabilities of distinct grams, columns code and known (the longest context that the trie has).
 
+    rare: the contexts that the trie lacks, table: all. A step for each order joins the grams that are still open with the
+    rare contexts of that order; what is left then ends in the trie.
+    """
+    mask = F.expr("shiftleft(1L, 8 * (order - 1)) - 1")
+    upper = table.select(
+        (F.col("order") + 1).alias("order"), F.col("context").alias("parent"), F.col("total").alias("ptotal"), F.col("symbols").alias("psymbols")
+    )
+    mine = F.transform("symbols", lambda e: e["s"])
+    seen = F.aggregate(
+        F.filter("psymbols", lambda e: F.array_contains(mine, e["s"])), F.lit(0).cast("long"), lambda a, e: a + e["n"]
+    )
+    fresh = F.size("psymbols") - F.size("symbols")
+    rare = checkpoint(
+        rare.withColumn("parent", F.col("context").bitwiseAND(mask))
+        .join(upper, ["order", "parent"])
+        .select("order", "context", "total", "symbols", fresh.cast("double").alias("fresh_here"), (F.col("ptotal") - seen + fresh).cast("double").alias("base_here"))
+    )
+    none = F.lit(None).cast("double")
+    state = codes.select("code", "known", F.lit(0.0).alias("p"), F.lit(False).alias("done"), none.alias("base"), none.alias("fresh"))
+    for k in range(order, ALWAYS - 1, -1):
+        open_ = ~F.col("done") & (F.col("known") < k)
+        context = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * k) - 1))
+        state = state.withColumn("context", F.when(open_, context).otherwise(-1 - F.col("code")))  # of its own, to spread
+        here = rare.where(F.col("order") == k).drop("order")
+        count = F.get(F.filter("symbols", lambda e: e["s"] == F.col("code").bitwiseAND(F.lit(255))), F.lit(0))["n"]
+        distinct = F.size("symbols")
+        state = state.join(here, "context", "left").withColumn("count", count)
+        base = F.coalesce("base", F.col("total") + distinct)
+        left = F.coalesce("fresh", distinct.cast("double"))
+        there, hit = F.col("total").isNotNull(), F.col("count").isNotNull()
+        cost = F.when(hit, F.log10(F.col("count") / base)).when(there & (left > 0), F.log10(left / base)).otherwise(0.0)
+        state = state.select(
+            "code",
+            "known",
+            (F.col("p") + cost).alias("p"),
+            (F.col("done") | hit).alias("done"),
+            F.when(there, F.col("base_here")).otherwise(F.col("base")).alias("base"),
+            F.when(there, F.col("fresh_here")).otherwise(F.col("fresh")).alias("fresh"),
+        )
+
+    def finish(batches):
+        for batch in batches:
+            codes, known, p, done, base, fresh = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            p = p.copy()
+            for k in np.unique(known[~done]):
+                at = np.flatnonzero(~done & (known == k))
+                p[at] += model.value[0].log10(codes[at].astype(np.uint64), int(k), base[at].astype(np.float64), fresh[at].astype(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["code", "p"])
 
-def _eights(codes: np.ndarray) -> list[bytes]:
-    raw = codes.astype(">u8").tobytes()
-    return [raw[i : i + 8] for i in range(0, len(raw), 8)]
+    return state.mapInArrow(finish, "code long, p double")
 
 
 def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
@@ -234,7 +352,8 @@ def score_documents(
     Rows whose crc32 of the id as text is divisible by 10 are held out, a null id counting as empty text; all others
     train. Tokens are the words in lower case and one end. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1))), score is
     the model's log10 probability of the bytes and their end. A null text is empty. Repeated rows count each time.
-    Without training rows every count is 0. Other columns are ignored.
+    Without training rows every count is 0, an empty table gives none. Texts are read whole, in chunks. Other columns are
+    ignored, whatever their names.
     """
     doc_id, text = named(docs, id_col, text_col)
     rows = docs.select(
@@ -250,17 +369,21 @@ def score_documents(
     bottom = train_tokens + SMOOTHING * (distinct + 1)
     unseen, end = math.log10(SMOOTHING / bottom), math.log10((texts + SMOOTHING) / bottom)
 
-    grams = counts.where("kind = 1").select("item", "n")
-    grams = most_frequent(grams, 2 * max_nodes)  # no more than this reaches the driver, where the trie is pruned to max_nodes
-    table = grams.toArrow()
-    raw = b"".join(table.column(0).to_pylist())
-    trie = Trie(
-        np.frombuffer(raw, dtype=">u8").astype(np.uint64), table.column(1).to_numpy().astype(np.int64), order, max_nodes
-    )
+    table = checkpoint(contexts(counts.where("kind = 1").select("code", "n"), order))
+    chosen = frequent_contexts(table, max_nodes)
+    grams = table.where(chosen).select("order", "context", F.explode("symbols").alias("e"))
+    grams = grams.select("order", F.shiftleft("context", 8).bitwiseOR(F.col("e.s")).alias("code"), "e.n").toArrow()  # about max_nodes rows
+    level, codes, times = (grams.column(k).to_numpy() for k in range(3))
+    rare = checkpoint(table.where(~chosen))
+    at = [np.flatnonzero(level == k) for k in range(order + 1)]
+    at = [x[np.argsort(codes[x])] for x in at]
+    trie = Trie([(codes[x].astype(np.uint64), times[x]) for x in at], rare.isEmpty())
     top = most_frequent(known, frequent).select("item", "n").toArrow()
     common = {w: math.log10((c + SMOOTHING) / bottom) for w, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist())}
-    context = docs.sparkSession.sparkContext
-    model = context.broadcast((trie, common))
+    model = docs.sparkSession.sparkContext.broadcast((trie, common))
+    names = ["doc_id", "held_out", "n_tokens", "n_seen", "base", "score", "n_bytes", "rest", "codes", "times", "known"]
+    longs = pa.list_(pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), longs, longs, longs)
 
     def scan(batches):
         trie, common = model.value
@@ -275,23 +398,29 @@ def score_documents(
                     rest = [word for word, value in zip(found, values) if value is None]
                     base = end + sum(value for value in values if value is not None)
                     seen = int(texts > 0) + len(found) - len(rest)
-                    out.append((len(found) + 1, seen, base, trie.score(text), len(text), rest))
+                    score, lack, times = trie.score(text)
+                    out.append((len(found) + 1, seen, base, score, len(text), rest, lack.view(np.int64), times, trie.known_order(lack)))
                 columns = list(zip(*out))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                    ["doc_id", "held_out", "n_tokens", "n_seen", "base", "score", "n_bytes", "rest"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
     first = checkpoint(
         rows.mapInArrow(
             scan,
-            "doc_id long, held_out boolean, n_tokens long, n_seen long, base double, score double, n_bytes long, rest array<binary>",
+            "doc_id long, held_out boolean, n_tokens long, n_seen long, base double, score double, n_bytes long, "
+            "rest array<binary>, codes array<long>, times array<long>, known array<long>",
         ).withColumn("row", F.monotonically_increasing_id())
     )
-    rare = first.select("row", F.explode("rest").alias("item")).join(known.select("item", "n"), "item", "left")
+    words = first.select("row", F.explode("rest").alias("item")).join(known.select("item", "n"), "item", "left")
     value = F.when(F.col("n").isNull(), F.lit(unseen)).otherwise(F.log10((F.col("n") + SMOOTHING) / bottom))
-    added = rare.groupBy("row").agg(F.sum(value).alias("more"), F.count("n").alias("more_seen"))
+    added = words.groupBy("row").agg(F.sum(value).alias("more"), F.count("n").alias("more_seen"), F.lit(0.0).alias("bits"))
+    if not trie.whole:
+        lack = first.select("row", F.explode(F.arrays_zip("codes", "times", "known")).alias("g")).select("row", "g.codes", "g.times", "g.known")
+        wanted = lack.groupBy(F.col("codes").alias("code")).agg(F.first("known").alias("known"))
+        values = looked_up(wanted, rare, table, model, order)
+        bits = lack.join(values, lack["codes"] == values["code"]).groupBy("row").agg(F.sum(F.col("p") * F.col("times")).alias("bits"))
+        none = F.lit(0).cast("long")
+        added = added.unionByName(bits.select("row", F.lit(0.0).alias("more"), none.alias("more_seen"), "bits"))
+        added = added.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "more_seen", "bits")))
     return first.join(added, "row", "left").select(
         "doc_id",
         "held_out",
@@ -299,6 +428,6 @@ def score_documents(
         (F.col("n_seen") + F.coalesce("more_seen", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("bits", F.lit(0.0))).alias("score"),
         "n_bytes",
     )
