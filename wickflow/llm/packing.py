@@ -51,7 +51,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.letters = byte_characters()
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -62,8 +61,8 @@ class WordTokenizer:
 
     def _split(self, word: str) -> bytes | None:
         letters = word.rstrip(self.MARKS)
-        if not letters.isalpha() or max(letters) >= "\u0250":  # of the letters below, lower case and NFC are plain
-            return None
+        if not letters.isalpha() or max(letters) >= "\u0250" or "\u0130" in letters:
+            return None  # of the letters below U+0250, lower case is one letter for all but U+0130, and NFC is plain
         found = []
         for part, core in ((letters.lower(), True), (word[len(letters) :], False)):
             if part and part not in self.parts:
