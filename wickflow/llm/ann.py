@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-A vector, scaled to length 1, is hashed by the cells of a few Gaussian projections; a table has as many
-projections as keep its buckets at a bounded size, so they grow with the logarithm of the rows. A query visits
-buckets from its own outward, in the order of their estimated chance to hold a near neighbour, until the chances
-add up to the wanted share. The chance that a neighbour lies in a cell follows from the normal spread of its
-projection, given a distance that is fitted on a bounded sample. The tables' candidates are merged and
-ranked by exact cosine.
+A vector, scaled to length 1, is hashed by the cells of a few Gaussian projections. A query visits buckets from its own
+outward, in the order of their estimated chance to hold a near neighbour, until the chances add up to the
+wanted share. The chance that a neighbour lies in a cell follows from the normal spread of its projection, given a
+distance that is fitted on a bounded sample. The tables' candidates are merged and ranked by exact cosine.
+
+How many tables and projections there are is chosen by the expected cost of a query, rows to score and buckets to visit,
+which the sample shows too. Near neighbours make that few of the rows; where they are almost as far as any
+row, as among random vectors of many dimensions, most rows have to be scored, and one coarse table is best.
 """
 
 from __future__ import annotations
@@ -19,21 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickflow.llm.common import checkpoint, named
+from wickflow.llm.common import checkpoint, join_counted, named
 
-TABLES = 2
-#: Share of the chance that the probes of one table cover; two tables miss about the square of the rest.
-COVERAGE = 0.8
+#: Share of near neighbours that all tables together are to find.
+TARGET = 0.95
 CELL = 1.0
-#: Wanted rows in a bucket, and the most entries and queries (about) that one comparison takes.
-OCCUPANCY = 1024
+#: Numbers of tables that are considered, and most projections of one.
+TABLES, MOST_FUNCTIONS = (1, 2, 3), 24
+#: Rows that can be scored for the price of visiting one bucket.
+PROBE_COST = 30
+#: Most entries and queries (about) that one comparison takes, and queries that share a task's entries.
 CHUNK = 1024
 QUERY_BLOCK = 64
+QUERY_SLOT = 4096
 #: Queries whose best entries a task holds before it hands them on.
 HELD_QUERIES = 50_000
-#: Rows of the sample that the expected distance is fitted on, and queries among them.
-SAMPLE, SAMPLE_QUERIES = 4096, 256
-MOST_FUNCTIONS = 24
+#: Rows of the sample that distance and cost are fitted on, and queries among them.
+SAMPLE, SAMPLE_QUERIES, COST_QUERIES = 4096, 256, 24
 
 
 def projections(seed: int, dims: int, tables: int, functions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +106,49 @@ def expected_distance(sample: np.ndarray, k: int) -> float:
     return float(np.sqrt(np.maximum(2 - 2 * np.quantile(near[:, -1], 0.3), 1e-6))) if len(sample) > 1 else 1.0
 
 
+def share_of_each(target: float, tables: int) -> float:
+    """Coverage of one table if so many find the target together."""
+    return 1 - (1 - target) ** (1 / tables)
+
+
+def expected_cost(sample: np.ndarray, spread: float, a: np.ndarray, b: np.ndarray, coverage: float, rows: int, most: float) -> float:
+    """Rows scored and buckets visited (at PROBE_COST) for a query in one table; infinite once it is above `most`."""
+    unit = sample / np.linalg.norm(sample, axis=1)[:, None]
+    values = unit @ a.T + b
+    cells, counts = np.unique(np.floor(values / CELL).astype(np.int64), axis=0, return_counts=True)
+    held = dict(zip(map(tuple, cells.tolist()), counts.tolist()))
+    cost, queries = 0.0, values[:COST_QUERIES]
+    for v in queries:
+        for bucket in probes(v, spread, coverage):
+            cost += PROBE_COST + rows * held.get(bucket, 0) / len(sample)
+            if cost > most * len(queries):
+                return math.inf
+    return cost / len(queries)
+
+
+def layout(sample: np.ndarray, spread: float, rows: int, target: float, seed: int) -> tuple[int, int]:
+    """(tables, projections) of least expected cost; more projections are tried as long as they come near to the best."""
+    best, most = (math.inf, 1, 1), 4.0 * (rows + PROBE_COST)
+    for tables in TABLES:
+        worse = 0
+        for functions in range(1, MOST_FUNCTIONS + 1):
+            a, b = projections(seed, sample.shape[1], tables, functions)
+            limit = min(most, 2 * best[0]) / tables
+            cost = tables * expected_cost(sample, spread, a[0], b[0], share_of_each(target, tables), rows, limit)
+            worse = 0 if cost < best[0] else worse + 1
+            best = min(best, (cost, tables, functions))
+            if worse > 2:
+                break
+    return best[1], best[2]
+
+
 def nearest(
     vectors: DataFrame,
     queries,
     k: int = 5,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    tables: int = TABLES,
-    coverage: float = COVERAGE,
+    target: float = TARGET,
     seed: int = 8,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query by cosine, ties to the smaller id.
@@ -117,8 +156,9 @@ def nearest(
     queries: SQL condition on vec_id that picks the query rows; candidates are all rows of another id. Rows with
     a null id, and vectors that are null, empty, zero, of another than the commonest length, or hold null or
     non-finite components take no part. Equal vectors are indexed once, with their k + 1 smallest ids, which is all
-    that ranks can show; equal rows count once. An id with several vectors counts by its nearest. A query
-    for which the buckets gave fewer than k is held against all rows in blocks.
+    that ranks can show, and are asked once; equal rows count once. An id with several vectors counts by its nearest. A
+    query for which the buckets gave fewer than k is held against all rows in blocks. An empty table gives none, and other
+    columns are ignored, whatever their names.
     """
     vec_id, vector = named(vectors, id_col, vector_col)
     usable = vectors.select(vec_id.cast("long").alias("vec_id"), vector.cast("array<double>").alias("v")).where(
@@ -134,7 +174,9 @@ def nearest(
         .groupBy(*hashes, "vec_id")
         .agg(F.first("v").alias("v"))
     )
-    asked = checkpoint(usable.where(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+    asked = checkpoint(usable.where(queries).select("h1", "h2", F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+    distinct = asked.groupBy("h1", "h2").agg(F.first("q").alias("q"), F.count("*").alias("n"), F.min("query_id").alias("query_id"))
+    distinct = checkpoint(distinct)
     smallest = F.row_number().over(Window.partitionBy(*hashes).orderBy("vec_id"))
     classes = checkpoint(
         usable.withColumn("at", smallest)
@@ -143,9 +185,11 @@ def nearest(
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
     )
     count = classes.count()
-    functions = min(MOST_FUNCTIONS, max(1, math.ceil(math.log(max(count / OCCUPANCY, 1.01), 4))))
     sample = classes.orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()
-    spread = expected_distance(np.array(sample.column(0).to_pylist(), dtype=np.float64).reshape(-1, dims), k)
+    sample = np.array(sample.column(0).to_pylist(), dtype=np.float64).reshape(-1, dims)
+    spread = expected_distance(sample, k)
+    tables, functions = layout(sample, spread, count, target, seed) if count else (1, 1)
+    coverage = share_of_each(target, tables)
     a, b = projections(seed, dims, tables, functions)
 
     def hashed(column):
@@ -171,19 +215,30 @@ def nearest(
     entries = classes.select("ids", "v").mapInArrow(index, "ids array<long>, v array<double>, buckets array<long>")
     found = _compare(
         entries.select(F.explode("buckets").alias("bucket"), "ids", "v"),
-        asked.mapInArrow(probe, "query_id long, q array<double>, bucket long"),
-        k,
+        distinct.select("query_id", "q").mapInArrow(probe, "query_id long, q array<double>, bucket long"),
+        k + 1,
     )
-    found = checkpoint(_best(found, k))
-    enough = found.groupBy("query_id").count().where(F.col("count") >= k)
-    short = checkpoint(asked.join(enough, "query_id", "left_anti"))
+    found = checkpoint(_best(found, k + 1))
+    enough = found.groupBy("query_id").count().where(F.col("count") > k)
+    short = checkpoint(distinct.join(enough, "query_id", "left_anti"))
     if not short.isEmpty():
         parts = max(1, -(-count // 8192))
         everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("bucket")
         every = classes.select(F.pmod("h1", F.lit(parts)).alias("bucket"), "ids", "v")
-        full = _best(_compare(every, short.select("query_id", "q", everywhere), k), k)
+        full = _best(_compare(every, short.select("query_id", "q", everywhere), k + 1), k + 1)
         found = found.join(short, "query_id", "left_anti").unionByName(full)
-    return found
+    near = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("near"))
+    answers = distinct.select("h1", "h2", "query_id", "n").join(near, "query_id").drop("query_id")
+    own = join_counted(asked.select("h1", "h2", "query_id"), checkpoint(answers), ["h1", "h2"], asked.count())
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    rows = own.select("query_id", F.posexplode(others).alias("at", "x"))
+    rows = rows.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
+    return rows if sizes is None or not _repeated(asked) else _best(rows.drop("rank"), k)
+
+
+def _repeated(asked: DataFrame) -> bool:
+    """Whether a query id comes with several vectors."""
+    return not asked.groupBy("query_id").count().where("count > 1").isEmpty()
 
 
 def _blocks(rows: DataFrame, size: int, ids: str, vector: str, key: str) -> DataFrame:
@@ -194,12 +249,16 @@ def _blocks(rows: DataFrame, size: int, ids: str, vector: str, key: str) -> Data
         rows.join(counts, "bucket")
         .groupBy("bucket", block.alias("block"))
         .agg(F.collect_list(F.struct(F.col(ids).alias("id"), F.col(vector).alias("v"))).alias("members"))
-        .select("bucket", F.col("members.id").alias(f"{ids}s"), F.flatten("members.v").alias(f"{vector}s"))
+        .select("bucket", "block", F.col("members.id").alias(f"{ids}s"), F.flatten("members.v").alias(f"{vector}s"))
     )
 
 
 def _compare(entries: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): blocks of queries beside blocks of entries of a bucket; from each task, the k best of each query."""
+    """(query_id, vec_id, score): blocks of queries beside blocks of entries of a bucket; from each task, the k best of each query.
+
+    A bucket's entry blocks are dealt over tasks one by one, each with the query blocks of a slot, so a large bucket is not
+    one task's.
+    """
 
     def rank(batches):
         held: dict[int, dict[int, float]] = {}
@@ -216,22 +275,26 @@ def _compare(entries: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for asked, q, groups, v in zip(*(c for c in batch.columns)):
                 asked, groups = asked.as_py(), groups.as_py()
                 near = _cosines(q.values.to_numpy().reshape(len(asked), -1), v.values.to_numpy().reshape(len(groups), -1))
-                kth = np.partition(near, -min(k + 1, len(groups)), axis=1)[:, -min(k + 1, len(groups))]
+                kth = np.partition(near, -min(k, len(groups)), axis=1)[:, -min(k, len(groups))]
                 for i, query in enumerate(asked):
                     best = held.setdefault(query, {})
                     for c in np.flatnonzero(near[i] >= kth[i]):
                         for x in groups[c]:
-                            if x != query:
-                                best[x] = max(best.get(x, -2.0), float(near[i, c]))
+                            best[x] = max(best.get(x, -2.0), float(near[i, c]))
                     if len(best) > k:
                         held[query] = dict(sorted(best.items(), key=lambda b: (-b[1], b[0]))[:k])
             if len(held) > HELD_QUERIES:
                 yield from flush()
         yield from flush()
 
-    left = _blocks(wanted, QUERY_BLOCK, "query_id", "q", "query_id")
+    left = _blocks(wanted, QUERY_BLOCK, "query_id", "q", "query_id").withColumn("slot", F.floor(F.col("block") / (QUERY_SLOT // QUERY_BLOCK)))
     right = _blocks(entries, CHUNK, "ids", "v", "ids").withColumnRenamed("idss", "groups")
-    return left.join(right, "bucket").select("query_ids", "qs", "groups", "vs").mapInArrow(
+    entry_blocks = right.groupBy("bucket").agg(F.max("block").alias("last"))
+    slots = left.groupBy("bucket").agg(F.max("slot").alias("last"))
+    start = F.lit(0).cast("long")
+    left = left.drop("block").join(entry_blocks, "bucket").withColumn("block", F.explode(F.sequence(start, F.col("last")))).drop("last")
+    right = right.join(slots, "bucket").withColumn("slot", F.explode(F.sequence(start, F.col("last")))).drop("last")
+    return left.join(right, ["bucket", "block", "slot"]).select("query_ids", "qs", "groups", "vs").mapInArrow(
         rank, "query_id long, vec_id long, score double"
     )
 

@@ -47,3 +47,18 @@ def word_count(text: Column) -> Column:
 def named(df: DataFrame, *names: str) -> list[Column]:
     """Columns by exact name, whatever other columns or dots in names there are."""
     return [df[f"`{n}`"] for n in names]
+
+
+#: A key of more than this share of all rows is joined by broadcast; there are fewer of them.
+HOT = 1024
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join with a table of one row for each key and the number n of its rows; very frequent keys don't move the rows.
+
+    At most HOT keys have more than total / HOT rows; these rows of the table are broadcast, the others join by a shuffle.
+    """
+    often = F.col("n") > total / HOT
+    hot = F.broadcast(table.where(often).drop("n"))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(~often).drop("n"), keys)
+    return cold.unionByName(rows.join(hot, keys))
