@@ -160,17 +160,18 @@ def star_links(a: np.ndarray, b: np.ndarray, bound: int, allowed: np.ndarray, sa
 
 
 def _runs(columns: list[np.ndarray], size: int, held: list[np.ndarray], last: bool):
-    """Runs of `size` rows out of what was held and what came, and what is left."""
+    """Runs of at most `size` rows of one order (the first column) out of what was held and what came, and what is left."""
     held = [np.concatenate([h, c]) for h, c in zip(held, columns)] if held else columns
-    full = len(held[0]) // size * size
-    if last and full < len(held[0]):
-        full = len(held[0])
-    return [[h[i : min(i + size, full)] for h in held] for i in range(0, full, size)], [h[full:] for h in held]
+    runs, starts = [], np.flatnonzero(np.diff(held[0])) + 1
+    for a, b in zip([0, *starts.tolist()], [*starts.tolist(), len(held[0])]):
+        end = b if last or b < len(held[0]) else a + (b - a) // size * size
+        runs += [[h[i : min(i + size, end)] for h in held] for i in range(a, end, size)]
+    return runs, [h[end:] for h in held]
 
 
 def _node_rows(size: int, makes_node: Callable, names: list[str], kinds: list[pa.DataType]):
-    """A mapInArrow function: rows of long columns into runs of `size`, each with its id, mask and bits."""
-    schema = pa.schema([("block", pa.int64()), ("mask", pa.int64()), ("bits", pa.int64()), *zip(names, kinds)])
+    """A mapInArrow function: rows of long columns into runs of `size`, each with its id, order, mask and bits."""
+    schema = pa.schema([("block", pa.int64()), ("turn", pa.int64()), ("mask", pa.int64()), ("bits", pa.int64()), *zip(names, kinds)])
 
     def cut(batches):
         part, serial, held = TaskContext.get().partitionId(), 0, []
@@ -178,16 +179,17 @@ def _node_rows(size: int, makes_node: Callable, names: list[str], kinds: list[pa
         def emit(runs):
             nonlocal serial
             rows = []
-            for run in runs:
+            for turn, *run in runs:
                 mask, bits = makes_node(run)
                 serial += 1
-                rows.append(((part << 32) + serial, int(mask.view(np.int64)), int(bits.view(np.int64)), *run))
+                rows.append(((part << 32) + serial, int(turn[0]), int(mask.view(np.int64)), int(bits.view(np.int64)), *run))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
 
         for batch in batches:
-            runs, held = _runs([c.to_numpy(zero_copy_only=False) for c in batch.columns], size, held, False)
-            if runs:
-                yield emit(runs)
+            if batch.num_rows:
+                runs, held = _runs([c.to_numpy(zero_copy_only=False) for c in batch.columns], size, held, False)
+                if runs:
+                    yield emit(runs)
         if held and len(held[0]):
             yield emit(_runs([h[:0] for h in held], size, held, True)[0])
 
@@ -195,32 +197,36 @@ def _node_rows(size: int, makes_node: Callable, names: list[str], kinds: list[pa
 
 
 def block_pairs(blocks: DataFrame, allowed: np.ndarray, max_nodes: int, fan_in: int) -> DataFrame:
-    """(a, b): pairs of blocks, a <= b, that may hold near fingerprints; blocks have block, mask and bits in Gray order."""
+    """(a, b): pairs of blocks of one order, a <= b, that may hold near fingerprints; blocks have block, turn, mask and bits."""
     longs = pa.list_(pa.int64())
     kids = ["kids", "kid_masks", "kid_bits"]
 
     def above(run):
         return shared(run[1].view(np.uint64), run[2].view(np.uint64))
 
-    nodes, levels = blocks.select("block", "mask", "bits"), []
+    columns = ["turn", "block", "mask", "bits"]
+    nodes, levels = blocks.select(*columns), []
     count = nodes.count()
     while count > max_nodes:
-        schema = "block long, mask long, bits long, kids array<long>, kid_masks array<long>, kid_bits array<long>"
+        schema = "block long, turn long, mask long, bits long, kids array<long>, kid_masks array<long>, kid_bits array<long>"
         upper = checkpoint(nodes.mapInArrow(_node_rows(fan_in, above, kids, [longs] * 3), schema))
         fewer = upper.count()
         if fewer > count // 2:  # a few nodes in each of many partitions
             break
         levels.append(upper.select("block", *kids))
-        nodes, count = upper.select("block", "mask", "bits"), fewer
-    top = nodes.orderBy("block").toPandas()  # at most max_nodes and one for each partition and level
-    index = GrayIndex(*(top[c].to_numpy().view(t) for c, t in (("block", np.int64), ("mask", np.uint64), ("bits", np.uint64)))) if len(top) else None
+        nodes, count = upper.select(*columns), fewer
+    top = nodes.orderBy("block").toPandas()  # at most max_nodes and one for each partition, level and order
+    index = {
+        turn: GrayIndex(*(part[c].to_numpy().view(t) for c, t in (("block", np.int64), ("mask", np.uint64), ("bits", np.uint64))))
+        for turn, part in top.groupby("turn")
+    }
     index = blocks.sparkSession.sparkContext.broadcast(index)
 
     def route(batches):
         for batch in batches:
             left, right = [], []
-            for node, mask, bits in zip(*(c.to_pylist() for c in batch.columns)):
-                found = index.value.partners(np.int64(mask).view(np.uint64), np.int64(bits).view(np.uint64), allowed)
+            for turn, node, mask, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                found = index.value[turn].partners(np.int64(mask).view(np.uint64), np.int64(bits).view(np.uint64), allowed)
                 found = found[found >= node]
                 left.append(np.full(len(found), node))
                 right.append(found)
@@ -249,31 +255,33 @@ def links(
     prints: DataFrame,
     find: Callable,
     allowed: np.ndarray,
-    turn: int = 0,
+    turns: int = 1,
     carried: tuple[str, ...] = (),
     most: int = MOST_BLOCK,
     max_nodes: int = MAX_NODES,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """(u, v) of what find(a, b, same) returns for all pairs of blocks that can be near, in one Gray order.
+    """(u, v) of what find(a, b, same) returns for all pairs of blocks that can be near, in one Gray order or in several.
 
-    prints: distinct rows of longs, fp and the columns in `carried`; a and b are lists of arrays in that order. The order is
-    that of the fingerprints rotated by `turn` bits, and so are they in blocks, which changes no distance.
+    prints: distinct rows of longs, fp and the columns in `carried`; a and b are lists of arrays in that order. Each further
+    order is that of the fingerprints rotated by so many bits, and so are they in its blocks, which changes no distance.
     """
     columns = ["fp", *carried]
-    prints = prints.select(rotated(F.col("fp"), turn).alias("fp"), *carried)
     size = min(most, max(LEAST_BLOCK, -(-prints.count() // BLOCKS)))
     longs = pa.list_(pa.int64())
 
     def own(run):
         return shared(np.full(1, ALL), run[0].view(np.uint64))
 
-    schema = "block long, mask long, bits long, " + ", ".join(f"{c} array<long>" for c in columns)
+    orders = F.array(*(F.struct(F.lit(t).cast("long").alias("turn"), rotated(F.col("fp"), 64 * t // turns).alias("fp")) for t in range(turns)))
+    schema = "block long, turn long, mask long, bits long, " + ", ".join(f"{c} array<long>" for c in columns)
     blocks = checkpoint(
-        prints.withColumn("rank", gray_rank(F.col("fp")))
-        .repartitionByRange("rank")
-        .sortWithinPartitions("rank")
-        .select(*columns)
+        prints.select(F.explode(orders).alias("o"), *carried)
+        .select("o.turn", "o.fp", *carried)
+        .withColumn("rank", gray_rank(F.col("fp")))
+        .repartitionByRange("turn", "rank")
+        .sortWithinPartitions("turn", "rank")
+        .select("turn", *columns)
         .mapInArrow(_node_rows(size, own, columns, [longs] * len(columns)), schema)
     )
     pairs = block_pairs(blocks, allowed, max_nodes, fan_in)

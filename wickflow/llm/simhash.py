@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from wickflow.llm import gray_index
-from wickflow.llm.common import checkpoint, named
+from wickflow.llm.common import checkpoint, join_counted, named
 from wickflow.llm.components import connected_components
 from wickflow.llm.gray_index import SIGN
 
@@ -29,9 +29,13 @@ WIDTH, SIMILARITY = 5, 0.8
 TURNS, COVERAGE = 3, 0.85
 #: Standard deviations above the expected difference that still count as near.
 SLACK = 2.8
-#: A fingerprint of more than this share of all rows is joined by broadcast: there are at most so many of them.
-HOT = 1024
+#: Bits of the fingerprint by which near classes find their nearest.
+LONG_BITS = 1024
+#: Numbers by which texts to be fetched are looked for.
 BUCKETS = 1 << 20
+#: A key holds the differing bits above the number of a node.
+NODE_BITS = 54
+NOTHING = np.iinfo(np.int64).max
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -113,11 +117,7 @@ def near_duplicates(
     )
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = checkpoint(linked.join(smallest, "root").select("fp", "component_id", "n"))
-    often = F.col("n") > prints.count() / HOT  # fewer than HOT fingerprints
-    hot = F.broadcast(found.where(often).drop("n"))
-    rows = prints.select("doc_id", "fp")
-    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(found.where(~often).drop("n"), "fp")
-    return cold.unionByName(rows.join(hot, "fp")).select("doc_id", "fp", "component_id")
+    return join_counted(prints.select("doc_id", "fp"), found, ["fp"], prints.count()).select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -125,9 +125,9 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def second_hashes(hashes: np.ndarray) -> np.ndarray:
-    """Other 64 bits of each hash, for a second fingerprint."""
-    x = hashes ^ np.uint64(0x9E3779B97F4A7C15)
+def other_hashes(hashes: np.ndarray, serial: int = 1) -> np.ndarray:
+    """Other 64 bits of each hash, for a further fingerprint."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(serial)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -157,7 +157,7 @@ def _classes(texts: DataFrame, width: int) -> DataFrame:
             for text in batch.column(2).cast(pa.binary()):
                 found = shingle_set(text.as_py() or b"", width)
                 raw = found.tobytes()
-                values = xxh64_intdigest(raw, 1), xxh64_intdigest(raw, 2), majority(found), majority(second_hashes(found))
+                values = xxh64_intdigest(raw, 1), xxh64_intdigest(raw, 2), majority(found), majority(other_hashes(found))
                 for column, value in zip(columns, values):
                     column.append(value)
             longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns]
@@ -168,39 +168,35 @@ def _classes(texts: DataFrame, width: int) -> DataFrame:
     return checkpoint(sets.groupBy("c1", "c2").agg(low).select("low.*").withColumn("node", F.monotonically_increasing_id()))
 
 
-def _wide_links(prints: DataFrame, similarity: float, stars: bool, turns: int) -> DataFrame:
-    """(u, v) of prints (node, fp, other, root) that are near on both fingerprints, in any of the orders.
+def _nearest(prints: DataFrame, similarity: float, turns: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(u, key): for each of the prints (node, fp, other, root, tried) that has one, its nearest of another root after `tried`.
 
-    With stars, each node that has a near one, with the smallest of them or itself: no more rows than nodes in each pair of
-    blocks. Else all pairs of different roots.
+    Near is what both fingerprints are together, and with the extra ones, in any of the orders. A key is the differing
+    bits and then the node.
     """
-    one, both = near_bound(64, similarity), near_bound(128, similarity)
+    one, two, every = (near_bound(bits, similarity) for bits in (64, 128, 128 + 64 * len(extra)))
     allowed = gray_index.likely(bit_rate(similarity), COVERAGE)
 
     def find(a, b, same):
-        left, right = a[1].copy(), b[1].copy()
-        seen = np.zeros(len(left), bool), np.zeros(len(right), bool)
-        pairs = [np.empty((2, 0), np.int64)]
+        best = [np.full(len(x[1]), NOTHING) for x in (a, b)]
         for x, y in gray_index.near_indices(a[0], b[0], one, allowed, same):
-            far = np.bitwise_count(a[0][x] ^ b[0][y]) + np.bitwise_count((a[2][x] ^ b[2][y]).view(np.uint64))
-            near = (far <= both) & (stars | (a[3][x] != b[3][y]))
-            x, y = x[near], y[near]
-            if stars:
-                np.minimum.at(left, x, b[1][y])
-                np.minimum.at(right, y, a[1][x])
-                seen[0][x] = seen[1][y] = True
-            elif len(x):
-                u, v = a[1][x], b[1][y]
-                pairs.append(np.array([np.minimum(u, v), np.maximum(u, v)]))
-        if stars:
-            pairs += [np.array([n[s], low[s]]) for n, s, low in ((a[1], seen[0], left), (b[1], seen[1], right))]
-        return np.concatenate(pairs, axis=1)
-
-    orders = [gray_index.links(prints, find, allowed, 64 * t // turns, ("node", "other", "root")) for t in range(turns)]
-    found = orders[0]
-    for more in orders[1:]:
-        found = found.union(more)
-    return found.groupBy("u").agg(F.min("v").alias("v")) if stars else found.distinct()
+            far = np.bitwise_count(a[0][x] ^ b[0][y]) + np.bitwise_count((a[2][x] ^ b[2][y]).view(np.uint64)).astype(np.int64)
+            near = (far <= two) & (a[3][x] != b[3][y])
+            x, y, far = x[near], y[near], far[near]
+            for p, q in zip(a[5:], b[5:]):
+                far += np.bitwise_count((p[x] ^ q[y]).view(np.uint64))
+            if extra:
+                near = far <= every
+                x, y, far = x[near], y[near], far[near]
+            far <<= NODE_BITS
+            for low, at, mine, other in ((best[0], x, a, b[1][y]), (best[1], y, b, a[1][x])):
+                key = far | other
+                fresh = key > mine[4][at]
+                np.minimum.at(low, at[fresh], key[fresh])
+        return [np.concatenate(c) for c in zip(*((n[low < NOTHING], low[low < NOTHING]) for n, low in ((a[1], best[0]), (b[1], best[1]))))]
+
+    found = gray_index.links(prints, find, allowed, turns, ("node", "other", "root", "tried", *extra))
+    return found.groupBy("u").agg(F.min("v").alias("key"))
 
 
 def keep_one(
@@ -217,13 +213,14 @@ def keep_one(
     more. Equal sets are one class however often they come; texts without words are equal, null counting as empty. Of
     rows that repeat the kept id and text, one stays. An empty table stays empty; texts are read whole.
 
-    First each class is held against the smallest that is near, which joins large groups at the cost of one link a
-    member; then all near pairs that this left in different groups are.
+    Classes that have a near one get a longer fingerprint, of 1,024 bits. Each of them is then held against the nearest that
+    it was not held against and is not joined with yet, in rounds, until a round joins nothing more. So a round costs at
+    most one comparison a class, however large a group is.
     """
     texts = _texts(docs, id_col, text_col)
     classes = _classes(texts, width)
-    prints = classes.select("node", "fp", "other", F.col("node").alias("root"))
-    first = checkpoint(_wide_links(prints, similarity, True, turns))
+    prints = classes.select("node", "fp", "other", F.col("node").alias("root"), F.lit(-1).cast("long").alias("tried"))
+    first = checkpoint(_nearest(prints, similarity, turns).select("u"))
 
     def bucket(key):
         return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
@@ -233,7 +230,16 @@ def keep_one(
     spots = checkpoint(spots.join(first.select(F.col("u").alias("node")), "node", "left_semi"))
     there = spots.select(bucket("key").alias("bucket")).distinct()  # at most BUCKETS rows
     suspects = keyed.join(F.broadcast(there), bucket(keyed["key"]) == there["bucket"], "left_semi").join(spots, ["key", "row_hash"])
-    suspects = checkpoint(suspects.groupBy("node").agg(F.first("text").alias("text")))
+    suspects = suspects.groupBy("node").agg(F.first("text").alias("text"))
+    extra = tuple(f"s{k}" for k in range(2, LONG_BITS // 64))
+
+    def lengthen(batches):
+        for batch in batches:
+            sets = [shingle_set(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            more = [pa.array(np.array([majority(other_hashes(s, k)) for s in sets], np.uint64).view(np.int64)) for k in range(2, LONG_BITS // 64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], ["node", "text", *extra])
+
+    suspects = checkpoint(suspects.mapInArrow(lengthen, "node long, text string, " + ", ".join(f"{c} long" for c in extra)))
 
     def verify(batches):
         for batch in batches:
@@ -248,13 +254,20 @@ def keep_one(
         found = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
         return checkpoint(found.mapInArrow(verify, "u long, v long"))
 
-    stars = verified(first.where("u != v"))
-    roots = connected_components(stars).select("node", "component")
-    near = prints.drop("root").join(first.select(F.col("u").alias("node")), "node")
-    near = checkpoint(near.join(roots, "node", "left").select("node", "fp", "other", F.coalesce("component", "node").alias("root")))
-    linked = stars.union(verified(_wide_links(near, similarity, False, turns)))
+    near = prints.join(suspects.drop("text"), "node")
+    reached = suspects.where("false").select("node", F.col("node").alias("component"))
+    while True:
+        found = checkpoint(_nearest(near, similarity, turns, extra))
+        pairs = found.select("u", F.col("key").bitwiseAND(F.lit((1 << NODE_BITS) - 1)).alias("v"))
+        more = verified(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        if more.isEmpty():
+            break
+        stars = reached.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        reached = checkpoint(connected_components(stars.union(more)).select("node", "component"))
+        tried = near.drop("root").join(found.select(F.col("u").alias("node"), "key"), "node", "left")
+        tried = tried.withColumn("tried", F.coalesce("key", "tried")).drop("key").join(reached, "node", "left")
+        near = checkpoint(tried.withColumn("root", F.coalesce("component", "node")).drop("component"))
 
-    reached = connected_components(linked).select("node", "component")
     survivors = (
         classes.join(reached, "node", "left")
         .groupBy(F.coalesce("component", "node").alias("root"))
