@@ -1,9 +1,10 @@
 """Quality rules: a decision list learned by sequential covering and applied as Spark expressions.
 
 Statistics of a text are built-in expressions over its words and lines. The learner sees a bounded sample of
-labelled statistics. It grows one conjunction of thresholds at a time on two thirds of the rows, by the gain in
-information about bad documents, prunes it on the last third, and takes away the rows that it covers, until
-the next rule is not precise enough. The list comes out as ordered conditions with "keep" as default.
+labelled statistics. It grows a conjunction of thresholds for bad and one for good documents on two thirds of the rows, by
+the gain in information, prunes both on the last third, takes the surer one with its verdict, and takes away the
+rows that it covers, until no rule is precise enough. The list comes out as ordered conditions, some that keep and some
+that reject, with "keep" as default.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from wickflow.llm.common import WORD_BREAK
 #: Most labelled rows that a fit reads, the first by hash of their id.
 SAMPLE_ROWS = 8000
 THRESHOLDS = 24
-MIN_PRECISION = 0.95
+MIN_PRECISION, MIN_KEEP_PRECISION = 0.95, 0.99
 MIN_COVER = 5
 MAX_RULES = 12
 MAX_CONDITIONS = 4
@@ -151,8 +152,12 @@ def _thresholds(values: list[float]) -> list[float]:
     return sorted(found)
 
 
-def learn(rows: list[tuple], bad: list[bool]) -> list[Rule]:
-    """Rules for bad documents, in order, from rows of FEATURES. Rows are bit sets here, so a test of a rule is an AND."""
+def learn(rows: list[tuple], bad: list[bool]) -> list[tuple[Rule, bool]]:
+    """(rule, keep) in order, from rows of FEATURES. Rows are bit sets here, so a test of a rule is an AND.
+
+    Each step grows and prunes one rule for bad documents and one for good ones on the rows that no rule covers yet, and
+    takes the one that is surer; what it covers is closed to the next step.
+    """
     if not rows:
         return []
     conditions = []
@@ -162,34 +167,36 @@ def learn(rows: list[tuple], bad: list[bool]) -> list[Rule]:
             above = int("".join("1" if v > cut else "0" for v in reversed(values)), 2)
             conditions += [(Condition(name, True, cut), above), (Condition(name, False, cut), ~above)]
     every = (1 << len(rows)) - 1
-    positive = int("".join("1" if b else "0" for b in reversed(bad)), 2)
+    is_bad = int("".join("1" if b else "0" for b in reversed(bad)), 2)
     pruning = int("".join("1" if i % 3 == 2 else "0" for i in reversed(range(len(rows)))), 2)
-    open_rows, rules = every, []
 
-    def score(cover: int) -> float:
-        p, n = (cover & positive & pruning).bit_count(), (cover & ~positive & pruning).bit_count()
-        return (p - n) / (p + n) if p + n else -1.0
+    def precision(cover: int, positive: int) -> float:
+        """With one row of each kind added, so that few rows are not sure."""
+        return ((cover & positive).bit_count() + 1) / (cover.bit_count() + 2)
 
-    while len(rules) < MAX_RULES:
-        cover, rule = open_rows, []
+    def grown(open_rows: int, positive: int) -> list[tuple[Condition, int]]:
+        """Against the open rows of the other kind, or against all of that kind where none is open."""
+        cover, against, rule = open_rows & positive & ~pruning, open_rows & ~positive & ~pruning, []
+        against = against or every & ~positive & ~pruning
         while len(rule) < MAX_CONDITIONS:
-            grown = cover & ~pruning
-            p, n = (grown & positive).bit_count(), (grown & ~positive).bit_count()
+            p, n = cover.bit_count(), against.bit_count()
             if not p or not n:
                 break
             base, best = math.log2(p / (p + n)), (0.0, None, 0)
             for condition, mask in conditions:
-                p1 = (grown & mask & positive).bit_count()
+                p1 = (cover & mask).bit_count()
                 if p1 >= MIN_COVER:
-                    gain = p1 * (math.log2(p1 / (p1 + (grown & mask & ~positive).bit_count())) - base)
+                    gain = p1 * (math.log2(p1 / (p1 + (against & mask).bit_count())) - base)
                     if gain > best[0] + 1e-9:
                         best = (gain, condition, mask)
             if best[1] is None:
                 break
             rule.append(best[1:])
-            cover &= best[2]
-        if not rule:
-            break
+            cover, against = cover & best[2], against & best[2]
+        return rule
+
+    def candidate(open_rows: int, positive: int, least: float):
+        """(sureness, cover, rule) of the best prefix of a grown rule, or None if it is not precise enough."""
 
         def covered(part):
             out = open_rows
@@ -197,32 +204,47 @@ def learn(rows: list[tuple], bad: list[bool]) -> list[Rule]:
                 out &= mask
             return out
 
-        pruned = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda part: (score(covered(part)), -len(part)))
+        rule = grown(open_rows, positive)
+        if not rule:
+            return None
+        pruned = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda part: (precision(covered(part) & pruning, positive), -len(part)))
         cover = covered(pruned)
-        hits, misses = (cover & positive).bit_count(), (cover & ~positive).bit_count()
-        held = (score(cover) + 1) / 2
-        if hits < MIN_COVER or min(held, hits / (hits + misses)) < MIN_PRECISION:
+        hits = (cover & positive).bit_count()
+        held = cover & pruning
+        found = min(hits / cover.bit_count(), (held & positive).bit_count() / held.bit_count()) if held else 0.0
+        if hits < MIN_COVER or found < least:
+            return None
+        return found, cover, tuple(c for c, _ in pruned)
+
+    open_rows, rules = every, []
+    while len(rules) < MAX_RULES:
+        found = [(candidate(open_rows, is_bad, MIN_PRECISION), False), (candidate(open_rows, every & ~is_bad, MIN_KEEP_PRECISION), True)]
+        found = [(c, keep) for c, keep in found if c is not None]
+        if not found:
             break
-        rules.append(tuple(c for c, _ in pruned))
+        (_, cover, rule), keep = max(found, key=lambda x: (x[0][0], not x[1]))  # of equals, the one that rejects
+        rules.append((rule, keep))
         open_rows &= ~cover
+    while rules and rules[-1][1]:  # what follows the last rejection keeps anyway
+        rules.pop()
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[tuple[Rule, bool]]) -> Column:
     """True for documents to keep: the first rule that holds decides, none means keep."""
     found = None
-    for rule in rules:
+    for rule, keep in rules:
         holds = rule[0].column()
         for condition in rule[1:]:
             holds &= condition.column()
-        found = F.when(holds, F.lit(False)) if found is None else found.when(holds, F.lit(False))
+        found = F.when(holds, F.lit(keep)) if found is None else found.when(holds, F.lit(keep))
     return F.lit(True) if found is None else found.otherwise(F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, bool]]:
     """Rules learned from at most sample_rows labelled documents: those of smallest id hash, a document's labels averaged.
 
-    Null ids or qualities teach nothing; without labels no rule comes out.
+    Null ids or qualities teach nothing; without labels no rule comes out. labels has doc_id and quality.
     """
     marked = (
         labels.where("doc_id is not null and quality is not null")
@@ -244,7 +266,11 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """statistics with base_failed and kept, for every row; rules come from the labels."""
+    """statistics with base_failed and kept, for every row; rules come from the labels.
+
+    Repeated rows are judged each, a null id as any other, an empty table gives none; texts are read whole, and other columns
+    don't matter, whatever their names.
+    """
     rules = fit(docs, labels, id_col, text_col)
     found = statistics(docs, id_col, text_col, carry).withColumn("base_failed", base_failed())
     return found.withColumn("kept", ~F.col("base_failed") & verdict(rules))
