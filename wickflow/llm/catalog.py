@@ -23,19 +23,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), short_too=True)
+    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return found.select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
         F.col("lines").cast("long").alias("n_lines"),
         F.col("kept_lines").cast("long").alias("n_kept"),
         F.length("text").cast("long").alias("kept_chars"),
-        F.crc32(F.col("text").cast("binary")).alias("kept_crc32"),
+        F.md5(F.col("text").cast("binary")).alias("kept_md5"),
     )
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "license", "line", F.round("dice", 6).alias("dice"))
+    return found.select("doc_id", "license", "unit", "place", F.round("dice", 6).alias("dice"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +107,7 @@ FROM e GROUP BY conv_id"""
 def oracle_sql() -> dict:
     return {
         "op10_chat_template": CHAT_SQL,
-        "op4_license_scan": f"SELECT doc_id, license, line, round(dice, 6) AS dice FROM ({license_scan.oracle_sql()})",
+        "op3_line_dedup": line_dedup.oracle_sql(),
+        "op4_license_scan": f"SELECT doc_id, license, unit, place, round(dice, 6) AS dice FROM ({license_scan.oracle_sql()})",
         "op5_mixing": mixing.oracle_sql(),
     }

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wickflow.llm.common import SPACES, checkpoint
 
-#: Shorter lines have no near ones, as an edit there makes another line; with short_too, equal ones of them go.
+#: Shorter lines have no near ones, as an edit there makes another line ("page 3", "page 4"); equal ones of them go.
 MIN_CHARS = 20
 NO_ID = (1 << 63) - 1
 BUCKETS = 1 << 20
@@ -124,11 +124,10 @@ def _has_word(line):
 
 
 def kept_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short_too: bool = False
+    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short_too: bool = True
 ) -> DataFrame:
-    """(key, row_hash, kept): for each document, the numbers of its lines of min_chars or more that no earlier line is near to.
-
-    With short_too, also those of its shorter lines, blank ones excepted, that no earlier line equals.
+    """(key, row_hash, kept): for each document, the numbers of its lines of min_chars or more that no earlier line is near to,
+    and, with short_too, of its shorter lines, blank ones excepted, that no earlier line equals.
     """
     texts = _keyed(docs, id_col, text_col).select("key", "row_hash", "text").where("text is not null")
     line, size = F.col("line"), F.length("line")
@@ -240,15 +239,15 @@ def kept_lines(
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short_too: bool = False
+    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short_too: bool = True
 ) -> DataFrame:
     """(row, text, lines, kept_lines): each row as a struct, its text without the lines that an equal or near line precedes.
 
     Lines part at \\n and come in the order of id (null last), text hash and position. A line of min_chars or more
     characters goes if any earlier line equals it or is within one edit of it, whether that one stays or not.
-    Shorter lines stay, or with short_too go if an earlier line equals them; blank lines of fewer characters stay.
+    Shorter lines go if an earlier line equals them, or stay without short_too; blank lines of fewer characters stay.
     Of rows with equal id and text, one keeps its lines. Null texts stay null, an empty table empty.
-    Texts without a line to remove are unchanged.
+    Texts without a line to remove are unchanged; lines of any length are compared whole. A null id counts as 2**63 - 1.
     """
     kept = kept_lines(docs, min_chars, id_col, text_col, short_too).select(
         F.col("key").alias("k"), F.col("row_hash").alias("h"), "kept"
@@ -273,3 +272,23 @@ def dedup_lines(
         F.coalesce(F.size("lines"), F.lit(0)).alias("lines"),
         F.coalesce(F.size("staying"), F.lit(0)).alias("kept_lines"),
     )
+
+
+def oracle_sql(min_chars: int = MIN_CHARS) -> str:
+    """The query on documents in DuckDB's SQL: equal lines by grouping, near ones by hashed lines without a character."""
+    return rf"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(len(s)))::INT AS pos, unnest(s) AS line FROM d),
+c AS (SELECT *, length(line) < {min_chars} AND trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')) = '' AS blank FROM l),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, pos) AS spot FROM c),
+f AS (SELECT line, min(spot) AS spot FROM o WHERE NOT blank GROUP BY line),
+v AS (
+  SELECT spot, i, length(line) AS n, hash(left(line, i - 1) || chr(0) || substr(line, i + 1)) AS swap, hash(left(line, i - 1) || substr(line, i + 1)) AS cut
+  FROM (SELECT spot, line, unnest(range(1, length(line) + 1)) AS i FROM f WHERE length(line) >= {min_chars})),
+gone AS (
+  SELECT spot FROM (SELECT spot, min(spot) OVER (PARTITION BY i, n, swap) AS first FROM v) WHERE spot > first
+  UNION SELECT greatest(v.spot, w.spot) FROM v JOIN (SELECT spot, hash(line) AS whole FROM f WHERE length(line) >= {min_chars}) w ON v.cut = w.whole),
+k AS (SELECT doc_id, pos, line FROM o WHERE blank OR spot IN (SELECT spot FROM f WHERE spot NOT IN (SELECT spot FROM gone)))
+SELECT x.doc_id, coalesce(len(t.s), 0)::BIGINT AS n_lines, coalesce(k.n, 0)::BIGINT AS n_kept, length(k.kept)::BIGINT AS kept_chars, md5(k.kept) AS kept_md5
+FROM documents x LEFT JOIN d t ON t.doc_id = x.doc_id
+LEFT JOIN (SELECT d.doc_id, count(k.pos) AS n, coalesce(string_agg(k.line, chr(10) ORDER BY k.pos), '') AS kept FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id) k ON k.doc_id = x.doc_id"""
