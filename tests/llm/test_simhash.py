@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from wickflow.llm import catalog, gray_index, simhash
+from wickflow.llm import catalog, common, gray_index, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, `a.b` int"
 NAMES = [f"{a}{b}" for a in "river stone light under walk quick field morn answer garden".split() for b in "s ly ing er ed ness".split()]
@@ -97,7 +97,7 @@ def test_allowances():
 
 
 def test_a_hot_fingerprint_is_joined_by_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT", 4)
+    monkeypatch.setattr(common, "HOT", 4)
     rows = [(i, "one two three four") for i in range(60)] + [(100 + i, f"five six seven {i}") for i in range(20)]
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(made(spark, rows)).collect()}
     assert len(got) == 80 and {got[i] for i in range(60)} == {0} and all(got[100 + i] == 100 + i for i in range(20))

@@ -172,10 +172,26 @@ def test_line_dedup_against_brute_force(spark):
         picked = [rng.choice(lines) for _ in range(3)]
         rows[i] = "\n".join([edited(rng, x) if rng.random() < 0.5 else x for x in picked] + ["short", sentence(rng, 9)])
     rows |= {40: None, 41: "", 42: "\n\n", 43: "é" * 3000, 44: "é" * 2999}
-    got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.dedup_lines(made(spark, rows)).collect()}
+    got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.dedup_lines(made(spark, rows), short_too=False).collect()}
     assert got == brute_lines(rows, line_dedup.MIN_CHARS)
 
 
+def test_line_dedup_query_against_sql(spark, tmp_path):
+    import duckdb
+
+    from wickflow.llm import catalog
+
+    rng = random.Random(12)
+    lines = [sentence(rng, n) for n in (1, 2, 4, 5, 6, 8, 12) for _ in range(4)] + ["Read more", "\t", ""]
+    rows = [(i, "\n".join(edited(rng, x) if rng.random() < 0.3 and len(x) > 2 else x for x in rng.choices(lines, k=5))) for i in range(50)]
+    made(spark, rows + [(60, None), (61, ""), (62, "\n\n")]).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["op3_line_dedup"]).fetchall()
+    assert sorted(map(tuple, catalog.op3_line_dedup(spark, str(tmp_path)).collect())) == sorted(want)
+    assert line_dedup.dedup_lines(made(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("n", [20, 21, 31, 32, 33, 63, 64, 127, 128, 300])
 def test_windows_and_variants_meet(n):
     rng = random.Random(n)
@@ -206,27 +222,81 @@ def test_line_dedup_of_repeated_rows_and_null_ids(spark):
 # --- op4
 
 
-def test_licences(spark):
-    rows = {
-        1: "intro\nReleased under the MIT License.\nmore",
-        2: "Licensed under the Apache License, Version 2.0.",
-        3: "released  UNDER the mit license",
-        4: "Released under a different licence",
-        5: None,
-        6: "",
-        7: "MIT",
-        8: "Released under the MIT License.\nLicensed under CC BY-NC 4.0.",
-    }
-    got = {(r["doc_id"], r["license"], r["line"]) for r in license_scan.scan(made(spark, rows)).collect()}
-    assert got == {(1, "MIT", 1), (2, "Apache-2.0", -1), (3, "MIT", -1), (8, "MIT", 0), (8, "CC-BY-NC-4.0", 1)}
-    assert license_scan.scan(made(spark, rows), {}).count() == 0
+def wrapped(text, width=60, mark=""):
+    lines, at = [], ""
+    for w in text.split():
+        if len(at) + len(w) > width:
+            lines.append(mark + at.strip())
+            at = ""
+        at += " " + w
+    return "\n".join([*lines, mark + at.strip()])
+
+
+@pytest.fixture(scope="module")
+def licensed():
+    rng, t = random.Random(2), license_scan.TEMPLATES
+    filler = sentence(rng, 400)
+    copyright = "MIT License\n\nCopyright (c) 2020 Some One\n\n"
+    return [
+        (1, "words before\nReleased under the MIT License.\nwords after"),
+        (2, filler + "\n" + t["CC-BY-SA-4.0"].upper() + "\n" + t["CC-BY-NC-4.0"]),
+        (3, None),
+        (4, ""),
+        (5, "license"),
+        (6, copyright + wrapped(t["MIT-text"])),
+        (7, filler + "\n" + wrapped(t["GPL-3.0-notice"], 50, "# ") + "\n" + filler),
+        (8, filler + " and this is " + t["Apache-2.0"] + " " + filler),
+        (9, wrapped(t["BSD-conditions"]) + "\n\n" + wrapped(t["BSD-disclaimer"], mark=" * ")),
+        (10, "x released under the mit license y"),
+        (11, filler + "\n" + "\n".join(["Released under the MIT License."] * 3000)),
+        (12, filler),
+        (None, "Licensed under CC BY-NC 4.0."),
+    ]
+
+
+def test_licences(spark, licensed):
+    """Notices of a line, wrapped and embedded texts, whole licence files; nothing in other texts."""
+    found = defaultdict(set)
+    for r in license_scan.scan(made(spark, licensed + [(1, licensed[0][1])])).collect():
+        found[r["doc_id"]].add((r["license"], r["unit"], r["place"]))
+    assert found[1] == {("MIT", "line", 1)}
+    assert found[2] == {("CC-BY-SA-4.0", "line", 1), ("CC-BY-4.0", "line", 1), ("CC-BY-NC-4.0", "line", 2)}
+    assert found[None] == {("CC-BY-NC-4.0", "text", 0)} and found[11] == {("MIT", "line", 1)} and found[10] == {("MIT", "run", 1)}
+    assert "MIT-text" in {x[0] for x in found[6]} and "GPL-3.0-notice" in {x[0] for x in found[7]}
+    assert "Apache-2.0" in {x[0] for x in found[8]} and {"BSD-conditions", "BSD-disclaimer"} <= {x[0] for x in found[9]}
+    assert not {3, 4, 5, 12} & set(found)
+    assert license_scan.scan(made(spark, licensed), {}).count() == 0 and license_scan.scan(made(spark, [])).count() == 0
+
+
+def test_licences_against_sql(spark, licensed):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r for r in licensed if r[0] is not None], columns=["doc_id", "text"]))
+    want = sorted((r[0], r[1], r[2], r[3], round(r[4], 9)) for r in con.execute(license_scan.oracle_sql()).fetchall())
+    got = license_scan.scan(made(spark, [r for r in licensed if r[0] is not None])).collect()
+    assert sorted((r["doc_id"], r["license"], r["unit"], r["place"], round(r["dice"], 9)) for r in got) == want
+
+
+def test_a_unit_exactly_at_the_threshold_matches(spark):
+    """Three of four bigrams on both sides: 2 * 3 / (4 + 4)."""
+    notice = {"four": "alpha beta gamma delta epsilon"}
+    rows = [(1, "alpha beta gamma delta eta zeta"), (2, "alpha beta gamma delta x alpha beta"), (3, "x alpha beta gamma delta epsilon y")]
+    got = {r["doc_id"]: (r["unit"], r["dice"]) for r in license_scan.scan(made(spark, rows), notice, threshold=0.75).collect()}
+    assert got == {1: ("run", 0.75), 2: ("run", 0.75), 3: ("run", 1.0)}
 
 
 def test_size_bounds_are_exact():
-    for n in range(1, 60):
-        low, high = license_scan.size_bounds(n, 0.8)
-        for m in range(1, 120):
-            assert (2 * min(n, m) / (n + m) >= 0.8 - 1e-12) == (low <= m <= high) or abs(2 * min(n, m) / (n + m) - 0.8) < 1e-9
+    from fractions import Fraction
+
+    for threshold in (0.7, 0.8, 0.9):
+        t = Fraction(str(threshold))
+        for n in range(1, 201):
+            low, high = license_scan.size_bounds(n, threshold)
+            for m in range(1, 400):
+                assert (Fraction(2 * min(n, m), n + m) >= t) == (low <= m <= high)
+                assert (2.0 * min(n, m) / (n + m) >= threshold) == (low <= m <= high)
 
 
 # --- op5
@@ -360,20 +430,20 @@ def brute_ppm(train, text, order):
     return total
 
 
-def trained(train, order, **options):
+def trained(train, order):
     codes = np.concatenate([ppm.gram_codes(t, order) for t in train])
-    return ppm.Trie(*np.unique(codes, return_counts=True), order, **options)
+    return ppm.Trie.of_grams(*np.unique(codes, return_counts=True), order)
 
 
 def test_ppm_against_the_definition():
     train = [b"the cat sat on the mat", b"the dog sat", "été".encode(), b""]
     trie = trained(train, 3)
     for text in (b"the cat", b"a dog on the mat", "été".encode(), b"zzz", b"", bytes(range(1, 120))):
-        assert trie.score(text) == pytest.approx(brute_ppm(train, text, 3))
+        assert trie.score(text)[0] == pytest.approx(brute_ppm(train, text, 3))
 
 
 def test_ppm_probabilities_sum_to_one():
-    for trie in (trained([b"abracadabra", b"alakazam"], 2), trained([b"abracadabra", b"alakazam" * 20], 3, max_nodes=30)):
+    for trie in (trained([b"abracadabra", b"alakazam"], 2), trained([b"abracadabra", b"alakazam" * 20], 3)):
         for context in (b"ab", b"zz", b"ra", bytes([ppm.START] * 2)):
             base = int.from_bytes(context.rjust(trie.order, bytes([ppm.START])), "big") << 8
             codes = np.array([base + b for b in range(256)], dtype=np.uint64)
@@ -382,9 +452,46 @@ def test_ppm_probabilities_sum_to_one():
 
 def test_ppm_chunks_do_not_change_scores(monkeypatch):
     trie = trained([b"the cat sat on the mat " * 20], 4)
-    whole = trie.score(b"the mat sat on a cat " * 9)
+    whole = trie.score(b"the mat sat on a cat " * 9)[0]
     monkeypatch.setattr(ppm, "CHUNK", 16)
-    assert trie.score(b"the mat sat on a cat " * 9) == pytest.approx(whole)
+    assert trie.score(b"the mat sat on a cat " * 9)[0] == pytest.approx(whole)
+
+
+def train_texts(texts):
+    return [(t or "").encode() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+
+
+def test_ppm_counts_of_every_order(spark, texts):
+    order, train = 3, train_texts(texts)
+    counts = ppm.gather(made(spark, [(0, t.decode()) for t in train]), order)
+    table = ppm.contexts(counts.where("kind = 1").select("code", "n"), order)
+    got = {(r["order"], r["context"]): (r["total"], {s["s"]: s["n"] for s in r["symbols"]}) for r in table.collect()}
+    want = defaultdict(Counter)
+    for t in train:
+        s = bytes([ppm.START]) * order + t + bytes([ppm.END])
+        for at in range(order, len(s)):
+            for k in range(order + 1):
+                want[k, int.from_bytes(s[at - k : at], "big")][s[at]] += 1
+    assert got == {c: (sum(n.values()), dict(n)) for c, n in want.items()}
+
+
+@pytest.mark.parametrize("max_nodes", [0, 40, 400])
+def test_ppm_scores_do_not_depend_on_what_tasks_receive(spark, texts, max_nodes):
+    """With most contexts looked up by joins, each score is that of the definition."""
+    rows = {i: t for i, t in texts.items() if t is None or len(t) < 900} | {2001: "nothing like it: Ω", 2004: "the stones of alpha"}
+    held = [i for i in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    assert held
+    got = {r["doc_id"]: r["score"] for r in ppm.score_documents(made(spark, rows), order=3, max_nodes=max_nodes, frequent=5).collect()}
+    train = train_texts(rows)
+    for i in held[:4] + [i for i in (0, 7, 80, 81, 84, 2001, 2004) if i in rows]:
+        assert got[i] == pytest.approx(brute_ppm(train, (rows[i] or "").encode(), 3)), i
+
+
+def test_ppm_repeated_rows_and_null_ids(spark):
+    rows = [(1, "the cat sat")] * 3 + [(None, "the dog"), (None, None)]
+    got = ppm.score_documents(made(spark, rows), order=2).collect()
+    assert len(got) == 5 and len({(r["score"], r["base_score"]) for r in got if r["doc_id"] == 1}) == 1
+    assert {r["held_out"] for r in got if r["doc_id"] is None} == {zlib.crc32(b"") % 10 == 0}
 
 
 def test_ppm_without_training_rows(spark):
@@ -426,6 +533,22 @@ def test_packing_round_trip(spark, texts):
     assert padding == 0
 
 
+def test_token_ids_of_every_letter_and_of_special_strings():
+    """The shortcut for words of letters and marks gives the ids of the tokenizers library, at every code point below U+3000."""
+    from tokenizers import Tokenizer
+
+    model, fast = Tokenizer.from_file(TOKENIZER), packing.WordTokenizer(TOKENIZER)
+    assert fast.direct
+    wrong = []
+    for point in range(0x21, 0x3000):
+        for word in (chr(point), f"Ab{chr(point)}c,", f"{chr(point)}x!!"):
+            if np.frombuffer(fast.encode(word.encode()), "<u4").tolist() != model.encode(word, add_special_tokens=False).ids:
+                wrong.append(word)
+    assert not wrong
+    for text in ("a <|endoftext|> b", "x<|endoftext|>y", "<|startoftext|> İstanbul", "<|endoftext|>,", "<|ENDOFTEXT|>", "<|endoftext|><|endoftext|>"):
+        assert np.frombuffer(fast.encode(text.encode()), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pack_balances_costs():
     rng = random.Random(4)
     lengths = [rng.randint(1, 3000) for _ in range(400)]
