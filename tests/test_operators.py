@@ -111,12 +111,55 @@ def test_ranks_and_constant_dates(spark):
 
 
 def test_t_test_and_its_p_value(spark):
-    a = spark.createDataFrame([(i, float(i % 3)) for i in range(10)], "t_date int, da double")
-    b = spark.createDataFrame([(i, float(i % 3) + 0.5 + 0.1 * (i % 2)) for i in range(10)], "t_date int, da double")
-    got = quality.paired_t(a, b, "da").first()
-    assert got["n"] == 10 and got["mean_diff"] == pytest.approx(0.55)
-    assert quality.t_p_value(0.0, 9) == pytest.approx(1)
-    assert quality.t_p_value(2.262157, 9) == pytest.approx(0.05, abs=1e-6)
+    schema = "t_date int, da double, rank_ic double"
+    a = spark.createDataFrame([(i, float(i % 3), None if i == 4 else 0.1) for i in range(10)], schema)
+    b = spark.createDataFrame([(i, float(i % 3) + 0.5 + 0.1 * (i % 2), 0.1 * i) for i in range(10)], schema)
+    got = {r["metric"]: r for r in quality.paired_t(a, b).collect()}
+    assert got["da"]["n"] == 10 and got["da"]["mean_diff"] == pytest.approx(0.55) and got["da"]["p"] < 1e-6 and got["rank_ic"]["n"] == 9
+    # two-sided critical values of Student's t
+    rows = [(0.0, 9, 1.0), (2.262157, 9, 0.05), (12.706205, 1, 0.05), (4.302653, 2, 0.05), (3.169273, 10, 0.01), (-2.262157, 9, 0.05), (1.0, 0, None)]
+    table = spark.createDataFrame(rows, "t double, df int, p double")
+    for r in table.withColumn("q", quality.t_p_value(F.col("t"), F.col("df"))).collect():
+        assert r["q"] == (None if r["p"] is None else pytest.approx(r["p"], abs=1e-6))
+
+
+def test_sparse_dates_are_drawn_as_seeded():
+    import random
+
+    for n, limit in ((455, 500), (100, 2500), (10, 50), (4000, 50)):
+        step, offset, wanted = quality.sample_step(n, limit)
+        assert wanted == max(1, limit // 50) and step == max(5, n // wanted)
+        assert offset == random.Random(42).randint(0, max(1, step - 1))
+
+
+def test_evaluation_order_and_golden_difference(spark):
+    rows = spark.createDataFrame([("B", 2, 1.0), ("A", 2, 2.0), ("C", 1, 3.0), ("A", 3, 0.0)], "symbol string, t_date int, x double")
+    placed = quality.evaluation_order(rows)
+    assert [(r["symbol"], r["t_date"]) for r in placed.orderBy("place").collect()] == [("C", 1), ("A", 2), ("B", 2), ("A", 3)]
+    assert sorted(r["place"] for r in placed.collect()) == [0, 1, 2, 3]
+    near = rows.withColumn("x", F.col("x") * (1 + 2e-6))
+    assert quality.golden_difference(near, rows, ["symbol", "t_date"], ("x",)).first()["within"]
+    far = quality.golden_difference(rows.withColumn("x", F.col("x") * 1.1), rows, ["symbol", "t_date"], ("x",)).first()
+    assert not far["within"] and far["worst"] == pytest.approx(0.1)
+
+
+def test_criteria_use_the_median_for_volume(spark):
+    errors = [(m, f, e, d) for f in ("close", "volume") for m, e, d in (("a", 50.0, 50.0), ("b", 40.0, 40.0), ("c", 35.0, 20.0))]
+    got = {r["feature"]: tuple(r)[1:] for r in tokens.recon_criteria(spark.createDataFrame(errors, "model string, feature string, mape double, mdape double"), ("a", "b", "c")).collect()}
+    assert got == {"close": (True, True, False), "volume": (True, True, True)}
+
+
+def test_summary_by_run_equals_each_by_itself(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"S{s}", d, rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1), "a" if d < 30 else "b") for s in range(6) for d in range(60)]
+    table = spark.createDataFrame(rows, "symbol string, t_date int, pred_return double, actual_return double, run string")
+    both = {(r["run"], r["metric"]): r["value"] for r in portfolio.summary(table, 2, 3).collect()}
+    assert len(both) == 46
+    for run in "ab":
+        alone = portfolio.summary(table.where(F.col("run") == run).drop("run"), 2, 3).collect()
+        assert {r["metric"]: r["value"] for r in alone} == pytest.approx({m: v for (r, m), v in both.items() if r == run})
 
 
 def test_vote_tie_is_down(spark):

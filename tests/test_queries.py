@@ -8,59 +8,54 @@ import pytest
 
 from wickflow import catalog
 
-SF = "/root/testdata/sf0.001"
+SF, NEXT = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
-SAME = [
-    "bars",
-    "symbol_profile",
-    "missing_map",
-    "quality_report",
-    "anomalies",
-    "filled_series",
-    "returns_and_volatility",
-    "flat_runs",
-    "return_boxes",
-    "return_histogram",
-    "return_correlations",
-    "price_limits",
-    "sign_codes",
-    "token_drift",
-    "nucleus_filter",
-    "drawn_tokens",
-    "time_features",
-    "hourly_candles",
-    "run_health",
-    "best_runs",
-    "sector_counts",
-    "history_cards",
+#: Queries that are empty on the smallest tables, whose series are short: those are held against SQL on the next ones.
+WIDE = [
+    "per_date_metrics",
+    "backtest_summary",
+    "backtest_by_split",
+    "paired_t_test",
+    "long_list_overlap",
+    "yearly_comparison",
+    "daily_grades",
+    "portfolio_returns",
+    "portfolio_curves",
+    "portfolio_statistics",
 ]
+SAME = sorted(set(catalog.oracle_sql()) - set(WIDE))
 
 
-@pytest.fixture(scope="module")
-def db():
+def connected(sf):
     con = duckdb.connect()
     for name in ("lineitem", "part", "events", "embeddings"):
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return con
 
 
+@pytest.fixture(scope="module")
+def db():
+    return {sf: connected(sf) for sf in (SF, NEXT)}
+
+
 def shown(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else float(f"{v:.11g}") + 0.0
     return v
 
 
-@pytest.mark.parametrize("name", SAME)
+@pytest.mark.parametrize("name", [*SAME, *WIDE])
 def test_against_sql(spark, db, name):
-    rows = catalog.queries()[name](spark, SF)
+    sf = NEXT if name in WIDE else SF
+    rows = catalog.queries()[name](spark, sf)
     columns = sorted(rows.columns)
     got = sorted(repr([shown(r[c]) for c in columns]) for r in rows.collect())
     sql = "SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({catalog.oracle_sql()[name]})"
-    want = sorted(repr([shown(v) for v in r]) for r in db.execute(sql).fetchall())
-    assert got == want
+    want = sorted(repr([shown(v) for v in r]) for r in db[sf].execute(sql).fetchall())
+    assert got == want and (got or name not in WIDE)
 
 
-@pytest.mark.parametrize("name", ["per_date_metrics", "backtest_summary", "rankings", "path_fan", "scored_last_values", "return_qq_fit", "zero_std_symbols"])
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0

@@ -26,8 +26,39 @@ def test_windows_stay_inside_a_symbol(spark):
     found = windows.make_windows(bars, 30, 5)
     counts = {r["symbol"]: (r["n"], r["top"]) for r in found.groupBy("symbol").agg(F.count("*").alias("n"), F.max("start").alias("top")).collect()}
     assert counts == {"A": (25, 24), "B": (5, 4)}
-    rows = windows.unfold(bars, found.select("symbol", "start"), 36)
+    rows = windows.normalize_windows(bars, found, 30, 5)
     assert rows.count() == 30 * 36
+    two = found.where("start in (3, 4) and symbol = 'B'")
+    assert {(r["symbol"], r["start"]) for r in windows.normalize_windows(bars, two, 30, 5).collect()} == {("B", 3), ("B", 4)}
+
+
+def test_normalisation_needs_no_exchange_for_each_window(spark):
+    """Bars are numbered, joined with the windows' starts and gathered: nothing is exchanged after the rows are gathered."""
+    bars = made(spark, "A", 60, lambda i: 100.0 + i)
+    rows = windows.normalize_windows(bars, windows.make_windows(bars, 30, 5), 30, 5)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("collect_list")]
+    assert "Exchange" not in above
+
+
+def test_unscale_inverts_scale(spark):
+    row = spark.createDataFrame([(7.0, 3.0, 2.0), (3.0, 3.0, 0.0)], "x double, m double, s double")
+    z = windows.scale(F.col("x"), F.col("m"), F.col("s"), None)
+    got = row.select("x", windows.unscale(z, F.col("m"), F.col("s")).alias("back")).collect()
+    assert all(r["back"] == pytest.approx(r["x"]) for r in got)
+
+
+def test_clip_rate_against_a_loop(spark):
+    prices = [100.0 + (50.0 if i == 20 else i % 3) for i in range(40)]
+    bars = made(spark, "A", 40, lambda i: prices[i])
+    beyond = total = 0
+    for start in range(40 - 10 + 1):
+        part = prices[start : start + 10]
+        mean, std = statistics.fmean(part), statistics.pstdev(part)
+        beyond += sum(abs((x - mean) / (std + 1e-5)) > 2.5 for x in part)
+        total += 10
+    got = {r["feature"]: r["rate"] for r in windows.clip_rate(bars, 10, 2.5).collect()}
+    assert got["open"] == pytest.approx(beyond / total) and got["volume"] == 0
 
 
 def test_splits_against_a_loop(spark):

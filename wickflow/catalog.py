@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from wickflow.functions import scalars
 from wickflow.operators import clean, monitor, portfolio, profile, quality, risk, score, slices, tokens, windows
-from wickflow.oracles import BARS, CODES, FORECAST, PATHS, PORTFOLIO, RANKED, RISK, _dates
+from wickflow.oracles import BARS, CODES, FORECAST, PATHS, PORTFOLIO, RANKED, RISK, T_P, _dates, _rank_ic, of_dates
 from wickflow.plans import adapter
+from wickflow.plans.adapter import LEAST as P
 from wickflow.plans.adapter import TRAIN_END, VAL_END
+from wickflow.schema import FEATURES, PRICES
 from wickflow.sources import bars as sources
 from wickflow.streaming.refresh import candles
 
@@ -52,13 +54,12 @@ def _rounded(sql: str, digits: int | None) -> str:
     return re.sub(r"~\((.*?)\)~", one, sql, flags=re.S)
 
 
-def _eval(spark, sf_dir, pred="pred_drift"):
-    p = adapter.parameters(sf_dir)
-    return quality.eval_rows(score.baselines(adapter.bars(spark, sf_dir), p["lookback"], 5), 5, pred)
+def _eval(spark, sf_dir, pred="pred_drift", lookback=P["lookback"]):
+    return quality.eval_rows(score.baselines(adapter.bars(spark, sf_dir), lookback, 5), 5, pred)
 
 
 def _chosen(spark, sf_dir, pred="pred_drift"):
-    return quality.wide_dates(quality.every_nth_date(_eval(spark, sf_dir, pred)), adapter.parameters(sf_dir)["min_symbols"])
+    return quality.wide_dates(quality.every_nth_date(_eval(spark, sf_dir, pred)), P["min_symbols"])
 
 
 def _dense(spark, sf_dir):
@@ -66,15 +67,15 @@ def _dense(spark, sf_dir):
 
 
 def _paths(spark, sf_dir):
-    return score.resampled_paths(adapter.bars(spark, sf_dir), adapter.parameters(sf_dir)["lookback"], 5, 20)
+    return score.resampled_paths(adapter.bars(spark, sf_dir), P["lookback"], 5, 20)
 
 
 def _ranked(spark, sf_dir):
     return risk.rankings(risk.risk_metrics(_paths(spark, sf_dir)), adapter.bars(spark, sf_dir), adapter.dimension(spark, sf_dir))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.direction(_eval(spark, sf_dir), "symbol")
+def flagship(spark: SparkSession, sf_dir: str, lookback: int = P["lookback"]) -> DataFrame:
+    return quality.direction(_eval(spark, sf_dir, lookback=lookback), "symbol")
 
 
 @_query(f"WITH {FORECAST} SELECT symbol, count(*) AS n, ~(avg(CASE WHEN (actual_return > 0) = (pred_return > 0) THEN 1.0 ELSE 0.0 END) * 100)~ AS da, ~(sum(abs(actual_return) * CASE WHEN (actual_return > 0) = (pred_return > 0) THEN 1.0 ELSE 0.0 END) / sum(abs(actual_return)) * 100)~ AS mw_da FROM ev GROUP BY symbol")
@@ -307,32 +308,36 @@ def window_counts(spark, sf_dir):
     return windows.window_counts(_dense(spark, sf_dir))
 
 
-@_query(
-    f"""WITH {BARS}, s AS (SELECT symbol, CASE WHEN count("close") OVER w = 126 THEN stddev_pop("close") OVER w END AS "close",
-      CASE WHEN count(volume) OVER w = 126 THEN stddev_pop(volume) OVER w END AS volume FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 125 PRECEDING AND CURRENT ROW))
-    SELECT symbol, 'close' AS feature, ~(min("close"))~ AS min_std FROM s GROUP BY symbol UNION ALL SELECT symbol, 'volume', ~(min(volume))~ FROM s GROUP BY symbol""",
-    4,
-)
+def _each(form: str) -> str:
+    """The form for each feature, joined as a list of columns or a union of SELECTs."""
+    return (" UNION ALL " if form.startswith("SELECT") else ", ").join(form.replace("{c}", c) for c in FEATURES)
+
+
+_STDS = f"""WITH {BARS}, s AS (SELECT symbol, {_each('CASE WHEN count("{c}") OVER w = 126 THEN stddev_pop("{c}") OVER w END AS "{c}"')}
+    FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 125 PRECEDING AND CURRENT ROW)),
+    l AS ({_each("""SELECT symbol, '{c}' AS feature, min("{c}") AS min_std FROM s GROUP BY symbol""")})"""
+
+
+@_query(f"{_STDS} SELECT symbol, feature, ~(min_std)~ AS min_std FROM l", 4)
 def smallest_window_std(spark, sf_dir):
-    return windows.min_window_std(adapter.bars(spark, sf_dir)).where(F.col("feature").isin("close", "volume"))
+    return windows.min_window_std(adapter.bars(spark, sf_dir))
 
 
-@_query()
+@_query(f"{_STDS} SELECT feature, count(*) FILTER (min_std = 0) AS zero_symbols FROM l GROUP BY feature")
 def zero_std_symbols(spark, sf_dir):
-    """A count over smallest_window_std, which has the SQL."""
     return windows.zero_std_symbols(windows.min_window_std(adapter.bars(spark, sf_dir)))
 
 
 @_query(
-    f"""WITH {BARS}, s AS (SELECT symbol, rn AS start, n, avg("close") OVER w AS m, stddev_pop("close") OVER w AS d FROM num WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
-    z AS (SELECT abs(("close" - m) / (CASE WHEN d < 1e-6 THEN 1 ELSE d END + 1e-5)) > 3 AS beyond FROM s JOIN num b ON b.symbol = s.symbol AND b.rn BETWEEN s.start AND s.start + 29 WHERE s.start + 30 <= s.n)
-    SELECT 'close' AS feature, ~(avg(CASE WHEN beyond THEN 1.0 ELSE 0.0 END))~ AS rate FROM z"""
+    f"""WITH {BARS}, s AS (SELECT symbol, rn AS start, n, {_each('avg("{c}") OVER w AS "{c}_m", stddev_pop("{c}") OVER w AS "{c}_d"')} FROM num WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 125 FOLLOWING)),
+    z AS (SELECT {_each('avg(CASE WHEN abs((b."{c}" - "{c}_m") / (CASE WHEN "{c}_d" < 1e-6 THEN 1 ELSE "{c}_d" END + 1e-5)) > 5 THEN 1.0 ELSE 0.0 END) AS "{c}"')} FROM s JOIN num b ON b.symbol = s.symbol AND b.rn BETWEEN s.start AND s.start + 125 WHERE s.start + 126 <= s.n)
+    {_each("""SELECT '{c}' AS feature, ~("{c}")~ AS rate FROM z""")}"""
 )
 def clip_rate(spark, sf_dir):
-    return windows.clip_rate(adapter.bars(spark, sf_dir), 30, 3.0).where("feature = 'close'")
+    return windows.clip_rate(adapter.bars(spark, sf_dir))
 
 
-_SPLIT = f"""WITH {BARS}, c AS (SELECT symbol, coalesce(min(rn) FILTER (ts >= DATE '1999-01-01'), count(*)) AS a, coalesce(min(rn) FILTER (ts >= DATE '2000-07-01'), count(*)) AS b FROM num GROUP BY symbol),
+_SPLIT = f"""WITH {FORECAST}, c AS (SELECT symbol, coalesce(min(rn) FILTER (ts >= DATE '1999-01-01'), count(*)) AS a, coalesce(min(rn) FILTER (ts >= DATE '2000-07-01'), count(*)) AS b FROM num GROUP BY symbol),
     w AS (SELECT symbol, rn AS start, n, ts AS ts_first, lead(ts, 131) OVER o AS ts_last FROM num WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
     k AS (SELECT w.symbol, start, ts_first, ts_last, CASE WHEN ts_last < DATE '1999-01-01' THEN 'train' WHEN start + 126 >= a + 5 AND ts_last < DATE '2000-07-01' THEN 'val' WHEN start + 126 >= b + 5 THEN 'test' END AS split
           FROM w JOIN c USING (symbol) WHERE start + 132 <= n)"""
@@ -352,6 +357,25 @@ def sampled_windows(spark, sf_dir):
     return windows.sample_starts(found, 100, 42, ("symbol", "split")).select("symbol", "split", "start")
 
 
+@_query(
+    f"""{_SPLIT}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol, split ORDER BY md5('42:' || symbol || ':' || start), symbol, start) AS r FROM k WHERE split = 'val'),
+    e AS (SELECT ev.* FROM d JOIN num ON num.symbol = d.symbol AND num.rn = d.start + 125 JOIN ev ON ev.symbol = d.symbol AND ev.t_date = num.ts WHERE r <= 20)
+    SELECT symbol, count(*) AS n, ~(avg(CASE WHEN (actual_return > 0 AND pred_return > 0) OR (actual_return <= 0 AND pred_return <= 0) THEN 1.0 ELSE 0.0 END) * 100)~ AS da,
+           ~(sum(abs(actual_return) * CASE WHEN (actual_return > 0) = (pred_return > 0) THEN 1.0 ELSE 0.0 END) / sum(abs(actual_return)) * 100)~ AS mw_da FROM e GROUP BY symbol"""
+)
+def sampled_window_accuracy(spark, sf_dir):
+    """Direction over 20 drawn validation windows of each symbol; up is above 0, all else down."""
+    rows = adapter.bars(spark, sf_dir)
+    found = windows.assign_split(rows, windows.make_windows(rows, 126, 5), TRAIN_END, VAL_END, 126).where("split = 'val'")
+    drawn = windows.sample_starts(found, 20).select("symbol", F.col("asof_ts").alias("t_date"))
+    return quality.direction(_eval(spark, sf_dir).join(drawn, ["symbol", "t_date"]), "symbol")
+
+
+@_query(f"WITH {FORECAST} SELECT symbol, t_date, row_number() OVER (ORDER BY t_date, symbol) - 1 AS place FROM ev")
+def evaluation_order(spark, sf_dir):
+    return quality.evaluation_order(_eval(spark, sf_dir)).select("symbol", "t_date", "place")
+
+
 @_query(
     f"""WITH {BARS}, x AS (SELECT symbol, ts, "close", volume, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM dense WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
     u AS (SELECT s.symbol, s.rn AS start, b.rn - s.rn AS pos, b."close", b.volume FROM x s JOIN x b ON b.symbol = s.symbol AND b.rn BETWEEN s.rn AND s.rn + 15 WHERE s.rn + 16 <= s.n),
@@ -372,11 +396,11 @@ def normalized_windows(spark, sf_dir):
 @_query(
     f"""WITH {BARS}, s AS (SELECT symbol, rn, n, "close" AS x, avg("close") OVER a AS m1, stddev_pop("close") OVER a AS s1, avg("close") OVER b AS m2, stddev_pop("close") OVER b AS s2, avg("close") OVER c AS m3 FROM num
       WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 125 FOLLOWING), b AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 130 FOLLOWING), c AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 126 FOLLOWING AND 130 FOLLOWING)),
-    d AS (SELECT symbol, abs((x - m1) / (CASE WHEN s1 < 1e-6 THEN 1 ELSE s1 END + 1e-5) - (x - m2) / (CASE WHEN s2 < 1e-6 THEN 1 ELSE s2 END + 1e-5)) AS diff FROM s WHERE rn + 131 <= n)
-    SELECT symbol, ~(avg(diff))~ AS mean_diff, ~(max(diff))~ AS max_diff FROM d GROUP BY symbol"""
+    d AS (SELECT symbol, rn, m1, m3, abs((x - m1) / (CASE WHEN s1 < 1e-6 THEN 1 ELSE s1 END + 1e-5) - (x - m2) / (CASE WHEN s2 < 1e-6 THEN 1 ELSE s2 END + 1e-5)) AS diff FROM s WHERE rn + 131 <= n)
+    SELECT symbol, ~(avg(diff))~ AS mean_diff, ~(max(diff))~ AS max_diff, -(max(row(abs(m3 - m1), -rn))[2]) AS most_shifted_start FROM d GROUP BY symbol"""
 )
 def leak_report(spark, sf_dir):
-    return windows.leak_report(adapter.bars(spark, sf_dir)).select("symbol", "mean_diff", "max_diff")
+    return windows.leak_report(adapter.bars(spark, sf_dir))
 
 
 @_query("SELECT event_type AS symbol, minute(ts)::INT AS minute, hour(ts)::INT AS hour, (isodow(ts) - 1)::INT AS weekday, day(ts)::INT AS day, month(ts)::INT AS month, count(*) AS n FROM events GROUP BY ALL")
@@ -406,6 +430,27 @@ def price_limits(spark, sf_dir):
     return rows.select("symbol", "ts", top.alias("ceiling"), bottom.alias("floor"), side.alias("side"))
 
 
+@_query(
+    f"""WITH {BARS}, l AS (SELECT symbol, ts, exchange, lag("close") OVER (PARTITION BY symbol ORDER BY ts) AS ref FROM bars JOIN dim USING (symbol))
+    SELECT symbol, ts, ~(round(ref * (1 + CASE exchange WHEN 'HNX' THEN 0.1 ELSE 0.07 END) / 100) * 100)~ AS ceiling, ~(round(ref * (1 - CASE exchange WHEN 'HNX' THEN 0.1 ELSE 0.07 END) / 100) * 100)~ AS floor FROM l WHERE ref IS NOT NULL""",
+    0,
+)
+def price_limits_by_exchange(spark, sf_dir):
+    rows = adapter.bars(spark, sf_dir).withColumn("ref", F.lag("close").over(clean.by_symbol())).where("ref is not null")
+    rows = rows.join(adapter.dimension(spark, sf_dir).select("symbol", "exchange"), "symbol")
+    top, bottom, _ = scalars.price_limits(F.col("ref"), F.col("close"), scalars.exchange_limit(F.col("exchange")))
+    return rows.select("symbol", "ts", top.alias("ceiling"), bottom.alias("floor"))
+
+
+@_query(
+    f"""WITH {BARS}, v AS (SELECT symbol, sum(volume) AS x FROM bars GROUP BY symbol UNION ALL SELECT symbol, min(volume) FROM bars GROUP BY symbol UNION ALL SELECT symbol, sum(amount) FROM bars GROUP BY symbol)
+    SELECT symbol, CASE WHEN x >= 1e9 THEN format('{{:.1f}}B', x / 1e9) WHEN x >= 1e6 THEN format('{{:.1f}}M', x / 1e6) WHEN x >= 1e3 THEN format('{{:.1f}}K', x / 1e3) ELSE format('{{:.1f}}', x) END AS text FROM v"""
+)
+def size_texts(spark, sf_dir):
+    rows = adapter.bars(spark, sf_dir).groupBy("symbol").agg(F.sum("volume").alias("a"), F.min("volume").alias("b"), F.sum("amount").alias("c"))
+    return rows.unpivot("symbol", ["a", "b", "c"], "of", "x").select("symbol", scalars.short_number(F.col("x")).alias("text"))
+
+
 @_query(f"WITH {BARS} SELECT DISTINCT ts, CASE isodow(ts + 3) WHEN 6 THEN ts + 5 WHEN 7 THEN ts + 4 ELSE ts + 3 END AS due, strftime(ts, '%Y%m%d') AS tag FROM bars")
 def settlement_dates(spark, sf_dir):
     days = profile.trading_dates(adapter.bars(spark, sf_dir))
@@ -420,16 +465,15 @@ def sign_codes(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {CODES}, u AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)
-    SELECT vec_id, ~(list_sum(list_transform(embedding, lambda x: x::DOUBLE / n)))~ AS unit_sum, ~((list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END))) / 8.0)~ AS sign_sum FROM u"""
+    f"""WITH {CODES}, u AS (SELECT vec_id, unnest(range(len(embedding)))::INT AS element, unnest(embedding)::DOUBLE AS x, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)
+    SELECT vec_id, element, ~(x / n)~ AS unit, ~(CASE WHEN x > 0 THEN 0.125 ELSE -0.125 END)~ AS sign FROM u"""
 )
 def unit_and_sign_vectors(spark, sf_dir):
+    """Each element of each vector, at length 1 and as its sign."""
     rows = adapter.read(spark, sf_dir, "embeddings")
-
-    def total(v):
-        return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-
-    return rows.select("vec_id", total(tokens.l2_normalize(F.col("embedding"))).alias("unit_sum"), total(tokens.sign_quantize(F.col("embedding"))).alias("sign_sum"))
+    both = F.arrays_zip(tokens.l2_normalize(F.col("embedding")).alias("unit"), tokens.sign_quantize(F.col("embedding")).alias("sign"))
+    found = rows.select("vec_id", F.posexplode(both).alias("element", "x"))
+    return found.select("vec_id", "element", F.col("x.unit").cast("double").alias("unit"), F.col("x.sign").cast("double").alias("sign"))
 
 
 @_query(f"WITH {CODES}, c AS (SELECT s1 AS token, count(*) AS n FROM codes GROUP BY s1) SELECT token, n, ~(n / (SELECT max(n) FROM c)::DOUBLE)~ AS share FROM c")
@@ -437,6 +481,17 @@ def token_frequency(spark, sf_dir):
     return tokens.token_frequency(adapter.codes(spark, sf_dir), "s1")
 
 
+@_query(
+    f"""WITH {CODES}, l AS (SELECT label, s1 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS back FROM codes) WHERE back <= 15),
+    c AS (SELECT label, s1 AS token, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT *, n / max(n) OVER (PARTITION BY label)::DOUBLE AS share, row_number() OVER (PARTITION BY label ORDER BY n DESC, token) AS place FROM c)
+    SELECT label, token, n, ~(share)~ AS share FROM p WHERE place <= 10"""
+)
+def recent_token_frequency(spark, sf_dir):
+    """The ten most frequent codes among the last 15 of each label."""
+    latest = tokens.last_rows(adapter.codes(spark, sf_dir), ("label",), "vec_id", 15)
+    return tokens.token_frequency(latest, "s1", 10, ("label",))
+
+
 @_query(f"WITH {CODES} SELECT b.token::BIGINT AS token, count(c.s1) AS n FROM (SELECT unnest(range(1024)) AS token) b LEFT JOIN codes c ON c.s1 = b.token GROUP BY b.token")
 def token_histogram(spark, sf_dir):
     return tokens.token_histogram(adapter.codes(spark, sf_dir), "s1")
@@ -447,13 +502,20 @@ def codebook_utilisation(spark, sf_dir):
     return tokens.utilisation(adapter.codes(spark, sf_dir))
 
 
-@_query(
-    f"""WITH {CODES}, h AS (SELECT token, (SELECT count(*) FROM codes c WHERE c.s1 = token AND label < 5) + 1e-10 AS a, (SELECT count(*) FROM codes c WHERE c.s1 = token AND label >= 5) + 1e-10 AS b FROM (SELECT unnest(range(1024)) AS token)),
-    s AS (SELECT sum(a) AS sa, sum(b) AS sb FROM h) SELECT ~(sum(a / sa * ln((a / sa) / (b / sb))))~ AS kl FROM h, s"""
-)
+_DRIFT = """h_{c} AS (SELECT token, (SELECT count(*) FROM codes c WHERE c.{c} = token AND label < 5) + 1e-10 AS a, (SELECT count(*) FROM codes c WHERE c.{c} = token AND label >= 5) + 1e-10 AS b FROM (SELECT unnest(range(1024)) AS token)),
+    k_{c} AS (SELECT sum(a / sa * ln((a / sa) / (b / sb))) AS kl FROM h_{c}, (SELECT sum(a) AS sa, sum(b) AS sb FROM h_{c}))"""
+
+
+@_query(f"WITH {CODES}, {_DRIFT.replace('{c}', 's1')}, {_DRIFT.replace('{c}', 's2')} SELECT ~((x.kl + y.kl) / 2)~ AS kl, ~(x.kl)~ AS kl_s1, ~(y.kl)~ AS kl_s2 FROM k_s1 x, k_s2 y")
 def token_drift(spark, sf_dir):
+    """KL divergence of the codes of one half of the labels from the other's, for both codes and their mean."""
     rows = adapter.codes(spark, sf_dir)
-    return tokens.kl_drift(tokens.token_histogram(rows.where("label < 5"), "s1"), tokens.token_histogram(rows.where("label >= 5"), "s1"))
+    part = None
+    for c in ("s1", "s2"):
+        kl = tokens.kl_drift(tokens.token_histogram(rows.where("label < 5"), c), tokens.token_histogram(rows.where("label >= 5"), c)).withColumn("code", F.lit(c))
+        part = kl if part is None else part.unionByName(kl)
+    of = {c: F.max(F.when(F.col("code") == c, F.col("kl"))) for c in ("s1", "s2")}
+    return part.agg(F.avg("kl").alias("kl"), *(v.alias(f"kl_{c}") for c, v in of.items()))
 
 
 @_query(f"WITH {CODES} SELECT vec_id, token, ~(p)~ AS p FROM nuc")
@@ -492,8 +554,7 @@ def reconstruction_errors(spark, sf_dir):
 
 
 def _recon(spark, sf_dir):
-    p = adapter.parameters(sf_dir)
-    rows = score.baselines(adapter.bars(spark, sf_dir), p["lookback"], 5).withColumn("x", F.lead("close", 5).over(clean.by_symbol()))
+    rows = score.baselines(adapter.bars(spark, sf_dir), P["lookback"], 5).withColumn("x", F.lead("close", 5).over(clean.by_symbol()))
     long = rows.select("symbol", "x", F.expr("stack(3, 'last', pred_last, 'mean', pred_mean, 'drift', pred_drift) as (model, y)"))
     return tokens.recon_error(long.where("x is not null and y is not null").withColumnRenamed("symbol", "feature"))
 
@@ -512,15 +573,13 @@ _PER_DATE = f"WITH {FORECAST}{_dates('ev', 'ev')}{RANKED}"
     array_to_string(list(symbol ORDER BY pred_return DESC, symbol) FILTER (is_long), ',') AS long_symbols FROM ev_s s LEFT JOIN ic ON ic.t_date = s.t_date GROUP BY s.t_date"""
 )
 def per_date_metrics(spark, sf_dir):
-    p = adapter.parameters(sf_dir)
     rows = quality.every_nth_date(_eval(spark, sf_dir))
-    return quality.per_date(rows, p["top_k"], p["min_symbols"]).withColumn("long_symbols", F.array_join("long_symbols", ","))
+    return quality.per_date(rows, P["top_k"], P["min_symbols"]).withColumn("long_symbols", F.array_join("long_symbols", ","))
 
 
 def _both_per_date(spark, sf_dir):
-    p = adapter.parameters(sf_dir)
     return (
-        quality.per_date(quality.every_nth_date(_eval(spark, sf_dir, m)), p["top_k"], p["min_symbols"]) for m in ("pred_drift", "pred_mean")
+        quality.per_date(quality.every_nth_date(_eval(spark, sf_dir, m)), P["top_k"], P["min_symbols"]) for m in ("pred_drift", "pred_mean")
     )
 
 
@@ -528,10 +587,13 @@ _TWO = f"""{_PER_DATE}{_dates('evm', 'evm')},
     a AS (SELECT t_date, avg({_HIT}) * 100 AS da, list(symbol) FILTER (is_long) AS l FROM ev_s GROUP BY t_date), b AS (SELECT t_date, avg({_HIT}) * 100 AS da, list(symbol) FILTER (is_long) AS l FROM evm_s GROUP BY t_date)"""
 
 
-@_query(f"{_TWO} SELECT count(*) AS n, ~(avg(b.da - a.da))~ AS mean_diff, ~(avg(b.da - a.da) / (stddev_samp(b.da - a.da) / sqrt(count(*))))~ AS t FROM a JOIN b USING (t_date)")
+@_query(
+    f"""{_TWO}{_rank_ic("evm", "icm")}, d AS (SELECT 'da' AS metric, b.da - a.da AS d FROM a JOIN b USING (t_date) UNION ALL SELECT 'rank_ic', icm.rank_ic - ic.rank_ic FROM ic JOIN icm USING (t_date)),
+    s AS (SELECT metric, count(d) AS n, avg(d) AS mean_diff, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t FROM d GROUP BY metric)
+    SELECT metric, n, ~(mean_diff)~ AS mean_diff, ~(t)~ AS t, ~({T_P})~ AS p FROM s"""
+)
 def paired_t_test(spark, sf_dir):
-    base, candidate = _both_per_date(spark, sf_dir)
-    return quality.paired_t(base, candidate, "da")
+    return quality.paired_t(*_both_per_date(spark, sf_dir))
 
 
 @_query(f"{_TWO} SELECT ~(avg(len(list_intersect(a.l, b.l)) / len(a.l)::DOUBLE))~ AS overlap, count(*) AS dates FROM a JOIN b USING (t_date)")
@@ -571,15 +633,13 @@ def direction_by_model(spark, sf_dir):
     ~(long)~ AS long, ~(ls)~ AS ls, ~(bench)~ AS bench, ~(long_mag)~ AS long_mag, ~(ls_mag)~ AS ls_mag FROM net"""
 )
 def portfolio_returns(spark, sf_dir):
-    p = adapter.parameters(sf_dir)
-    found = portfolio.portfolio_returns(_eval(spark, sf_dir), p["top_k"], p["min_symbols"])
+    found = portfolio.portfolio_returns(_eval(spark, sf_dir), P["top_k"], P["min_symbols"])
     kept = [f"{n}_ret" for n in ("long", "short", "bench", "long_mag", "short_mag")] + [f"{n}_turnover" for n in ("long", "short", "long_mag", "short_mag")]
     return found.select("t_date", *kept, *portfolio.CURVES)
 
 
 def _curves(spark, sf_dir):
-    p = adapter.parameters(sf_dir)
-    return portfolio.curves(portfolio.portfolio_returns(_eval(spark, sf_dir), p["top_k"], p["min_symbols"]))
+    return portfolio.curves(portfolio.portfolio_returns(_eval(spark, sf_dir), P["top_k"], P["min_symbols"]))
 
 
 @_query(f"WITH {PORTFOLIO} SELECT curve, t_date, ~(net)~ AS net, ~(cum)~ AS cum, ~(drawdown)~ AS drawdown FROM crv")
@@ -600,8 +660,28 @@ def portfolio_statistics(spark, sf_dir):
     UNION ALL SELECT 'hit_rate', ~(avg(h))~ FROM (SELECT avg(CASE WHEN actual_return > 0 THEN 1.0 ELSE 0.0 END) FILTER (is_long) * 100 AS h FROM ev_s GROUP BY t_date)"""
 )
 def backtest_summary(spark, sf_dir):
-    p = adapter.parameters(sf_dir)
-    return portfolio.summary(_eval(spark, sf_dir), p["top_k"], p["min_symbols"])
+    return portfolio.summary(_eval(spark, sf_dir), P["top_k"], P["min_symbols"])
+
+
+def _summary_sql(first: str | None, last: str | None) -> str:
+    return of_dates(
+        f"""WITH {PORTFOLIO}, k AS (UNPIVOT st ON ann_return, sharpe, mdd, calmar, win_rate INTO NAME stat VALUE value)
+    SELECT stat || '_' || curve AS metric, value FROM k WHERE stat IN ('ann_return', 'sharpe', 'mdd') OR curve IN ('long', 'ls')
+    UNION ALL SELECT 'da', avg({_HIT}) * 100 FROM ev UNION ALL SELECT 'mw_da', sum(abs(actual_return) * {_HIT}) / sum(abs(actual_return)) * 100 FROM ev
+    UNION ALL SELECT 'rank_ic', avg(rank_ic) FROM ic
+    UNION ALL SELECT 'hit_rate', avg(h) FROM (SELECT avg(CASE WHEN actual_return > 0 THEN 1.0 ELSE 0.0 END) FILTER (is_long) * 100 AS h FROM ev_s GROUP BY t_date)""",
+        first,
+        last,
+    )
+
+
+@_query(f"SELECT metric, ~(v.value)~ AS validation, ~(t.value)~ AS test FROM ({_summary_sql(TRAIN_END, VAL_END)}) v JOIN ({_summary_sql(VAL_END, None)}) t USING (metric)")
+def backtest_by_split(spark, sf_dir):
+    """The figures of the validation and the test dates side by side."""
+    rows = _eval(spark, sf_dir).withColumn("run", slices.split_by_date(F.col("t_date"), TRAIN_END, VAL_END)).where("run <> 'train'")
+    found = portfolio.summary(rows, P["top_k"], P["min_symbols"])
+    of = {n: F.max(F.when(F.col("run") == s, F.col("value"))) for n, s in (("validation", "val"), ("test", "test"))}
+    return found.groupBy("metric").agg(*(v.alias(n) for n, v in of.items()))
 
 
 @_query(f'WITH {PATHS} SELECT symbol, sample_id::INT AS sample_id, step::INT AS step, ~("close")~ AS "close" FROM paths')
@@ -627,10 +707,25 @@ def rankings(spark, sf_dir):
     return _ranked(spark, sf_dir).select("symbol", "name", "sector", "exchange", "trend", "risk_score", "confidence", "place", "volatility_pct", "change_pct", "expected_return")
 
 
-@_query(f"WITH {RISK} SELECT symbol, place::INT AS place FROM rkg WHERE sector <> 'sector 0' AND confidence >= 1 AND risk_score <= 100 AND trend = 'UP'")
+@_query(f"WITH {RISK} SELECT symbol, place::INT AS place FROM rkg WHERE sector = 'sector 1' AND trend <> 'DOWN' UNION ALL SELECT symbol, place::INT FROM rkg WHERE confidence >= 1 AND risk_score <= 99")
 def screened(spark, sf_dir):
-    found = risk.screen(_ranked(spark, sf_dir), trend="UP", min_confidence=1, max_risk=100)
-    return found.where("sector <> 'sector 0'").select("symbol", "place")
+    """By sector, of what is not going down, and by confidence and risk."""
+    ranked = _ranked(spark, sf_dir)
+    by_sector = risk.screen(ranked.where("trend <> 'DOWN'"), sector="sector 1")
+    return by_sector.unionByName(risk.screen(ranked, min_confidence=1, max_risk=99)).select("symbol", "place")
+
+
+@_query(
+    f"""WITH {RISK}, u AS (SELECT symbol, -back AS pos, "close" FROM tail WHERE back <= 3 UNION ALL SELECT symbol, step, avg("close") FROM paths GROUP BY symbol, step)
+    SELECT symbol, place::INT AS place, pos::INT AS pos, ~("close")~ AS "close", CASE WHEN confidence >= 4 THEN 'high' WHEN confidence = 3 THEN 'medium' ELSE 'low' END AS confidence_level FROM u JOIN rkg USING (symbol)"""
+)
+def ranking_sparklines(spark, sf_dir):
+    """The ranking table with its candles, a row for each."""
+    paths = _paths(spark, sf_dir)
+    ranked = risk.rankings(risk.risk_metrics(paths), adapter.bars(spark, sf_dir), adapter.dimension(spark, sf_dir), score.mean_path(paths))
+    return ranked.select("symbol", "place", "confidence_text", F.explode("sparkline_candles").alias("c")).select(
+        "symbol", "place", F.col("c.at").alias("pos"), F.col("c.close").alias("close"), F.col("confidence_text").alias("confidence_level")
+    )
 
 
 @_query(f"WITH {RISK} SELECT symbol, risk_score FROM rkg WHERE risk_score >= 70 AND symbol IN (SELECT symbol FROM dim WHERE exchange = 'HOSE')")
@@ -726,10 +821,13 @@ def vote_accuracy(spark, sf_dir):
     return quality.vote_accuracy(paths, actual)
 
 
-@_query()
+@_query(
+    f"""WITH {BARS}, l AS (SELECT symbol, arg_max("close", ts) AS "close", least(count(*), 126) AS n FROM bars GROUP BY symbol), p AS (SELECT unnest(range(2)) AS sample_id), k AS (SELECT unnest(range(1, 6)) AS step)
+    SELECT symbol, sample_id::INT AS sample_id, step::INT AS step, ~("close")~ AS "close", 'ok' AS status FROM l, p, k WHERE n >= 20 UNION ALL SELECT symbol, NULL, NULL, NULL, 'skipped' FROM l WHERE n < 20"""
+)
 def scored_last_values(spark, sf_dir):
-    """The pluggable forecaster over all symbols; tested in Python."""
-    rows = slices.last_bars(adapter.bars(spark, sf_dir), adapter.parameters(sf_dir)["lookback"])
+    """The pluggable forecaster over all symbols."""
+    rows = slices.last_bars(adapter.bars(spark, sf_dir), P["lookback"])
     asof = rows.groupBy("symbol").agg(F.max("ts").alias("asof_ts"))
     found = score.score(rows.join(asof, "symbol"), score.last_value, 5, 2, least=20)
     return found.select("symbol", "sample_id", "step", "close", "status")
@@ -805,35 +903,65 @@ def ranking_page(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {FORECAST}, f AS (SELECT symbol, ts AS asof_ts, rn, "close" FROM num), p AS (SELECT f.symbol, f.asof_ts, k.step, f."close" FROM f, (SELECT unnest(range(1, 4)) AS step) k),
-    j AS (SELECT p.symbol, p.asof_ts, p.step, p."close", r."close" AS real_close FROM p JOIN f USING (symbol, asof_ts) JOIN num r ON r.symbol = p.symbol AND r.rn = f.rn + p.step),
-    m AS (SELECT symbol, asof_ts, avg(power("close" - real_close, 2)) AS mse FROM j GROUP BY ALL) SELECT ~(avg(mse))~ AS mse, count(*) AS series FROM m""",
-    0,
+    f"""WITH {BARS}, j AS (SELECT f.symbol, f.ts AS asof_ts, (power(f.open - r.open, 2) + power(f.high - r.high, 2) + power(f.low - r.low, 2) + power(f."close" - r."close", 2)) / 4 AS square
+      FROM num f, (SELECT unnest(range(1, 4)) AS step) k, num r WHERE r.symbol = f.symbol AND r.rn = f.rn + k.step),
+    m AS (SELECT symbol, asof_ts, avg(square) AS mse FROM j GROUP BY ALL) SELECT ~(avg(mse) / 1000)~ AS mse_thousands, count(*) AS series FROM m""",
+    4,
 )
 def last_value_path_error(spark, sf_dir):
-    """Mean squared error of the last close over three steps, from every bar on."""
+    """Mean squared error of the last prices over three steps, from every bar on."""
     rows = adapter.bars(spark, sf_dir)
-    forecast = rows.select("symbol", F.col("ts").alias("asof_ts"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("step"), "close")
-    return quality.path_mse(score.realised(forecast, rows, 3))
+    forecast = rows.select("symbol", F.col("ts").alias("asof_ts"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("step"), *PRICES)
+    found = quality.path_mse(score.realised(forecast, rows, 3, PRICES), columns=PRICES)
+    return found.select((F.col("mse") / 1000).alias("mse_thousands"), "series")
+
+
+@_query(
+    f"""WITH {FORECAST}, g AS (SELECT abs(a.pred_close_t5 - floor(a.pred_close_t5 * 10) / 10) / nullif(abs(floor(a.pred_close_t5 * 10) / 10), 0) AS d FROM ev a)
+    SELECT count(*) AS n, max(d) <= 1e-5 AS within, ~(max(d) * 1e6)~ AS worst_millionths FROM g""",
+    4,
+)
+def golden_difference(spark, sf_dir):
+    """Forecasts against themselves as they would be kept, with one digit."""
+    rows = _eval(spark, sf_dir).select("symbol", "t_date", "pred_close_t5")
+    golden = rows.withColumn("pred_close_t5", F.floor(F.col("pred_close_t5") * 10) / 10)
+    found = quality.golden_difference(rows, golden, ["symbol", "t_date"], ("pred_close_t5",))
+    return found.select("n", "within", (F.col("worst") * 1e6).alias("worst_millionths"))
+
+
+_FEATURE_PAIRS = " UNION ALL ".join(
+    f"""SELECT '{m}' AS model, '{c}' AS feature, "{c}" AS x, {expression} AS y FROM (SELECT "{c}", lag("{c}") OVER w AS p1, lag("{c}", 5) OVER w AS p5, avg("{c}") OVER (w ROWS BETWEEN 126 PRECEDING AND 1 PRECEDING) AS m, count(*) OVER (w ROWS BETWEEN 126 PRECEDING AND 1 PRECEDING) AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE k = 126"""
+    for c in FEATURES
+    for m, expression in (("five_back", "p5"), ("last", "p1"), ("mean", "m"))
+)
 
 
 @_query(
-    f"""{_RECON}, e AS (SELECT model, feature, avg(abs(x - y) / greatest(abs(x), 1e-5) * 100) AS mape FROM p GROUP BY model, feature), w AS (PIVOT e ON model IN ('drift', 'last', 'mean') USING first(mape) GROUP BY feature)
-    SELECT feature, mean < last AS beats_second, last < drift AS second_beats_first, mean < 30 AS within_limit FROM w"""
+    f"""WITH {BARS}, p AS ({_FEATURE_PAIRS}), e AS (SELECT model, feature, avg(abs(x - y) / greatest(abs(x), 1e-5) * 100) AS mape, quantile_cont(abs(x - y) / greatest(abs(x), 1e-5) * 100, 0.5) AS mdape FROM p GROUP BY model, feature),
+    w AS (SELECT feature, max(mape) FILTER (model = 'five_back') AS a, max(mape) FILTER (model = 'last') AS b, max(mape) FILTER (model = 'mean') AS c, max(mdape) FILTER (model = 'mean') AS d FROM e GROUP BY feature)
+    SELECT feature, c < b AS beats_second, b < a AS second_beats_first, CASE WHEN feature IN ('volume', 'amount') THEN d < 30 ELSE c < 2 END AS within_limit FROM w"""
 )
 def reconstruction_criteria(spark, sf_dir):
-    return tokens.recon_criteria(_recon(spark, sf_dir), ("drift", "last", "mean"))
+    """Each feature of a bar from the one five back, the last and the mean of 126: the criteria for tokenizers on simple models."""
+    back = clean.by_symbol().rowsBetween(-126, -1)
+    rows = adapter.bars(spark, sf_dir).withColumn("k", F.count("*").over(back))
+    guesses = {"five_back": lambda c: F.lag(c, 5).over(clean.by_symbol()), "last": lambda c: F.lag(c).over(clean.by_symbol()), "mean": lambda c: F.avg(c).over(back)}
+    pairs = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(c).alias("feature"), F.col(c).alias("x"), g(c).alias("y")) for c in FEATURES for m, g in guesses.items()))
+    long = rows.select("k", pairs.alias("pairs")).where("k = 126").select(F.explode("pairs").alias("p")).select("p.*")
+    return tokens.recon_criteria(tokens.recon_error(long), ("five_back", "last", "mean"))
 
 
 @_query(
     f"""WITH {FORECAST}, m AS (SELECT avg({_HIT}) * 100 AS da, sum(abs(actual_return) * {_HIT}) / sum(abs(actual_return)) * 100 AS mw FROM ev), n AS (SELECT avg({_HIT}) * 100 AS da, sum(abs(actual_return) * {_HIT}) / sum(abs(actual_return)) * 100 AS mw FROM evm)
-    SELECT 'da' AS metric, 'all' AS split, ~(m.da)~ AS base, ~(n.da)~ AS candidate, n.da > m.da AS better, n.da >= 52 AS passes FROM m, n UNION ALL SELECT 'mw_da', 'all', ~(m.mw)~, ~(n.mw)~, n.mw > m.mw, NULL FROM m, n"""
+    SELECT 'da' AS metric, 'all' AS split, ~(m.da)~ AS base, ~(n.da)~ AS candidate, n.da > m.da AS better, m.da >= 52 AS base_passes, n.da >= 52 AS passes FROM m, n UNION ALL SELECT 'mw_da', 'all', ~(m.mw)~, ~(n.mw)~, n.mw > m.mw, NULL, NULL FROM m, n"""
 )
 def frozen_metric_comparison(spark, sf_dir):
+    """The metrics of a frozen record, which holds them beside the hashes of its files."""
     base, candidate = (
         quality.direction(_eval(spark, sf_dir, m)).unpivot([], ["da", "mw_da"], "metric", "value").withColumn("split", F.lit("all")) for m in ("pred_drift", "pred_mean")
     )
-    return quality.compare_metrics(base, candidate)
+    frozen = monitor.freeze(base, candidate, sources.hash_artifacts(spark, f"{sf_dir}/region.parquet"))
+    return frozen.select(F.explode("metrics").alias("m")).select("m.*")
 
 
 @_query(
@@ -857,31 +985,73 @@ def dense_windows(spark, sf_dir):
     return kept.groupBy("symbol").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_start"))
 
 
-@_query(
-    f"""WITH {BARS} SELECT symbol, rn AS start, 16::BIGINT AS n_rows, 6::BIGINT AS n_features, (day(ts) * 1.0)::DOUBLE AS first_day FROM num WHERE rn + 16 <= n"""
-)
-def exported_windows(spark, sf_dir):
-    """Windows as arrays, with their shapes."""
+_Z = f"""WITH {BARS}, u AS (SELECT s.symbol, s.rn AS start, (b.rn - s.rn)::INT AS pos, b.ts, {_each('b."{c}"')} FROM num s JOIN num b ON b.symbol = s.symbol AND b.rn BETWEEN s.rn AND s.rn + 15 WHERE s.rn + 16 <= s.n),
+    m AS (SELECT symbol, start, {_each('avg("{c}") FILTER (pos < 10) AS "{c}_m", stddev_pop("{c}") FILTER (pos < 10) AS "{c}_d"')} FROM u GROUP BY ALL),
+    z AS (SELECT symbol, start, pos, ts, {_each('greatest(least(("{c}" - "{c}_m") / (CASE WHEN "{c}_d" < 1e-6 THEN 1 ELSE "{c}_d" END + 1e-5), 5), -5) AS "{c}"')} FROM u JOIN m USING (symbol, start))"""
+
+
+def _normalized(spark, sf_dir):
     rows = adapter.bars(spark, sf_dir)
-    out = windows.export_windows(windows.normalize_windows(rows, windows.make_windows(rows, 10, 5), 10, 5), {"day": F.dayofmonth("ts")})
+    return windows.normalize_windows(rows, windows.make_windows(rows, 10, 5), 10, 5)
+
+
+@_query(f"{_Z} SELECT symbol, start, count(*) AS n_rows, ~(sum((\"close\"::FLOAT)::DOUBLE * (pos + 1)))~ AS closes, ~(sum((open::FLOAT)::DOUBLE + 2 * (high::FLOAT)::DOUBLE + 3 * (low::FLOAT)::DOUBLE + 4 * (volume::FLOAT)::DOUBLE + 5 * (amount::FLOAT)::DOUBLE))~ AS others, sum(day(ts) * (pos + 1))::DOUBLE AS days FROM z GROUP BY symbol, start", 3)
+def exported_windows(spark, sf_dir):
+    """Windows as arrays of floats with their stamps; sums over them, weighted by place, as a check of values and order."""
+    out = windows.export_windows(_normalized(spark, sf_dir), {"day": F.dayofmonth("ts")})
+    at = {c: k for k, c in enumerate(FEATURES)}
+
+    def total(of):
+        return F.aggregate(F.transform("x", of), F.lit(0.0), lambda a, v: a + v)
+
+    def of(c):
+        return lambda x: F.get(x, F.lit(at[c])).cast("double")
+
+    weights = {"open": 1, "high": 2, "low": 3, "volume": 4, "amount": 5}
+    others = total(lambda x: sum((of(c)(x) * w for c, w in weights.items()), F.lit(0.0)))
+    days = F.aggregate(F.transform("stamp", lambda s, i: F.get(s, F.lit(0)).cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     return out.select(
-        "symbol", F.col("start").cast("long").alias("start"), F.size("x").cast("long").alias("n_rows"), F.size(F.col("x")[0]).cast("long").alias("n_features"), F.col("stamp")[0][0].cast("double").alias("first_day")
+        "symbol",
+        F.col("start").cast("long").alias("start"),
+        F.size("x").cast("long").alias("n_rows"),
+        total(lambda x, i: of("close")(x) * (i + 1)).alias("closes"),
+        others.alias("others"),
+        days.alias("days"),
     )
 
 
 @_query(
-    f"""WITH {FORECAST}, d AS (SELECT t_date, row_number() OVER (ORDER BY t_date) - 1 AS nth FROM (SELECT DISTINCT t_date FROM ev)) SELECT symbol, t_date FROM ev WHERE t_date IN (SELECT t_date FROM d WHERE nth >= 3 AND (nth - 3) % 50 = 0 AND (nth - 3) / 50 < 10)"""
+    f"{_Z} SELECT symbol, start, pos, (open > 0)::INT + 2 * (high > 0)::INT + 4 * (low > 0)::INT + 8 * (\"close\" > 0)::INT AS s1, (volume > 0)::INT + 2 * (amount > 0)::INT AS s2 FROM z"
+)
+def pretokenized_windows(spark, sf_dir):
+    """Windows as codes, a row for each of their rows."""
+    found = tokens.pretokenize(_normalized(spark, sf_dir))
+    rows = found.select("symbol", F.col("start").cast("long").alias("start"), F.posexplode(F.arrays_zip("s1", "s2")).alias("pos", "t"))
+    return rows.select("symbol", "start", "pos", "t.s1", "t.s2")
+
+
+#: The seeded offset for each step up to 200, as the operator draws it.
+_OFFSETS = [quality.sample_step(step, 1, 1)[1] for step in range(1, 201)]
+
+
+@_query(
+    f"""WITH {FORECAST}, d AS (SELECT t_date, row_number() OVER (ORDER BY t_date) - 1 AS nth, count(*) OVER () AS m FROM (SELECT DISTINCT t_date FROM ev)),
+    s AS (SELECT t_date, nth, greatest(5, m // 20) AS step FROM d), o AS (SELECT *, ({_OFFSETS})[step] AS off FROM s)
+    SELECT symbol, t_date FROM ev WHERE t_date IN (SELECT t_date FROM o WHERE nth >= off AND (nth - off) % step = 0 AND (nth - off) // step < 20)"""
 )
 def sparse_evaluation_dates(spark, sf_dir):
-    return quality.every_nth_date(_eval(spark, sf_dir), 50, offset=3, most=10).select("symbol", "t_date")
+    """About 500 forecasts of 25 symbols on dates a drawn offset and a step apart."""
+    rows = _eval(spark, sf_dir)
+    step, offset, wanted = quality.sample_step(rows.select("t_date").distinct().count(), 500, 25)
+    return quality.every_nth_date(rows, step, offset=offset, most=wanted).select("symbol", "t_date")
 
 
-@_query("SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1")
+@_query("SELECT event_type AS symbol, 0 AS minute, 9 AS hour, (isodow(ts) - 1)::INT AS weekday, day(ts)::INT AS day, month(ts)::INT AS month, count(*) AS n FROM events GROUP BY ALL")
 def daily_stamp_features(spark, sf_dir):
     """The training variant of the time features: minute 0 and hour 9, whatever the stamp."""
     rows = adapter.read(spark, sf_dir, "events")
     stamps = scalars.time_features(F.col("ts"), daily=True)
-    return rows.where((stamps["minute"] == 0) & (stamps["hour"] == 9)).groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.col("event_type").alias("symbol"), *(c.alias(n) for n, c in stamps.items())).agg(F.count("*").alias("n"))
 
 
 @_query(f"WITH {CODES} SELECT DISTINCT s1 AS token, ~(CASE WHEN s1 & 1 = 1 THEN 1 ELSE -1 END / sqrt(10.0))~ AS first_bit, ~(CASE WHEN s1 & 512 = 512 THEN 1 ELSE -1 END / sqrt(10.0))~ AS last_bit FROM codes")

@@ -34,8 +34,13 @@ def keyed_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def price_limits(reference: Column, close: Column, limit: float = 0.07, near: float = 50.0) -> tuple[Column, Column, Column]:
-    """Ceiling and floor in steps of 100 around a reference, and the side that the close is at."""
+def exchange_limit(exchange: Column) -> Column:
+    """Largest move of a day as a share of the reference, by exchange."""
+    return F.when(exchange == "HNX", 0.10).otherwise(0.07)
+
+
+def price_limits(reference: Column, close: Column, limit: float | Column = 0.07, near: float = 50.0) -> tuple[Column, Column, Column]:
+    """Ceiling and floor in steps of 100 around a reference, and the side that the close is at; limit by row or for all."""
     ceiling, floor = F.round(reference * (1 + limit) / 100) * 100, F.round(reference * (1 - limit) / 100) * 100
     side = F.when(close >= ceiling - near, "ceiling").when(close <= floor + near, "floor").otherwise("between")
     return ceiling, floor, side

@@ -57,11 +57,11 @@ def normalize_schema(df: DataFrame, amount: str = "repair", order: str | None =
 
 
 def reject_nulls(df: DataFrame) -> DataFrame:
-    """The same bars, with an error at run time for a row that has a NULL."""
+    """The same bars, with an error at run time for a row that has a NULL, whichever columns are read after it."""
     bad = F.lit(False)
     for c in FEATURES:
         bad |= F.col(c).isNull()
-    return df.withColumn("close", F.when(bad, F.raise_error(F.lit("bars have NULLs")).cast("double")).otherwise(F.col("close")))
+    return df.where(F.when(bad, F.raise_error(F.lit("bars have NULLs")).cast("boolean")).otherwise(F.lit(True)))
 
 
 def column_order(headers: DataFrame) -> DataFrame:

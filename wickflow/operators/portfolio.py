@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickflow.operators.quality import direction, every_nth_date, hit_rate, rank_ic, wide_dates, with_sides
+from wickflow.functions.scalars import pearson
+from wickflow.operators.quality import direction, every_nth_date, wide_dates, with_ranks, with_sides
 from wickflow.schema import FEE, MIN_SYMBOLS, PERIODS_A_YEAR, RISK_FREE, TOP_K
 
 CURVES = ("long", "ls", "bench", "long_mag", "ls_mag")
@@ -35,13 +36,18 @@ def portfolio_returns(rows: DataFrame, top_k: int = TOP_K, min_symbols: int = MI
     """A row for each rebalance date: equal-weight and magnitude-weighted returns, turnover, and net log returns.
 
     Dates are each `every`-th, then those with enough symbols. The first portfolio is all turnover. Fees come off the
-    log returns. A return of -1 or less has no log and gives NULL. rows: the columns of eval_rows.
+    log returns. A return of -1 or less has no log and gives NULL. rows: the columns of eval_rows; with a column `run`, of
+    which a date has one, each run goes by itself. rank_ic and hit_rate of the date come with them.
     """
-    rows = wide_dates(every_nth_date(rows, every), min_symbols)
-    sides = with_sides(rows, top_k)
+    keys = ("run",) if "run" in rows.columns else ()
+    rows = wide_dates(every_nth_date(rows, every, keys=keys), min_symbols)
+    sides = with_sides(with_ranks(with_ranks(rows, "pred_return", "rp"), "actual_return", "ra"), top_k)
     up, up_set, up_div = _weighted("is_long", 1, top_k)
     down, down_set, down_div = _weighted("is_short", -1, top_k)
-    days = sides.groupBy("t_date").agg(
+    won = F.when(F.col("is_long"), F.when(F.col("actual_return") > 0, 1.0).otherwise(0.0))
+    days = sides.groupBy(*keys, "t_date").agg(
+        F.when(F.count("*") >= 3, F.coalesce(pearson("rp", "ra"), F.lit(0.0))).alias("rank_ic"),
+        (F.avg(won) * 100).alias("hit_rate"),
         F.avg(F.when(F.col("is_long"), F.col("actual_return"))).alias("long_ret"),
         F.avg(F.when(F.col("is_short"), F.col("actual_return"))).alias("short_ret"),
         F.avg("actual_return").alias("bench_ret"),
@@ -54,7 +60,7 @@ def portfolio_returns(rows: DataFrame, top_k: int = TOP_K, min_symbols: int = MI
         down_set.alias("short_mag_set"),
         down_div.alias("short_mag_div"),
     )
-    w = Window.partitionBy(F.lit("run")).orderBy("t_date")
+    w = Window.partitionBy(*(keys or [F.lit("run")])).orderBy("t_date")
 
     def turnover(name: str, divisor: Column) -> Column:
         before = F.lag(f"{name}_set").over(w)
@@ -86,40 +92,50 @@ def curves(returns: DataFrame) -> DataFrame:
     return long.withColumn("drawdown", (peak - F.col("equity")) / peak)
 
 
+def _figures(mean: Column, std: Column, worst: Column, periods: float, risk_free: float) -> dict[str, Column]:
+    ann, mdd = mean * periods * 100, worst * 100
+    sharpe = F.when(std < 1e-6, 0.0).otherwise(F.try_divide(mean - risk_free / periods, std) * F.sqrt(F.lit(periods)))
+    return {"ann_return": ann, "sharpe": sharpe, "mdd": mdd, "calmar": F.when(mdd > 1e-4, ann / mdd).otherwise(0.0)}
+
+
+def _win_rate(net: Column) -> Column:
+    return F.avg(F.when(net > 0, 1.0).otherwise(0.0)) * 100
+
+
 def portfolio_stats(curve_rows: DataFrame, periods: float = PERIODS_A_YEAR, risk_free: float = RISK_FREE) -> DataFrame:
     """(curve, periods, ann_return, sharpe, mdd, calmar, win_rate) in % but for Sharpe and Calmar."""
-    stats = curve_rows.groupBy("curve").agg(
-        F.count("net").alias("periods"),
-        F.avg("net").alias("mean"),
-        F.stddev_pop("net").alias("std"),
-        F.max("drawdown").alias("worst"),
-        (F.avg(F.when(F.col("net") > 0, 1.0).otherwise(0.0)) * 100).alias("win_rate"),
-    )
-    ann, mdd = F.col("mean") * periods * 100, F.col("worst") * 100
-    sharpe = F.when(F.col("std") < 1e-6, 0.0).otherwise(
-        F.try_divide(F.col("mean") - risk_free / periods, F.col("std")) * F.sqrt(F.lit(periods))
+    figures = _figures(F.avg("net"), F.stddev_pop("net"), F.max("drawdown"), periods, risk_free)
+    return curve_rows.groupBy("curve").agg(
+        F.count("net").alias("periods"), *(c.alias(n) for n, c in figures.items()), _win_rate(F.col("net")).alias("win_rate")
     )
-    calmar = F.when(mdd > 1e-4, ann / mdd).otherwise(0.0)
-    return stats.select("curve", "periods", ann.alias("ann_return"), sharpe.alias("sharpe"), mdd.alias("mdd"), calmar.alias("calmar"), "win_rate")
-
-
-def summary(rows: DataFrame, top_k: int = TOP_K, min_symbols: int = MIN_SYMBOLS, every: int = 5) -> DataFrame:
-    """(metric, value): the 23 figures of a run: accuracy over all rows, the rest over the rebalance dates."""
-    chosen = wide_dates(every_nth_date(rows, every), min_symbols)
-    whole = direction(rows).unpivot([], ["da", "mw_da"], "metric", "value")
-    ic = rank_ic(chosen).agg(F.avg("rank_ic").alias("rank_ic")).unpivot([], ["rank_ic"], "metric", "value")
-    hits = hit_rate(chosen, top_k).agg(F.avg("hit_rate").alias("hit_rate")).unpivot([], ["hit_rate"], "metric", "value")
-    stats = portfolio_stats(curves(portfolio_returns(rows, top_k, min_symbols, every=every)))
-    long = stats.unpivot("curve", ["ann_return", "sharpe", "mdd", "calmar", "win_rate"], "stat", "value")
-    shown = {
-        "ann_return": CURVES,
-        "sharpe": CURVES,
-        "mdd": CURVES,
-        "calmar": ("long", "ls"),
-        "win_rate": ("long", "ls"),
-    }
-    keep = F.lit(False)
-    for stat, names in shown.items():
-        keep |= (F.col("stat") == stat) & F.col("curve").isin(*names)
-    money = long.where(keep).select(F.concat_ws("_", "stat", "curve").alias("metric"), "value")
-    return whole.unionByName(ic).unionByName(hits).unionByName(money)
+
+
+#: Statistics that a summary shows, and of which curves.
+SHOWN = {"ann_return": CURVES, "sharpe": CURVES, "mdd": CURVES, "calmar": ("long", "ls"), "win_rate": ("long", "ls")}
+
+
+def summary(
+    rows: DataFrame,
+    top_k: int = TOP_K,
+    min_symbols: int = MIN_SYMBOLS,
+    every: int = 5,
+    periods: float = PERIODS_A_YEAR,
+    risk_free: float = RISK_FREE,
+) -> DataFrame:
+    """(metric, value), by run where rows have that column: 23 figures: accuracy over all rows, the rest over the rebalance dates.
+
+    All figures of the dates come from one table of a row for each date.
+    """
+    keys = ["run"] if "run" in rows.columns else []
+    whole = direction(rows, *keys).unpivot(keys, ["da", "mw_da"], "metric", "value")
+    days = portfolio_returns(rows, top_k, min_symbols, every=every)
+    upto = Window.partitionBy(*(keys or [F.lit("run")])).orderBy("t_date").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumns({f"{c}_equity": F.exp(F.sum(c).over(upto)) for c in CURVES})
+    peaks = {c: F.max(f"{c}_equity").over(upto) for c in CURVES}
+    days = days.withColumns({f"{c}_down": (peaks[c] - F.col(f"{c}_equity")) / peaks[c] for c in CURVES})
+    found = {"rank_ic": F.avg("rank_ic"), "hit_rate": F.avg("hit_rate")}
+    for curve in CURVES:
+        stats = _figures(F.avg(curve), F.stddev_pop(curve), F.max(f"{curve}_down"), periods, risk_free) | {"win_rate": _win_rate(F.col(curve))}
+        found |= {f"{n}_{curve}": c for n, c in stats.items() if curve in SHOWN[n]}
+    figures = days.groupBy(*keys).agg(*(c.alias(n) for n, c in found.items()))
+    return whole.unionByName(figures.unpivot(keys, list(found), "metric", "value"))

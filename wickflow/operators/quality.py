@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.scalars import clip, pearson
@@ -42,22 +42,33 @@ def direction(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def every_nth_date(rows: DataFrame, n: int = 5, date: str = "t_date", offset: int = 0, most: int | None = None) -> DataFrame:
-    """Rows of each n-th of the distinct dates, from the offset on, of the first `most` of those."""
-    dates = rows.select(date).distinct().withColumn("at", F.row_number().over(Window.orderBy(date)) - 1)  # one row a date
+def every_nth_date(
+    rows: DataFrame, n: int = 5, date: str = "t_date", offset: int = 0, most: int | None = None, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows of each n-th of the distinct dates (of each key), from the offset on, of the first `most` of those."""
+    order = Window.partitionBy(*keys).orderBy(date)  # one row a date
+    dates = rows.select(*keys, date).distinct().withColumn("at", F.row_number().over(order) - 1)
     chosen = dates.where((F.col("at") >= offset) & ((F.col("at") - offset) % n == 0))
     if most is not None:
         chosen = chosen.where((F.col("at") - offset) / n < most)
-    return rows.join(chosen.select(date), date, "left_semi")
+    return rows.join(chosen.select(*keys, date), [*keys, date], "left_semi")
 
 
 def sample_step(n_dates: int, limit: int, symbols: int = 50, seed: int = 42) -> tuple[int, int, int]:
-    """(step, offset, dates) for about `limit` windows spread over the dates."""
+    """(step, offset, dates) for about `limit` windows spread over the dates, `step` apart and 5 at least."""
     import random
 
     wanted = max(1, limit // symbols)
     step = max(5, n_dates // wanted)
-    return step, random.Random(seed).randint(0, max(0, step - 2)), wanted
+    return step, random.Random(seed).randint(0, max(1, step - 1)), wanted
+
+
+def evaluation_order(rows: DataFrame, date: str = "t_date") -> DataFrame:
+    """place: rows by date and then symbol, from 0. Dates are counted, so that no task sorts all rows."""
+    before = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)  # one row a date
+    starts = rows.groupBy(date).agg(F.count("*").alias("n")).select(date, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    within = F.row_number().over(Window.partitionBy(date).orderBy("symbol")) - 1
+    return rows.withColumn("at", within).join(starts, date).withColumn("place", F.col("from") + F.col("at")).drop("at", "from")
 
 
 def wide_dates(rows: DataFrame, least: int, date: str = "t_date") -> DataFrame:
@@ -121,38 +132,35 @@ def vote_accuracy(paths: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
-def paired_t(base: DataFrame, candidate: DataFrame, metric: str, date: str = "t_date") -> DataFrame:
-    """One row: dates in both, mean difference and t statistic. NULLs are left out; fewer than 2 dates give NULL."""
-    both = base.select(date, F.col(metric).alias("b")).join(candidate.select(date, F.col(metric).alias("c")), date)
-    d = F.col("c") - F.col("b")
-    return both.agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count(d))).alias("t"))
-
-
-def t_p_value(t: float, df: int) -> float:
-    """Two-sided p of Student's t, by the continued fraction of the incomplete beta function."""
-    if df <= 0:
-        return float("nan")
-    x, a, b = df / (df + t * t), df / 2.0, 0.5
-    if x >= 1:
-        return 1.0
-
-    def fraction(x, a, b):
-        tiny, d = 1e-300, 1 - (a + b) * x / (a + 1)
-        c, d = 1.0, 1 / (d if abs(d) > tiny else tiny)
-        h = d
-        for m in range(1, 300):
-            for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + step * d
-                c = 1 + step / c
-                d = 1 / (d if abs(d) > tiny else tiny)
-                c = c if abs(c) > tiny else tiny
-                h *= d * c
-            if abs(d * c - 1) < 1e-14:
-                break
-        return h
-
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b))
-    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+def paired_t(base: DataFrame, candidate: DataFrame, metrics: tuple[str, ...] = ("da", "rank_ic"), date: str = "t_date") -> DataFrame:
+    """(metric, n, mean_diff, t, p): paired t-tests over the dates in both. NULLs are left out; fewer than 2 dates give NULL."""
+    both = base.select(date, *(F.col(m).alias(f"{m}_b") for m in metrics)).join(
+        candidate.select(date, *(F.col(m).alias(f"{m}_c") for m in metrics)), date
+    )
+    pairs = both.select(*((F.col(f"{m}_c") - F.col(f"{m}_b")).alias(m) for m in metrics)).unpivot([], list(metrics), "metric", "d")
+    found = pairs.groupBy("metric").agg(
+        F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.try_divide(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("t")
+    )
+    return found.withColumn("p", t_p_value(F.col("t"), F.col("n") - 1))
+
+
+def t_p_value(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t for whole degrees of freedom, by the finite series in the angle atan(t / sqrt(df))."""
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    cos, sin = F.cos(angle), F.sin(angle)
+    odd = df % 2 == 1
+    terms = F.floor((df - 1) / 2).cast("int") + F.when(odd, 0).otherwise(1)
+    steps = F.when(terms > 1, F.sequence(F.lit(1), (terms - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def more(state: Column, k: Column) -> Column:
+        factor = F.when(odd, (2 * k) / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        term = state["term"] * factor * cos * cos
+        return F.struct((state["total"] + term).alias("total"), term.alias("term"))
+
+    start = F.when(odd, cos).otherwise(F.lit(1.0))
+    total = F.aggregate(steps, F.struct(start.alias("total"), start.alias("term")), more)["total"]
+    inside = F.when(odd, (angle + sin * F.when(terms > 0, total).otherwise(0.0)) * (2 / math.pi)).otherwise(sin * total)
+    return F.when((df >= 1) & t.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))
 
 
 def mean_overlap(base: DataFrame, candidate: DataFrame, date: str = "t_date") -> DataFrame:
@@ -161,9 +169,10 @@ def mean_overlap(base: DataFrame, candidate: DataFrame, date: str = "t_date") ->
     return both.agg(F.avg(F.try_divide(F.size(F.array_intersect("a", "b")), F.size("a"))).alias("overlap"), F.count("*").alias("dates"))
 
 
-def path_mse(compared: DataFrame, key: tuple[str, ...] = ("symbol", "asof_ts")) -> DataFrame:
-    """Mean over series of the mean squared error of their steps; compared has close and real_close."""
-    each = compared.where("real_close is not null").groupBy(*key).agg(F.avg(F.pow(F.col("close") - F.col("real_close"), 2)).alias("mse"))
+def path_mse(compared: DataFrame, key: tuple[str, ...] = ("symbol", "asof_ts"), columns: tuple[str, ...] = ("close",)) -> DataFrame:
+    """Mean over series of the mean squared error of their steps and columns; compared has each column and real_ it."""
+    square = sum((F.pow(F.col(c) - F.col(f"real_{c}"), 2) for c in columns), F.lit(0.0)) / len(columns)
+    each = compared.where(f"real_{columns[0]} is not null").groupBy(*key).agg(F.avg(square).alias("mse"))
     return each.agg(F.avg("mse").alias("mse"), F.count("*").alias("series"))
 
 
@@ -191,14 +200,13 @@ def grade(da):
 
 
 def compare_metrics(base: DataFrame, candidate: DataFrame, bar: float = 52.0) -> DataFrame:
-    """(metric, split, base, candidate, better, passes): long metric tables side by side."""
+    """(metric, split, base, candidate, better, base_passes, passes): long metric tables side by side; the bar is for da."""
     names = ("da", "mw_da", "rank_ic", "hit_rate")
     b = base.where(F.col("metric").isin(*names)).withColumnRenamed("value", "base")
     c = candidate.where(F.col("metric").isin(*names)).withColumnRenamed("value", "candidate")
     both = b.join(c, ["metric", "split"])
-    return both.withColumn("better", F.col("candidate") > F.col("base")).withColumn(
-        "passes", F.when(F.col("metric") == "da", F.col("candidate") >= bar)
-    )
+    flags = {n: F.when(F.col("metric") == "da", F.col(c) >= bar) for n, c in (("base_passes", "base"), ("passes", "candidate"))}
+    return both.withColumns({"better": F.col("candidate") > F.col("base")} | flags)
 
 
 def weighted_loss(batches: DataFrame, *keys: str) -> DataFrame:

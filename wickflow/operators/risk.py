@@ -91,11 +91,16 @@ def sparkline(bars: DataFrame, forecast: DataFrame, n: int = 3) -> DataFrame:
     return rows.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("at", "close", "scaled", "fcst"))).alias("candles"))
 
 
-def rankings(risks: DataFrame, bars: DataFrame, dim: DataFrame) -> DataFrame:
-    """The ranking table: risk figures with last and previous close, score, confidence and the dimension, best return first."""
+def rankings(risks: DataFrame, bars: DataFrame, dim: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
+    """The ranking table: risk figures with last and previous close, score, confidence and the dimension, best return first.
+
+    With the mean path of a forecast, also sparkline_candles: the last bars and the forecast's steps.
+    """
     two = last_bars(bars, 2)
     closes = two.groupBy("symbol").agg(F.max_by("close", "ts").alias("last_bar"), F.min_by("close", "ts").alias("prev_bar"))
     rows = dimension(risks.join(closes, "symbol"), dim)
+    if forecast is not None:
+        rows = rows.join(sparkline(bars, forecast).withColumnRenamed("candles", "sparkline_candles"), "symbol", "left")
     stars = confidence(F.col("width"), F.col("pred_close"))
     rows = rows.withColumns(
         {

@@ -103,12 +103,14 @@ def fan(paths: DataFrame) -> DataFrame:
     return every.unionByName(lead).drop("last_close")
 
 
-def realised(forecast: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """Forecast steps beside the bars that came: forecast has symbol, asof_ts, step, close."""
-    rows = number_rows(bars).select("symbol", "rn", F.col("ts").alias("real_ts"), F.col("close").alias("real_close"))
+def realised(forecast: DataFrame, bars: DataFrame, horizon: int, columns: tuple[str, ...] = ("close",)) -> DataFrame:
+    """Forecast steps beside the bars that came: forecast has symbol, asof_ts, step and the columns, close or all prices."""
+    rows = number_rows(bars).select("symbol", "rn", F.col("ts").alias("real_ts"), *(F.col(c).alias(f"real_{c}") for c in columns))
     at = rows.select("symbol", F.col("real_ts").alias("asof_ts"), F.col("rn").alias("asof_rn"))
     steps = forecast.join(at, ["symbol", "asof_ts"]).withColumn("rn", F.col("asof_rn") + F.col("step"))
-    return steps.join(rows, ["symbol", "rn"], "left").select("symbol", "asof_ts", "step", "real_ts", "close", "real_close")
+    return steps.join(rows, ["symbol", "rn"], "left").select(
+        "symbol", "asof_ts", "step", "real_ts", *columns, *(f"real_{c}" for c in columns)
+    )
 
 
 def step_changes(forecast: DataFrame) -> DataFrame:

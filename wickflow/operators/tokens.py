@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.scalars import keyed_uniform
+from wickflow.schema import PRICES
 
 BITS = 10
 CODES = 1 << BITS
@@ -46,13 +47,24 @@ def join_token(s1: Column, s2: Column, bits: int = BITS) -> Column:
     return s1 + F.shiftleft(s2, bits)
 
 
-def token_frequency(tokens: DataFrame, token: str, n: int | None = None) -> DataFrame:
-    """(token, n, share of the most frequent), most frequent first."""
-    counts = tokens.groupBy(F.col(token).alias("token")).agg(F.count("*").alias("n"))
-    top = counts.agg(F.max("n").alias("most"))
-    ranked = counts.join(F.broadcast(top)).select("token", "n", (F.col("n") / F.col("most")).alias("share"))
-    ranked = ranked.orderBy(F.desc("n"), "token")
-    return ranked if n is None else ranked.limit(n)
+def last_rows(tokens: DataFrame, keys: tuple[str, ...], order: str, n: int = 15) -> DataFrame:
+    """The last n rows of each key."""
+    latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    return tokens.withColumn("back", latest).where(F.col("back") <= n).drop("back")
+
+
+def token_frequency(tokens: DataFrame, token: str, n: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(token, n, share of the most frequent), most frequent first and by keys; with n, the first n of each key."""
+    counts = tokens.groupBy(*keys, F.col(token).alias("token")).agg(F.count("*").alias("n"))
+    if not keys:
+        top = counts.agg(F.max("n").alias("most"))
+        ranked = counts.join(F.broadcast(top)).select("token", "n", (F.col("n") / F.col("most")).alias("share"))
+        ranked = ranked.orderBy(F.desc("n"), "token")
+        return ranked if n is None else ranked.limit(n)
+    whole = Window.partitionBy(*keys)
+    place = F.row_number().over(whole.orderBy(F.desc("n"), "token"))
+    ranked = counts.select(*keys, "token", "n", (F.col("n") / F.max("n").over(whole)).alias("share"), place.alias("place"))
+    return (ranked if n is None else ranked.where(F.col("place") <= n)).drop("place")
 
 
 def token_histogram(tokens: DataFrame, token: str, codes: int = CODES) -> DataFrame:
@@ -128,14 +140,28 @@ def recon_error(pairs: DataFrame, keys: tuple[str, ...] = ("model", "feature"))
     )
 
 
-def recon_criteria(errors: DataFrame, models: tuple[str, str, str], value: str = "mape") -> DataFrame:
-    """By feature: whether the last model beats the second and that the first, and whether it is within the limits."""
+def recon_criteria(errors: DataFrame, models: tuple[str, str, str]) -> DataFrame:
+    """By feature: whether the last model's MAPE beats the second's and that the first's, and whether it is within limits.
+
+    Prices have to keep their MAPE below 2 %, volume and amount their MdAPE below 30 %.
+    """
     first, second, last = models
-    wide = errors.groupBy("feature").pivot("model", list(models)).agg(F.first(value).alias("e"))
-    price = F.col("feature").isin("open", "high", "low", "close")
+    wide = errors.groupBy("feature").pivot("model", list(models)).agg(F.first("mape").alias("mape"), F.first("mdape").alias("mdape"))
+    mape = {m: F.col(f"{m}_mape") for m in models}
     return wide.select(
         "feature",
-        (F.col(last) < F.col(second)).alias("beats_second"),
-        (F.col(second) < F.col(first)).alias("second_beats_first"),
-        F.when(price, F.col(last) < 2.0).otherwise(F.col(last) < 30.0).alias("within_limit"),
+        (mape[last] < mape[second]).alias("beats_second"),
+        (mape[second] < mape[first]).alias("second_beats_first"),
+        F.when(F.col("feature").isin("open", "high", "low", "close"), mape[last] < 2.0).otherwise(F.col(f"{last}_mdape") < 30.0).alias("within_limit"),
     )
+
+
+def pretokenize(normalized: DataFrame) -> DataFrame:
+    """(symbol, start, s1, s2): codes of each row of normalised windows, in order, from the signs of price and size z-scores.
+
+    It is to be written once as Parquet and read for each training run, with the stamps of export_windows beside it.
+    """
+    s1 = bits_to_index(F.array(*(F.col(f"z_{c}") for c in PRICES)))
+    s2 = bits_to_index(F.array(F.col("z_volume"), F.col("z_amount")))
+    rows = normalized.groupBy("symbol", "start").agg(F.array_sort(F.collect_list(F.struct("pos", s1.alias("s1"), s2.alias("s2")))).alias("r"))
+    return rows.select("symbol", "start", F.col("r.s1").alias("s1"), F.col("r.s2").alias("s2"))

@@ -1,7 +1,8 @@
 """Sliding windows: enumeration, leak-free splits, statistics, normalisation and export.
 
-A window is a row (symbol, start) with figures from row frames; its rows are only unfolded where each is needed.
-All frames share one specification, so a table of windows takes one exchange and one sort by symbol.
+A window is a row (symbol, start) with figures from row frames; where its rows are needed, a frame gathers them as an
+array. All frames share one specification, so a table of windows takes one exchange and one sort by symbol, and bars are
+never sent once for each window that holds them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.scalars import clip as clipped
-from wickflow.operators.clean import by_symbol, fill, number_rows
+from wickflow.operators.clean import by_symbol, number_rows
 from wickflow.schema import CLIP, FEATURES, GAP, HORIZON, LOOKBACK, MAX_NULL, STD_EPSILON, STD_GUARD
 
 
@@ -87,17 +88,31 @@ def min_window_std(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
 
 
 def zero_std_symbols(stds: DataFrame) -> DataFrame:
-    return stds.groupBy("feature").agg(F.sum(F.when(F.col("min_std") < 1e-9, 1).otherwise(0)).alias("zero_symbols"))
+    return stds.groupBy("feature").agg(F.count(F.when(F.col("min_std") == 0, 1)).alias("zero_symbols"))
 
 
-def unfold(bars: DataFrame, windows: DataFrame, width: int) -> DataFrame:
-    """(symbol, start, pos, features, what the windows carry): the rows of each window.
+def gathered(rows: DataFrame, width: int, columns: dict[str, Column]) -> DataFrame:
+    """(symbol, start, rows): each full window of numbered rows with these columns of its rows, as one array.
 
-    A bar is sent to the windows that hold it, `width` at most; bars and windows meet on (symbol, start).
+    Rows may have a column `wanted`; windows whose first row lacks it go.
     """
-    rows = number_rows(bars).select("symbol", "rn", "ts", *FEATURES)
-    spread = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("start", F.col("rn") - F.col("pos"))
-    return spread.where("start >= 0").drop("rn").join(windows, ["symbol", "start"])
+    picked = F.col("wanted") if "wanted" in rows.columns else F.lit(True)
+    out = rows.select(
+        "symbol",
+        F.col("rn").alias("start"),
+        F.count("*").over(_ahead(0, width - 1)).alias("n"),
+        picked.alias("picked"),
+        F.collect_list(F.struct(*(c.alias(n) for n, c in columns.items()))).over(_ahead(0, width - 1)).alias("rows"),
+    )
+    return out.where((F.col("n") == width) & F.col("picked")).drop("n", "picked")
+
+
+def _moments(values: str, n: int) -> tuple[Column, Column]:
+    """Mean and population deviation of the first n elements of an array column."""
+    part = F.slice(values, 1, n)
+    mean = F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n
+    square = F.aggregate(part, F.lit(0.0), lambda a, x: a + (x - F.col(f"{values}_mean")) * (x - F.col(f"{values}_mean")))
+    return mean, F.sqrt(square / n)
 
 
 def scale(x: Column, mean: Column, std: Column, clip: float | None = CLIP) -> Column:
@@ -108,20 +123,39 @@ def scale(x: Column, mean: Column, std: Column, clip: float | None = CLIP) -> Co
 
 
 def unscale(z: Column, mean: Column, std: Column) -> Column:
-    return z * (std + F.lit(STD_EPSILON)) + mean
+    """The inverse of scale without a clip."""
+    safe = F.when(std < STD_GUARD, F.lit(1.0)).otherwise(std)
+    return z * (safe + F.lit(STD_EPSILON)) + mean
 
 
 def normalize_windows(bars: DataFrame, windows: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON, clip: float = CLIP) -> DataFrame:
-    """The rows of each window, filled inside the window, as z-scores of its lookback. No figure comes from after it."""
+    """The rows of each window, filled inside the window, as z-scores of its lookback. No figure comes from after it.
+
+    NULLs take the last value before them in the window, or 0. That value is found once for each bar, with its row, and counts
+    if the row lies in the window.
+    """
     width = lookback + horizon + 1
-    rows = unfold(bars, windows.select("symbol", "start"), width)
-    rows = fill(rows, "window", ("symbol", "start"), "pos")
-    whole = Window.partitionBy("symbol", "start")
-    past = {c: F.when(F.col("pos") < lookback, F.col(c)) for c in FEATURES}
-    scaled = {
-        f"z_{c}": scale(F.col(c), F.avg(past[c]).over(whole), F.stddev_pop(past[c]).over(whole), clip) for c in FEATURES
-    }
-    return rows.withColumns(scaled)
+    upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    first = windows.select("symbol", F.col("start").alias("rn"), F.lit(True).alias("wanted"))
+    rows = number_rows(bars).join(first, ["symbol", "rn"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    held = {c: F.last(c, True).over(upto) for c in FEATURES}
+    since = {f"{c}_at": F.last(F.when(F.col(c).isNotNull(), F.col("rn")), True).over(upto) for c in FEATURES}
+    rows = rows.withColumns(since | {f"{c}_held": v for c, v in held.items()})
+    found = gathered(rows, width, {"ts": F.col("ts"), **{n: F.col(n) for c in FEATURES for n in (f"{c}_held", f"{c}_at")}})
+
+    def inside(c: str) -> Column:
+        return F.transform("rows", lambda r: F.when(r[f"{c}_at"] >= F.col("start"), r[f"{c}_held"]).otherwise(0.0)).alias(c)
+
+    def scores(c: str) -> Column:
+        return F.transform(c, lambda x: scale(x, F.col(f"{c}_mean"), F.col(f"{c}_std"), clip))
+
+    found = found.select("symbol", "start", F.transform("rows", lambda r: r["ts"]).alias("ts"), *map(inside, FEATURES))
+    found = found.withColumns({f"{c}_mean": _moments(c, lookback)[0] for c in FEATURES})
+    found = found.withColumns({f"{c}_std": _moments(c, lookback)[1] for c in FEATURES})
+    scaled = {f"z_{c}": scores(c) for c in FEATURES}
+    names = ["ts", *FEATURES, *scaled]
+    zipped = found.withColumns(scaled).select("symbol", "start", F.posexplode(F.arrays_zip(*names)).alias("pos", "r"))
+    return zipped.select("symbol", "start", "pos", *(F.col(f"r.{n}").alias(n) for n in names))
 
 
 def export_windows(normalized: DataFrame, stamps: dict[str, Column]) -> DataFrame:
@@ -135,20 +169,15 @@ def export_windows(normalized: DataFrame, stamps: dict[str, Column]) -> DataFram
 def clip_rate(bars: DataFrame, width: int = LOOKBACK, clip: float = CLIP) -> DataFrame:
     """(feature, rate): share of cells in all full windows whose z-score within the window is beyond the clip."""
     w = by_symbol().rowsBetween(0, width - 1)
-    rows = number_rows(bars).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
-    stats = rows.select(
-        "symbol",
-        F.col("rn").alias("start"),
-        "n",
-        *(F.avg(c).over(w).alias(f"{c}_mean") for c in FEATURES),
-        *(F.stddev_pop(c).over(w).alias(f"{c}_std") for c in FEATURES),
-    ).where(F.col("start") + width <= F.col("n"))
-    cells = unfold(bars, stats, width)
-    beyond = {
-        c: F.avg(F.when(F.abs(scale(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_std"), None)) > clip, 1.0).otherwise(0.0)).alias(c)
-        for c in FEATURES
-    }
-    return cells.agg(*beyond.values()).unpivot([], list(FEATURES), "feature", "rate")
+    figures = {f"{c}_{n}": f(c).over(w) for c in FEATURES for n, f in (("mean", F.avg), ("std", F.stddev_pop))}
+    rows = number_rows(bars).withColumns(figures)
+    found = rows.select("*", F.count("*").over(w).alias("n"), F.collect_list(F.struct(*FEATURES)).over(w).alias("rows")).where(F.col("n") == width)
+
+    def beyond(c: str) -> Column:
+        far = F.filter("rows", lambda r: F.abs(scale(r[c], F.col(f"{c}_mean"), F.col(f"{c}_std"), None)) > clip)
+        return (F.sum(F.size(far)) / (F.count("*") * width)).alias(c)
+
+    return found.agg(*map(beyond, FEATURES)).unpivot([], list(FEATURES), "feature", "rate")
 
 
 def leak_report(bars: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON, column: str = "close") -> DataFrame:

@@ -1,4 +1,4 @@
-"""DuckDB's SQL for the candle queries, on views of the test tables. Parameters are those for the sf0.01 tables."""
+"""DuckDB's SQL for the candle queries, on views of the test tables. Parameters are those of plans.adapter.LEAST."""
 
 from __future__ import annotations
 
@@ -53,16 +53,20 @@ def _dates(source: str, name: str) -> str:
   FROM {name}_w)"""
 
 
-RANKED = """,
-rk AS (
+def _rank_ic(name: str, ic: str) -> str:
+    return f""",
+{ic}_rk AS (
   SELECT *, rank() OVER (PARTITION BY t_date ORDER BY pred_return) + (count(*) OVER (PARTITION BY t_date, pred_return) - 1) / 2.0 AS rp,
          rank() OVER (PARTITION BY t_date ORDER BY actual_return) + (count(*) OVER (PARTITION BY t_date, actual_return) - 1) / 2.0 AS ra
-  FROM ev_w),
-ic AS (
+  FROM {name}_w),
+{ic} AS (
   SELECT t_date, coalesce(CASE WHEN va > 1e-12 AND vb > 1e-12 THEN cov / (sqrt(va) * sqrt(vb)) END, 0.0) AS rank_ic
   FROM (SELECT t_date, count(*) AS n, sum(rp * ra) - sum(rp) * sum(ra) / count(*) AS cov,
                sum(rp * rp) - sum(rp) * sum(rp) / count(*) AS va, sum(ra * ra) - sum(ra) * sum(ra) / count(*) AS vb
-        FROM rk GROUP BY t_date) WHERE n >= 3)"""
+        FROM {ic}_rk GROUP BY t_date) WHERE n >= 3)"""
+
+
+RANKED = _rank_ic("ev", "ic")
 
 PORTFOLIO = FORECAST + _dates("ev", "ev") + RANKED + """,
 day AS (
@@ -148,3 +152,15 @@ sm AS (SELECT vec_id, token, logit, e / sum(e) OVER (PARTITION BY vec_id) AS p
 nuc AS (SELECT vec_id, token, logit, p / sum(p) OVER (PARTITION BY vec_id) AS p
         FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY logit DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sm)
         WHERE before <= 0.9)"""
+
+
+def of_dates(sql: str, first: str | None, last: str | None) -> str:
+    """The same with only the forecasts made from `first` on and before `last`."""
+    when = "".join(f" AND ts {sign} DATE '{day}'" for sign, day in ((">=", first), ("<", last)) if day)
+    return sql.replace("WHERE pred_drift IS NOT NULL AND c5 IS NOT NULL", "WHERE pred_drift IS NOT NULL AND c5 IS NOT NULL" + when)
+
+
+#: Two-sided p of Student's t for columns t and n, by the gamma function.
+T_P = """1 - CASE WHEN (n - 1) % 2 = 1 THEN 2 / pi() * (atan(abs(t) / sqrt(n - 1)) + sin(atan(abs(t) / sqrt(n - 1))) * coalesce(list_sum(list_transform(range(0, (n - 2) // 2),
+    lambda k: exp(lgamma(k + 1.0) + ln(sqrt(pi()) / 2) - lgamma(k + 1.5)) * power(cos(atan(abs(t) / sqrt(n - 1))), 2 * k + 1))), 0))
+  ELSE sin(atan(abs(t) / sqrt(n - 1))) * list_sum(list_transform(range(0, (n - 1) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * power(cos(atan(abs(t) / sqrt(n - 1))), 2 * k))) END"""

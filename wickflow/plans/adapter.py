@@ -53,12 +53,6 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("token", "logit"))
 
 
-def parameters(sf_dir: str) -> dict:
-    """Window length, portfolio size and least cross-section that suit the density of a table."""
-    name = sf_dir.rstrip("/").rsplit("/", 1)[-1]
-    if name == "sf0.001":
-        return {"lookback": 20, "top_k": 1, "min_symbols": 2}
-    return {"lookback": 126, "top_k": 3, "min_symbols": 10}
-
-
+#: Window length, portfolio size and least cross-section of the registered queries.
+LEAST = {"lookback": 126, "top_k": 3, "min_symbols": 10}
 TRAIN_END, VAL_END = "1999-01-01", "2000-07-01"

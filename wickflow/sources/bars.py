@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,24 @@ def prefer_file(files: DataFrame, preferred: str) -> DataFrame:
     return files.agg(F.min(F.struct(other.alias("other"), "path")).alias("best")).select("best.path")
 
 
+def first_folder(spark: SparkSession, folders: list[str], ending: str = "*.csv") -> str:
+    """The first folder that has such files, or the first of all where none has."""
+    for folder in folders:
+        try:
+            if not list_files(spark, folder, ending).isEmpty():
+                return folder
+        except AnalysisException:  # it is not there
+            continue
+    return folders[0]
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header): the first line of each text file, for clean.column_order. Only the first block of a file is read."""
+    lines = spark.read.text(path, recursiveFileLookup=True).where("_metadata.file_block_start = 0")
+    lines = lines.select(F.col("_metadata.file_name").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    return lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+
+
 def prefer_source(primary: DataFrame, fallback: DataFrame, key: str = "symbol") -> DataFrame:
     """All rows of primary, and those of fallback whose key primary lacks."""
     return primary.unionByName(fallback.join(primary.select(key).distinct(), key, "left_anti"))
