@@ -114,6 +114,34 @@ def test_differencing_is_tight():
     assert big[0] not in rest and set(rest.values()) == {10}
 
 
+def test_shards_of_nothing_repeats_and_the_query(spark, texts, tmp_path):
+    """The query's columns against hashlib-like values of Python, and laws: bytes near equal, slots gapless, copies together."""
+    from wickflow.llm import catalog
+
+    assert sharding.shard(made(spark, []), 8).count() == 0
+    rows = [*texts.items(), *[(300 + i, f"text {i} " * (i % 9)) for i in range(300)], (300, "text 0 "), (None, "same"), (None, "same"), (900, None)]
+    made(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.op2_sharding(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("bytes", None)}
+    slots, sums, where = defaultdict(list), Counter(), defaultdict(set)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        sums[r["shard"]] += r["size"]
+        where[r["size"], r["text_crc32"]].add(r["shard"])
+    assert set(slots) <= set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    groups = Counter()
+    for i, t in rows:
+        groups[t or f"none {i}"] += len((t or "").encode()) + 1
+    rest = sorted(sums.values())
+    largest = max(groups.values())
+    if largest > sum(groups.values()) / 8:  # a group above a share fills its shard, the others share the rest
+        rest = rest[:-1]
+    assert rest[-1] - rest[0] <= max(sorted(groups.values())[:-1])
+    assert all(len(s) == 1 for (size, _), s in where.items() if size > 1)
+
+
 def test_shards(spark, texts):
     rows = list(texts.items()) + [(0, texts[0]), (None, "no id")]
     got = sharding.shard(made(spark, rows), 8).collect()
@@ -550,14 +578,24 @@ def test_token_ids_of_every_letter_and_of_special_strings():
 
 
 def test_pack_balances_costs():
-    rng = random.Random(4)
-    lengths = [rng.randint(1, 3000) for _ in range(400)]
+    """Short documents spread so that no sequence costs much more than another, whatever the order they come in."""
+    rng = random.Random(3)
+    lengths = [rng.randint(20, 400) for _ in range(400)]
     pieces = packing.pack(lengths, 2048)
-    cost, held = Counter(), Counter()
+    cost, filled = Counter(), Counter()
     for _, _, n, s, _ in pieces:
         cost[s] += packing.cost(n)
-        held[s] += n
-    assert max(held.values()) <= 2048 and sum(held.values()) == sum(lengths)
+        filled[s] += n
+    assert sum(filled.values()) == sum(lengths)
+    full = [cost[s] for s, n in filled.items() if n == 2048]
+    assert max(full) <= 1.1 * min(full)
+    in_order = Counter()  # first fit as they come, for comparison
+    at = 0
+    for n in lengths:
+        in_order[at // 2048] += packing.cost(n)
+        at += n
+    whole = [c for s, c in in_order.items() if s < at // 2048]
+    assert max(full) - min(full) < max(whole) - min(whole)
     assert packing.pack([], 2048) == [] and len(packing.pack([2048], 2048)) == 1
 
 
