@@ -3,7 +3,7 @@
 A vector, scaled to length 1, is hashed by the cells of a few Gaussian projections. A query visits buckets from its own
 outward, in the order of their estimated chance to hold a near neighbour, until the chances add up to the
 wanted share. The chance that a neighbour lies in a cell follows from the normal spread of its projection, given a
-distance that is fitted on a bounded sample. The tables' candidates are merged and ranked by exact cosine.
+distance that some sampled vectors have to their neighbours. The tables' candidates are merged and ranked by exact cosine.
 
 How many tables and projections there are is chosen by the expected cost of a query, rows to score and buckets to visit,
 which the sample shows too. Near neighbours make that few of the rows; where they are almost as far as any
@@ -36,8 +36,8 @@ QUERY_BLOCK = 64
 QUERY_SLOT = 4096
 #: Queries whose best entries a task holds before it hands them on.
 HELD_QUERIES = 50_000
-#: Rows of the sample that distance and cost are fitted on, and queries among them.
-SAMPLE, SAMPLE_QUERIES, COST_QUERIES = 4096, 256, 24
+#: Rows of the sample that the cost is fitted on, those of them whose neighbours are looked for among all rows, and cost queries.
+SAMPLE, SAMPLE_QUERIES, COST_QUERIES = 4096, 64, 24
 
 
 def projections(seed: int, dims: int, tables: int, functions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +99,24 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)
 
 
-def expected_distance(sample: np.ndarray, k: int) -> float:
-    """Median distance of the k-th neighbour on the unit sphere within a sample; more rows only come nearer."""
-    unit = sample / np.linalg.norm(sample, axis=1)[:, None]
-    near = -np.sort(-(unit[:SAMPLE_QUERIES] @ unit.T), axis=1)[:, : k + 1]
-    return float(np.sqrt(np.maximum(2 - 2 * np.quantile(near[:, -1], 0.3), 1e-6))) if len(sample) > 1 else 1.0
+def expected_distance(classes: DataFrame, sample: np.ndarray, k: int) -> float:
+    """Distance on the unit sphere within which most vectors have their k-th neighbour: of some of the sample, among all rows."""
+    asked = sample[:SAMPLE_QUERIES]
+    if len(sample) < 2:
+        return 1.0
+
+    def scan(batches):
+        best = np.full((len(asked), k + 1), -2.0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                found = np.concatenate([best, _cosines(asked, _matrix(batch.column(0).slice(at, CHUNK)))], axis=1)
+                best = -np.partition(-found, k, axis=1)[:, : k + 1]
+        rows, near = np.repeat(np.arange(len(asked)), k + 1), best.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(near)], ["asked", "near"])
+
+    near = classes.select("v").mapInArrow(scan, "asked long, near double").groupBy("asked")
+    kth = near.agg(F.element_at(F.sort_array(F.collect_list("near"), False), k + 1).alias("kth")).toPandas()["kth"]
+    return float(np.sqrt(np.maximum(2 - 2 * np.quantile(np.maximum(kth, -1.0), 0.3), 1e-6)))
 
 
 def share_of_each(target: float, tables: int) -> float:
@@ -187,7 +200,7 @@ def nearest(
     count = classes.count()
     sample = classes.orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()
     sample = np.array(sample.column(0).to_pylist(), dtype=np.float64).reshape(-1, dims)
-    spread = expected_distance(sample, k)
+    spread = expected_distance(classes, sample, k)
     tables, functions = layout(sample, spread, count, target, seed) if count else (1, 1)
     coverage = share_of_each(target, tables)
     a, b = projections(seed, dims, tables, functions)

@@ -66,11 +66,11 @@ def mix(
 
     taken counts the words that the mix takes of a row: whole epochs of its source and then, in key order, the rows
     up to the rest of the budget; the row at the cut gives its first words, so that a source's taken words are its
-    rounded target. Null texts have no words. Null sources are one source, null ids one key. Repeated rows
+    rounded target. Null texts have no words. Null sources are one source; a row without id takes its key from its text. Repeated rows
     count as often as they come. An empty table, or one without words, takes nothing.
     """
     doc_id, text, source = docs[f"`{id_col}`"], docs[f"`{text_col}`"], docs[f"`{source_col}`"]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))))
     rows = docs.select(
         doc_id.cast("long").alias("doc_id"),
         source.isNull().alias("no_source"),
@@ -129,7 +129,7 @@ def oracle_sql() -> str:
 WITH d AS (
   SELECT doc_id, source,
          len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size,
-         md5(concat('mix-17:', coalesce(doc_id::VARCHAR, ''))) AS k
+         md5(concat('mix-17:', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
