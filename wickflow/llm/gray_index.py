@@ -257,6 +257,7 @@ def links(
     allowed: np.ndarray,
     turns: int = 1,
     carried: tuple[str, ...] = (),
+    least: int = LEAST_BLOCK,
     most: int = MOST_BLOCK,
     max_nodes: int = MAX_NODES,
     fan_in: int = FAN_IN,
@@ -265,9 +266,10 @@ def links(
 
     prints: distinct rows of longs, fp and the columns in `carried`; a and b are lists of arrays in that order. Each further
     order is that of the fingerprints rotated by so many bits, and so are they in its blocks, which changes no distance.
+    With a wide bound most pairs of small blocks survive, and each is sent; fewer, larger blocks (`least`) move less.
     """
     columns = ["fp", *carried]
-    size = min(most, max(LEAST_BLOCK, -(-prints.count() // BLOCKS)))
+    size = min(most, max(least, -(-prints.count() // BLOCKS)))
     longs = pa.list_(pa.int64())
 
     def own(run):

@@ -27,6 +27,8 @@ SEED = 42
 WIDTH, SIMILARITY = 5, 0.8
 #: Orders that are searched, and the least chance of a similar text to pass a node of one of them.
 TURNS, COVERAGE = 3, 0.85
+#: Fingerprints in a block of such a search at least.
+WIDE_BLOCK = 8192
 #: Standard deviations above the expected difference that still count as near.
 SLACK = 2.8
 #: Bits of the fingerprint by which near classes find their nearest.
@@ -35,7 +37,9 @@ LONG_BITS = 1024
 BUCKETS = 1 << 20
 #: A key holds the differing bits above the number of a node.
 NODE_BITS = 54
-NOTHING = np.iinfo(np.int64).max
+#: Partners that a class is held against in a round, and keys that a comparison holds before it drops all but these.
+AT_ONCE = 4
+HELD_KEYS = 1 << 20
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -168,17 +172,37 @@ def _classes(texts: DataFrame, width: int) -> DataFrame:
     return checkpoint(sets.groupBy("c1", "c2").agg(low).select("low.*").withColumn("node", F.monotonically_increasing_id()))
 
 
-def _nearest(prints: DataFrame, similarity: float, turns: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(u, key): for each of the prints (node, fp, other, root, tried) that has one, its nearest of another root after `tried`.
+def least_of_each(at: np.ndarray, key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` smallest keys of each place, repeats once."""
+    order = np.lexsort((key, at))
+    at, key = at[order], key[order]
+    fresh = np.append(True, (at[1:] != at[:-1]) | (key[1:] != key[:-1]))[: len(at)]
+    at, key = at[fresh], key[fresh]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return at[rank < most], key[rank < most]
+
+
+def _nearest(prints: DataFrame, similarity: float, turns: int, extra: tuple[str, ...] = (), most: int = 1) -> DataFrame:
+    """(u, keys): for each of the prints (node, fp, other, root, tried) that has any, its nearest of other roots after `tried`.
 
     Near is what both fingerprints are together, and with the extra ones, in any of the orders. A key is the differing
-    bits and then the node.
+    bits and then the node; there are at most so many for each.
     """
     one, two, every = (near_bound(bits, similarity) for bits in (64, 128, 128 + 64 * len(extra)))
     allowed = gray_index.likely(bit_rate(similarity), COVERAGE)
 
     def find(a, b, same):
-        best = [np.full(len(x[1]), NOTHING) for x in (a, b)]
+        none = np.empty(0, np.int64)
+        held = [(none, none), (none, none)]
+        new: list[list] = [[], []]
+
+        def fold():
+            for side in (0, 1):
+                ats, keys = zip(held[side], *new[side])
+                held[side] = least_of_each(np.concatenate(ats), np.concatenate(keys), most)
+                new[side].clear()
+
         for x, y in gray_index.near_indices(a[0], b[0], one, allowed, same):
             far = np.bitwise_count(a[0][x] ^ b[0][y]) + np.bitwise_count((a[2][x] ^ b[2][y]).view(np.uint64)).astype(np.int64)
             near = (far <= two) & (a[3][x] != b[3][y])
@@ -189,14 +213,18 @@ def _nearest(prints: DataFrame, similarity: float, turns: int, extra: tuple[str,
                 near = far <= every
                 x, y, far = x[near], y[near], far[near]
             far <<= NODE_BITS
-            for low, at, mine, other in ((best[0], x, a, b[1][y]), (best[1], y, b, a[1][x])):
+            for side, at, mine, other in ((0, x, a, b[1][y]), (1, y, b, a[1][x])):
                 key = far | other
                 fresh = key > mine[4][at]
-                np.minimum.at(low, at[fresh], key[fresh])
-        return [np.concatenate(c) for c in zip(*((n[low < NOTHING], low[low < NOTHING]) for n, low in ((a[1], best[0]), (b[1], best[1]))))]
+                if fresh.any():
+                    new[side].append((at[fresh], key[fresh]))
+            if sum(len(k) for _, k in new[0]) + sum(len(k) for _, k in new[1]) > HELD_KEYS:
+                fold()
+        fold()
+        return [np.concatenate(c) for c in zip(*((n[at], key) for n, (at, key) in zip((a[1], b[1]), held)))]
 
-    found = gray_index.links(prints, find, allowed, turns, ("node", "other", "root", "tried", *extra))
-    return found.groupBy("u").agg(F.min("v").alias("key"))
+    found = gray_index.links(prints, find, allowed, turns, ("node", "other", "root", "tried", *extra), least=WIDE_BLOCK)
+    return found.groupBy("u").agg(F.slice(F.sort_array(F.collect_set("v")), 1, most).alias("keys"))
 
 
 def keep_one(
@@ -213,9 +241,9 @@ def keep_one(
     more. Equal sets are one class however often they come; texts without words are equal, null counting as empty. Of
     rows that repeat the kept id and text, one stays. An empty table stays empty; texts are read whole.
 
-    Classes that have a near one get a longer fingerprint, of 1,024 bits. Each of them is then held against the nearest that
+    Classes that have a near one get a longer fingerprint, of 1,024 bits. Each of them is then held against the four nearest that
     it was not held against and is not joined with yet, in rounds, until a round joins nothing more. So a round costs at
-    most one comparison a class, however large a group is.
+    most four comparisons a class, however large a group is.
     """
     texts = _texts(docs, id_col, text_col)
     classes = _classes(texts, width)
@@ -257,14 +285,14 @@ def keep_one(
     near = prints.join(suspects.drop("text"), "node")
     reached = suspects.where("false").select("node", F.col("node").alias("component"))
     while True:
-        found = checkpoint(_nearest(near, similarity, turns, extra))
-        pairs = found.select("u", F.col("key").bitwiseAND(F.lit((1 << NODE_BITS) - 1)).alias("v"))
+        found = checkpoint(_nearest(near, similarity, turns, extra, AT_ONCE))
+        pairs = found.select("u", F.explode("keys").alias("key")).select("u", F.col("key").bitwiseAND(F.lit((1 << NODE_BITS) - 1)).alias("v"))
         more = verified(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         if more.isEmpty():
             break
         stars = reached.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         reached = checkpoint(connected_components(stars.union(more)).select("node", "component"))
-        tried = near.drop("root").join(found.select(F.col("u").alias("node"), "key"), "node", "left")
+        tried = near.drop("root").join(found.select(F.col("u").alias("node"), F.array_max("keys").alias("key")), "node", "left")
         tried = tried.withColumn("tried", F.coalesce("key", "tried")).drop("key").join(reached, "node", "left")
         near = checkpoint(tried.withColumn("root", F.coalesce("component", "node")).drop("component"))
 
