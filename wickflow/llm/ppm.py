@@ -28,7 +28,7 @@ from wickflow.llm.common import checkpoint, named
 START, END = 0xFE, 0xFF
 ORDER = 5
 #: Symbols in the contexts that tasks receive, beside those of the orders below ALWAYS, of which there are 66,049 at most.
-MAX_NODES = 2_000_000
+MAX_NODES = 1_500_000
 ALWAYS = 2
 #: Totals below this are told apart when the contexts for tasks are chosen, larger ones in 16ths of powers of two.
 EXACT_TOTALS = 4096
@@ -378,6 +378,7 @@ def score_documents(
     at = [np.flatnonzero(level == k) for k in range(order + 1)]
     at = [x[np.argsort(codes[x])] for x in at]
     trie = Trie([(codes[x].astype(np.uint64), times[x]) for x in at], rare.isEmpty())
+    del grams, level, codes, times, at
     top = most_frequent(known, frequent).select("item", "n").toArrow()
     common = {w: math.log10((c + SMOOTHING) / bottom) for w, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist())}
     model = docs.sparkSession.sparkContext.broadcast((trie, common))
