@@ -94,3 +94,23 @@ def test_entry_module(spark):
     assert set(sql) <= set(found) and len(found) > 60
     rows = entry.entry(spark)
     assert rows.columns == ["symbol", "n", "da", "mw_da"] and rows.count() == 25
+
+
+def test_headers_are_read_and_checked(spark, tmp_path):
+    names = "timestamps,open,high,low,close,volume,amount"
+    (tmp_path / "a.csv").write_text(f"{names}\n2024-01-01,1,1,1,1,1,1\n" * 3)
+    (tmp_path / "b.csv").write_text("timestamps,close,open,high,low,volume,amount\n")
+    (tmp_path / "c.csv").write_text("date,close\n1,2\n")
+    heads = sources.read_headers(spark, str(tmp_path))
+    assert {r["file"]: r["header"] for r in heads.collect()}["a.csv"] == names
+    got = {r["file"]: (r["same_columns"], r["same_order"]) for r in clean.column_order(heads).collect()}
+    assert got == {"a.csv": (True, True), "b.csv": (True, False), "c.csv": (False, False)}
+
+
+def test_the_first_folder_with_files_is_taken(spark, tmp_path):
+    for name in ("empty", "full"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "full" / "A.csv").write_text("x\n")
+    folders = [str(tmp_path / n) for n in ("missing", "empty", "full")]
+    assert sources.first_folder(spark, folders) == folders[2]
+    assert sources.first_folder(spark, folders[:2]) == folders[0]
