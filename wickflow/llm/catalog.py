@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickflow.llm import ann, chat_template, license_scan, line_dedup, mixing, packing, ppm, quality_rules, sharding, simhash
+from wickflow.llm import ann, bin_packing, chat_template, license_scan, line_dedup, mixing, packing, ppm, quality_rules, sharding, simhash
 from wickflow.llm.common import read
 
 
@@ -69,6 +69,11 @@ def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_template.digests(chat_template.format_turns(turns.unionByName(extra)))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bin_packing.pack_whole(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -83,6 +88,7 @@ def queries() -> dict:
             op8_ann,
             op9_packing,
             op10_chat_template,
+            op11_best_fit,
         )
     }
 
