@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickflow.llm import ann, bin_packing, chat_template, license_scan, line_dedup, mixing, packing, ppm, quality_rules, sharding, simhash
+from wickflow.llm import ann, bin_packing, chat_template, divergence, license_scan, line_dedup, mixing, packing, ppm, quality_rules, sharding, simhash
 from wickflow.llm.common import read
 
 
@@ -74,6 +74,10 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -89,6 +93,7 @@ def queries() -> dict:
             op9_packing,
             op10_chat_template,
             op11_best_fit,
+            op12_source_divergence,
         )
     }
 
@@ -113,6 +118,7 @@ FROM e GROUP BY conv_id"""
 def oracle_sql() -> dict:
     return {
         "op10_chat_template": CHAT_SQL,
+        "op12_source_divergence": divergence.oracle_sql(),
         "op3_line_dedup": line_dedup.oracle_sql(),
         "op4_license_scan": f"SELECT doc_id, license, unit, place, round(dice, 6) AS dice FROM ({license_scan.oracle_sql()})",
         "op5_mixing": mixing.oracle_sql(),
