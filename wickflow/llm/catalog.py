@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickflow.llm import ann, bin_packing, chat_template, divergence, license_scan, line_dedup, mixing, packing, ppm, quality_rules, sharding, simhash
+from wickflow.llm import ann, bin_packing, chat_template, divergence, hard_negatives, license_scan, line_dedup, mixing, packing, ppm, quality_rules, sharding, simhash
 from wickflow.llm.common import read
 
 
@@ -78,6 +78,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), "vec_id % 100 = 0")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -94,6 +99,7 @@ def queries() -> dict:
             op10_chat_template,
             op11_best_fit,
             op12_source_divergence,
+            op13_hard_negatives,
         )
     }
 
@@ -119,6 +125,7 @@ def oracle_sql() -> dict:
     return {
         "op10_chat_template": CHAT_SQL,
         "op12_source_divergence": divergence.oracle_sql(),
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
         "op3_line_dedup": line_dedup.oracle_sql(),
         "op4_license_scan": f"SELECT doc_id, license, unit, place, round(dice, 6) AS dice FROM ({license_scan.oracle_sql()})",
         "op5_mixing": mixing.oracle_sql(),
