@@ -268,8 +268,8 @@ def links(
     order is that of the fingerprints rotated by so many bits, and so are they in its blocks, which changes no distance.
     With a wide bound most pairs of small blocks survive, and each is sent; fewer, larger blocks (`least`) move less.
     """
-    columns = ["fp", *carried]
-    size = min(most, max(least, -(-prints.count() // BLOCKS)))
+    columns, rows = ["fp", *carried], prints.count()
+    size = min(most, max(least, -(-rows // BLOCKS)))
     longs = pa.list_(pa.int64())
 
     def own(run):
@@ -282,6 +282,7 @@ def links(
         .select("o.turn", "o.fp", *carried)
         .withColumn("rank", gray_rank(F.col("fp")))
         .repartitionByRange("turn", "rank")
+        .coalesce(max(1, -(-rows * turns // size)))  # no more tasks than blocks, else each has a smaller one
         .sortWithinPartitions("turn", "rank")
         .select("turn", *columns)
         .mapInArrow(_node_rows(size, own, columns, [longs] * len(columns)), schema)

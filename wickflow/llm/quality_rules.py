@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickflow.llm.common import WORD_BREAK
+from wickflow.llm.common import WORD_BREAK, named
 
 #: Most labelled rows that a fit reads, the first by hash of their id.
 SAMPLE_ROWS = 8000
@@ -253,9 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("marked_id"), "marked_id")
         .limit(sample_rows)
     )
-    doc_id = docs[f"`{id_col}`"].cast("long")
-    chosen = docs.join(F.broadcast(marked), doc_id == F.col("marked_id"), "left_semi")
-    found = statistics(chosen, id_col, text_col).join(F.broadcast(marked), F.col("doc_id") == F.col("marked_id"))
+    doc_id, text = named(docs, id_col, text_col)
+    texts = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"))
+    chosen = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("marked_id"), "left_semi")
+    found = statistics(chosen).join(F.broadcast(marked), F.col("doc_id") == F.col("marked_id"))
     rows = sorted(tuple(r) for r in found.select(F.xxhash64("doc_id"), "marked_quality", *FEATURES).collect())
     return learn([r[2:] for r in rows], [r[1] < 0.5 for r in rows])
 

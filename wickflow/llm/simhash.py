@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from wickflow.llm import gray_index
-from wickflow.llm.common import checkpoint, join_counted, named
+from wickflow.llm.common import checkpoint, drop_tables, join_counted, named, write_table
 from wickflow.llm.components import connected_components
 from wickflow.llm.gray_index import SIGN
 
@@ -37,8 +37,9 @@ LONG_BITS = 1024
 BUCKETS = 1 << 20
 #: A key holds the differing bits above the number of a node.
 NODE_BITS = 54
-#: Partners that a class is held against in a round, and keys that a comparison holds before it drops all but these.
-AT_ONCE = 4
+#: Partners that a class is held against in the first round; each round takes WIDER times as many, up to the second number.
+AT_ONCE, MOST_AT_ONCE, WIDER = 4, 64, 4
+#: Keys that a comparison holds before it drops all but a round's.
 HELD_KEYS = 1 << 20
 
 
@@ -241,9 +242,10 @@ def keep_one(
     more. Equal sets are one class however often they come; texts without words are equal, null counting as empty. Of
     rows that repeat the kept id and text, one stays. An empty table stays empty; texts are read whole.
 
-    Classes that have a near one get a longer fingerprint, of 1,024 bits. Each of them is then held against the four nearest that
-    it was not held against and is not joined with yet, in rounds, until a round joins nothing more. So a round costs at
-    most four comparisons a class, however large a group is.
+    Classes that have a near one get a longer fingerprint, of 1,024 bits. Each of them is then held against the nearest of other
+    groups that it was not held against, in rounds: four, then 16, then 64 at a time. A class leaves the rounds once it was held
+    against all that are near to it, and they end when all have left, so no near pair of different groups stays
+    untried, however many texts there are that are near but not similar.
     """
     texts = _texts(docs, id_col, text_col)
     classes = _classes(texts, width)
@@ -280,21 +282,26 @@ def keep_one(
     def verified(pairs):
         left, right = (suspects.select(F.col("node").alias(s), F.col("text").alias(t)) for s, t in (("u", "a"), ("v", "b")))
         found = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-        return checkpoint(found.mapInArrow(verify, "u long, v long"))
+        return write_table(found.mapInArrow(verify, "u long, v long"))
 
     near = prints.join(suspects.drop("text"), "node")
     reached = suspects.where("false").select("node", F.col("node").alias("component"))
+    most, old = AT_ONCE, []
     while True:
-        found = checkpoint(_nearest(near, similarity, turns, extra, AT_ONCE))
+        found = write_table(_nearest(near, similarity, turns, extra, most))
         pairs = found.select("u", F.explode("keys").alias("key")).select("u", F.col("key").bitwiseAND(F.lit((1 << NODE_BITS) - 1)).alias("v"))
         more = verified(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        if more.isEmpty():
+        if not more.isEmpty():
+            stars = reached.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            reached = write_table(connected_components(stars.union(more)).select("node", "component"))
+        # who found fewer than were asked for has no more of them
+        left = found.where(F.size("keys") == most).select(F.col("u").alias("node"), F.array_max("keys").alias("key"))
+        near = near.drop("root", "tried").join(left, "node").withColumnRenamed("key", "tried").join(reached, "node", "left")
+        near = write_table(near.withColumn("root", F.coalesce("component", "node")).drop("component"))
+        drop_tables(*old)  # those of the round before, which nothing reads any more
+        old, most = [found, more, near], min(WIDER * most, MOST_AT_ONCE)
+        if near.isEmpty():
             break
-        stars = reached.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        reached = checkpoint(connected_components(stars.union(more)).select("node", "component"))
-        tried = near.drop("root").join(found.select(F.col("u").alias("node"), F.array_max("keys").alias("key")), "node", "left")
-        tried = tried.withColumn("tried", F.coalesce("key", "tried")).drop("key").join(reached, "node", "left")
-        near = checkpoint(tried.withColumn("root", F.coalesce("component", "node")).drop("component"))
 
     survivors = (
         classes.join(reached, "node", "left")
