@@ -250,3 +250,15 @@ def test_frozen_comparison(spark):
     cand = spark.createDataFrame([("da", "test", 51.0), ("mw_da", "test", 50.0)], "metric string, split string, value double")
     got = {r["metric"]: (r["better"], r["passes"]) for r in quality.compare_metrics(base, cand).collect()}
     assert got == {"da": (False, False), "mw_da": (True, None)}
+
+
+def test_frozen_record(spark):
+    """Both hard stops and the hashes are in the record."""
+    base, cand = (spark.createDataFrame([("da", "test", a), ("mw_da", "test", b)], "metric string, split string, value double") for a, b in ((53.0, 49.0), (51.0, 50.0)))
+    files = spark.createDataFrame([("b.csv", "22"), ("a.csv", "11")], "file string, sha256 string")
+    record = monitor.freeze(base, cand, files).first()
+    assert [r.asDict() for r in record["metrics"]] == [
+        {"metric": "da", "split": "test", "base": 53.0, "candidate": 51.0, "better": False, "base_passes": True, "passes": False},
+        {"metric": "mw_da", "split": "test", "base": 49.0, "candidate": 50.0, "better": True, "base_passes": None, "passes": None},
+    ]
+    assert [tuple(r) for r in record["artifacts"]] == [("a.csv", "11"), ("b.csv", "22")]

@@ -58,6 +58,11 @@ def _eval(spark, sf_dir, pred="pred_drift", lookback=P["lookback"]):
     return quality.eval_rows(score.baselines(adapter.bars(spark, sf_dir), lookback, 5), 5, pred)
 
 
+def _accuracy(spark, sf_dir, pred):
+    """(metric, value, split): accuracy over all rows as a long metric table."""
+    return quality.direction(_eval(spark, sf_dir, pred)).unpivot([], ["da", "mw_da"], "metric", "value").withColumn("split", F.lit("all"))
+
+
 def _chosen(spark, sf_dir, pred="pred_drift"):
     return quality.wide_dates(quality.every_nth_date(_eval(spark, sf_dir, pred)), P["min_symbols"])
 
@@ -956,12 +961,15 @@ def reconstruction_criteria(spark, sf_dir):
     SELECT 'da' AS metric, 'all' AS split, ~(m.da)~ AS base, ~(n.da)~ AS candidate, n.da > m.da AS better, m.da >= 52 AS base_passes, n.da >= 52 AS passes FROM m, n UNION ALL SELECT 'mw_da', 'all', ~(m.mw)~, ~(n.mw)~, n.mw > m.mw, NULL, NULL FROM m, n"""
 )
 def frozen_metric_comparison(spark, sf_dir):
-    """The metrics of a frozen record, which holds them beside the hashes of its files."""
-    base, candidate = (
-        quality.direction(_eval(spark, sf_dir, m)).unpivot([], ["da", "mw_da"], "metric", "value").withColumn("split", F.lit("all")) for m in ("pred_drift", "pred_mean")
-    )
-    frozen = monitor.freeze(base, candidate, sources.hash_artifacts(spark, f"{sf_dir}/region.parquet"))
-    return frozen.select(F.explode("metrics").alias("m")).select("m.*")
+    """The metrics of a frozen record, with a hard stop for each of the two models."""
+    return frozen_record(spark, sf_dir).select(F.explode("metrics").alias("m")).select("m.*")
+
+
+@_query()
+def frozen_record(spark, sf_dir):
+    """The whole record as its manifest has it: compared metrics, with both hard stops, beside the hashes of the tables."""
+    base, candidate = (_accuracy(spark, sf_dir, m) for m in ("pred_drift", "pred_mean"))
+    return monitor.freeze(base, candidate, sources.hash_artifacts(spark, f"{sf_dir}/part.parquet"))
 
 
 @_query(

@@ -68,6 +68,7 @@ def is_fresh(meta: DataFrame, asked: DataFrame, parameters: list[str], seen: Dat
 def freeze(base: DataFrame, candidate: DataFrame, artifacts: DataFrame) -> DataFrame:
     """One row: compared metrics and artifact hashes, to be written as a manifest."""
     rows = compare_metrics(base, candidate)
-    metrics = rows.agg(F.array_sort(F.collect_list(F.struct("metric", "split", "base", "candidate", "better", "passes"))).alias("metrics"))
+    columns = ["metric", "split", *(c for c in rows.columns if c not in ("metric", "split"))]
+    metrics = rows.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("metrics"))
     hashes = artifacts.agg(F.array_sort(F.collect_list(F.struct("file", "sha256"))).alias("artifacts"))
     return metrics.join(F.broadcast(hashes))
