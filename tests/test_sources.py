@@ -6,10 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wickflow.operators import clean, score
+from wickflow.operators import clean
 from wickflow.sources import bars as sources
 from wickflow.sources import sinks
-from wickflow.streaming.refresh import refresh_stream
 
 HEAD = "timestamps,open,high,low,close,volume,amount\n"
 
@@ -76,17 +75,6 @@ def test_predictions_overwrite_their_dates_only(spark, tmp_path):
     assert len(spark.read.json(f"{tmp_path}/j").first()["all"]) == 2
 
 
-def test_refresh_stream(spark, tmp_path):
-    schema = "symbol string, ts timestamp, open double, high double, low double, close double"
-    rows = [("A", f"2024-01-0{d} 00:00:00", 1.0, 1.0, 1.0, float(d)) for d in (1, 2, 3)]
-    frame = spark.createDataFrame(rows, "symbol string, ts string, open double, high double, low double, close double").withColumn("ts", F.to_timestamp("ts"))
-    frame.write.parquet(f"{tmp_path}/in/1")
-    query = refresh_stream(spark, f"{tmp_path}/in/*", schema, f"{tmp_path}/out", f"{tmp_path}/cp", score.last_value, 2, 2)
-    assert query.awaitTermination(120)
-    got = spark.read.parquet(f"{tmp_path}/out").collect()
-    assert {r["close"] for r in got} == {3.0} and len(got) == 2
-
-
 def test_entry_module(spark):
     import __spark_entry__ as entry
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickflow.functions import scalars
-from wickflow.operators import clean, monitor, portfolio, profile, quality, risk, score, slices, tokens, windows
+from wickflow.operators import batch_score, clean, monitor, portfolio, profile, quality, risk, score, slices, tokens, windows
 from wickflow.oracles import BARS, CODES, FORECAST, PATHS, PORTFOLIO, RANKED, RISK, T_P, _dates, _rank_ic, of_dates
 from wickflow.plans import adapter
 from wickflow.plans.adapter import LEAST as P
@@ -831,10 +831,10 @@ def vote_accuracy(spark, sf_dir):
     SELECT symbol, sample_id::INT AS sample_id, step::INT AS step, ~("close")~ AS "close", 'ok' AS status FROM l, p, k WHERE n >= 20 UNION ALL SELECT symbol, NULL, NULL, NULL, 'skipped' FROM l WHERE n < 20"""
 )
 def scored_last_values(spark, sf_dir):
-    """The pluggable forecaster over all symbols."""
+    """The pluggable forecaster over all symbols, in batches of series of one length."""
     rows = slices.last_bars(adapter.bars(spark, sf_dir), P["lookback"])
     asof = rows.groupBy("symbol").agg(F.max("ts").alias("asof_ts"))
-    found = score.score(rows.join(asof, "symbol"), score.last_value, 5, 2, least=20)
+    found = batch_score.score_batches(rows.join(asof, "symbol"), batch_score.last_values, 5, 2, least=20)
     return found.select("symbol", "sample_id", "step", "close", "status")
 
 
