@@ -54,11 +54,9 @@ def assign_split(
     train ends before train_end. val has its first target at least `gap` rows after the first row from train_end on, and
     ends before val_end; test likewise after val_end. Lookbacks may reach back over a cut.
     """
-    cut = {}
-    for name, day in (("train_cut", train_end), ("val_cut", val_end)):
-        day = F.lit(day).cast("timestamp")
-        cut[name] = F.coalesce(F.min(F.when(F.col("ts") >= day, F.col("rn"))), F.count("*"))
-    cuts = number_rows(bars).groupBy("symbol").agg(*(v.alias(k) for k, v in cut.items()))
+    # the first row from a day on has as many rows before it as there are earlier ones
+    before = {n: F.count(F.when(F.col("ts") < F.lit(day).cast("timestamp"), 1)).alias(n) for n, day in (("train_cut", train_end), ("val_cut", val_end))}
+    cuts = bars.groupBy("symbol").agg(*before.values())
     target = F.col("start") + lookback
     split = (
         F.when(F.col("ts_last") < F.lit(train_end).cast("timestamp"), "train")
