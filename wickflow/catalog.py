@@ -294,9 +294,13 @@ def rebased_and_change(spark, sf_dir):
     return profile.change(profile.rebased(adapter.bars(spark, sf_dir))).select("symbol", "ts", "rebased", "change", "change_pct")
 
 
-@_query()
+@_query(
+    f"""WITH {BARS}, i AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY r) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ret WHERE r IS NOT NULL),
+    p AS (SELECT symbol, r, CASE WHEN i = n THEN 0.5 ** (1.0 / n) WHEN i = 1 THEN 1 - 0.5 ** (1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END::DOUBLE AS p FROM i),
+    t AS (SELECT symbol, r, {scalars.normal_quantile_sql("p")} AS t FROM p)
+    SELECT symbol, ~(regr_slope(r, t))~ AS slope, ~(regr_intercept(r, t))~ AS intercept, ~(regr_r2(r, t))~ AS r2 FROM t GROUP BY symbol"""
+)
 def return_qq_fit(spark, sf_dir):
-    """Needs the inverse normal, which SQL lacks; tested against NormalDist."""
     return profile.qq_fit(profile.qq(profile.log_returns(adapter.bars(spark, sf_dir))))
 
 

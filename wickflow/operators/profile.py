@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickflow.functions.scalars import pearson
+from wickflow.functions.scalars import normal_quantile
 from wickflow.operators.clean import by_symbol
+from wickflow.operators.quantiles import percentiles
+
+QUARTILES = [0.25, 0.5, 0.75]
+#: Symbols and dates of a block of correlations (about), and pairs of blocks whose sums a task holds, 3 MB each.
+SYMBOLS, DATES, HELD_PAIRS = 256, 512, 24
 
 
 def profile(bars: DataFrame, year: int = 250) -> DataFrame:
@@ -77,22 +84,26 @@ def shape(df: DataFrame, column: str, key: str = "symbol", least: int = 10) -> D
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, minimum, quartiles and maximum of each column, one row for each."""
     long = df.unpivot([], columns, "feature", "value")
-    return long.groupBy("feature").agg(
+    figures = long.groupBy("feature").agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("low"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
         F.max("value").alias("high"),
-    ).select("feature", "n", "mean", "std", "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "high")
+    )
+    q = percentiles(long, ["feature"], F.col("value"), QUARTILES)
+    return figures.join(q, "feature", "left").select("feature", "n", "mean", "std", "low", *_quartiles(), "high")
+
+
+def _quartiles() -> list[Column]:
+    return [F.col("q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))]
 
 
 def box(df: DataFrame, value: str, keys: list[Column]) -> DataFrame:
     """Quartiles and whiskers (the outermost values within 1.5 interquartile ranges) by these keys."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"))
     names = rows.columns[:-1]
-    q = rows.groupBy(*names).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*names, F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
+    q = percentiles(rows, names, F.col("x"), QUARTILES).select(*names, *_quartiles())
     low = F.col("q25") - 1.5 * (F.col("q75") - F.col("q25"))
     high = F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))
     inside = rows.join(q, names).where(F.col("x").between(low, high))
@@ -112,12 +123,72 @@ def histogram(df: DataFrame, column: str, bins: int = 100, keys: tuple[str, ...]
     return counts.select(*keys, "bin", "n", F.try_divide(F.col("n"), F.col("total") * width).alias("density"))
 
 
-def correlation_pairs(returns: DataFrame) -> DataFrame:
-    """(symbol_a, symbol_b, corr) for symbols a < b on their common dates; undefined ones are 0."""
-    a = returns.where("r is not null").select("ts", F.col("symbol").alias("symbol_a"), F.col("r").alias("ra"))
-    b = returns.where("r is not null").select("ts", F.col("symbol").alias("symbol_b"), F.col("r").alias("rb"))
-    both = a.join(b, "ts").where("symbol_a < symbol_b")
-    return both.groupBy("symbol_a", "symbol_b").agg(F.coalesce(pearson("ra", "rb"), F.lit(0.0)).alias("corr"))
+def correlation_pairs(returns: DataFrame, symbols: int = SYMBOLS, dates: int = DATES) -> DataFrame:
+    """(symbol_a, symbol_b, corr) for symbols a < b on their common dates; undefined ones are 0, pairs without a common date are left out.
+
+    Returns become dense blocks of dates by symbols with gaps; each pair of blocks of the same dates is one set of matrix
+    products, whose sums (of x, y, their squares and products, and common dates) add up over the dates. So no pair has a row for each date.
+    """
+    rows = returns.where("r is not null").select("ts", "symbol", "r")
+    ends = rows.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("ts").alias("t")).first()
+    parts, spans = -(-ends["s"] // symbols) or 1, -(-ends["t"] // dates) or 1
+    keyed = rows.withColumns({"part": F.pmod(F.xxhash64("symbol"), F.lit(parts)), "span": F.pmod(F.xxhash64("ts"), F.lit(spans))})
+    names = keyed.groupBy("part").agg(F.sort_array(F.collect_set("symbol")).alias("names"))
+    cells = F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("day"), "symbol", "r"))
+    blocks = keyed.groupBy("span", "part").agg(cells.alias("cells")).join(names, "part")
+    left, right = (blocks.select("span", *(F.col(c).alias(f"{c}_{s}") for c in ("part", "names", "cells"))) for s in "ab")
+    pairs = left.join(right, "span").where("part_a <= part_b")
+    columns = ["part_a", "part_b", "names_a", "names_b", "cells_a", "cells_b"]
+    figures = ("n", "x", "y", "xx", "yy", "xy")
+    sums = pairs.select(*columns).mapInArrow(_products, "symbol_a string, symbol_b string, " + ", ".join(f"{f} double" for f in figures))
+    n, x, y, xx, yy, xy = (F.col(f) for f in figures)
+    found = sums.groupBy("symbol_a", "symbol_b").agg(*(F.sum(f).alias(f) for f in figures))
+    va, vb = xx - x * x / n, yy - y * y / n
+    corr = F.when((va > 1e-12) & (vb > 1e-12), (xy - x * y / n) / (F.sqrt(va) * F.sqrt(vb)))
+    return found.select("symbol_a", "symbol_b", F.coalesce(corr, F.lit(0.0)).alias("corr"))
+
+
+def _products(batches):
+    """Sums over common dates for pairs of symbols a < b, added up for each pair of parts while its blocks come one after another."""
+    held: dict[tuple[int, int], list] = {}
+
+    def dense(cells, days, names):
+        out = np.full((len(days), len(names)), np.nan)
+        at = {s: k for k, s in enumerate(names)}
+        fields = cells.values.flatten()
+        rows = np.searchsorted(days, fields[0].to_numpy())
+        out[rows, [at[s] for s in fields[1].to_pylist()]] = fields[2].to_numpy()
+        return out
+
+    def flush():
+        for names_a, names_b, total in held.values():
+            a, b = np.meshgrid(np.array(names_a, object), np.array(names_b, object), indexing="ij")
+            keep = (total[0] > 0) & (a != b)
+            if len(names_a) == len(names_b) and names_a == names_b:
+                keep &= a < b
+            swap = (a > b)[keep]
+            n, x, y, xx, yy, xy = (t[keep] for t in total)
+            first, second = np.where(swap, b[keep], a[keep]), np.where(swap, a[keep], b[keep])
+            values = [n, np.where(swap, y, x), np.where(swap, x, y), np.where(swap, yy, xx), np.where(swap, xx, yy), xy]
+            arrays = [pa.array(first, pa.string()), pa.array(second, pa.string()), *(pa.array(v, pa.float64()) for v in values)]
+            yield pa.RecordBatch.from_arrays(arrays, ["symbol_a", "symbol_b", "n", "x", "y", "xx", "yy", "xy"])
+        held.clear()
+
+    for batch in batches:
+        for part_a, part_b, names_a, names_b, cells_a, cells_b in zip(*batch.columns):
+            key = part_a.as_py(), part_b.as_py()
+            days = np.unique(np.concatenate([c.values.field("day").to_numpy() for c in (cells_a, cells_b)]))
+            if key not in held:
+                if len(held) == HELD_PAIRS:
+                    yield from flush()
+                held[key] = [names_a.as_py(), names_b.as_py(), None]
+            one = held[key]
+            a, b = dense(cells_a, days, one[0]), dense(cells_b, days, one[1])
+            here_a, here_b = ~np.isnan(a), ~np.isnan(b)
+            a, b, ma, mb = np.nan_to_num(a), np.nan_to_num(b), here_a.astype(float), here_b.astype(float)
+            found = np.array([ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b])
+            one[2] = found if one[2] is None else one[2] + found
+    yield from flush()
 
 
 def rebased(bars: DataFrame) -> DataFrame:
@@ -133,14 +204,12 @@ def change(bars: DataFrame) -> DataFrame:
 
 def qq(returns: DataFrame, column: str = "r", key: str = "symbol") -> DataFrame:
     """(key, theoretical, ordered) pairs against the normal, with Filliben's plotting positions."""
-    from wickflow.functions.scalars import normal_quantile
-
     rows = returns.where(F.col(column).isNotNull()).select(key, F.col(column).alias("ordered"))
     by_value, whole = Window.partitionBy(key).orderBy("ordered"), Window.partitionBy(key)
     rows = rows.withColumn("i", F.row_number().over(by_value)).withColumn("n", F.count("*").over(whole))
     end = F.pow(F.lit(0.5), 1.0 / F.col("n"))
     p = F.when(F.col("i") == F.col("n"), end).when(F.col("i") == 1, 1 - end).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
-    return rows.select(key, "ordered", normal_quantile(p).alias("theoretical"))
+    return rows.withColumn("p", p).select(key, "ordered", normal_quantile("p").alias("theoretical"))
 
 
 def qq_fit(pairs: DataFrame, key: str = "symbol") -> DataFrame:

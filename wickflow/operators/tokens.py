@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.scalars import keyed_uniform
+from wickflow.operators.quantiles import percentiles
 from wickflow.schema import PRICES
 
 BITS = 10
@@ -135,9 +136,9 @@ def entropy(probabilities: DataFrame, key: str) -> DataFrame:
 def recon_error(pairs: DataFrame, keys: tuple[str, ...] = ("model", "feature")) -> DataFrame:
     """pairs: x and y, the original and its reconstruction. MAPE and MdAPE in %, and MAE."""
     ape = F.abs(F.col("x") - F.col("y")) / F.greatest(F.abs("x"), F.lit(1e-5)) * 100
-    return pairs.groupBy(*keys).agg(
-        F.avg(ape).alias("mape"), F.percentile(ape, F.lit(0.5)).alias("mdape"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae")
-    )
+    means = pairs.groupBy(*keys).agg(F.avg(ape).alias("mape"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae"))
+    medians = percentiles(pairs, list(keys), ape, [0.5]).select(*keys, F.col("q")[0].alias("mdape"))
+    return means.join(medians, list(keys), "left").select(*keys, "mape", "mdape", "mae")
 
 
 def recon_criteria(errors: DataFrame, models: tuple[str, str, str]) -> DataFrame:
