@@ -184,7 +184,6 @@ def scan(
     length = {n: len(template_words(t)) for n, t in found.items()}
     bounds = {n: size_bounds(len(h), threshold) for n, h in hashes.items()}
     every = sorted(set().union(*hashes.values()))
-    
 
     def tokens(unit: Column) -> Column:
         return F.filter(F.split(F.lower(unit), NOT_WORD), lambda w: w != "")

@@ -248,6 +248,7 @@ def dedup_lines(
     Shorter lines go if an earlier line equals them, or stay without short_too; blank lines of fewer characters stay.
     Of rows with equal id and text, one keeps its lines. Null texts stay null, an empty table empty.
     Texts without a line to remove are unchanged; lines of any length are compared whole. A null id counts as 2**63 - 1.
+    Other columns are carried in `row` untouched, whatever their names.
     """
     kept = kept_lines(docs, min_chars, id_col, text_col, short_too).select(
         F.col("key").alias("k"), F.col("row_hash").alias("h"), "kept"

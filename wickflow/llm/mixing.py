@@ -67,7 +67,8 @@ def mix(
     taken counts the words that the mix takes of a row: whole epochs of its source and then, in key order, the rows
     up to the rest of the budget; the row at the cut gives its first words, so that a source's taken words are its
     rounded target. Null texts have no words. Null sources are one source; a row without id takes its key from its text. Repeated rows
-    count as often as they come. An empty table, or one without words, takes nothing.
+    count as often as they come. An empty table, or one without words, takes nothing. Texts of any length are counted
+    whole. Other columns are ignored or carried in `row`, whatever their names.
     """
     doc_id, text, source = docs[f"`{id_col}`"], docs[f"`{text_col}`"], docs[f"`{source_col}`"]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))))

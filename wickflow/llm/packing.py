@@ -146,7 +146,8 @@ def pack_documents(
     A document's tokens are those of its text and end_id; a null or blank text has end_id alone. Sequences hold
     `length` tokens or a power of two, without padding. Each task packs the rows that it reads, in batches of
     bounded size and without a shuffle, so sequence_id (partition and serial) depends on how the input is split.
-    Null ids are kept. Repeated rows are packed as often as they come; an empty table gives none.
+    Null ids are kept. Repeated rows are packed as often as they come; an empty table gives none. Texts are read whole, and a
+    long one is cut over as many sequences as it takes. Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterable[pa.RecordBatch]):

@@ -1,7 +1,7 @@
 """Shards of near-equal bytes by Karmarkar-Karp differencing; equal texts stay together.
 
 Differencing works on items. A group of equal texts that is large against a shard is an item of its own; the
-others are bundled by hash, so that there are at most MAX_ITEMS items however many documents there are.
+others are bundled by hash, so that there are at most 2 * BUNDLES items however many documents there are.
 All partial partitions start as one item in one shard; the two with the largest spread are combined
 again and again, the fullest shards of one with the emptiest of the other, until one is left.
 """
@@ -62,7 +62,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     A row's size is the UTF-8 bytes of its text and one more. A null text has no bytes, CRC 0 and a group
     of its own; a null id is kept. A group larger than a shard's share makes its shard the largest, and
     the others share the rest evenly. slot counts each shard's rows from 0 without gaps, by hash and id.
-    Repeated rows get slots of their own; an empty table gives none. Other columns are ignored.
+    Repeated rows get slots of their own; texts of any length are counted whole; an empty table gives none. Other columns are
+    ignored, whatever their names.
     """
     doc_id, text = named(docs, id_col, text_col)
     text = text.cast("string")

@@ -240,7 +240,8 @@ def keep_one(
 
     Texts are linked if their fingerprints are near and the Jaccard similarity of their shingle sets is `similarity` or
     more. Equal sets are one class however often they come; texts without words are equal, null counting as empty. Of
-    rows that repeat the kept id and text, one stays. An empty table stays empty; texts are read whole.
+    rows that repeat the kept id and text, one stays. An empty table stays empty; texts are read whole. A null id counts as
+    -2**63 (SIGN), which no document may have as its id; other columns are kept untouched, whatever their names.
 
     Classes that have a near one get a longer fingerprint, of 1,024 bits. Each of them is then held against the nearest of other
     groups that it was not held against, in rounds: four, then 16, then 64 at a time. A class leaves the rounds once it was held
