@@ -102,3 +102,65 @@ def test_the_first_folder_with_files_is_taken(spark, tmp_path):
     folders = [str(tmp_path / n) for n in ("missing", "empty", "full")]
     assert sources.first_folder(spark, folders) == folders[2]
     assert sources.first_folder(spark, folders[:2]) == folders[0]
+
+
+def write_batches(path, batches, rows=1000):
+    import pyarrow as pa
+
+    names = ["timestamps", "open", "high", "low", "close", "volume", "amount", "note"]
+    kinds = [pa.timestamp("ns"), *[pa.float64()] * 6, pa.string()]
+    schema = pa.schema(list(zip(names, kinds)))
+    with pa.OSFile(str(path), "wb") as sink, pa.ipc.new_file(sink, schema) as writer:
+        for b in range(batches):
+            at = list(range(b * rows, (b + 1) * rows))
+            values = [pa.array([x * 1_000_000_000 for x in at], pa.timestamp("ns")), *(pa.array([float(x + k) if x % 7 else None for x in at]) for k in range(5)), pa.array([float("nan")] * rows), pa.array(["n"] * rows)]
+            writer.write_batch(pa.record_batch(values, schema=schema))
+
+
+def test_a_feather_file_is_read_by_several_tasks(spark, tmp_path):
+    write_batches(tmp_path / "AAA.feather", 10)
+    write_batches(tmp_path / "BBB.feather", 1, 3)
+    rows = sources.read_feather(spark, str(tmp_path), part_bytes=100_000)
+    found = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("s"), F.min("timestamps").alias("t")).collect()
+    assert len(found) > 4 and all(r["s"] == 1 and (r["n"] % 1000 == 0 or r["n"] == 3) for r in found)
+    assert sum(r["n"] for r in found) == 10_003 and rows.where("amount is not null").count() == 0
+    total = rows.where("symbol = 'AAA'").agg(F.sum("close"), F.count("close"), F.countDistinct("timestamps")).first()
+    kept = [x for x in range(10_000) if x % 7]
+    assert tuple(total) == (float(sum(x + 3 for x in kept)), len(kept), 10_000)
+
+
+def test_feather_columns_endings_and_missing_files(spark, tmp_path):
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from wickflow.sources.feather import BatchRange, FeatherReader
+
+    write_batches(tmp_path / "AAA.feather", 2, 5)
+    two = StructType.fromDDL("symbol string, close double")
+    reader = FeatherReader(two, str(tmp_path), 1 << 20)
+    assert reader.partitions() == [BatchRange(f"{tmp_path}/AAA.feather", 0, 1)]
+    batch = next(reader.read(reader.partitions()[0]))
+    assert batch.schema.names == ["symbol", "close"] and batch.num_rows == 5
+    assert [sum(b.num_rows for b in reader.read(BatchRange(f"{tmp_path}/AAA.feather", k, 3))) for k in range(3)] == [0, 5, 5]
+    with pytest.raises(ValueError, match="no column other"):
+        list(FeatherReader(StructType.fromDDL("other int"), str(tmp_path), 1).read(BatchRange(f"{tmp_path}/AAA.feather", 0, 1)))
+    with pytest.raises(FileNotFoundError):
+        FeatherReader(two, f"{tmp_path}/none", 1).partitions()
+    (tmp_path / "x.txt").write_text("no")
+    with pytest.raises(ValueError, match="not a Feather file"):
+        reader.partitions()
+    assert pa.__version__
+
+
+def test_large_and_oddly_named_files_are_hashed_in_pieces(spark, tmp_path):
+    """A sparse file of 3 GB, beyond what one cell can hold, and names that a URI has to escape."""
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(3 << 30)
+    (tmp_path / "a b%20#.csv").write_text("x")
+    (tmp_path / "empty").write_text("")
+    got = {r["file"].rsplit("/", 1)[-1]: r["sha256"] for r in sources.hash_artifacts(spark, str(tmp_path)).collect()}
+    digest, piece = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(192):
+        digest.update(piece)
+    assert got["large.bin"] == digest.hexdigest() and got["empty"] == hashlib.sha256(b"").hexdigest()
+    assert hashlib.sha256(b"x").hexdigest() in got.values() and len(got) == 3

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions import scalars
@@ -366,6 +366,24 @@ def sampled_windows(spark, sf_dir):
     return windows.sample_starts(found, 100, 42, ("symbol", "split")).select("symbol", "split", "start")
 
 
+_GAPS = "split_part(symbol, '#', 2)::INT % 5 = 0"
+_FILLED = ", ".join(f'coalesce(last_value("{c}" IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value("{c}" IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS "{c}"' for c in FEATURES)
+
+
+@_query(
+    f"""WITH {BARS}, a AS (SELECT * REPLACE (CASE WHEN {_GAPS} THEN volume * ((open + high + low + "close") / 4) ELSE amount END AS amount) FROM dense WHERE ts >= DATE '{TRAIN_END}' AND ts < DATE '{VAL_END}'),
+    f AS (SELECT symbol, ts, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n, {_FILLED} FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    s AS (SELECT symbol, rn AS start, row_number() OVER (PARTITION BY symbol ORDER BY md5('42:' || symbol || ':' || rn), rn) AS draw FROM f WHERE rn + 126 <= n)
+    SELECT symbol, start::INT AS start, (rn - start)::INT AS pos, ts, {_each('~("{c}")~ AS "{c}"')} FROM s JOIN f USING (symbol) WHERE draw <= 100 AND rn BETWEEN start AND start + 125""",
+    None,
+)
+def benchmark_windows(spark, sf_dir):
+    """Sampled windows of the validation split with their rows; every fifth brand has no amounts, and days without bars are filled."""
+    gaps = F.substring_index("symbol", "#", -1).cast("int") % 5 == 0
+    rows = _dense(spark, sf_dir).withColumn("amount", F.when(~gaps, F.col("amount")))
+    return windows.benchmark_windows(rows, "val", TRAIN_END, VAL_END)
+
+
 @_query(
     f"""{_SPLIT}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol, split ORDER BY md5('42:' || symbol || ':' || start), symbol, start) AS r FROM k WHERE split = 'val'),
     e AS (SELECT ev.* FROM d JOIN num ON num.symbol = d.symbol AND num.rn = d.start + 125 JOIN ev ON ev.symbol = d.symbol AND ev.t_date = num.ts WHERE r <= 20)
@@ -511,6 +529,19 @@ def codebook_utilisation(spark, sf_dir):
     return tokens.utilisation(adapter.codes(spark, sf_dir))
 
 
+@_query(
+    f"""WITH {CODES}, r AS (SELECT unnest([0, 3, 10]) AS first, unnest([0, 9, 29]) AS last), d AS (SELECT c.*, vec_id % 30 AS day FROM codes c)
+    SELECT first::INT AS first, last::INT AS last, code, used, ~(used * 100.0 / 1024)~ AS used_pct FROM (
+      SELECT first, last, 's1' AS code, count(DISTINCT s1) AS used FROM r JOIN d ON day BETWEEN first AND last GROUP BY first, last UNION ALL
+      SELECT first, last, 's2', count(DISTINCT s2) FROM r JOIN d ON day BETWEEN first AND last GROUP BY first, last)"""
+)
+def codebook_use_by_days(spark, sf_dir):
+    """Use of the codebooks over ranges of days, merged from one bitmap a day."""
+    days = tokens.code_bitmaps(adapter.codes(spark, sf_dir).withColumn("day", F.col("vec_id") % 30), "day")
+    found = [tokens.utilisation_between(days, a, b).select(F.lit(a).alias("first"), F.lit(b).alias("last"), "*") for a, b in ((0, 0), (3, 9), (10, 29))]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 _DRIFT = """h_{c} AS (SELECT token, (SELECT count(*) FROM codes c WHERE c.{c} = token AND label < 5) + 1e-10 AS a, (SELECT count(*) FROM codes c WHERE c.{c} = token AND label >= 5) + 1e-10 AS b FROM (SELECT unnest(range(1024)) AS token)),
     k_{c} AS (SELECT sum(a / sa * ln((a / sa) / (b / sb))) AS kl FROM h_{c}, (SELECT sum(a) AS sa, sum(b) AS sb FROM h_{c}))"""
 
@@ -761,6 +792,45 @@ def risk_bands(spark, sf_dir):
     return risk.risk_bands(_ranked(spark, sf_dir))
 
 
+@_query(
+    f"""WITH {RISK}, w AS (SELECT * FROM rkg WHERE symbol LIKE '%1' OR symbol LIKE '%4'), t AS (SELECT unnest(['UP', 'DOWN', 'SIDEWAY']) AS trend), c AS (SELECT trend, count(*) AS n, avg(expected_return) AS m FROM w GROUP BY trend)
+    SELECT trend, coalesce(n, 0) AS n, ~(coalesce(n, 0) * 100.0 / (SELECT sum(n) FROM c))~ AS share_pct, ~(coalesce(m, 0) * 100)~ AS mean_return_pct FROM t LEFT JOIN c USING (trend)"""
+)
+def watchlist_trends(spark, sf_dir):
+    """Shares of the trends on a watchlist of ten brands."""
+    ranked = _ranked(spark, sf_dir)
+    watched = adapter.dimension(spark, sf_dir).where("symbol like '%1' or symbol like '%4'").select("symbol")
+    return risk.trend_overview(ranked.join(watched, "symbol", "left_semi"))
+
+
+@_query(
+    f"""WITH {BARS}, l AS (SELECT symbol, max(ts) AS ts, arg_max("close", ts) AS "close" FROM bars GROUP BY symbol)
+    SELECT (row_number() OVER (ORDER BY symbol))::INT AS place, symbol, strftime(ts, '%d/%m') AS day_month, strftime(ts, '%d-%m-%Y') AS file_date, strftime(ts, '%Y%m%d') AS tag FROM l"""
+)
+def symbols_in_order(spark, sf_dir):
+    """Symbols by name with their last day in the forms that screens and files use."""
+    last = adapter.bars(spark, sf_dir).groupBy("symbol").agg(F.max("ts").alias("ts"))
+    place = F.row_number().over(Window.orderBy("symbol"))  # one row a symbol
+    forms = {"day_month": scalars.day_month, "file_date": scalars.file_date, "tag": scalars.date_tag}
+    return last.select(place.alias("place"), "symbol", *(f(F.col("ts")).alias(n) for n, f in forms.items()))
+
+
+@_query(f"WITH {BARS} SELECT symbol, count(r) AS n, ~(kurtosis_pop(r))~ AS kurt, ~(avg(abs(r)))~ AS mean_abs FROM ret WHERE r IS NOT NULL GROUP BY symbol HAVING count(r) >= 10")
+def return_kurtosis(spark, sf_dir):
+    """Excess kurtosis of log returns and their mean size."""
+    found = profile.log_returns(adapter.bars(spark, sf_dir)).where("r is not null").groupBy("symbol")
+    return found.agg(F.count("r").alias("n"), F.kurtosis("r").alias("kurt"), F.avg(F.abs("r")).alias("mean_abs")).where("n >= 10")
+
+
+@_query(
+    f"""WITH {FORECAST}, m AS (SELECT avg({_HIT}) * 100 AS da, sum(abs(actual_return) * {_HIT}) / sum(abs(actual_return)) * 100 AS mw FROM ev)
+    SELECT 'DA' AS metric, 'all' AS split, ~(da)~ AS value FROM m UNION ALL SELECT 'MW-DA', 'all', ~(mw)~ FROM m"""
+)
+def contract_metrics(spark, sf_dir):
+    """Accuracy under the names that a frozen record's readers expect."""
+    return quality.contract_metrics(_accuracy(spark, sf_dir, "pred_drift"))
+
+
 @_query(
     f"""WITH {RISK}, s AS (SELECT *, least(100, greatest(0, round(width / pred_close * 100 * 4 + abs(expected_return) * 100 * 4)))::INT AS score, greatest(least(0.33 + 2.5 * expected_return, 0.85), 0.05) AS up, greatest(least(0.33 - 2 * expected_return, 0.85), 0.05) AS down FROM rsk)
     SELECT symbol, score, CASE WHEN score < 20 THEN 'very low' WHEN score < 40 THEN 'low' WHEN score < 60 THEN 'medium' WHEN score < 80 THEN 'high' ELSE 'very high' END AS label, ~(up)~ AS up, ~(down)~ AS down, ~(1 - up - down)~ AS side, ~(2 * pred_close - p5)~ AS display_upper FROM s"""

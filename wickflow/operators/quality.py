@@ -199,9 +199,19 @@ def grade(da):
     return F.when(da >= 55, "good").when(da >= 52, "ok").otherwise("bad")
 
 
+# The metrics of a frozen record and the names that its readers expect.
+CONTRACT = {"da": "DA", "mw_da": "MW-DA", "rank_ic": "RankIC", "hit_rate": "HitRate"}
+
+
+def contract_metrics(metrics: DataFrame) -> DataFrame:
+    """The metrics of the contract, by their names there; others go."""
+    names = F.create_map(*(F.lit(x) for pair in CONTRACT.items() for x in pair))
+    return metrics.where(F.col("metric").isin(*CONTRACT)).withColumn("metric", names[F.col("metric")])
+
+
 def compare_metrics(base: DataFrame, candidate: DataFrame, bar: float = 52.0) -> DataFrame:
     """(metric, split, base, candidate, better, base_passes, passes): long metric tables side by side; the bar is for da."""
-    names = ("da", "mw_da", "rank_ic", "hit_rate")
+    names = tuple(CONTRACT)
     b = base.where(F.col("metric").isin(*names)).withColumnRenamed("value", "base")
     c = candidate.where(F.col("metric").isin(*names)).withColumnRenamed("value", "candidate")
     both = b.join(c, ["metric", "split"])

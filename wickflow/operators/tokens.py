@@ -82,6 +82,20 @@ def utilisation(tokens: DataFrame, names: tuple[str, ...] = ("s1", "s2"), codes:
     )
 
 
+def code_bitmaps(tokens: DataFrame, day: str, names: tuple[str, ...] = ("s1", "s2")) -> DataFrame:
+    """(day, code, bucket, used): which codes a day has, as bitmaps. Days are kept as they come and merged for any range later."""
+    long = tokens.unpivot([day], list(names), "code", "token").where("token is not null").withColumn("token", F.col("token").cast("long") + 1)
+    bit = F.bitmap_construct_agg(F.bitmap_bit_position("token"))
+    return long.groupBy(F.col(day).alias("day"), "code", F.bitmap_bucket_number("token").alias("bucket")).agg(bit.alias("used"))
+
+
+def utilisation_between(bitmaps: DataFrame, first, last, codes: int = CODES) -> DataFrame:
+    """utilisation of the days from first to last, from code_bitmaps alone; codes that several days have count once."""
+    merged = bitmaps.where(F.col("day").between(first, last)).groupBy("code", "bucket").agg(F.bitmap_or_agg("used").alias("used"))
+    counts = merged.groupBy("code").agg(F.sum(F.bitmap_count("used")).alias("used"))
+    return counts.select("code", "used", (F.col("used") * 100.0 / codes).alias("used_pct"))
+
+
 def kl_drift(p: DataFrame, q: DataFrame, epsilon: float = 1e-10) -> DataFrame:
     """One row, kl: KL divergence of two histograms (token, n) with epsilon on each count."""
     both = p.select("token", (F.col("n") + epsilon).alias("a")).join(q.select("token", (F.col("n") + epsilon).alias("b")), "token")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions.scalars import clip as clipped
-from wickflow.operators.clean import by_symbol, number_rows
+from wickflow.operators.clean import by_symbol, fill, mean_price, number_rows
+from wickflow.operators.slices import split_by_date
 from wickflow.schema import CLIP, FEATURES, GAP, HORIZON, LOOKBACK, MAX_NULL, STD_EPSILON, STD_GUARD
 
 
@@ -208,3 +209,22 @@ def sample_starts(windows: DataFrame, n: int, seed: int = 42, keys: tuple[str, .
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "symbol", F.col("start").cast("string")))
     ranked = windows.withColumn("draw", F.row_number().over(order.orderBy(key, "symbol", "start")))
     return ranked.where(F.col("draw") <= n).drop("draw")
+
+
+def benchmark_windows(bars: DataFrame, split: str, train_end: str, val_end: str, lookback: int = LOOKBACK, n: int = 100, seed: int = 42) -> DataFrame:
+    """(symbol, start, pos, ts and features): the rows of at most n windows of each symbol, drawn inside one split.
+
+    Rows are split by date first; amount is repaired where the split has none of a symbol; NULLs are filled from before, then from
+    after, then 0. Symbols with fewer than `lookback` rows there give none. Starts are drawn before rows are touched, and meet
+    them by buckets of `lookback` rows, of which a window has two at most: windows that are not drawn are never built.
+    """
+    rows = bars.where(split_by_date(F.col("ts"), train_end, val_end) == split)
+    none = F.count("amount").over(Window.partitionBy("symbol")) == 0
+    rows = rows.withColumn("amount", F.when(none, F.col("volume") * mean_price()).otherwise(F.col("amount")))
+    rows = number_rows(fill(rows, "series")).withColumn("bucket", F.floor(F.col("rn") / lookback))
+    counts = rows.groupBy("symbol").agg(F.count("*").cast("int").alias("rows")).where(F.col("rows") >= lookback)
+    starts = sample_starts(counts.select("symbol", F.explode(F.sequence(F.lit(0), F.col("rows") - lookback)).alias("start")), n, seed)
+    ends = F.array_distinct(F.array(F.floor(F.col("start") / lookback), F.floor((F.col("start") + lookback - 1) / lookback)))
+    found = starts.withColumn("bucket", F.explode(ends)).join(rows, ["symbol", "bucket"])
+    found = found.where((F.col("rn") >= F.col("start")) & (F.col("rn") < F.col("start") + lookback))
+    return found.select("symbol", "start", (F.col("rn") - F.col("start")).alias("pos"), "ts", *FEATURES)

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wickflow.schema import BAR_SCHEMA
+from wickflow.sources.feather import PART_BYTES, FeatherSource
+
+#: Bytes that are hashed at a time.
+HASH_BYTES = 1 << 22
 
 
 def read_bars(spark: SparkSession, path: str, schema=BAR_SCHEMA) -> DataFrame:
@@ -17,24 +27,13 @@ def read_bars(spark: SparkSession, path: str, schema=BAR_SCHEMA) -> DataFrame:
     return rows.select(symbol.alias("symbol"), *(F.nanvl(c, F.lit(None)).alias(c) if c in doubles else F.col(c) for c in schema.names))
 
 
-def read_feather(spark: SparkSession, path: str, schema=BAR_SCHEMA) -> DataFrame:
-    """Bars of Feather files. A file is decoded as a whole in one task, so write Parquet once and read that from then on."""
-
-    def decode(frames):
-        import io
-
-        import pyarrow.feather as feather
-
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                if not name.endswith(".feather"):
-                    raise ValueError(f"not a Feather file: {name}")
-                bars = feather.read_feather(io.BytesIO(content))[list(schema.names)]
-                bars.insert(0, "symbol", name.rsplit("/", 1)[-1].removesuffix(".feather"))
-                yield bars
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(decode, f"symbol string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema.fields)}")
+def read_feather(spark: SparkSession, path: str, schema=BAR_SCHEMA, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Bars of Feather files, each read by as many tasks as its size asks for; only the schema's columns are read. NaN becomes NULL."""
+    spark.dataSource.register(FeatherSource)
+    columns = StructType([StructField("symbol", StringType()), *schema.fields])
+    rows = spark.read.format("feather").schema(columns).option("part_bytes", part_bytes).load(path)
+    doubles = [f.name for f in schema.fields if f.dataType.typeName() == "double"]
+    return rows.select("symbol", *(F.nanvl(c, F.lit(None)).alias(c) if c in doubles else F.col(c) for c in schema.names))
 
 
 def list_files(spark: SparkSession, path: str, ending: str = "*") -> DataFrame:
@@ -55,10 +54,53 @@ def count_files(spark: SparkSession, path: str, ending: str = "*.csv") -> int:
 
 
 def hash_artifacts(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """SHA-256 of every file below a root, keyed by its path relative to the root."""
+    """(file, sha256) of every file below a root, keyed by its path relative to the root.
+
+    Tasks get paths and read files in pieces, so a file of any size takes a few megabytes. Where only Spark's readers know
+    the store, contents go through them, which holds one file of at most 2 GB at a time.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.substring_index("path", root.rstrip("/") + "/", -1)
-    return files.select(below.alias("file"), F.sha2("content", 256).alias("sha256")).where(~F.col("file").isin(*exclude) if exclude else F.lit(True))
+    paths = [unquote(p) for p in files.inputFiles()]  # with empty files, which a scan skips
+    if not paths:
+        return spark.createDataFrame([], "file string, sha256 string")
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    below = F.substring_index("path", root.rstrip("/") + "/", -1).alias("file")
+    wanted = listed.select("path", below).where(~F.col("file").isin(*exclude) if exclude else F.lit(True))
+    if not _readable(paths[0]):
+        whole = files.select(below, F.sha2("content", 256).alias("sha256"))
+        return wanted.join(whole, "file", "left").select("file", F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("sha256"))
+    parts = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
+    return wanted.repartition(parts).mapInArrow(_hash_files, "file string, sha256 string")
+
+
+def _open(path: str):
+    """A stream of a file's bytes as they are; paths come as Spark shows them, not escaped."""
+    if path.startswith("file:"):
+        system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(name, compression=None)
+
+
+def _readable(path: str) -> bool:
+    """Whether tasks can open such paths themselves."""
+    try:
+        _open(path).close()
+        return True
+    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return False
+
+
+def _hash_files(batches):
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            digest = hashlib.sha256()
+            with _open(path) as stream:
+                while piece := stream.read(HASH_BYTES):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.string())], ["file", "sha256"])
 
 
 def prefer_file(files: DataFrame, preferred: str) -> DataFrame:
