@@ -262,3 +262,41 @@ def test_frozen_record(spark):
         {"metric": "mw_da", "split": "test", "base": 49.0, "candidate": 50.0, "better": True, "base_passes": None, "passes": None},
     ]
     assert [tuple(r) for r in record["artifacts"]] == [("a.csv", "11"), ("b.csv", "22")]
+
+
+def test_whole_records(spark):
+    """Everything that a record has, for a symbol with and one without a dimension row and tokens."""
+    import json
+
+    rows = [(s, f"2024-01-0{d}", 1.0, 3.0, 0.5, float(d), 10.0, 20.0) for s in ("A", "B") for d in (1, 2, 3)]
+    bars = spark.createDataFrame(rows, "symbol string, ts string, open double, high double, low double, close double, volume double, amount double").withColumn("ts", F.to_date("ts"))
+    paths = spark.createDataFrame([(s, "2024-01-03", 3.0, k, t, 3.0 + k + t) for s in ("A", "B") for k in (1, 0) for t in (2, 1)], "symbol string, asof_ts string, last_close double, sample_id int, step int, close double")
+    seen = spark.createDataFrame([("A", 7, 2), ("A", 3, 5), ("A", 1, 2)], "symbol string, token int, n long")
+    dim = spark.createDataFrame([("A", "Alpha", "Tech", "HNX")], "symbol string, name string, sector string, exchange string")
+    found = {r["symbol"]: json.loads(r["record"]) for r in risk.whole_records(risk.risk_metrics(paths), paths, bars, seen, dim, 2).collect()}
+    a, b = found["A"], found["B"]
+    assert (a["name"], a["sector"], a["exchange"]) == ("Alpha", "Tech", "HNX") and (b["name"], b["exchange"]) == ("B", "HOSE")
+    assert a["xai_data"] == [{"token": 3, "frequency": 5}, {"token": 1, "frequency": 2}, {"token": 7, "frequency": 2}] and b["xai_data"] == []
+    assert [(c.get("date"), c["close"], c["fcst"]) for c in a["raw_candles"]] == [("2024-01-02", 2.0, False), ("2024-01-03", 3.0, False), (None, 4.5, True), (None, 5.5, True)]
+    assert a["raw_candles"][0]["amount"] == 20.0 and [p["close"] for p in a["stochastic_paths"]] == [4.0, 5.0, 5.0, 6.0]
+    assert a["trend"] == {"trend_class": "UP", "predicted_return": pytest.approx(2.5 / 3)} and a["risk_metrics"]["width"] == pytest.approx(0.9)
+
+
+def test_candle_sparkline_and_flags(spark):
+    bars = spark.createDataFrame([("A", d, 2.0, 4.0, 1.0, 3.0) for d in (1, 2)] + [("B", 1, 5.0, 5.0, 5.0, 5.0)], "symbol string, ts int, open double, high double, low double, close double")
+    ahead = spark.createDataFrame([("A", 1, 3.0, 9.0, 3.0, 9.0), ("B", 1, 5.0, 5.0, 5.0, 5.0)], "symbol string, step int, open double, high double, low double, close double")
+    found = {(r["symbol"], r["at"]): (r["open"], r["high"], r["low"], r["close"], r["fcst"]) for r in risk.candle_sparkline(bars, ahead, 1).collect()}
+    assert found == {("A", -1): (0.125, 0.375, 0.0, 0.25, False), ("A", 1): (0.25, 1.0, 0.25, 1.0, True), ("B", -1): (0.0,) * 4 + (False,), ("B", 1): (0.0,) * 4 + (True,)}
+    metrics = spark.createDataFrame([("da", "test", 52.0), ("win_rate_long", "test", 49.9), ("mdd_long", "test", 3.0)], "metric string, split string, value double")
+    assert {r["metric"]: r["good"] for r in quality.status_flags(metrics).collect()} == {"da": True, "win_rate_long": False}
+    named = quality.contract_metrics(metrics.union(spark.createDataFrame([("hit_rate", "test", 1.0)], metrics.schema)))
+    assert {r["metric"] for r in named.collect()} == {"DA", "HitRate"}
+
+
+def test_codes_of_days(spark):
+    rows = [(d, (d * 7 + k) % 1024, (k * k) % 1024 if k else None) for d in range(6) for k in range(40)]
+    df = spark.createDataFrame(rows, "day int, s1 int, s2 int")
+    kept = tokens.code_bitmaps(df, "day").cache()
+    for first, last in ((0, 5), (2, 3), (4, 4)):
+        want = {r["code"]: r["used"] for r in tokens.utilisation(df.where(F.col("day").between(first, last))).collect()}
+        assert {r["code"]: r["used"] for r in tokens.utilisation_between(kept, first, last).collect()} == want

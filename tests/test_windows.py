@@ -130,12 +130,21 @@ def test_fill_does_not_look_behind_the_window(spark):
 
 def test_export_keeps_the_order(spark):
     bars = made(spark, "A", 12, lambda i: 10.0 + i)
-    rows = windows.normalize_windows(bars, windows.make_windows(bars, 5, 1), 5, 1)
-    out = windows.export_windows(rows, {"day": F.dayofmonth("ts")}).where("start = 2").first()
+    rows = windows.window_arrays(bars, windows.make_windows(bars, 5, 1), 5, 1)
+    out = windows.export_windows(rows, {"day": F.dayofmonth}).where("start = 2").first()
     assert len(out["x"]) == 7 and len(out["x"][0]) == len(FEATURES)
     assert [s[0] for s in out["stamp"]] == [3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0]
 
 
+def test_all_windows_without_naming_them(spark):
+    """The same rows, and bars move once."""
+    bars = made(spark, "A", 30, lambda i: 10.0 + i)
+    named = windows.normalize_windows(bars, windows.make_windows(bars, 5, 1), 5, 1)
+    every = windows.normalize_windows(bars, None, 5, 1)
+    assert every._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, every.collect())) == sorted(map(str, named.collect()))
+
+
 def test_sample_is_the_same_each_time(spark):
     bars = made(spark, "A", 60, lambda i: 100.0)
     found = windows.make_windows(bars, 10, 5)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wickflow.functions import scalars
-from wickflow.operators import batch_score, clean, monitor, portfolio, profile, quality, risk, score, slices, tokens, windows
+from wickflow.operators import batch_score, blocks, clean, monitor, portfolio, profile, quality, risk, score, slices, tokens, windows
 from wickflow.oracles import BARS, CODES, FORECAST, PATHS, PORTFOLIO, RANKED, RISK, T_P, _dates, _rank_ic, of_dates
 from wickflow.plans import adapter
 from wickflow.plans.adapter import LEAST as P
@@ -23,6 +23,8 @@ from wickflow.streaming.refresh import candles
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+#: As they are written, for queries that give the rows of another one in another way.
+_SQL_OF: dict[str, str] = {}
 
 
 def _query(sql: str | None = None, digits: int | None = 6):
@@ -38,7 +40,7 @@ def _query(sql: str | None = None, digits: int | None = 6):
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         _QUERIES[f.__name__] = run
         if sql is not None:
-            _SQL[f.__name__] = _rounded(sql, digits)
+            _SQL[f.__name__], _SQL_OF[f.__name__] = _rounded(sql, digits), sql
         return run
 
     return register
@@ -414,7 +416,7 @@ def evaluation_order(spark, sf_dir):
 )
 def normalized_windows(spark, sf_dir):
     rows = _dense(spark, sf_dir)
-    found = windows.normalize_windows(rows, windows.make_windows(rows, 10, 5), 10, 5)
+    found = windows.normalize_windows(rows, None, 10, 5)
     return found.groupBy("symbol", "pos").agg(
         F.count("*").alias("n"), F.avg("z_close").alias("mean_z_close"), F.avg("z_volume").alias("mean_z_volume"), F.max(F.abs("z_close")).alias("top_z_close")
     )
@@ -703,6 +705,15 @@ def backtest_summary(spark, sf_dir):
     return portfolio.summary(_eval(spark, sf_dir), P["top_k"], P["min_symbols"])
 
 
+@_query(
+    f"""WITH {PORTFOLIO} SELECT 'da' AS metric, 'all' AS split, ~(da)~ AS value, da >= 52 AS good FROM (SELECT avg({_HIT}) * 100 AS da FROM ev)
+    UNION ALL SELECT 'win_rate_long', 'all', ~(win_rate)~, win_rate >= 50 FROM st WHERE curve = 'long'"""
+)
+def dashboard_flags(spark, sf_dir):
+    """Which of the figures that have a bar on the dashboard reach it."""
+    return quality.status_flags(backtest_summary(spark, sf_dir).withColumn("split", F.lit("all"))).select("metric", "split", "value", "good")
+
+
 def _summary_sql(first: str | None, last: str | None) -> str:
     return of_dates(
         f"""WITH {PORTFOLIO}, k AS (UNPIVOT st ON ann_return, sharpe, mdd, calmar, win_rate INTO NAME stat VALUE value)
@@ -912,6 +923,45 @@ def scored_last_values(spark, sf_dir):
     return found.select("symbol", "sample_id", "step", "close", "status")
 
 
+def _last_value_paths(spark, sf_dir):
+    """Paths of all prices: each step repeats a symbol's last bar."""
+    rows = slices.last_bars(adapter.bars(spark, sf_dir), P["lookback"])
+    asof = rows.groupBy("symbol").agg(F.max("ts").alias("asof_ts"))
+    return batch_score.score_batches(rows.join(asof, "symbol"), batch_score.last_values, 5, 2)
+
+
+_LAST = f'WITH {BARS}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM bars), k AS (SELECT unnest(range(1, 6)) AS step)'
+
+
+@_query(f'{_LAST} SELECT symbol, step::INT AS step, ~(open)~ AS open, ~(high)~ AS high, ~(low)~ AS low, ~("close")~ AS "close" FROM l, k WHERE back = 1', None)
+def mean_price_paths(spark, sf_dir):
+    """The mean path of every price."""
+    return score.mean_path(_last_value_paths(spark, sf_dir), PRICES).select("symbol", "step", *PRICES)
+
+
+@_query(
+    f"""{_LAST}, u AS (SELECT symbol, -back AS pos, open, high, low, "close", false AS fcst FROM l WHERE back <= 3 UNION ALL SELECT symbol, step, open, high, low, "close", true FROM l, k WHERE back = 1),
+    s AS (SELECT *, min(low) OVER w AS lo, coalesce(nullif(max(high) OVER w - min(low) OVER w, 0), 1) AS span FROM u WINDOW w AS (PARTITION BY symbol))
+    SELECT symbol, pos::INT AS pos, ~((open - lo) / span)~ AS open, ~((high - lo) / span)~ AS high, ~((low - lo) / span)~ AS low, ~(("close" - lo) / span)~ AS "close", fcst FROM s"""
+)
+def candle_sparklines(spark, sf_dir):
+    mean = score.mean_path(_last_value_paths(spark, sf_dir), PRICES)
+    return risk.candle_sparkline(adapter.bars(spark, sf_dir), mean).withColumnRenamed("at", "pos")
+
+
+@_query(
+    f"""WITH {PATHS}, u AS (SELECT symbol, -back AS pos, "close", false AS fcst FROM tail WHERE back <= 126 UNION ALL SELECT symbol, step, avg("close"), true FROM paths GROUP BY symbol, step)
+    SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY pos)::INT - 1 AS pos, ~("close")~ AS "close", fcst FROM u"""
+)
+def record_candles(spark, sf_dir):
+    """The candles of whole prediction records, read back from their JSON."""
+    paths, rows = _paths(spark, sf_dir), adapter.bars(spark, sf_dir)
+    none = rows.where("false").select("symbol", F.lit(0).alias("token"), F.lit(0).cast("long").alias("n"))
+    records = risk.whole_records(risk.risk_metrics(paths), paths, rows, none, adapter.dimension(spark, sf_dir))
+    back = F.from_json("record", "raw_candles array<struct<close: double, fcst: boolean>>")
+    return records.select("symbol", F.posexplode(back["raw_candles"]).alias("pos", "c")).select("symbol", "pos", "c.close", "c.fcst")
+
+
 @_query()
 def source_hashes(spark, sf_dir):
     """Files are not tables, so there is no SQL; tested against hashlib."""
@@ -1072,15 +1122,14 @@ _Z = f"""WITH {BARS}, u AS (SELECT s.symbol, s.rn AS start, (b.rn - s.rn)::INT A
     z AS (SELECT symbol, start, pos, ts, {_each('greatest(least(("{c}" - "{c}_m") / (CASE WHEN "{c}_d" < 1e-6 THEN 1 ELSE "{c}_d" END + 1e-5), 5), -5) AS "{c}"')} FROM u JOIN m USING (symbol, start))"""
 
 
-def _normalized(spark, sf_dir):
-    rows = adapter.bars(spark, sf_dir)
-    return windows.normalize_windows(rows, windows.make_windows(rows, 10, 5), 10, 5)
+def _arrays(spark, sf_dir):
+    return windows.window_arrays(adapter.bars(spark, sf_dir), None, 10, 5)
 
 
 @_query(f"{_Z} SELECT symbol, start, count(*) AS n_rows, ~(sum((\"close\"::FLOAT)::DOUBLE * (pos + 1)))~ AS closes, ~(sum((open::FLOAT)::DOUBLE + 2 * (high::FLOAT)::DOUBLE + 3 * (low::FLOAT)::DOUBLE + 4 * (volume::FLOAT)::DOUBLE + 5 * (amount::FLOAT)::DOUBLE))~ AS others, sum(day(ts) * (pos + 1))::DOUBLE AS days FROM z GROUP BY symbol, start", 3)
 def exported_windows(spark, sf_dir):
     """Windows as arrays of floats with their stamps; sums over them, weighted by place, as a check of values and order."""
-    out = windows.export_windows(_normalized(spark, sf_dir), {"day": F.dayofmonth("ts")})
+    out = windows.export_windows(_arrays(spark, sf_dir), {"day": F.dayofmonth})
     at = {c: k for k, c in enumerate(FEATURES)}
 
     def total(of):
@@ -1107,7 +1156,7 @@ def exported_windows(spark, sf_dir):
 )
 def pretokenized_windows(spark, sf_dir):
     """Windows as codes, a row for each of their rows."""
-    found = tokens.pretokenize(_normalized(spark, sf_dir))
+    found = tokens.pretokenize(_arrays(spark, sf_dir))
     rows = found.select("symbol", F.col("start").cast("long").alias("start"), F.posexplode(F.arrays_zip("s1", "s2")).alias("pos", "t"))
     return rows.select("symbol", "start", "pos", "t.s1", "t.s2")
 
@@ -1142,6 +1191,26 @@ def codes_to_bits(spark, sf_dir):
     return adapter.codes(spark, sf_dir).select(F.col("s1").alias("token"), F.element_at(bits, 1).alias("first_bit"), F.element_at(bits, 10).alias("last_bit")).distinct()
 
 
+@_query(_SQL_OF["returns_and_volatility"])
+def returns_and_volatility_in_blocks(spark, sf_dir):
+    """The same figures with each symbol cut into blocks of 500 bars."""
+
+    def figures(b):
+        return profile.rolling_volatility(profile.log_returns(b))
+
+    found = blocks.in_blocks(adapter.bars(spark, sf_dir), figures, back=50, block=500)
+    return found.select("symbol", "ts", "r", F.abs("r").alias("abs_r"), "vol_20", "vol_50")
+
+
+@_query(_SQL_OF["window_splits"])
+def window_splits_in_blocks(spark, sf_dir):
+    """The same windows made in blocks of 500 bars with a halo."""
+    rows = adapter.bars(spark, sf_dir)
+    made = blocks.windows_in_blocks(rows, lambda b: windows.make_windows(b, 126, 5), 132, 500)
+    found = windows.assign_split(rows, made, TRAIN_END, VAL_END, 126)
+    return found.groupBy("symbol", "split").agg(F.count("*").alias("n"), F.min("ts_first").alias("first_ts"), F.max("ts_last").alias("last_ts"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

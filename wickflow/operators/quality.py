@@ -199,6 +199,13 @@ def grade(da):
     return F.when(da >= 55, "good").when(da >= 52, "ok").otherwise("bad")
 
 
+def status_flags(metrics: DataFrame, bars: dict[str, float] | None = None) -> DataFrame:
+    """(metric, split, value, good) of the metrics that have a bar on the dashboard: accuracy 52 %, win rate 50 %."""
+    bars = {"da": 52.0, "win_rate_long": 50.0} if bars is None else bars
+    limit = F.create_map(*(F.lit(x) for pair in bars.items() for x in pair))[F.col("metric")]
+    return metrics.where(F.col("metric").isin(*bars)).withColumn("good", F.col("value") >= limit)
+
+
 # The metrics of a frozen record and the names that its readers expect.
 CONTRACT = {"da": "DA", "mw_da": "MW-DA", "rank_ic": "RankIC", "hit_rate": "HitRate"}
 

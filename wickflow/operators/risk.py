@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wickflow.functions.scalars import clip
 from wickflow.operators.clean import by_symbol
 from wickflow.operators.slices import last_bars, latest_first
+from wickflow.schema import FEATURES, PRICES
 
 
 def trend(ret: Column) -> Column:
@@ -91,6 +92,20 @@ def sparkline(bars: DataFrame, forecast: DataFrame, n: int = 3) -> DataFrame:
     return rows.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("at", "close", "scaled", "fcst"))).alias("candles"))
 
 
+def candle_sparkline(bars: DataFrame, forecast: DataFrame, n: int = 3) -> DataFrame:
+    """(symbol, at, open, high, low, close, fcst): the last n bars and the forecast's steps as whole candles, scaled to 0..1.
+
+    The scale is from the lowest low to the highest high of all of them; where they are equal all is 0.
+    """
+    past = bars.withColumn("k", F.row_number().over(latest_first())).where(F.col("k") <= n)
+    past = past.select("symbol", (-F.col("k")).alias("at"), *PRICES, F.lit(False).alias("fcst"))
+    both = past.unionByName(forecast.select("symbol", F.col("step").alias("at"), *PRICES, F.lit(True).alias("fcst")))
+    w = Window.partitionBy("symbol")
+    low = F.min("low").over(w)
+    span = F.coalesce(F.nullif(F.max("high").over(w) - low, F.lit(0.0)), F.lit(1.0))
+    return both.select("symbol", "at", *(((F.col(c) - low) / span).alias(c) for c in PRICES), "fcst")
+
+
 def rankings(risks: DataFrame, bars: DataFrame, dim: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
     """The ranking table: risk figures with last and previous close, score, confidence and the dimension, best return first.
 
@@ -169,6 +184,35 @@ def history_card(bars: DataFrame, n: int = 8) -> DataFrame:
     return whole.join(cards, "symbol")
 
 
+def whole_records(risks: DataFrame, paths: DataFrame, bars: DataFrame, frequencies: DataFrame, dim: DataFrame, candles: int = 126) -> DataFrame:
+    """(symbol, record): one JSON text for each series with its name, sector and exchange, trend, risk figures, the last
+    candles and then the mean path (raw_candles, with fcst), all paths, and the token frequencies, most frequent first.
+
+    frequencies: symbol, token, n. A symbol without them has an empty list, one that the dimension lacks the defaults.
+    """
+
+    def listed(rows: DataFrame, name: str, order: list[Column], *fields: str) -> DataFrame:
+        one = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)), F.struct(*fields).alias("x"))
+        return rows.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(one)), lambda r: r["x"]).alias(name))
+
+    mean = paths.groupBy("symbol", "step").agg(F.avg("close").alias("close"))
+    past = last_bars(bars, candles).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("date"), *FEATURES, F.lit(0).alias("step"), F.lit(False).alias("fcst"))
+    ahead = mean.select("symbol", F.lit(None).cast("string").alias("date"), *(F.col("close").alias(c) if c == "close" else F.lit(None).cast("double").alias(c) for c in FEATURES), "step", F.lit(True).alias("fcst"))
+    parts = [
+        listed(past.unionByName(ahead), "raw_candles", [F.col("step"), F.col("date")], "date", *FEATURES, "step", "fcst"),
+        listed(paths, "stochastic_paths", [F.col("sample_id"), F.col("step")], "sample_id", "step", "close"),
+        listed(frequencies, "xai_data", [-F.col("n"), F.col("token")], "token", F.col("n").alias("frequency")),
+    ]
+    rows = dimension(risks, dim)
+    for part in parts:
+        rows = rows.join(part, "symbol", "left")
+    figures = F.struct("volatility", "p5", "p95", "width").alias("risk_metrics")
+    trend_part = F.struct(F.col("trend").alias("trend_class"), F.col("expected_return").alias("predicted_return")).alias("trend")
+    none = F.array().cast("array<struct<token:int,frequency:long>>")
+    xai = F.coalesce(F.col("xai_data").cast("array<struct<token:int,frequency:long>>"), none).alias("xai_data")
+    return rows.select("symbol", F.to_json(F.struct("symbol", "name", "sector", "exchange", trend_part, figures, "raw_candles", "stochastic_paths", xai)).alias("record"))
+
+
 def prediction_records(risks: DataFrame, paths: DataFrame) -> DataFrame:
     """(symbol, record): figures, mean path and samples of a series as one JSON text."""
     mean = paths.groupBy("symbol", "step").agg(F.avg("close").alias("close"))

@@ -91,8 +91,9 @@ def resampled_paths(bars: DataFrame, lookback: int, horizon: int, samples: int,
     )
 
 
-def mean_path(paths: DataFrame) -> DataFrame:
-    return paths.groupBy("symbol", "asof_ts", "step").agg(F.avg("close").alias("close"))
+def mean_path(paths: DataFrame, columns: tuple[str, ...] = ("close",)) -> DataFrame:
+    """The mean over samples at each step, of the closes or of every feature that the paths have."""
+    return paths.groupBy("symbol", "asof_ts", "step").agg(*(F.avg(c).alias(c) for c in columns))
 
 
 def fan(paths: DataFrame) -> DataFrame:

@@ -171,12 +171,13 @@ def recon_criteria(errors: DataFrame, models: tuple[str, str, str]) -> DataFrame
     )
 
 
-def pretokenize(normalized: DataFrame) -> DataFrame:
-    """(symbol, start, s1, s2): codes of each row of normalised windows, in order, from the signs of price and size z-scores.
+def pretokenize(arrays: DataFrame) -> DataFrame:
+    """(symbol, start, s1, s2): codes of each row of window_arrays, in order, from the signs of price and size z-scores.
 
     It is to be written once as Parquet and read for each training run, with the stamps of export_windows beside it.
     """
-    s1 = bits_to_index(F.array(*(F.col(f"z_{c}") for c in PRICES)))
-    s2 = bits_to_index(F.array(F.col("z_volume"), F.col("z_amount")))
-    rows = normalized.groupBy("symbol", "start").agg(F.array_sort(F.collect_list(F.struct("pos", s1.alias("s1"), s2.alias("s2")))).alias("r"))
-    return rows.select("symbol", "start", F.col("r.s1").alias("s1"), F.col("r.s2").alias("s2"))
+
+    def codes(names: tuple[str, ...]) -> Column:
+        return F.transform(F.arrays_zip(*(f"z_{c}" for c in names)), lambda r: bits_to_index(F.array(*(r[f"z_{c}"] for c in names))))
+
+    return arrays.select("symbol", "start", codes(PRICES).alias("s1"), codes(("volume", "amount")).alias("s2"))

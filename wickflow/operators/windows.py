@@ -7,6 +7,7 @@ never sent once for each window that holds them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,16 +128,21 @@ def unscale(z: Column, mean: Column, std: Column) -> Column:
     return z * (safe + F.lit(STD_EPSILON)) + mean
 
 
-def normalize_windows(bars: DataFrame, windows: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON, clip: float = CLIP) -> DataFrame:
-    """The rows of each window, filled inside the window, as z-scores of its lookback. No figure comes from after it.
+def window_arrays(
+    bars: DataFrame, windows: DataFrame | None = None, lookback: int = LOOKBACK, horizon: int = HORIZON, clip: float = CLIP
+) -> DataFrame:
+    """(symbol, start, ts, the features, z_ of each feature) as arrays: the rows of each window, filled inside it, and their z-scores.
 
-    NULLs take the last value before them in the window, or 0. That value is found once for each bar, with its row, and counts
-    if the row lies in the window.
+    The scores are by the window's lookback, so no figure comes from after it. NULLs take the last value before them in the
+    window, or 0. That value is found once for each bar, with its row, and counts if the row lies in the window. Without
+    `windows`, all full windows are taken, and bars move once, to their symbol.
     """
     width = lookback + horizon + 1
     upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    first = windows.select("symbol", F.col("start").alias("rn"), F.lit(True).alias("wanted"))
-    rows = number_rows(bars).join(first, ["symbol", "rn"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    rows = number_rows(bars)
+    if windows is not None:
+        first = windows.select("symbol", F.col("start").alias("rn"), F.lit(True).alias("wanted"))
+        rows = rows.join(first, ["symbol", "rn"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
     held = {c: F.last(c, True).over(upto) for c in FEATURES}
     since = {f"{c}_at": F.last(F.when(F.col(c).isNotNull(), F.col("rn")), True).over(upto) for c in FEATURES}
     rows = rows.withColumns(since | {f"{c}_held": v for c, v in held.items()})
@@ -151,18 +157,24 @@ def normalize_windows(bars: DataFrame, windows: DataFrame, lookback: int = LOOKB
     found = found.select("symbol", "start", F.transform("rows", lambda r: r["ts"]).alias("ts"), *map(inside, FEATURES))
     found = found.withColumns({f"{c}_mean": _moments(c, lookback)[0] for c in FEATURES})
     found = found.withColumns({f"{c}_std": _moments(c, lookback)[1] for c in FEATURES})
-    scaled = {f"z_{c}": scores(c) for c in FEATURES}
-    names = ["ts", *FEATURES, *scaled]
-    zipped = found.withColumns(scaled).select("symbol", "start", F.posexplode(F.arrays_zip(*names)).alias("pos", "r"))
+    return found.select("symbol", "start", "ts", *FEATURES, *(scores(c).alias(f"z_{c}") for c in FEATURES))
+
+
+def normalize_windows(
+    bars: DataFrame, windows: DataFrame | None = None, lookback: int = LOOKBACK, horizon: int = HORIZON, clip: float = CLIP
+) -> DataFrame:
+    """window_arrays as rows (symbol, start, pos, ts, features, z-scores)."""
+    found = window_arrays(bars, windows, lookback, horizon, clip)
+    names = found.columns[2:]
+    zipped = found.select("symbol", "start", F.posexplode(F.arrays_zip(*names)).alias("pos", "r"))
     return zipped.select("symbol", "start", "pos", *(F.col(f"r.{n}").alias(n) for n in names))
 
 
-def export_windows(normalized: DataFrame, stamps: dict[str, Column]) -> DataFrame:
-    """(symbol, start, x, stamp): each window as arrays of floats, in order, for training."""
-    values = F.array(*(F.col(f"z_{c}").cast("float") for c in FEATURES)).alias("x")
-    times = F.array(*(c.cast("float") for c in stamps.values())).alias("s")
-    rows = normalized.groupBy("symbol", "start").agg(F.array_sort(F.collect_list(F.struct("pos", values, times))).alias("rows"))
-    return rows.select("symbol", "start", F.col("rows.x").alias("x"), F.col("rows.s").alias("stamp"))
+def export_windows(arrays: DataFrame, stamps: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(symbol, start, x, stamp): each window of window_arrays as arrays of floats, in order, for training; stamps are functions of ts."""
+    rows = F.transform(F.arrays_zip(*(f"z_{c}" for c in FEATURES)), lambda r: F.array(*(r[f"z_{c}"].cast("float") for c in FEATURES)))
+    times = F.transform("ts", lambda t: F.array(*(f(t).cast("float") for f in stamps.values())))
+    return arrays.select("symbol", "start", rows.alias("x"), times.alias("stamp"))
 
 
 def clip_rate(bars: DataFrame, width: int = LOOKBACK, clip: float = CLIP) -> DataFrame:
