@@ -24,6 +24,7 @@ WIDE = [
     "portfolio_returns",
     "portfolio_curves",
     "portfolio_statistics",
+    "dashboard_flags",
 ]
 SAME = sorted(set(catalog.oracle_sql()) - set(WIDE))
 
