@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,6 +114,15 @@ def normal_quantile_sql(p: str) -> str:
         ELSE {ratio(FAR, f"({root} - 5e0)")} END) END"""
 
 
-def normal_quantile(p: str) -> Column:
-    """normal_quantile_sql of a column of doubles."""
-    return F.expr(normal_quantile_sql(f"`{p}`"))
+def normal_quantile(p: Column) -> Column:
+    """normal_quantile_sql of a column of doubles, NaN outside (0, 1)."""
+
+    def ratio(table, r: Column) -> Column:
+        top, bottom = (reduce(lambda sum_, factor: sum_ * r + factor, factors[1:], F.lit(factors[0])) for factors in table)
+        return top / bottom
+
+    q = p - 0.5
+    root = F.sqrt(-F.log(F.when(q < 0, p).otherwise(1 - p)))
+    tail = F.when(root <= 5, ratio(NEAR, root - 1.6)).otherwise(ratio(FAR, root - 5))
+    inside = F.when(F.abs(q) <= 0.425, q * ratio(MIDDLE, 0.180625 - q * q)).otherwise(F.when(q < 0, -tail).otherwise(tail))
+    return F.when((p > 0) & (p < 1), inside).when(p.isNotNull(), F.lit(float("nan")))

@@ -209,7 +209,7 @@ def qq(returns: DataFrame, column: str = "r", key: str = "symbol") -> DataFrame:
     rows = rows.withColumn("i", F.row_number().over(by_value)).withColumn("n", F.count("*").over(whole))
     end = F.pow(F.lit(0.5), 1.0 / F.col("n"))
     p = F.when(F.col("i") == F.col("n"), end).when(F.col("i") == 1, 1 - end).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
-    return rows.withColumn("p", p).select(key, "ordered", normal_quantile("p").alias("theoretical"))
+    return rows.withColumn("p", p).select(key, "ordered", normal_quantile(F.col("p")).alias("theoretical"))
 
 
 def qq_fit(pairs: DataFrame, key: str = "symbol") -> DataFrame:
