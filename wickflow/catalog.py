@@ -277,6 +277,18 @@ def amount_density(spark, sf_dir):
     return profile.histogram(rows, "x", 30, ("symbol",))
 
 
+@_query(
+    f"""WITH {BARS}, v AS (SELECT symbol, log10(amount + 1e-5) AS v FROM bars WHERE amount IS NOT NULL),
+    s AS (SELECT symbol, min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) * count(*)::DOUBLE ** -0.2 AS h FROM v GROUP BY symbol HAVING min(v) < max(v)),
+    g AS (SELECT s.*, point, lo - 3 * h + point * ((hi - lo + 6 * h) / 199) AS x FROM s, range(200) t(point))
+    SELECT symbol, point, ~(any_value(x))~ AS x, ~(sum(exp(-(((x - v) / h) ** 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())))~ AS density FROM g JOIN v USING (symbol) GROUP BY symbol, point""",
+    5,
+)
+def amount_density_curve(spark, sf_dir):
+    rows = adapter.bars(spark, sf_dir).withColumn("v", F.log10(F.col("amount") + 1e-5))
+    return profile.density_curve(rows, "v", ("symbol",))
+
+
 @_query(
     f"""WITH {BARS}, p AS (SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, a.r AS x, b.r AS y FROM ret a JOIN ret b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL),
     c AS (SELECT symbol_a, symbol_b, sum(x * y) - sum(x) * sum(y) / count(*) AS cov, sum(x * x) - sum(x) * sum(x) / count(*) AS va, sum(y * y) - sum(y) * sum(y) / count(*) AS vb FROM p GROUP BY ALL)
@@ -892,6 +904,33 @@ def best_runs(spark, sf_dir):
     return monitor.best_run(_runs(spark, sf_dir), patience=3)
 
 
+@_query(
+    f"""WITH {CODES}, l AS (SELECT CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS model, (vec_id // 100)::BIGINT AS run, s1, s2 FROM codes),
+    u AS (SELECT model, run, 's1' AS code, s1 AS token FROM l UNION ALL SELECT model, run, 's2', s2 FROM l),
+    g AS (SELECT d.model, d.run, d.code, t.token, count(u.token) AS n FROM (SELECT DISTINCT model, run, code FROM u) d CROSS JOIN (SELECT unnest(range(1024)) AS token) t
+      LEFT JOIN u ON u.model = d.model AND u.run = d.run AND u.code = d.code AND u.token = t.token GROUP BY ALL),
+    q AS (SELECT *, (n + 1e-10) / (sum(n) OVER (PARTITION BY model, run, code) + 1024e-10) + 1e-10 AS p, min(run) OVER (PARTITION BY model) AS first FROM g),
+    k AS (SELECT b.model, b.run, b.code, sum(b.p * ln(b.p / a.p)) / (1 + 1024e-10) AS kl, count(*) FILTER (b.n > 0) * 100.0 / 1024 AS used
+      FROM q b JOIN q a ON a.model = b.model AND a.code = b.code AND a.token = b.token AND a.run = b.first GROUP BY ALL),
+    r AS (SELECT l.model, l.run, any_value(loss) AS loss, avg(kl) AS kl, max(used) FILTER (code = 's2') AS s2_util, l.run > min(l.run) OVER (PARTITION BY l.model) AS later
+      FROM (SELECT model, run, round(avg(abs(s1 - 512)), 9) AS loss FROM l GROUP BY ALL) l JOIN k USING (model, run) GROUP BY l.model, l.run),
+    o AS (SELECT *, min(loss) FILTER (later) OVER (w ROWS UNBOUNDED PRECEDING) AS best, min(loss) FILTER (later) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM r WINDOW w AS (PARTITION BY model ORDER BY run)),
+    i AS (SELECT *, sum((prior IS NULL OR loss < prior)::INT) OVER (PARTITION BY model ORDER BY run ROWS UNBOUNDED PRECEDING) AS island FROM o),
+    h AS (SELECT *, row_number() OVER (PARTITION BY model, island ORDER BY run) - 1 AS stale FROM i)
+    SELECT model, run, ~(loss)~ AS loss, ~(kl)~ AS kl, ~(s2_util)~ AS s2_util, ~(best)~ AS best, stale::INT AS stale, concat_ws(', ', CASE WHEN later AND loss > best * 1.05 THEN 'loss above best' END,
+      CASE WHEN later AND s2_util < 6 THEN 'low utilisation' END, CASE WHEN later AND kl > 0.5 THEN 'drift' END, CASE WHEN later AND stale >= 2 THEN 'no improvement' END) AS reasons FROM h"""
+)
+def codec_health(spark, sf_dir):
+    """Health of code usage, a run for each hundred vectors: divergence from the first run, utilisation, losses and patience."""
+    rows = adapter.codes(spark, sf_dir).select(
+        F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("model"), F.floor(F.col("vec_id") / 100).alias("run"), "s1", "s2"
+    )
+    losses = rows.groupBy("model", "run").agg(F.round(F.avg(F.abs(F.col("s1") - 512)), 9).alias("loss"))
+    counts = rows.unpivot(["model", "run"], ["s1", "s2"], "code", "token").groupBy("model", "run", "code", "token").agg(F.count("*").alias("n"))
+    found = monitor.codec_health(losses, counts, min_util=6.0, patience=2)
+    return found.select("model", "run", "loss", "kl", "s2_util", "best", "stale", F.array_join("reasons", ", ").alias("reasons"))
+
+
 @_query(f"{_RUNS} SELECT model, ~(sum(loss * s2_util) / sum(s2_util))~ AS loss FROM runs GROUP BY model")
 def weighted_losses(spark, sf_dir):
     return quality.weighted_loss(_runs(spark, sf_dir).withColumnRenamed("s2_util", "n"), "model")
@@ -1096,6 +1135,24 @@ def frozen_record(spark, sf_dir):
     return monitor.freeze(base, candidate, sources.hash_artifacts(spark, f"{sf_dir}/part.parquet"))
 
 
+@_query(
+    f"""WITH {BARS}, a AS (SELECT symbol, max(ts) AS stamp, arg_max("close", ts) AS pred FROM bars WHERE ts < DATE '2001-11-04' GROUP BY symbol), b AS (SELECT symbol, max(ts) AS stamp, arg_max("close", ts) AS pred FROM bars GROUP BY symbol)
+    SELECT symbol, 126 AS lookback, ~(CASE WHEN ok THEN a ELSE b END)~ AS pred, ok AS stored FROM (SELECT symbol, coalesce(a.stamp = b.stamp AND split_part(symbol, '#', 2)::INT % 3 <> 0, false) AS ok, a.pred AS a, b.pred AS b FROM b LEFT JOIN a USING (symbol))"""
+)
+def answered_requests(spark, sf_dir):
+    """Last-value predictions from a stored set, made again only for symbols with new bars or another lookback."""
+    rows = adapter.bars(spark, sf_dir)
+
+    def last(b):
+        return b.groupBy("symbol").agg(F.max("ts").alias("stamp"), F.max_by("close", "ts").alias("pred"))
+
+    old, now = last(rows.where("ts < '2001-11-04'")), last(rows).select("symbol", "stamp")
+    lookback = F.when(F.split("symbol", "#")[1].cast("int") % 3 == 0, 60).otherwise(126)
+    stored = old.select("symbol", lookback.alias("lookback"), "pred")
+    asked = spark.range(1).select(F.lit(126).alias("lookback"))
+    return monitor.answered(stored, asked, ["lookback"], old, now, lambda rest: last(rows.join(rest, "symbol", "left_semi")).drop("stamp"))
+
+
 @_query(
     f"""WITH {BARS}, a AS (SELECT symbol, max(ts) AS stamp FROM bars WHERE ts < DATE '2001-11-01' GROUP BY symbol), b AS (SELECT symbol, max(ts) AS stamp FROM bars GROUP BY symbol)
     SELECT symbol, CASE WHEN a.stamp IS NULL THEN 'new' WHEN b.stamp IS NULL THEN 'gone' ELSE 'changed' END AS change FROM a FULL JOIN b USING (symbol) WHERE a.stamp IS DISTINCT FROM b.stamp"""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickflow.operators.quality import compare_metrics
+from wickflow.operators.tokens import CODES, drift_from_first
 
 
 def progress(runs: DataFrame, metric: str = "loss", mode: str = "min", order: str = "run") -> DataFrame:
@@ -21,18 +24,36 @@ def progress(runs: DataFrame, metric: str = "loss", mode: str = "min", order: st
     return rows.withColumn("stale", streak).drop("island")
 
 
-def health(runs: DataFrame, worse: float = 1.05, min_util: float = 25.0, max_kl: float = 0.5, patience: int = 3) -> DataFrame:
-    """runs: model, run, loss, s2_util, kl. reasons: what speaks against each run; the best counts the run itself."""
-    rows = progress(runs)
+def health(
+    runs: DataFrame, worse: float = 1.05, min_util: float = 25.0, max_kl: float = 0.5, patience: int = 3, first_counts: bool = True
+) -> DataFrame:
+    """runs: model, run, loss, s2_util, kl. reasons: what speaks against each run; the best counts the run itself.
+
+    Without first_counts a model's first run is only what later ones are held against: it has no best, and no reasons.
+    """
+    later = F.lit(True) if first_counts else F.col("run") > F.min("run").over(Window.partitionBy("model"))
+    rows = progress(runs.withColumn("later", later).withColumn("counted", F.when(F.col("later"), F.col("loss"))), "counted")
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("loss") > F.col("best") * worse, "loss above best"),
-            F.when(F.col("s2_util") < min_util, "low utilisation"),
-            F.when(F.col("kl") > max_kl, "drift"),
-            F.when(F.col("stale") >= patience, "no improvement"),
+            F.when(F.col("later") & (F.col("loss") > F.col("best") * worse), "loss above best"),
+            F.when(F.col("later") & (F.col("s2_util") < min_util), "low utilisation"),
+            F.when(F.col("later") & (F.col("kl") > max_kl), "drift"),
+            F.when(F.col("later") & (F.col("stale") >= patience), "no improvement"),
         )
     )
-    return rows.withColumn("reasons", reasons).withColumn("healthy", F.size("reasons") == 0)
+    return rows.withColumn("reasons", reasons).withColumn("healthy", F.size("reasons") == 0).drop("later", "counted")
+
+
+def codec_health(losses: DataFrame, counts: DataFrame, codes: int = CODES, **limits) -> DataFrame:
+    """Health of a codec's runs by their code counts. losses: model, run, loss; counts: model, run, code (s1 or s2), token, n.
+
+    kl is the mean over s1 and s2 of the divergence of a run's codes from those of the model's first run, which only sets the measure.
+    A run without counts has no kl and no utilisation, and is judged by its loss alone. limits: as for health.
+    """
+    by_code = drift_from_first(counts, codes).groupBy("model", "run").agg(
+        F.avg("kl").alias("kl"), F.max(F.when(F.col("code") == "s2", F.col("used_pct"))).alias("s2_util")
+    )
+    return health(losses.join(by_code, ["model", "run"], "left"), first_counts=False, **limits)
 
 
 def best_run(runs: DataFrame, metric: str = "loss", mode: str = "min", patience: int | None = None) -> DataFrame:
@@ -65,6 +86,26 @@ def is_fresh(meta: DataFrame, asked: DataFrame, parameters: list[str], seen: Dat
     return matches.join(F.broadcast(changes)).withColumn("fresh", F.col("parameters_match") & (F.col("changed") == 0))
 
 
+def answered(
+    stored: DataFrame, asked: DataFrame, parameters: list[str], seen: DataFrame, now: DataFrame, make: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Predictions of every symbol that has a source now: the stored ones where they hold, new ones for the rest; `stored` says which.
+
+    A stored prediction holds if it was made with the asked parameters (NULL equals NULL; asked has one row) and its source has the
+    stamp that was seen then. make gets the symbols of the rest, as (symbol), and returns their predictions with the same columns
+    but for the parameters; it is the only part that reads bars. A symbol that make leaves out has no row.
+    """
+    wanted = asked.select(*(F.col(name).alias(f"{name}_asked") for name in parameters))
+    same = F.lit(True)
+    for name in parameters:
+        same &= F.col(name).eqNullSafe(F.col(f"{name}_asked"))
+    unchanged = seen.select("symbol", "stamp").join(now.select("symbol", "stamp"), ["symbol", "stamp"], "left_semi").select("symbol")
+    good = stored.join(F.broadcast(wanted), same, "left_semi").join(unchanged, "symbol", "left_semi")
+    rest = now.select("symbol").distinct().join(good.select("symbol"), "symbol", "left_anti")
+    made = make(rest).join(F.broadcast(asked.select(*parameters)))
+    return good.withColumn("stored", F.lit(True)).unionByName(made.select(*stored.columns).withColumn("stored", F.lit(False)))
+
+
 def freeze(base: DataFrame, candidate: DataFrame, artifacts: DataFrame) -> DataFrame:
     """One row: compared metrics and artifact hashes, to be written as a manifest."""
     rows = compare_metrics(base, candidate)

@@ -104,6 +104,37 @@ def kl_drift(p: DataFrame, q: DataFrame, epsilon: float = 1e-10) -> DataFrame:
     return both.join(F.broadcast(sums)).agg(F.sum(pa * F.log(pa / pb)).alias("kl"))
 
 
+def drift_from_first(counts: DataFrame, codes: int = CODES, epsilon: float = 1e-10) -> DataFrame:
+    """(model, run, code, kl, used_pct): how far each run's codes are from those of the model's first run. counts: model, run, code, token, n.
+
+    Both are made shares over the whole book with epsilon on each count, and epsilon is added to the shares again before the divergence.
+    Tokens that neither run has are counted, not joined, so only occurring tokens move. Rows of n = 0 or without a token are as if absent;
+    a run without any token in a code has no row for it, and a code that the first run lacks is held against equal shares.
+    """
+    key = ["model", "code"]
+    rows = counts.where("n > 0 and token is not null").groupBy(*key, "run", "token").agg(F.sum("n").alias("n"))
+    start = counts.groupBy("model").agg(F.min("run").alias("run"))
+    total = F.sum("n").over(Window.partitionBy(*key, "run"))
+    rows = rows.withColumn("a", (F.col("n") + epsilon) / (total + codes * epsilon) + epsilon).withColumn("none", epsilon / (total + codes * epsilon) + epsilon)
+    first = rows.join(start, ["model", "run"], "left_semi").select(*key, "token", F.log("a").alias("lb"), F.log("none").alias("lb_none"))
+    whole = first.groupBy(*key).agg(F.count("*").alias("f"), F.sum("lb").alias("lb_all"), F.first("lb_none").alias("lb_other"))
+    held = rows.join(first.select(*key, "token", "lb"), [*key, "token"], "left").join(whole, key, "left")
+    equal = F.log(F.lit(1.0 / codes + epsilon))
+    held = held.withColumns({"f": F.coalesce("f", F.lit(0)), "lb_all": F.coalesce("lb_all", F.lit(0.0)), "lb_other": F.coalesce("lb_other", equal)})
+    figures = held.groupBy("model", "run", "code").agg(
+        F.sum(F.col("a") * (F.log("a") - F.coalesce("lb", "lb_other"))).alias("there"),
+        F.count("*").alias("r"),
+        F.count("lb").alias("both"),
+        F.coalesce(F.sum("lb"), F.lit(0.0)).alias("lb_both"),
+        *(F.first(c).alias(c) for c in ("none", "f", "lb_all", "lb_other")),
+    )
+    z, lz = F.col("none"), F.log("none")
+    only_first = z * ((F.col("f") - F.col("both")) * lz - (F.col("lb_all") - F.col("lb_both")))
+    neither = (codes - F.col("r") - F.col("f") + F.col("both")) * z * (lz - F.col("lb_other"))
+    kl = (F.col("there") + only_first + neither) / (1 + codes * epsilon)
+    return figures.select("model", "run", "code", kl.alias("kl"), (F.col("r") * 100.0 / codes).alias("used_pct"))
+
+
 def softmax(logits: DataFrame, key: str, logit: str = "logit", temperature: float = 1.0) -> DataFrame:
     whole = Window.partitionBy(key)
     x = F.col(logit).cast("double") / temperature
