@@ -130,10 +130,47 @@ def test_template_language():
     assert chat_template.Template("{% for message in messages %}a{{ 'b' }}{% if 1 == 1 %}c{% endif %}{% endfor %}").tree[0][1] == [("text", "abc")]
 
 
+LOOP = "{%- for message in messages -%}\n  "
+
+
+@pytest.mark.parametrize(
+    ("source", "options", "want"),
+    [
+        ("a \n {%- for message in messages -%} \n b {{- message.content -}} c {%- endfor %} d", {}, "ab x cb\ty c d"),
+        ("a\n{% for message in messages %}\n  <{{ message.role }}>\n{% endfor %}\nend\n", {}, "a\n\n  <u>\n\n  <v>\n\nend\n"),
+        ("a\n{% for message in messages %}\n  <{{ message.role }}>\n{% endfor %}\nend\n", {"trim_blocks": True}, "a\n  <u>\n  <v>\nend\n"),
+        ("  {% for message in messages %}\n  {% if true %}\n  {{ 1 }}\n  {% endif %}\n  {% endfor %}\n", {"trim_blocks": True, "lstrip_blocks": True}, "  1\n  1\n"),
+        ("  {% for message in messages %}q  {% if true %}\n  {{ 1 }}  {% endif %}{% endfor %}", {"lstrip_blocks": True}, "q  \n  1  q  \n  1  "),
+        (" {%+ for message in messages %}{% endfor +%}\nz", {"trim_blocks": True, "lstrip_blocks": True}, " \nz"),
+        ("{# note {{ open }} #}\n{% for message in messages %}{#- x -#} {{ loop.index }}{% endfor %}", {"trim_blocks": True}, "12"),
+        (LOOP + "{{ message['role'] ~ message[\"content\"] }}{% endfor %}", {}, "u x v\ty "),
+        (LOOP + "{{ messages[0]['role'] + messages[0].content|trim }};{% endfor %}", {}, "ux;ux;"),
+        (LOOP + "{% if loop.index0 % 2 == 0 %}E{% else %}O{% endif %}{{ loop.index - 1 + 3 % 2 }}{% endfor %}", {}, "E1O2"),
+        ("{% for message in messages %}{{ ' a ' -}} {{- ' b ' }}{% endfor %}", {}, " a  b  a  b "),
+    ],
+)
+def test_white_space_comments_and_subscripts(source, options, want):
+    template = chat_template.Template(source, **options)
+    assert template.render([("u", " x "), ("v", "\ty ")])[0] == want
+
+
+def test_options_reach_the_tasks(spark):
+    rows = turns(spark, [(1, 0, "user", " a"), (1, 1, "bot", "b"), (2, 0, "bot", "c")])
+    source = "{% for message in messages %}\n  {% if message.role == 'bot' %}\n{{ messages[0].content }}>{{ message.content }}\n  {% endif %}\n{% endfor %}\n"
+    found = chat_template.format_turns(rows, source, trim_blocks=True, lstrip_blocks=True).orderBy("conv_id", "at").collect()
+    assert [r["text"] for r in found] == ["", " a>b\n", "c>c\n"]
+
+
 @pytest.mark.parametrize(
     "bad",
     [
         "{{ messages.__class__ }}",
+        "{% for message in messages %}{{ messages[1].content }}{% endfor %}",
+        "{% for message in messages %}{{ messages[0] }}{% endfor %}",
+        "{% for message in messages %}{{ messages[0].__class__ }}{% endfor %}",
+        "{% for message in messages %}{{ message['__class__'] }}{% endfor %}",
+        "{% for message in messages %}{{ 1 % 0 }}{% endfor %}",
+        "{% for message in messages %}{{ 'a' - 1 }}{% endfor %}",
         "{% for message in messages %}{{ message.content() }}{% endfor %}",
         "{% for message in messages %}{{ open }}{% endfor %}",
         "{% import os %}",

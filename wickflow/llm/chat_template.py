@@ -1,11 +1,16 @@
 """Chat formatting: a small template language, compiled to Python closures that render one turn at a time.
 
 The language has text, {{ expression }}, {% if %} / {% elif %} / {% else %} / {% endif %}, {% set name = expression %},
-{% for message in messages %} ... {% endfor %} at the top level and {% generation %} ... {% endgeneration %} around what
-a model learns to say. Expressions know strings, integers, names, message.role and message.content, loop.index,
-loop.index0, loop.first, loop.last, ==, !=, and, or, not, in, +, ~, and the filters trim, upper, lower, escape. There
-is no access to attributes, calls or imports, and nothing runs but the closures made here, so a template
-can't leave its sandbox. Constant parts are folded before closures are made.
+{% for message in messages %} ... {% endfor %} at the top level, {% generation %} ... {% endgeneration %} around what
+a model learns to say, and {# comments #}. Expressions know strings, integers, names, message.role and message.content
+(or message['role']), the same of messages[0], loop.index, loop.index0, loop.first, loop.last, ==, !=, and, or, not, in,
++, -, %, ~, and the filters trim, upper, lower, escape. There is no access to attributes, calls or imports, and nothing
+runs but the closures made here, so a template can't leave its sandbox. Constant parts are folded before closures are made.
+
+A minus inside a tag's bracket, as in {%- or -}}, takes the white space of the text on that side. With trim_blocks a
+line end right after a {% %} or {# #} tag goes, with lstrip_blocks the blanks from the line's start to such a tag. White
+space is taken from the template's own text only, never from what an expression shows. Of other messages than the present
+and the first nothing is known, as a conversation is rendered turn by turn.
 
 Output is a stream of segments, so that a conversation of any length is rendered in bounded memory.
 """
@@ -53,10 +58,11 @@ def unescape(text: str) -> str:
 
 # Expressions and statements. A node is ("const", value) or (kind, ...); compile_node makes its closure.
 
-_TOKEN = re.compile(r"\s*(?:(\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)?)|(==|!=|[()+~|]))")
+_TOKEN = re.compile(r"\s*(?:(\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_]\w*(?:\[\d+\])?(?:\.[A-Za-z_]\w*|\[\s*(?:'\w+'|\"\w+\")\s*\])?)|(==|!=|[()+~|%-]))")
+_SUBSCRIPT = re.compile(r"\[\s*['\"](\w+)['\"]\s*\]$")
 _ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
 _FILTERS = {"trim": str.strip, "upper": str.upper, "lower": str.lower}
-_NAMES = {"message.role", "message.content", "loop.index", "loop.index0", "loop.first", "loop.last", "add_generation_prompt"}
+_NAMES = {"message.role", "message.content", "messages[0].role", "messages[0].content", "loop.index", "loop.index0", "loop.first", "loop.last", "add_generation_prompt"}
 
 
 class _Expression:
@@ -73,7 +79,7 @@ class _Expression:
             elif string is not None:
                 self.items.append(("const", re.sub(r"\\(.)", lambda e: _ESCAPES.get(e[1], e[0]), string[1:-1])))
             else:
-                self.items.append(("sign", sign) if sign else ("name", name))
+                self.items.append(("sign", sign) if sign else ("name", _SUBSCRIPT.sub(r".\1", name)))
             at = m.end()
         self.at, self.names = 0, names
 
@@ -114,11 +120,17 @@ class _Expression:
         return node
 
     def joined(self):
-        node = self.filtered()
-        while self.peek("+", "~"):
+        node = self.remainder()
+        while self.peek("+", "-", "~"):
             sign = self.items[self.at][1]
             self.at += 1
-            node = (sign, node, self.filtered())
+            node = (sign, node, self.remainder())
+        return node
+
+    def remainder(self):
+        node = self.filtered()
+        while self.take("%"):
+            node = ("%", node, self.filtered())
         return node
 
     def filtered(self):
@@ -149,9 +161,34 @@ class _Expression:
         raise TemplateError(f"unknown name {value!r}")
 
 
-def parse(source: str) -> list:
+_TAG = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
+
+
+def tags_and_text(source: str, trim_blocks: bool = False, lstrip_blocks: bool = False) -> list[str]:
+    """Texts and tags in turn, beginning with a text, with white space taken as the tags ask; comments are empty tags."""
+    parts, new_line = _TAG.split(source), True
+    for i in range(1, len(parts), 2):
+        tag, block = parts[i], parts[i][1] in "%#"
+        left, inner, right = re.fullmatch(r"([-+]?)(.*?)([-+]?)", tag[2:-2], re.S).groups()
+        if left == "-":
+            parts[i - 1] = parts[i - 1].rstrip()
+        elif block and lstrip_blocks and not left:
+            before, end, line = parts[i - 1].rpartition("\n")
+            if (end or new_line) and not line.strip():
+                parts[i - 1] = before + end
+        after = parts[i + 1]
+        if right == "-":
+            parts[i + 1] = after.lstrip()
+        elif block and trim_blocks and not right:
+            parts[i + 1] = after.removeprefix("\n")
+        new_line = after[: len(after) - len(parts[i + 1])].endswith("\n")
+        parts[i] = "" if tag[1] == "#" else tag[:2] + inner + tag[-2:]
+    return parts
+
+
+def parse(source: str, trim_blocks: bool = False, lstrip_blocks: bool = False) -> list:
     """The syntax tree: a list of ("text", s), ("out", e), ("if", [(e, body)], body), ("set", name, e), ("for", body), ("gen", body)."""
-    parts = re.split(r"(\{\{.*?\}\}|\{%.*?%\})", source, flags=re.S)
+    parts = tags_and_text(source, trim_blocks, lstrip_blocks)
     names, at = set(_NAMES), 0
 
     def body(ends: tuple[str, ...], top: bool):
@@ -160,7 +197,10 @@ def parse(source: str) -> list:
         while at < len(parts):
             part = parts[at]
             at += 1
-            if part.startswith("{{"):
+            if at % 2 == 1:
+                if part:
+                    found.append(("text", part))
+            elif part.startswith("{{"):
                 found.append(("out", _Expression(part[2:-2], names).parse()))
             elif part.startswith("{%"):
                 words = part[2:-2].strip()
@@ -190,8 +230,6 @@ def parse(source: str) -> list:
                     found.append(("gen", body(("endgeneration",), False)[0]))
                 else:
                     raise TemplateError(f"did not expect {{% {words} %}}")
-            elif part:
-                found.append(("text", part))
         if ends:
             raise TemplateError(f"{ends[-1]} is missing")
         return found, ""
@@ -208,6 +246,10 @@ def _apply(kind: str, a, b=None):
         return str(a) in str(b)
     if kind == "+":
         return a + b if isinstance(a, int) and isinstance(b, int) else str(a) + str(b)
+    if kind in ("-", "%"):
+        if not isinstance(a, int) or not isinstance(b, int) or kind == "%" and b == 0:
+            raise TemplateError(f"can't work out {a!r} {kind} {b!r}")
+        return a - b if kind == "-" else a % b
     return str(a) + str(b)
 
 
@@ -331,13 +373,15 @@ class Template:
 
     source: str = DEFAULT
     controls: tuple[str, ...] = CONTROLS
+    trim_blocks: bool = False
+    lstrip_blocks: bool = False
     tree: list = field(init=False)
 
     def __post_init__(self):
         def escaper(text):
             return escape(text, self.controls)
 
-        self.tree = fold_body(parse(self.source), escaper)
+        self.tree = fold_body(parse(self.source, self.trim_blocks, self.lstrip_blocks), escaper)
         loops = [i for i, n in enumerate(self.tree) if n[0] == "for"]
         if len(loops) != 1:
             raise TemplateError("a template has one loop over the messages")
@@ -364,6 +408,7 @@ class Template:
         env |= {"message.role": role, "message.content": content, "loop.index": index + 1, "loop.index0": index}
         env |= {"loop.first": index == 0, "loop.last": last}
         if index == 0:
+            env |= {"messages[0].role": role, "messages[0].content": content}
             self.before(env, emit)
         self.each(env, emit)
         if last:
@@ -390,6 +435,8 @@ def format_turns(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    trim_blocks: bool = False,
+    lstrip_blocks: bool = False,
 ) -> DataFrame:
     """(conv_id, at, last, text, spans): the formatted text of each turn, in order within each partition.
 
@@ -412,7 +459,7 @@ def format_turns(
     )
 
     def run(batches):
-        compiled = Template(template)
+        compiled = Template(template, trim_blocks=trim_blocks, lstrip_blocks=lstrip_blocks)
         kinds = pa.schema(
             [
                 ("conv_id", pa.int64()),
