@@ -1,4 +1,4 @@
-"""Density curves, codec health from code counts, and requests answered from a stored set, each against a plain version."""
+"""Density curves, codec health from code counts, figures by date, and requests answered from a stored set, each against a plain version."""
 
 import math
 import random
@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wickflow.operators import monitor, profile, tokens
+from wickflow.operators import monitor, profile, quality, tokens
 
 
 def plain_curve(x, points=200, cut=3.0):
@@ -148,3 +148,26 @@ def test_answered(spark):
     }
     assert sorted(made) == ["B", "C", "D", "NEW", "SHORT"]
     assert {(r["lookback"], r["heat"]) for r in got.collect()} == {(126, None)}
+
+
+def test_per_date_of_ties_and_small_dates(spark):
+    rng = random.Random(11)
+    rows = [(d, f"S{k}", rng.choice((-0.1, 0.0, 0.1, 0.2)), rng.choice((-0.2, 0.0, 0.1))) for d, n in ((1, 1), (2, 2), (3, 9), (4, 12)) for k in range(n)]
+    rows += [(5, f"S{k}", 0.1, float(k)) for k in range(4)]
+    df = spark.createDataFrame(rows, "t_date int, symbol string, pred_return double, actual_return double")
+    got = {r["t_date"]: r for r in quality.per_date(df, 3, 2).collect()}
+    assert set(got) == {2, 3, 4, 5}
+    ic = {r["t_date"]: r["rank_ic"] for r in quality.rank_ic(df).collect()}
+    won = {r["t_date"]: r["hit_rate"] for r in quality.hit_rate(df, 3).collect()}
+    for d, r in got.items():
+        mine = sorted((x for x in rows if x[0] == d), key=lambda x: (-x[2], x[1]))
+        assert r["long_symbols"] == [x[1] for x in mine[:3]]
+        assert r["da"] == pytest.approx(100 * sum((x[2] > 0) == (x[3] > 0) for x in mine) / len(mine))
+        assert r["hit_rate"] == pytest.approx(won[d]) == pytest.approx(100 * sum(x[3] > 0 for x in mine[:3]) / len(mine[:3]))
+        assert r["rank_ic"] == (pytest.approx(ic[d]) if d in ic else None)
+    assert got[2]["rank_ic"] is None and got[5]["rank_ic"] == 0.0
+
+
+def test_per_date_moves_rows_by_date_once(spark):
+    df = spark.createDataFrame([], "t_date int, symbol string, pred_return double, actual_return double")
+    assert quality.per_date(df, 3, 2)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -105,12 +105,16 @@ def hit_rate(rows: DataFrame, top_k: int) -> DataFrame:
 
 
 def per_date(rows: DataFrame, top_k: int, least: int) -> DataFrame:
-    """(t_date, da, rank_ic, hit_rate, long_symbols) of the dates with enough symbols."""
-    rows = wide_dates(rows, least)
-    sides = with_sides(rows, top_k)
+    """(t_date, da, rank_ic, hit_rate, long_symbols) of the dates with enough symbols; ranks, sides and figures share one exchange by date."""
+    rows = with_sides(with_ranks(with_ranks(wide_dates(rows, least), "pred_return", "rp"), "actual_return", "ra"), top_k)
     longs = F.array_sort(F.collect_list(F.when(F.col("is_long"), F.struct("up", "symbol"))))
-    table = sides.groupBy("t_date").agg((F.avg(hit()) * 100).alias("da"), F.transform(longs, lambda x: x["symbol"]).alias("long_symbols"))
-    return table.join(rank_ic(rows), "t_date", "left").join(hit_rate(rows, top_k), "t_date")
+    won = F.when(F.col("is_long"), F.when(F.col("actual_return") > 0, 1.0).otherwise(0.0))
+    return rows.groupBy("t_date").agg(
+        (F.avg(hit()) * 100).alias("da"),
+        F.when(F.count("*") >= 3, F.coalesce(pearson("rp", "ra"), F.lit(0.0))).alias("rank_ic"),
+        (F.avg(won) * 100).alias("hit_rate"),
+        F.transform(longs, lambda x: x["symbol"]).alias("long_symbols"),
+    )
 
 
 def vote_accuracy(paths: DataFrame, actual: DataFrame) -> DataFrame:
