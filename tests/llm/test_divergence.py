@@ -102,3 +102,41 @@ def test_scatter_in_small_blocks(monkeypatch, postings, cells):
         for r in batch.to_pylist():
             got[r["lang"], r["peer"], r["other"]] += r["value"]
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_tasks_hand_on_a_term_once(spark):
+    """A row for a language's term, whatever the number of its sources; the postings have the counts."""
+    rows = rows_of(2)
+    found = divergence.term_counts(frame(spark, rows).coalesce(1)).collect()
+    assert len(found) == len({(r["lang"], r["term"]) for r in found})
+    want, once = Counter(), Counter()
+    for lang, source, text in rows:
+        terms = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in TERM.findall(text or "")]
+        want.update((lang or "", source or "", t) for t in terms)
+        once.update((lang or "", t) for t in set(terms))
+    assert {(r["lang"], r["term"]): r["docs"] for r in found} == once
+    assert {(r["lang"], x["source"], r["term"]): x["n"] for r in found for x in r["postings"]} == want
+    assert all(r["total"] == sum(x["n"] for x in r["postings"]) for r in found)
+
+
+def test_folding_at_any_time_gives_the_same_counts():
+    texts = [("a", [b"x", b"y", b"x"]), ("b", []), ("b", [b"y", b"z"])] * 15
+    whole, often = divergence._Counted(), divergence._Counted()
+    for source, terms in texts:
+        whole.add(source, terms)
+        often.add(source, terms)
+        often.fold()
+    want = [r for b in whole.rows("en") for r in b.to_pylist()]
+    assert want == [r for b in often.rows("en") for r in b.to_pylist()]
+    assert {r["term"]: (r["docs"], r["total"]) for r in want} == {"x": (15, 30), "y": (30, 30), "z": (15, 15)}
+    assert list(divergence._Counted().rows("en")) == []
+
+
+def test_merging_rows_that_share_a_hash():
+    kind = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("total", pa.int64()), ("postings", pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))])
+    cells = [("a", "x", 1, {"s": 2}), ("b", "x", 2, {"s": 1}), ("a", "y", 1, {"s": 4}), ("a", "x", 2, {"t": 5, "s": 1})]
+    rows = [{"key": 7, "lang": lang, "term": t, "docs": d, "total": sum(p.values()), "postings": [{"source": s, "n": n} for s, n in p.items()]} for lang, t, d, p in cells]
+    for least, want in ((0, {("a", "x"): {"s": 3, "t": 5}, ("b", "x"): {"s": 1}, ("a", "y"): {"s": 4}}), (3, {("a", "x"): {"s": 3, "t": 5}}), (4, {})):
+        got = divergence._merged(pa.Table.from_pylist(rows, kind), least).to_pylist()
+        assert {(r["lang"], r["term"]): {x["source"]: x["n"] for x in r["postings"]} for r in got} == want and len(got) == len(want)
+        assert all(r["total"] == sum(x["n"] for x in r["postings"]) for r in got)

@@ -16,8 +16,6 @@ counts against the zero shares of all peers:
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +26,9 @@ from wickflow.llm.common import checkpoint, named
 SCALE = 1_000_000_000
 LEAST_DOCS = 3
 TERM_RANKS = 200
-#: Distinct terms that a task counts before it hands them on.
-HELD_TERMS = 300_000
+#: Distinct terms, and counts of terms in sources, that a task holds before it hands them on; both are looked at after so many tokens.
+HELD_TERMS, HELD_COUNTS = 300_000, 4_000_000
+PENDING_TOKENS = 1 << 20
 #: Postings that a task takes at a time, and cells of accumulators that it keeps from one time to the next.
 BLOCK_POSTINGS, KEPT_CELLS = 1 << 20, 1 << 22
 #: Bytes that are no letters (ASCII other than A-Z, a-z) part terms; A-Z become lower case.
@@ -47,48 +46,155 @@ def _share(count: Column, total: Column, kept: Column) -> Column:
     return F.expr("1L") + F.call_function("div", up, (total + kept).cast("decimal(20,0)"))
 
 
+def _firsts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(sorted_keys)])
+
+
+class _Numbers(dict):
+    """Numbers from 0 for what is asked, in the order in which it first comes."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
+class _Counted:
+    """What a task has counted in a language: documents with a term, and occurrences by term and source, both as numbers."""
+
+    def __init__(self):
+        self.terms, self.sources = _Numbers(), _Numbers()
+        self.docs = np.zeros(0, np.int64)
+        self.texts: list[tuple[int, np.ndarray]] = []
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, source: str, terms: list[bytes]) -> None:
+        self.texts.append((self.sources[source], np.fromiter(map(self.terms.__getitem__, terms), np.int64, len(terms))))
+
+    def fold(self) -> None:
+        """Count the texts that wait."""
+        if not self.texts:
+            return
+        codes, lengths = np.concatenate([c for _, c in self.texts]), [len(c) for _, c in self.texts]
+        once = np.sort(np.repeat(np.arange(len(lengths)), lengths) * len(self.terms) + codes)
+        once = once[_firsts(once)]
+        docs = np.bincount(once % max(1, len(self.terms)), minlength=len(self.terms))
+        docs[: len(self.docs)] += self.docs
+        self.docs = docs
+        self.sums.append(np.unique(codes << 32 | np.repeat([s for s, _ in self.texts], lengths), return_counts=True))
+        self.texts.clear()
+        if len(self.sums) > 8:
+            self.sums = [self.summed()]
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys (term and source) with their counts."""
+        keys, times = (np.concatenate([x[k] for x in self.sums]) for k in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = _firsts(keys)
+        return keys[at], np.add.reduceat(times[order], at) if len(at) else times
+
+    def rows(self, lang: str):
+        self.fold()
+        if not self.terms:
+            return
+        keys, times = self.summed()
+        starts = np.searchsorted(keys >> 32, np.arange(len(self.terms) + 1))
+        sources = pa.array(list(self.sources), pa.string()).take(pa.array(keys & 0xFFFFFFFF))
+        postings = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([sources, pa.array(times)], ["source", "n"]))
+        terms = pa.array(list(self.terms), pa.binary()).cast(pa.string())
+        columns = [pa.repeat(lang, len(terms)), terms, pa.array(self.docs), pa.array(np.add.reduceat(times, starts[:-1])), postings]
+        whole = pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "total", "postings"])
+        for at in range(0, len(terms), 50_000):
+            yield whole.slice(at, 50_000)
+
+
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(lang, source, term, n, docs) of what each task reads: occurrences and documents, several rows for a term."""
+    """(lang, term, docs, total, postings) of what each task reads: documents, occurrences and those by source (source, n).
+
+    A term has a row for each task at most, more where tasks hold more than HELD_TERMS terms.
+    """
 
     def count(batches):
-        seen: dict[tuple[str, str], tuple[dict, dict]] = {}
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        held = 0
+        seen: dict[str, _Counted] = {}
+        pending = 0
 
         def hand_on():
-            for (lang, source), (times, once) in seen.items():
-                terms = list(times)
-                for at in range(0, len(terms), 50_000):
-                    part = terms[at : at + 50_000]
-                    columns = [[lang] * len(part), [source] * len(part), [t.decode() for t in part], [times[t] for t in part], [once[t] for t in part]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "source", "term", "n", "docs"])
+            for lang, counted in seen.items():
+                yield from counted.rows(lang)
             seen.clear()
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-                times, once = seen.setdefault((lang, source), ({}, {}))
-                before = len(times)
-                for term, n in Counter((text.as_py() or b"").translate(LETTERS).split()).items():
-                    times[term] = times.get(term, 0) + n
-                    once[term] = once.get(term, 0) + 1
-                held += len(times) - before
-                if held > HELD_TERMS:
-                    yield from hand_on()
-                    held = 0
+                terms = (text.as_py() or b"").translate(LETTERS).split()
+                if lang not in seen:
+                    seen[lang] = _Counted()
+                seen[lang].add(source, terms)
+                pending += len(terms) + 1
+                if pending > PENDING_TOKENS:
+                    pending = 0
+                    for counted in seen.values():
+                        counted.fold()
+                    if sum(len(x.terms) for x in seen.values()) > HELD_TERMS or sum(len(k) for x in seen.values() for k, _ in x.sums) > HELD_COUNTS:
+                        yield from hand_on()
         yield from hand_on()
 
     lang, source, text = named(docs, lang_col, source_col, text_col)
     cells = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))]
-    return docs.select(*cells).mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    return docs.select(*cells).mapInArrow(count, "lang string, term string, docs long, total long, postings array<struct<source: string, n: long>>")
+
+
+def _merged(table: pa.Table, least_docs: int = 0) -> pa.Table:
+    """One row for each language and term with the sums of its rows, if it is in enough documents."""
+    lang, term = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term"))
+    keys = term.indices.to_numpy().astype(np.int64) * max(1, len(lang.dictionary)) + lang.indices.to_numpy()
+    order = np.argsort(keys, kind="stable")
+    at = _firsts(keys[order])
+    docs, total = (np.add.reduceat(table.column(c).to_numpy()[order], at) if len(at) else np.zeros(0, np.int64) for c in ("docs", "total"))
+    enough = docs >= least_docs
+    order = order[np.repeat(enough, np.diff(np.append(at, len(order))))]
+    if not len(order):
+        return table.slice(0, 0)
+    at = _firsts(keys[order])
+    lists = table.column("postings").combine_chunks().take(pa.array(order))
+    flat = lists.flatten()
+    row = np.repeat(np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order)))), lists.value_lengths().to_numpy())
+    source = flat.field("source").dictionary_encode()
+    keys = row << 32 | source.indices.to_numpy()
+    by_source = np.argsort(keys, kind="stable")
+    keys = keys[by_source]
+    first = _firsts(keys)
+    n = np.add.reduceat(flat.field("n").to_numpy()[by_source], first)
+    sources = source.dictionary.take(pa.array(keys[first] & 0xFFFFFFFF))
+    starts = np.searchsorted(keys[first] >> 32, np.arange(len(at) + 1))
+    postings = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([sources, pa.array(n)], ["source", "n"]))
+    one = table.select(["key", "lang", "term"]).take(pa.array(order[at]))
+    columns = [*(one.column(c) for c in ("key", "lang", "term")), pa.array(docs[enough]), pa.array(total[enough]), postings]
+    return pa.table(columns, names=["key", "lang", "term", "docs", "total", "postings"])
 
 
 def term_index(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """Term-major index: lang, term, total and postings (source, n) of terms in enough documents; one exchange by term."""
-    by_source = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    by_term = by_source.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("postings")
-    )
-    return by_term.where(F.col("docs") >= least_docs).drop("docs")
+    """Term-major index: lang, term, total and postings (source, n) of terms in enough documents; one exchange by term.
+
+    A term's rows stand together by the hash that Spark sorts by, so what a task merges at a time is bounded, and only
+    terms that stay have their postings opened.
+    """
+
+    def merge(batches):
+        open_ = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if open_ is None else pa.concat_tables([open_, table.cast(open_.schema)])
+            keys = table.column("key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if cut:
+                yield from _merged(table.slice(0, cut), least_docs).drop_columns(["key", "docs"]).to_batches()
+            open_ = _merged(table.slice(cut))
+        if open_ is not None:
+            yield from _merged(open_, least_docs).drop_columns(["key", "docs"]).to_batches()
+
+    dealt = counts.repartition("lang", "term").select(F.xxhash64("lang", "term").alias("key"), "*").sortWithinPartitions("key")
+    return dealt.mapInArrow(merge, "lang string, term string, total long, postings array<struct<source: string, n: long>>")
 
 
 def groups_of(docs: DataFrame, index: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
