@@ -515,6 +515,19 @@ def test_ppm_scores_do_not_depend_on_what_tasks_receive(spark, texts, max_nodes)
         assert got[i] == pytest.approx(brute_ppm(train, (rows[i] or "").encode(), 3)), i
 
 
+def test_ppm_looks_up_by_order_only_what_training_lacks(spark, texts, monkeypatch):
+    """Grams of training texts take one join; the joins from order to order get those of held-out texts."""
+    rows = {i: t for i, t in texts.items() if t is None or len(t) < 900} | {2001: "nothing like it: Ω", 2004: "the stones of alpha"}
+    asked, whole = [], ppm.looked_up
+    monkeypatch.setattr(ppm, "looked_up", lambda codes, *a: asked.append({r["code"] for r in codes.collect()}) or whole(codes, *a))
+    got = {r["doc_id"]: r["score"] for r in ppm.score_documents(made(spark, rows), order=3, max_nodes=0, frequent=5).collect()}
+    held = {i for i in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    assert asked[0] <= {int(c) for i in held for c in ppm.gram_codes((rows[i] or "").encode(), 3)}
+    train = train_texts(rows)
+    for i in [*sorted(held)[:2], *sorted(set(rows) - held)[:3]]:
+        assert got[i] == pytest.approx(brute_ppm(train, (rows[i] or "").encode(), 3)), i
+
+
 def test_ppm_repeated_rows_and_null_ids(spark):
     rows = [(1, "the cat sat")] * 3 + [(None, "the dog"), (None, None)]
     got = ppm.score_documents(made(spark, rows), order=2).collect()

@@ -8,7 +8,8 @@ symbols that the longer one has seen. Below the empty context all bytes left are
 Counts of every order come from all training texts by distributed aggregation, and none is dropped. Tasks receive the
 contexts of the largest totals, at most max_nodes symbols in all, whole and with their exact counts. A suffix of a
 context is at least as frequent, so with a context come all shorter ones that its escapes need. Bytes whose
-longest context is not among them are looked up by joins with the other contexts, from the longest down,
+longest context is not among them are looked up by joins: those of training texts, which were seen there, by one
+join with the grams of the other contexts; those of held-out texts by a join for each order, from the longest down,
 until a known symbol or one of the contexts that tasks have. The result doesn't depend on max_nodes.
 """
 
@@ -269,11 +270,19 @@ def frequent_contexts(table: DataFrame, max_nodes: int):
     return (F.col("order") < ALWAYS) | above
 
 
+def seen_in(contexts_: DataFrame, order: int) -> DataFrame:
+    """(code, p): log10 probabilities of the grams that were seen in these contexts of one order."""
+    distinct = F.size("symbols").alias("distinct")
+    grams = contexts_.where(F.col("order") == order).select("context", "total", distinct, F.explode("symbols").alias("e"))
+    code = F.shiftleft("context", 8).bitwiseOR(F.col("e.s"))
+    return grams.select(code.alias("code"), F.log10(F.col("e.n") / (F.col("total") + F.col("distinct"))).alias("p"))
+
+
 def looked_up(codes: DataFrame, rare: DataFrame, table: DataFrame, model, order: int) -> DataFrame:
     """(code, p): log10 probabilities of distinct grams, columns code and known (the longest context that the trie has).
 
-    rare: the contexts that the trie lacks, table: all. A step for each order joins the grams that are still open with the
-    rare contexts of that order; what is left then ends in the trie.
+    rare: the contexts that the trie lacks, table: all. Only the rare contexts that these grams have are prepared. A step
+    for each order joins the grams that are still open with those of that order; what is left then ends in the trie.
     """
     mask = F.expr("shiftleft(1L, 8 * (order - 1)) - 1")
     upper = table.select(
@@ -284,9 +293,15 @@ def looked_up(codes: DataFrame, rare: DataFrame, table: DataFrame, model, order:
         F.filter("psymbols", lambda e: F.array_contains(mine, e["s"])), F.lit(0).cast("long"), lambda a, e: a + e["n"]
     )
     fresh = F.size("psymbols") - F.size("symbols")
+    tried = F.explode(
+        F.array(*(F.struct(F.lit(k).alias("order"), F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context")) for k in range(ALWAYS, order + 1)))
+    )
+    tried = codes.select("known", tried.alias("c")).where("known < c.order").select("c.order", "c.context").distinct()
+    # keys that differ most come first, as joins sort by them
     rare = checkpoint(
-        rare.withColumn("parent", F.col("context").bitwiseAND(mask))
-        .join(upper, ["order", "parent"])
+        rare.join(tried, ["context", "order"], "left_semi")
+        .withColumn("parent", F.col("context").bitwiseAND(mask))
+        .join(upper, ["parent", "order"])
         .select("order", "context", "total", "symbols", fresh.cast("double").alias("fresh_here"), (F.col("ptotal") - seen + fresh).cast("double").alias("base_here"))
     )
     none = F.lit(None).cast("double")
@@ -415,10 +430,14 @@ def score_documents(
     value = F.when(F.col("n").isNull(), F.lit(unseen)).otherwise(F.log10((F.col("n") + SMOOTHING) / bottom))
     added = words.groupBy("row").agg(F.sum(value).alias("more"), F.count("n").alias("more_seen"), F.lit(0.0).alias("bits"))
     if not trie.whole:
-        lack = first.select("row", F.explode(F.arrays_zip("codes", "times", "known")).alias("g")).select("row", "g.codes", "g.times", "g.known")
-        wanted = lack.groupBy(F.col("codes").alias("code")).agg(F.first("known").alias("known"))
+        lack = first.select("held_out", "row", F.explode(F.arrays_zip("codes", "times", "known")).alias("g")).select("held_out", "row", "g.codes", "g.times", "g.known")
+        # what training texts hold was seen in its longest context, so its probability takes no escapes
+        trained = lack.where("not held_out").join(seen_in(rare, order), F.col("codes") == F.col("code"))
+        away = lack.where("held_out")
+        wanted = away.groupBy(F.col("codes").alias("code")).agg(F.first("known").alias("known"))
         values = looked_up(wanted, rare, table, model, order)
-        bits = lack.join(values, lack["codes"] == values["code"]).groupBy("row").agg(F.sum(F.col("p") * F.col("times")).alias("bits"))
+        bits = trained.select("row", "p", "times").unionByName(away.join(values, away["codes"] == values["code"]).select("row", "p", "times"))
+        bits = bits.groupBy("row").agg(F.sum(F.col("p") * F.col("times")).alias("bits"))
         none = F.lit(0).cast("long")
         added = added.unionByName(bits.select("row", F.lit(0.0).alias("more"), none.alias("more_seen"), "bits"))
         added = added.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "more_seen", "bits")))
