@@ -528,6 +528,33 @@ def test_ppm_looks_up_by_order_only_what_training_lacks(spark, texts, monkeypatc
         assert got[i] == pytest.approx(brute_ppm(train, (rows[i] or "").encode(), 3)), i
 
 
+@pytest.mark.parametrize("max_nodes", [0, 1_500_000])
+def test_ppm_looks_up_only_what_training_lacks_at_any_bound(spark, texts, monkeypatch, max_nodes):
+    """What goes from order to order doesn't depend on how much of the model tasks have, so it can't jump where that bound bites."""
+    rows = {i: t for i, t in texts.items() if t is None or len(t) < 900} | {2001: "nothing like it: Ω", 2004: "the stones of alpha"}
+    asked, whole = [], ppm.looked_up
+    monkeypatch.setattr(ppm, "looked_up", lambda codes, *a: asked.append({r["code"] for r in codes.collect()}) or whole(codes, *a))
+    ppm.score_documents(made(spark, rows), order=3, max_nodes=max_nodes, frequent=5)
+    codes = lambda texts: {int(c) for t in texts for c in ppm.gram_codes(t, 3)}
+    held = [(t or "").encode() for i, t in rows.items() if zlib.crc32(str(i).encode()) % 10 == 0]
+    assert asked == [codes(held) - codes(train_texts(rows))]
+
+
+def test_ppm_blocks_and_long_texts(spark, monkeypatch):
+    """Pieces, blocks of pieces and texts longer than a block give the scores of the definition."""
+    rng = random.Random(5)
+    rows = {i: sentence(rng, rng.randint(0, 12)) for i in range(60)} | {70: "", 71: None, 72: "Ω" * 90 + sentence(rng, 60), 73: sentence(rng, 80)}
+    monkeypatch.setattr(ppm, "CHUNK", 64)
+    monkeypatch.setattr(ppm, "BLOCK", 256)
+    blocks = ppm.in_blocks(made(spark, rows).selectExpr("doc_id", "doc_id % 10 = 0 held_out", "text")).collect()
+    found = [x for b in blocks for x in zip(b["ids"], b["held_out"], ppm.unpacked(b["lengths"], b["texts"]))]
+    assert sorted(found) == sorted((i, i % 10 == 0, (t or "").encode()) for i, t in rows.items())
+    assert len({b["block"] for b in blocks}) > 8 and sum(b["size"] for b in blocks) == sum(len(t) + 1 for _, _, t in found)
+    got = {r["doc_id"]: r["score"] for r in ppm.score_documents(made(spark, rows), order=3).collect()}
+    for i in [*range(0, 60, 7), 70, 71, 72, 73, *(i for i in rows if zlib.crc32(str(i).encode()) % 10 == 0)]:
+        assert got[i] == pytest.approx(brute_ppm(train_texts(rows), (rows[i] or "").encode(), 3)), i
+
+
 def test_ppm_repeated_rows_and_null_ids(spark):
     rows = [(1, "the cat sat")] * 3 + [(None, "the dog"), (None, None)]
     got = ppm.score_documents(made(spark, rows), order=2).collect()

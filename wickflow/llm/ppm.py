@@ -5,12 +5,14 @@ counts of what followed them in the training texts. A byte is coded in its longe
 there, the escape costs distinct / (total + distinct), and the next shorter context takes over, without the
 symbols that the longer one has seen. Below the empty context all bytes left are equally likely.
 
-Counts of every order come from all training texts by distributed aggregation, and none is dropped. Tasks receive the
-contexts of the largest totals, at most max_nodes symbols in all, whole and with their exact counts. A suffix of a
-context is at least as frequent, so with a context come all shorter ones that its escapes need. Bytes whose
-longest context is not among them are looked up by joins: those of training texts, which were seen there, by one
-join with the grams of the other contexts; those of held-out texts by a join for each order, from the longest down,
-until a known symbol or one of the contexts that tasks have. The result doesn't depend on max_nodes.
+Counts of every order come from all training texts by distributed aggregation, and none is dropped. A gram that training
+holds was seen in its longest context, so its probability takes no escapes, in whichever text it stands. Texts are
+stored compressed in blocks of bounded size; a block hands its distinct grams, as arrays by bucket of their contexts, to the tasks
+that count these buckets, and gets their probabilities back, so what moves is in proportion to the texts. Only the grams
+that held-out texts have and training lacks take a join for each order, from the longest down, until a known symbol or
+one of the contexts that tasks have: those of the largest totals, at most max_nodes symbols in all, whole and with their
+exact counts. A suffix of a context is at least as frequent, so with a context come all shorter ones that its escapes
+need. The result doesn't depend on max_nodes.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickflow.llm.common import checkpoint, named
+from wickflow.llm.common import checkpoint, drop_tables, named, write_table
 
 #: Bytes that UTF-8 never holds: before the first byte and after the last.
 START, END = 0xFE, 0xFF
@@ -36,9 +40,12 @@ EXACT_TOTALS = 4096
 #: Words whose counts every task gets; the others are joined.
 FREQUENT = 1 << 18
 SMOOTHING = 0.1
-#: A task hands on its counts once it holds so many distinct words or grams.
+#: A task hands on its counts once it holds so many distinct words.
 HELD_WORDS = 500_000
-HELD_GRAMS = 4_000_000
+#: Bytes of the texts in a block, but for its last text.
+BLOCK = 1 << 24
+#: Least number of buckets of contexts; there is one for each block's worth of bytes.
+BUCKETS = 256
 CHUNK = 1 << 21
 
 
@@ -78,12 +85,11 @@ def last_bytes(k: int) -> np.uint64:
 class Trie:
     """Contexts and counts for each order, with what exclusion needs.
 
-    levels: sorted gram codes and counts of each order from 0, of whole contexts; with a context come its suffixes. If the
-    trie is not `whole`, grams of contexts that it lacks are left to the caller.
+    levels: sorted gram codes and counts of each order from 0, of whole contexts; with a context come its suffixes.
     """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], whole: bool = True):
-        self.order, self.whole, self.levels = len(levels) - 1, whole, []
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
+        self.order, self.levels = len(levels) - 1, []
         for k, (gram, count) in enumerate(levels):
             count = count.astype(np.float64)
             context, at, distinct = np.unique(gram >> np.uint64(8), return_inverse=True, return_counts=True)
@@ -108,10 +114,6 @@ class Trie:
             grams.append(_sums(grams[-1][0] & last_bytes(k), grams[-1][1]))
         return cls(grams[::-1])
 
-    def lacking(self, codes: np.ndarray) -> np.ndarray:
-        """Which of these grams the caller has to look up."""
-        return np.zeros(len(codes), bool) if self.whole else ~_find(self.levels[-1]["context"], codes >> np.uint64(8))[1]
-
     def known_order(self, codes: np.ndarray) -> np.ndarray:
         """The longest context of each gram that is here."""
         found = np.zeros(len(codes), dtype=np.int64)
@@ -154,87 +156,240 @@ class Trie:
         out[open_] -= math.log10(256 - lowest)
         return out
 
-    def score(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log10 probability of a whole text with its end, in chunks of bounded size, without the grams to look up, which follow with their counts."""
-        total, lack, times = 0.0, [], []
-        for start in range(0, len(text) + 1, CHUNK):
-            part = text[max(0, start - self.order) : start + CHUNK]
-            codes = gram_codes(part, self.order)
-            skip = min(start, self.order)
-            last = start + CHUNK > len(text)
-            grams, counts = np.unique(codes[skip:] if last else codes[skip:-1], return_counts=True)
-            away = self.lacking(grams)
-            if away.any():
-                lack.append(grams[away])
-                times.append(counts[away])
-                grams, counts = grams[~away], counts[~away]
+    def score(self, text: bytes) -> tuple[float, int]:
+        """Log10 probability of a whole text with its end, in chunks of bounded size, and how many symbols that is."""
+        total = 0.0
+        for _, _, codes in coded([text], self.order):
+            grams, counts = np.unique(codes, return_counts=True)
             total += float(self.log10(grams) @ counts)
-        if not lack:
-            return total, np.empty(0, np.uint64), np.empty(0, np.int64)
-        return total, np.concatenate(lack), np.concatenate(times)
+        return total, len(text) + 1
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def gather(docs: DataFrame, order: int) -> DataFrame:
-    """(kind, item, code, n): counts of words (kind 0, item), of grams (1, code) and of texts (2), over all rows; column text."""
+def coded(texts: list[bytes], order: int):
+    """(which, lengths, codes) for about CHUNK grams at a time: numbers of the texts, how many grams of each follow, and these."""
+
+    def joined(which):
+        symbols = b"".join(bytes([START]) * order + texts[i] + bytes([END]) for i in which)
+        symbols = np.frombuffer(symbols, dtype=np.uint8)
+        lengths = np.array([len(texts[i]) + 1 for i in which])
+        codes = np.zeros(len(symbols) - order, dtype=np.uint64)
+        for k in range(order + 1):
+            codes = (codes << np.uint64(8)) | symbols[k : k + len(codes)]
+        within = np.ones(len(codes), bool)  # not across two texts
+        begins = np.cumsum(lengths + order)[:-1]
+        within[(begins[:, None] - 1 - np.arange(order)).ravel()] = False
+        return np.array(which), lengths, codes[within]
+
+    which, held = [], 0
+    for i, text in enumerate(texts):
+        if len(text) < CHUNK:
+            which.append(i)
+            held += len(text) + 1
+            if held > CHUNK:
+                yield joined(which)
+                which, held = [], 0
+            continue
+        for start in range(0, len(text) + 1, CHUNK):
+            codes = gram_codes(text[max(0, start - order) : start + CHUNK], order)[min(start, order) :]
+            codes = codes if start + CHUNK > len(text) else codes[:-1]
+            yield np.array([i]), np.array([len(codes)]), codes
+    if which:
+        yield joined(which)
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(block, size, ids, held_out, lengths, texts): rows of columns doc_id, held_out and text in pieces of about CHUNK, texts joined and compressed.
+
+    A block is of some pieces of one task; size counts bytes and one more for each text.
+    """
+    kinds = {"block": pa.int64(), "size": pa.int64(), "ids": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "texts": pa.binary()}
+
+    def scan(batches):
+        task, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            length = np.asarray(pc.fill_null(pc.binary_length(batch.column(2)), 0)).astype(np.int64)
+            ends = held + np.cumsum(length + 1)
+            piece, held = (ends - length - 1) // CHUNK, int(ends[-1]) if len(ends) else held
+            cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(piece)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low < high:
+                    ids, held_out, texts = (c.slice(low, high - low) for c in batch.columns)
+                    packed = pa.Codec("zstd", 3).compress(b"".join(t for t in texts.cast(pa.binary()).to_pylist() if t), asbytes=True)
+                    part = length[low:high]
+                    row = (task + int(piece[low]) * CHUNK // BLOCK, int(part.sum()) + len(part), ids.to_pylist(), held_out.to_pylist(), part, packed)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds.values())], list(kinds))
+
+    schema = "block long, size long, ids array<long>, held_out array<boolean>, lengths array<long>, texts binary"
+    return rows.select("doc_id", "held_out", "text").mapInArrow(scan, schema)
+
+
+def unpacked(lengths, packed: bytes) -> list[bytes]:
+    """The texts of these lengths that a piece holds."""
+    ends = np.cumsum(lengths).tolist()
+    whole = pa.decompress(packed, decompressed_size=ends[-1], codec="zstd", asbytes=True) if ends[-1] else b""
+    return [whole[low:high] for low, high in zip([0, *ends], ends)]
+
+
+def pressed(values: np.ndarray) -> bytes:
+    return pa.compress(values.astype(np.int64).tobytes(), codec="zstd", asbytes=True)
+
+
+def opened(column, sizes) -> np.ndarray:
+    """The numbers of all pressed arrays of a column, of these sizes, in turn; null has none."""
+    found = (pa.decompress(x, decompressed_size=8 * n, codec="zstd", asbytes=True) for x, n in zip(column.to_pylist(), sizes) if x is not None)
+    return np.frombuffer(b"".join(found), np.int64)
+
+
+def from_steps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The codes of arrays of steps that follow one another."""
+    sums = np.cumsum(values)
+    before = np.concatenate([[0], sums])[np.cumsum(sizes) - sizes]
+    return sums - np.repeat(before, sizes)
+
+
+def told(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """What blocks hold: counts of words (kind 0, item) and of texts (2) of training texts, and distinct grams (1) by block, held_out and bucket.
+
+    Grams of one context share a bucket, in whose rows n of them stand as steps from the one before. times are their counts; held-out texts have none. Both are pressed.
+    """
+    fields = {"kind": pa.int32(), "item": pa.binary(), "n": pa.int64(), "block": pa.int64(), "held_out": pa.bool_(), "bucket": pa.int64()}
+    fields |= {"codes": pa.binary(), "times": pa.binary()}
+
+    def batch_of(size, **columns):
+        columns = [pa.array(columns[c], t) if isinstance(columns.get(c), list) else columns.get(c, pa.nulls(size, t)) for c, t in fields.items()]
+        return pa.RecordBatch.from_arrays(columns, list(fields))
+
+    def grams(block, held_out, texts):
+        found = [np.unique(codes, return_counts=True) for _, _, codes in coded(texts, order)]
+        if not found:
+            return
+        codes, times = found[0] if len(found) == 1 else _sums(*(np.concatenate(x) for x in zip(*found)))
+        bucket = ((codes >> np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
+        by = np.argsort(bucket, kind="stable")
+        bucket, codes, times = bucket[by].astype(np.int64), codes[by].view(np.int64), times[by]
+        ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+        step = max(1, len(ends) * HELD_WORDS // len(codes))
+        for at in range(0, len(ends), step):
+            offsets = np.append(ends[at - 1] if at else 0, ends[at : at + step])
+            size, spans = len(offsets) - 1, list(zip(offsets, offsets[1:]))
+            yield batch_of(
+                size,
+                kind=[1] * size,
+                n=pa.array(np.diff(offsets)),
+                block=[block] * size,
+                held_out=[held_out] * size,
+                bucket=pa.array(bucket[offsets[:-1]]),
+                codes=[pressed(np.diff(codes[low:high], prepend=0)) for low, high in spans],
+                times=[None if held_out else pressed(times[low:high]) for low, high in spans],
+            )
 
     def scan(batches):
         words: Counter[bytes] = Counter()
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
-        pending: list[np.ndarray] = []
-        held = texts = 0
-        names = ["kind", "item", "code", "n"]
-
-        def rows(kind, items, codes, counts):
-            for at in range(0, len(counts), 50_000):
-                to = at + 50_000
-                size = len(counts[at:to])
-                item = pa.array(items[at:to], pa.binary()) if items else pa.nulls(size, pa.binary())
-                code = pa.nulls(size, pa.int64()) if codes is None else pa.array(codes[at:to].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.int32()), item, code, pa.array(counts[at:to], pa.int64())], names)
-
-        def fold(most=8):
-            nonlocal held
-            if pending:
-                codes, counts = np.unique(np.concatenate(pending), return_counts=True)
-                grams.append((codes, counts))
-                pending.clear()
-                held = 0
-            if len(grams) > most:
-                grams[:] = [_sums(np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams]))]
-            if len(grams[0][0] if grams else ()) > HELD_GRAMS:
-                found = list(grams)
-                grams.clear()
-                for codes, counts in found:
-                    yield from rows(1, None, codes, counts)
+        texts, at, trained = ([], []), None, 0
+
+        def told_words():
+            items, counts = list(words), list(words.values())
+            for k in range(0, len(items), 50_000):
+                part = counts[k : k + 50_000]
+                yield batch_of(len(part), kind=[0] * len(part), item=items[k : k + 50_000], n=part)
+            words.clear()
+
+        def close():
+            for held_out in (False, True):
+                yield from grams(at, held_out, texts[held_out])
+                texts[held_out].clear()
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                text = text or b""
-                texts += 1
-                words.update(tokens(text))
-                for start in range(0, len(text) + 1, CHUNK):
-                    part = text[max(0, start - order) : start + CHUNK]
-                    codes = gram_codes(part, order)[min(start, order) :]
-                    pending.append(codes if start + CHUNK > len(text) else codes[:-1])
-                    held += len(pending[-1])
-                    if held > CHUNK:
-                        yield from fold()
+            for block, held, lengths, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != at:
+                    yield from close()
+                    at = block
+                for held_out, text in zip(held, unpacked(lengths, packed)):
+                    texts[held_out].append(text)
+                    if not held_out:
+                        trained += 1
+                        words.update(tokens(text))
                 if len(words) > HELD_WORDS:
-                    yield from rows(0, list(words), None, list(words.values()))
-                    words.clear()
-        yield from fold(1)
-        yield from rows(0, list(words), None, list(words.values()))
-        for codes, counts in grams:
-            yield from rows(1, None, codes, counts)
-        if texts:
-            yield from rows(2, None, None, [texts])
+                    yield from told_words()
+        yield from close()
+        yield from told_words()
+        if trained:
+            yield batch_of(1, kind=[2], n=[trained])
+
+    schema = "kind int, item binary, n long, block long, held_out boolean, bucket long, codes binary, times binary"
+    return blocks.select("block", "held_out", "lengths", "texts").mapInArrow(scan, schema)
+
+
+def valued(told_: DataFrame) -> DataFrame:
+    """(block, held_out, n, codes, times, of): for each block its grams as steps from the one before, their counts in training, and the totals of their contexts with the distinct symbols, all pressed.
+
+    A gram that training lacks has 0 times. Rows without a block hold all grams of training, without of.
+    """
+    names = ["block", "held_out", "n", "codes", "times", "of"]
+
+    def count(table: pa.Table) -> pa.Table:
+        held, sizes = table.column("held_out").to_numpy(), table.column("n").to_numpy()
+        codes = from_steps(opened(table.column("codes"), sizes), sizes)
+        grams, times = _sums(codes[np.repeat(~held, sizes)], opened(table.column("times"), sizes))
+        _, at, distinct = np.unique(grams >> 8, return_inverse=True, return_counts=True)
+        of = (np.bincount(at, times, len(distinct)).astype(np.int64) + distinct)[at]
+        found, known = _find(grams, codes)
+        mine = [np.where(known, x[found], 0) if len(grams) else np.zeros(len(codes), np.int64) for x in (times, of)]
+        spans = list(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes)))
+        columns = [
+            [*table.column("block").to_pylist(), None],
+            [*held.tolist(), False],
+            [*sizes.tolist(), len(grams)],
+            [*table.column("codes").to_pylist(), pressed(np.diff(grams, prepend=0))],
+            [*(pressed(mine[0][low:high]) for low, high in spans), pressed(times)],
+            [*(pressed(mine[1][low:high]) for low, high in spans), None],
+        ]
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    grams = told_.where("kind = 1").select("bucket", "block", "held_out", "n", "codes", "times")
+    return grams.groupBy("bucket").applyInArrow(count, "block long, held_out boolean, n long, codes binary, times binary, of binary")
+
+
+def counted_words(told_: DataFrame) -> DataFrame:
+    """(kind, item, n): counts of words and of texts over all blocks."""
+    return told_.where("kind != 1").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+
+
+def counted_grams(values: DataFrame) -> DataFrame:
+    """(code, n): counts of the grams of training."""
+
+    def spread(batches):
+        for batch in batches:
+            sizes = batch.column(0).to_numpy()
+            codes = from_steps(opened(batch.column(1), sizes), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(opened(batch.column(2), sizes))], ["code", "n"])
+
+    return values.where("block is null").select("n", "codes", "times").mapInArrow(spread, "code long, n long")
+
+
+def lacking(values: DataFrame) -> DataFrame:
+    """(block, code): grams of held-out texts that training lacks."""
 
-    counted = docs.select("text").mapInArrow(scan, "kind int, item binary, code long, n long")
-    return counted.groupBy("kind", "item", "code").agg(F.sum("n").alias("n"))
+    def scan(batches):
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            codes, away = from_steps(opened(batch.column(2), sizes), sizes), opened(batch.column(3), sizes) == 0
+            blocks = np.repeat(batch.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[away]), pa.array(codes[away])], ["block", "code"])
+
+    return values.where("block is not null and held_out").select("block", "n", "codes", "times").mapInArrow(scan, "block long, code long")
+
+
+def gather(docs: DataFrame, order: int) -> DataFrame:
+    """(kind, item, code, n): counts of words (kind 0, item), of grams (1, code) and of texts (2), over all rows; column text."""
+    found = told(in_blocks(docs.select(F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")), order, BUCKETS)
+    words = counted_words(found).select("kind", "item", F.lit(None).cast("long").alias("code"), "n")
+    return words.unionByName(counted_grams(valued(found)).select(F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("item"), "code", "n"))
 
 
 def contexts(grams: DataFrame, order: int) -> DataFrame:
@@ -270,14 +425,6 @@ def frequent_contexts(table: DataFrame, max_nodes: int):
     return (F.col("order") < ALWAYS) | above
 
 
-def seen_in(contexts_: DataFrame, order: int) -> DataFrame:
-    """(code, p): log10 probabilities of the grams that were seen in these contexts of one order."""
-    distinct = F.size("symbols").alias("distinct")
-    grams = contexts_.where(F.col("order") == order).select("context", "total", distinct, F.explode("symbols").alias("e"))
-    code = F.shiftleft("context", 8).bitwiseOR(F.col("e.s"))
-    return grams.select(code.alias("code"), F.log10(F.col("e.n") / (F.col("total") + F.col("distinct"))).alias("p"))
-
-
 def looked_up(codes: DataFrame, rare: DataFrame, table: DataFrame, model, order: int) -> DataFrame:
     """(code, p): log10 probabilities of distinct grams, columns code and known (the longest context that the trie has).
 
@@ -376,7 +523,12 @@ def score_documents(
         (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"),
         text.cast("string").alias("text"),
     )
-    counts = checkpoint(gather(rows.where("not held_out"), order))
+    blocks = write_table(in_blocks(rows))
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    found = write_table(told(blocks, order, max(BUCKETS, size // BLOCK)))
+    values = write_table(valued(found))
+    counts = checkpoint(counted_words(found))
+    drop_tables(found)
     known = counts.where("kind = 0")
     facts = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     texts = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -384,63 +536,66 @@ def score_documents(
     bottom = train_tokens + SMOOTHING * (distinct + 1)
     unseen, end = math.log10(SMOOTHING / bottom), math.log10((texts + SMOOTHING) / bottom)
 
-    table = checkpoint(contexts(counts.where("kind = 1").select("code", "n"), order))
+    table = write_table(contexts(counted_grams(values), order))
     chosen = frequent_contexts(table, max_nodes)
     grams = table.where(chosen).select("order", "context", F.explode("symbols").alias("e"))
     grams = grams.select("order", F.shiftleft("context", 8).bitwiseOR(F.col("e.s")).alias("code"), "e.n").toArrow()  # about max_nodes rows
     level, codes, times = (grams.column(k).to_numpy() for k in range(3))
-    rare = checkpoint(table.where(~chosen))
     at = [np.flatnonzero(level == k) for k in range(order + 1)]
     at = [x[np.argsort(codes[x])] for x in at]
-    trie = Trie([(codes[x].astype(np.uint64), times[x]) for x in at], rare.isEmpty())
+    trie = Trie([(codes[x].astype(np.uint64), times[x]) for x in at])
     del grams, level, codes, times, at
     top = most_frequent(known, frequent).select("item", "n").toArrow()
     common = {w: math.log10((c + SMOOTHING) / bottom) for w, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist())}
     model = docs.sparkSession.sparkContext.broadcast((trie, common))
-    names = ["doc_id", "held_out", "n_tokens", "n_seen", "base", "score", "n_bytes", "rest", "codes", "times", "known"]
-    longs = pa.list_(pa.int64())
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), longs, longs, longs)
-
-    def scan(batches):
-        trie, common = model.value
+    def contexts_known(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                out = []
-                for text in part.column(2).cast(pa.binary()).to_pylist():
-                    text = text or b""
-                    found = tokens(text)
-                    values = [common.get(word) for word in found]
-                    rest = [word for word, value in zip(found, values) if value is None]
-                    base = end + sum(value for value in values if value is not None)
-                    seen = int(texts > 0) + len(found) - len(rest)
-                    score, lack, times = trie.score(text)
-                    out.append((len(found) + 1, seen, base, score, len(text), rest, lack.view(np.int64), times, trie.known_order(lack)))
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
-
-    first = checkpoint(
-        rows.mapInArrow(
-            scan,
-            "doc_id long, held_out boolean, n_tokens long, n_seen long, base double, score double, n_bytes long, "
-            "rest array<binary>, codes array<long>, times array<long>, known array<long>",
-        ).withColumn("row", F.monotonically_increasing_id())
-    )
+            codes = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value[0].known_order(codes))], ["code", "known"])
+
+    lack = lacking(values)
+    wanted = lack.select("code").distinct().mapInArrow(contexts_known, "code long, known long")
+    late = lack.join(looked_up(wanted, table.where(~chosen), table, model, order), "code").groupBy("block")
+    late = late.agg(F.collect_list(F.struct("code", "p")).alias("g")).select("block", F.col("g.code").alias("late"), F.col("g.p").alias("p"))
+    every = values.where("block is not null").drop("held_out").unionByName(late, allowMissingColumns=True)
+    kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_seen": pa.int64(), "base": pa.float64()}
+    kinds |= {"score": pa.float64(), "n_bytes": pa.int64(), "rest": pa.list_(pa.binary())}
+
+    def score(part: pa.Table, grams: pa.Table) -> pa.Table:
+        common = model.value[1]
+        late, p = (pc.list_flatten(grams.column(c)).to_numpy() for c in ("late", "p"))
+        sizes = pc.fill_null(grams.column("n"), 0).to_numpy()
+        codes, times, of = (opened(grams.column(c), sizes) for c in ("codes", "times", "of"))
+        code, seen = from_steps(codes, sizes), times > 0
+        code, value = np.concatenate([code[seen], late]), np.concatenate([np.log10(times[seen] / of[seen]), p])
+        by = np.argsort(code)
+        code, value = code[by].view(np.uint64), value[by]
+        raw = [text for row in zip(part.column("lengths").to_pylist(), part.column("texts").to_pylist()) for text in unpacked(*row)]
+        scores = np.zeros(len(raw))
+        for which, lengths, codes in coded(raw, order):
+            by = np.argsort(codes)
+            codes = codes[by]
+            begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            p = np.empty(len(codes))
+            p[by] = np.repeat(value[np.searchsorted(code, codes[begins])], np.diff(begins, append=len(codes)))
+            scores[which] += np.add.reduceat(p, np.cumsum(lengths) - lengths)
+        out = []
+        for text in raw:
+            words = tokens(text)
+            logs = [common.get(word) for word in words]
+            rest = [word for word, log in zip(words, logs) if log is None]
+            out.append((len(words) + 1, int(texts > 0) + len(words) - len(rest), end + sum(log for log in logs if log is not None), len(text), rest))
+        n_tokens, seen, base, n_bytes, rest = zip(*out)
+        columns = [pc.list_flatten(part.column("ids")), pc.list_flatten(part.column("held_out")), n_tokens, seen, base, scores, n_bytes, rest]
+        return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_seen long, base double, score double, n_bytes long, rest array<binary>"
+    scored = blocks.select("block", "ids", "held_out", "lengths", "texts").groupBy("block").cogroup(every.groupBy("block")).applyInArrow(score, schema)
+    first = checkpoint(scored.withColumn("row", F.monotonically_increasing_id()))
+    drop_tables(blocks, values, table)
     words = first.select("row", F.explode("rest").alias("item")).join(known.select("item", "n"), "item", "left")
     value = F.when(F.col("n").isNull(), F.lit(unseen)).otherwise(F.log10((F.col("n") + SMOOTHING) / bottom))
-    added = words.groupBy("row").agg(F.sum(value).alias("more"), F.count("n").alias("more_seen"), F.lit(0.0).alias("bits"))
-    if not trie.whole:
-        lack = first.select("held_out", "row", F.explode(F.arrays_zip("codes", "times", "known")).alias("g")).select("held_out", "row", "g.codes", "g.times", "g.known")
-        # what training texts hold was seen in its longest context, so its probability takes no escapes
-        trained = lack.where("not held_out").join(seen_in(rare, order), F.col("codes") == F.col("code"))
-        away = lack.where("held_out")
-        wanted = away.groupBy(F.col("codes").alias("code")).agg(F.first("known").alias("known"))
-        values = looked_up(wanted, rare, table, model, order)
-        bits = trained.select("row", "p", "times").unionByName(away.join(values, away["codes"] == values["code"]).select("row", "p", "times"))
-        bits = bits.groupBy("row").agg(F.sum(F.col("p") * F.col("times")).alias("bits"))
-        none = F.lit(0).cast("long")
-        added = added.unionByName(bits.select("row", F.lit(0.0).alias("more"), none.alias("more_seen"), "bits"))
-        added = added.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "more_seen", "bits")))
+    added = words.groupBy("row").agg(F.sum(value).alias("more"), F.count("n").alias("more_seen"))
     return first.join(added, "row", "left").select(
         "doc_id",
         "held_out",
@@ -448,6 +603,6 @@ def score_documents(
         (F.col("n_seen") + F.coalesce("more_seen", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("bits", F.lit(0.0))).alias("score"),
+        "score",
         "n_bytes",
     )
